@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: One row for each non-empty or formatted cell. Rows and columns count from 1.
-CELLS = T.StructType.fromDDL(
+CELLS = (
     "file string, sheet string, row int, col int, dtype string, py_type string, v_str string, number_format string, "
     "bold boolean, h_align string, fill string, has_border boolean, merged_range string, is_merge_start boolean"
 )

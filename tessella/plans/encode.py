@@ -63,6 +63,8 @@ class Encoding:
     formats: DataFrame
     extents: DataFrame
     options: Options = field(default_factory=Options)
+    #: Relations that are cached until the encoding is done.
+    kept: tuple = ()
 
 
 def _copy_merged(cells: DataFrame) -> DataFrame:
@@ -76,7 +78,7 @@ def _copy_merged(cells: DataFrame) -> DataFrame:
 
 def build(cells: DataFrame, options: Options = Options()) -> Encoding:
     """The relations of the encoding of every sheet in cells."""
-    size = extents(cells)
+    size = extents(cells).cache()
     cells = cells.join(size.select(*SHEET), SHEET, "left_semi")
     kept = {}
     if options.profile == "v1":
@@ -85,21 +87,24 @@ def build(cells: DataFrame, options: Options = Options()) -> Encoding:
         kept = {axis: anchor[axis].select(*REGION, axis) for axis in anchor}
         drop = S.drop_uniform_lines
     else:
-        regions = (S.table_regions(cells, options.min_cells) if options.detect_subtables else S.full_regions(cells)).select(*REGION, "min_row", "max_row", "min_col", "max_col")
+        regions = (S.table_regions(cells, options.min_cells) if options.detect_subtables else S.full_regions(cells)).select(*REGION, "min_row", "max_row", "min_col", "max_col").cache()
         parts = S.components(S.similar_edges(S.in_regions(cells, regions)))
         anchor = {axis: S.anchors(cells, regions, axis, options.k, parts) for axis in ("row", "col")}
         kept = {axis: S.kept(anchor[axis], axis, options.k) for axis in anchor}
         drop = S.drop_blank_lines
     before = S.grid(cells, kept["row"], kept["col"])
-    full = S.grid(cells, drop(before, "row"), drop(before, "col"))
+    before = before.cache()
+    full = S.grid(cells, drop(before, "row"), drop(before, "col")).cache()
     if options.profile == "v1":
         full = full.join(_copy_merged(cells), [*SHEET, "row", "col"], "left")
         shown = full.withColumn("v_str", F.coalesce("m_str", "v_str"))
         index = I.inverted_index(shown, longest=None, skip_blank=False)
     else:
         index = I.inverted_index(full, longest=options.longest_value)
-    formats = I.format_map(full, copy_merged=options.profile == "v1")
-    return Encoding(regions, anchor["row"], anchor["col"], full, I.index_ranges(index), formats, size, options)
+    formats = I.format_map(full, copy_merged=options.profile == "v1").cache()
+    index = I.index_ranges(index).cache()
+    kept_until = (before, full, formats, index, size, *([regions] if options.profile != "v1" else []))
+    return Encoding(regions, anchor["row"], anchor["col"], full, index, formats, size, options, kept_until)
 
 
 def _numeric(e: Encoding, cells: DataFrame) -> DataFrame:
@@ -118,16 +123,17 @@ def _numeric(e: Encoding, cells: DataFrame) -> DataFrame:
 def encode(cells: DataFrame, options: Options = Options(), file_name: str | None = None) -> dict:
     """The encoding of one file's sheets as a dict, with sizes and ratios."""
     cells = cells.cache()
+    e = build(cells, options)
     try:
-        return _encode(cells, options, file_name)
+        return _encode(e, cells, options, file_name)
     finally:
-        cells.unpersist()
+        for df in (*e.kept, cells):
+            df.unpersist()
 
 
-def _encode(cells: DataFrame, options: Options, file_name: str | None) -> dict:
+def _encode(e: Encoding, cells: DataFrame, options: Options, file_name: str | None) -> dict:
     v1 = options.profile == "v1"
     longest = None if v1 else options.longest_value
-    e = build(cells, options)
     key = lambda r: (r["sheet"], r["region"])
     original = {r["sheet"]: r["size"] for r in cells_size(cells, SHEET, longest, not v1).collect()}
     anchored = {key(r): r["size"] for r in cells_size(e.full, REGION, longest, not v1).collect()}
