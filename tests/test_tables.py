@@ -74,7 +74,7 @@ def test_markers_pairs_totals(spark):
 
 def test_implicit_aggregation(spark):
     df = numbered(spark, ["c"], [("A",), ("A - x",), ("A - x - y",), ("B / z",), ("Asia/Pacific",), ("A",)])
-    assert plain(tidy.implicit_aggregation(df, "c")) == [("A", " - ", "A - x"), ("A", " - ", "A - x - y"), ("A - x", " - ", "A - x - y")]
+    assert plain(tidy.implicit_aggregation(df, "c")) == sorted([("A", " - ", "A - x"), ("A", " - ", "A - x - y"), ("A - x", " - ", "A - x - y")], key=str)
     split = tidy.split_dimension(df.drop(ROW).distinct(), "c", " - ", "base", "extra")
     assert ("A", None) in plain(split) and ("A", "x - y") in plain(split)
 
