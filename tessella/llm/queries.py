@@ -63,5 +63,32 @@ def queries() -> dict:
     )}
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _url_sql() -> str:
+    """The verdicts with every rule tried on every URL."""
+    rules = ", ".join(f"('{r.verdict}', '{r.host}', '{r.path}')" for r in url_rules.HOST_RULES)
+    order = sorted(url_rules.PATTERN_RULES, key=lambda r: r.verdict != "allow")
+    first = lambda what: "coalesce(" + ", ".join(f"CASE WHEN regexp_matches(low, '{r.pattern}') THEN '{getattr(r, what)}' END" for r in order) + ")"
+    return f"""
+    WITH p AS (SELECT page_id, translate(url, '{_UPPER}', '{_LOWER}') AS low, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+    q AS (SELECT page_id, low, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+    r AS (SELECT * FROM (VALUES {rules}) r(v, h, t)),
+    f AS (SELECT page_id, arg_max(h || t, length(h || t)) AS rule, arg_max(v, length(h || t)) AS v FROM q JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, t) GROUP BY page_id)
+    SELECT page_id, host, path, rule, coalesce(v, {first('verdict')}, 'allow') AS verdict, CASE WHEN rule IS NULL THEN {first('pattern')} END AS pattern FROM q LEFT JOIN f USING (page_id)
+    """
+
+
+EMBEDDING_SQL = """
+WITH RECURSIVE e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+l AS (SELECT a.vec_id AS u, b.vec_id AS v FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.x, b.x) >= 0.93),
+r(u, v) AS (SELECT vec_id, vec_id FROM e UNION SELECT r.u, l.v FROM r JOIN l ON r.v = l.u),
+n AS (SELECT u, COUNT(*) AS n FROM l GROUP BY u)
+SELECT r.u AS vec_id, coalesce(MAX(n.n), 0) AS n_links, MIN(r.v) AS component_id, MIN(r.v) = r.u AS kept FROM r LEFT JOIN n ON n.u = r.u GROUP BY r.u
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Where SQL says the same; the others are held against brute force in the tests."""
+    return {"op2_embedding_near_dedup": EMBEDDING_SQL, "op3_url_filters": _url_sql()}
