@@ -38,6 +38,14 @@ def make_docs() -> list[tuple]:
     return docs
 
 
+@pytest.fixture(autouse=True)
+def case_sensitive(spark):
+    """Columns whose names differ only in case can be read in these tests, and in these only."""
+    spark.conf.set("spark.sql.caseSensitive", "true")
+    yield
+    spark.conf.unset("spark.sql.caseSensitive")
+
+
 @pytest.fixture(scope="session")
 def docs_rows():
     return make_docs()
