@@ -172,15 +172,21 @@ def classes(docs: DataFrame, shingle: int = 3) -> DataFrame:
 def deduplicate(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """One row of each component, that of the smallest doc_id, with the columns of docs.
 
-    Of rows that share that id, the one whose text has the smallest hash stays.
-    Rows with a null id have nothing to be chosen by, and all stay.
+    Of rows that share an id that stays, the one whose text has the smallest
+    hash stays. Rows with a null id have nothing to be chosen by, and all stay.
+    Only rows that may have to go (a bitmap of their ids tells) take part in a
+    join; the others pass as they are.
     """
     plain = docs.toDF(*(f"_{i}" for i in range(len(docs.columns))))
     doc_id, text = (F.col(f"_{common.index_of(docs, x)}") for x in ("doc_id", "text"))
-    found = classes(docs, shingle).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_n"))
-    kept = common.materialize(found.withColumnRenamed("doc_id", "_id"), "kept")
-    left = plain.join(kept, doc_id == kept["_id"], "left").where(doc_id.isNull() | F.col("_n").isNotNull()).drop("_id")
-    if not kept.where("_n > 1").isEmpty():
-        again = left.where("_n > 1").withColumn("_r", F.row_number().over(Window.partitionBy(doc_id).orderBy(F.xxhash64(text))))
-        left = left.where("coalesce(_n, 1) = 1").unionByName(again.where("_r = 1").drop("_r"))
-    return left.drop("_n").toDF(*docs.columns)
+    ids = classes(docs, shingle).where("doc_id is not null").groupBy(F.col("doc_id").alias("_id"))
+    ids = ids.agg(F.count("*").alias("_n"), F.bool_or(F.col("doc_id") == F.col("component_id")).alias("_stays"))
+    special = common.materialize(ids.where("_n > 1 or not _stays"), "special")
+    flagged = common.maybe_among(plain.withColumn("_id", doc_id), special, "_id")
+    names = plain.columns
+    held = flagged.where("maybe").join(special, "_id", "left").where("coalesce(_stays, true)")
+    out = flagged.where("not maybe").select(*names).unionByName(held.where("coalesce(_n, 1) = 1").select(*names))
+    if not special.where("_n > 1 and _stays").isEmpty():
+        again = held.where("_n > 1").withColumn("_r", F.row_number().over(Window.partitionBy(doc_id).orderBy(F.xxhash64(text))))
+        out = out.unionByName(again.where("_r = 1").select(*names))
+    return out.toDF(*docs.columns)
