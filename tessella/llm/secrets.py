@@ -158,7 +158,9 @@ def redact(docs: DataFrame, rules: list[Rule] = RULES, ledger_path: str | None =
     cuts = common.materialize(cuts, "cuts")
     plain = docs.toDF(*(f"_{i}" for i in range(len(docs.columns))))
     text = f"_{common.index_of(docs, 'text')}"
-    joined = plain.withColumn("_key", blob_id(F.col(text))).join(cuts, F.col("_key") == F.col("_sha"), "left")
+    # Only texts that may hold a secret (a bitmap of their blobs tells) take part in the join.
+    flagged = common.maybe_among(plain.withColumn("_key", blob_id(F.col(text))), cuts.withColumnRenamed("_sha", "_key"), "_key")
+    joined = flagged.where("maybe").join(cuts, F.col("_key") == F.col("_sha"), "left")
     piece = F.expr(f"transform(_cuts, (c, i) -> substring({text}, if(i = 0, 0, get(_cuts, i - 1).end) + 1, c.start - if(i = 0, 0, get(_cuts, i - 1).end)))")
     rest = F.expr(f"substring({text}, get(_cuts, size(_cuts) - 1).end + 1)")
     new = F.when(F.col("_cuts").isNotNull(), F.array_join(F.concat(piece, F.array(rest)), "[secret]")).otherwise(F.col(text))
@@ -166,4 +168,4 @@ def redact(docs: DataFrame, rules: list[Rule] = RULES, ledger_path: str | None =
     if "n_chars" in docs.columns:
         n = f"_{common.index_of(docs, 'n_chars')}"
         out = out.withColumn(n, F.when(F.col("_cuts").isNotNull(), F.length(text).cast(plain.schema[n].dataType)).otherwise(F.col(n)))
-    return out.drop("_key", "_sha", "_cuts").toDF(*docs.columns)
+    return flagged.where("not maybe").select(*plain.columns).unionByName(out.select(*plain.columns)).toDF(*docs.columns)
