@@ -222,13 +222,16 @@ def header_rows_v1(spark, sf):
 SELECT DISTINCT CAST(r AS INT) AS row FROM (SELECT UNNEST(generate_series(greatest(p_partkey - 2, 5), least(p_partkey + 2, 1000))) AS r FROM part WHERE p_partkey % 13 = 0)
 """)
 def k_neighborhood(spark, sf):
-    at = table(spark, sf, "part").where("p_partkey % 13 = 0").select(F.lit("f").alias("file"), F.lit("s").alias("sheet"), F.lit(0).alias("region"), F.col("p_partkey").cast("int").alias("row"), F.lit(5).alias("min_row"), F.lit(1000).alias("max_row"))
+    """Neighbours of every thirteenth row, the anchors, in a region from row 5 to the table's last row."""
+    p = table(spark, sf, "part")
+    at = p.where("p_partkey % 13 = 0").select(F.lit("f").alias("file"), F.lit("s").alias("sheet"), F.lit(0).alias("region"), F.col("p_partkey").cast("int").alias("row"), F.lit(5).alias("min_row"))
+    at = at.crossJoin(F.broadcast(p.agg(F.max("p_partkey").cast("int").alias("max_row"))))
     return S.expand(at, "row", 2, "min_row", "max_row").select("row")
 
 
 def _grid(spark, sf) -> DataFrame:
-    """The grid of all rows and columns up to row 1000, blank cells as nulls, constant in every fourth row."""
-    p = table(spark, sf, "part").where("p_partkey <= 1000")
+    """The grid of all rows and columns, blank cells as nulls, constant in every fourth row."""
+    p = table(spark, sf, "part")
     each = F.explode(F.array(*(F.struct(F.lit(i).alias("col"), v.alias("v_str")) for i, v in ((1, F.col("p_brand")), (2, F.col("p_type")), (3, F.col("p_size").cast("string"))))))
     rows = p.select(F.lit("f").alias("file"), F.lit("s").alias("sheet"), F.lit(0).alias("region"), F.col("p_partkey").cast("int").alias("row"), each.alias("c")).select("file", "sheet", "region", "row", "c.*")
     value = F.when(F.col("row") % 6 == 0, None).when(F.col("row") % 4 == 0, "x").otherwise(F.col("v_str"))
