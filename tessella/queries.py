@@ -546,7 +546,7 @@ def declarative_plan(spark, sf):
     """A plan read from JSON: markers filled, columns chosen, then summed."""
     k = F.col("event_id") % 10
     rows = table(spark, sf, "events").select(F.col("event_id").alias(ROW), F.when(k == 0, F.concat(F.lit("S"), F.pmod(F.expr("event_id div 10"), F.lit(5)).cast("string"))).otherwise(F.col("event_type")).alias("a"), F.when(k != 0, F.col("value")).alias("b"))
-    plan = Plan.from_json('[{"operator": "slice_region", "start": 0, "end": 99}, {"operator": "fill_section_markers", "column": "a", "into": "section"}, {"operator": "select_rename", "columns": {"section": "section", "a": "type", "b": "v"}}]')
+    plan = Plan.from_json('[{"operator": "fill_section_markers", "column": "a", "into": "section"}, {"operator": "select_rename", "columns": {"section": "section", "a": "type", "b": "v"}}]')
     return plan.apply(rows).groupBy("section", "type").agg(F.round(F.sum("v"), 4).alias("total"))
 
 

@@ -39,3 +39,14 @@ def test_homogeneous_cols_see_the_last_row(spark, tmp_path):
 def test_neighbourhood_reaches_the_last_row(spark, parts):
     want = {r for k in range(0, N_PARTS, 13) for r in range(k - 2, k + 3) if 5 <= r < N_PARTS}
     assert sorted(r["row"] for r in Q.k_neighborhood(spark, parts).collect()) == sorted(want)
+
+
+def test_plan_sums_all_events(spark, tmp_path):
+    events = [(i, "abc"[i % 3], float(i % 17)) for i in range(1234)]
+    spark.createDataFrame(events, "event_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    want: dict = {}
+    for i, kind, value in events:
+        if i % 10:
+            key = (f"S{i // 10 % 5}", kind)
+            want[key] = want.get(key, 0) + value
+    assert {(r["section"], r["type"]): r["total"] for r in Q.declarative_plan(spark, str(tmp_path)).collect()} == want
