@@ -50,3 +50,28 @@ def test_plan_sums_all_events(spark, tmp_path):
             key = (f"S{i // 10 % 5}", kind)
             want[key] = want.get(key, 0) + value
     assert {(r["section"], r["type"]): r["total"] for r in Q.declarative_plan(spark, str(tmp_path)).collect()} == want
+
+
+def _slow_cover(cells: set) -> list[str]:
+    """From the first free cell in row order, as wide as possible, then as tall as the width stays free."""
+    free, out = set(cells), []
+    while free:
+        r, c = min(free)
+        wide = next(w for w in range(1, 99) if (r, c + w) not in free)
+        tall = next(t for t in range(1, 99) if not all((r + t, c + x) in free for x in range(wide)))
+        free -= {(r + y, c + x) for y in range(tall) for x in range(wide)}
+        first, last = f"{chr(64 + c)}{r}", f"{chr(63 + c + wide)}{r + tall - 1}"
+        out.append(first if first == last else f"{first}:{last}")
+    return out
+
+
+def test_ranges_of_all_values(spark, tmp_path):
+    nation = [(k, f"N{k}", k if k < 5 else k // 6) for k in range(25)]
+    spark.createDataFrame(nation, "n_nationkey int, n_name string, n_regionkey int").write.parquet(f"{tmp_path}/nation.parquet")
+    at: dict = {}
+    for r, row in enumerate([("n_nationkey", "n_name", "n_regionkey"), *nation], 1):
+        for c, v in enumerate(row, 1):
+            at.setdefault(str(v), set()).add((r, c))
+    found = {r["value"]: r["ranges"] for r in Q.value_ranges(spark, str(tmp_path)).collect()}
+    assert found == {v: ", ".join(_slow_cover(cells)) for v, cells in at.items()}
+    assert any(":" in x for x in found.values())
