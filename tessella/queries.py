@@ -382,7 +382,8 @@ def detect_delimiters(spark, sf):
 SELECT doc_id, regexp_matches(t, '[一-鿿]') AND regexp_matches(t, '[A-Za-z]') AS both_languages FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '類別' || left(text, 20) WHEN doc_id % 3 = 1 THEN '類別' ELSE left(text, 20) END AS t FROM documents)
 """)
 def bilingual_flag(spark, sf):
-    t = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("類別"), F.substring("text", 1, 20))).when(F.col("doc_id") % 3 == 1, "類別").otherwise(F.substring("text", 1, 20))
+    """Whether each whole text has Chinese and Latin letters; two of three texts have a Chinese prefix before them."""
+    t = F.when(F.col("doc_id") % 3 == 2, F.col("text")).otherwise(F.concat(F.lit("類別"), "text"))
     return table(spark, sf, "documents").select("doc_id", t.alias("t")).select("doc_id", (C.has_cjk(F.col("t")) & C.has_latin(F.col("t"))).alias("both_languages"))
 
 

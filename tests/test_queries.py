@@ -75,3 +75,15 @@ def test_ranges_of_all_values(spark, tmp_path):
     found = {r["value"]: r["ranges"] for r in Q.value_ranges(spark, str(tmp_path)).collect()}
     assert found == {v: ", ".join(_slow_cover(cells)) for v, cells in at.items()}
     assert any(":" in x for x in found.values())
+
+
+def test_both_languages_are_looked_for_in_the_whole_text(spark, tmp_path):
+    texts = ["1" * 40 + "a", "\n" * 30 + "b", "2" * 25 + " 類 z", "3" * 50, "x", "4" * 30 + "類", "a" + "-" * 30 + "別", "", "y" * 30, "5" * 21 + "é", None, None]
+    docs = [(3 * i + k, t) for i, t in enumerate(texts) for k in range(3)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def want(i: int, t: str | None) -> bool | None:
+        whole = t if t is None or i % 3 == 2 else "類別" + t
+        return None if whole is None else any("一" <= c <= "鿿" for c in whole) and any(c.isascii() and c.isalpha() for c in whole)
+
+    assert {r["doc_id"]: r["both_languages"] for r in Q.bilingual_flag(spark, str(tmp_path)).collect()} == {i: want(i, t) for i, t in docs}
