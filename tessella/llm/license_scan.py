@@ -1,11 +1,13 @@
 """License scans: phrases, and an exact set-similarity join of text blocks with templates.
 
-A block is a line of a text; its tokens are the distinct words of the line. A
-template is a set of words. A block has a template if it holds at least
+A block is a line of a text, or a window: as many words in a row as the template
+has, wherever lines or paragraphs end, so wrapped notices are found. Its tokens
+are its distinct words. A template is a set of words. A block has a template if it holds at least
 threshold of the template's words. All tokens are ordered by their frequency in
 the whole corpus, rarest first. Of a template with n tokens that needs k of
-them, any block with k has one of the template's first n - k + 1: only lines
-with such a prefix token are taken up. The length filter drops blocks of fewer
+them, any block with k has one of the template's first n - k + 1: only lines, and
+for windows only texts, with such a prefix token are taken up. A text's windows
+are looked at only if the text as a whole passes the filters and has k tokens. The length filter drops blocks of fewer
 than k tokens. The positional filter drops a pair whose first common token
 stands so late in either order that k can't be reached. What is left is
 counted exactly. DataFrame functions only.
@@ -70,33 +72,71 @@ def frequencies(docs: DataFrame, tokens: list[str]) -> dict[str, int]:
     return dict.fromkeys(tokens, 0) | {r[0]: r[1] for r in counts.collect()}
 
 
+class _Templates:
+    """Templates with their tokens in the order of the corpus, the prefix filter's pattern, and the filters of a block."""
+
+    def __init__(self, docs: DataFrame, templates: dict[str, str], threshold: float, counts: dict[str, int] | None) -> None:
+        sets = {label: sorted(set(words.split())) for label, words in templates.items()}
+        everything = sorted({w for s in sets.values() for w in s})
+        counts = frequencies(docs, everything) if counts is None else counts
+        rank = {w: i for i, w in enumerate(sorted(everything, key=lambda w: (counts[w], w)))}
+        self.length = {label: len(words.split()) for label, words in templates.items()}
+        self.ordered = {label: sorted(s, key=rank.__getitem__) for label, s in sets.items()}
+        self.need = {label: ceil(threshold * len(s) - 1e-9) for label, s in self.ordered.items()}
+        self.prefix = {label: s[: len(s) - self.need[label] + 1] for label, s in self.ordered.items()}
+        heads = "|".join(sorted({w for p in self.prefix.values() for w in p}))
+        self.head = rf"(?<![^\x00-\x2F\x3A-\x60\x7B-\x7F])(?:{heads})(?![^\x00-\x2F\x3A-\x60\x7B-\x7F])"
+
+    def own(self, label: str) -> Column:
+        return F.array(*map(F.lit, self.ordered[label]))
+
+    def passes(self, block: Column, label: str) -> Column:
+        """Length and positional filters on a block of distinct words."""
+        tokens, k = self.ordered[label], self.need[label]
+        first = F.array_intersect(F.array(*map(F.lit, self.prefix[label])), block)
+        # Place, from 1, of the first common token; the tokens from there on must still make up k.
+        position = F.when(F.size(first) > 0, len(tokens) - F.array_position(self.own(label), F.get(first, F.lit(0))) + 1 >= k)
+        return (F.size(block) >= k) & position
+
+    def held(self, both: Column, label: str) -> Column:
+        """The template with its share, if these many tokens are enough."""
+        return F.when(both >= self.need[label], F.struct(F.lit(NAMES.get(label, label)).alias("label"), (both / len(self.ordered[label])).alias("share")))
+
+
 def blocks_with_templates(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, counts: dict[str, int] | None = None) -> Column:
-    """For each row of docs (column text): array of (label, share) of every block and template that meet the threshold."""
-    sets = {label: sorted(set(words.split())) for label, words in templates.items()}
-    everything = sorted({w for s in sets.values() for w in s})
-    counts = frequencies(docs, everything) if counts is None else counts
-    rank = {w: i for i, w in enumerate(sorted(everything, key=lambda w: (counts[w], w)))}
-    ordered = {label: sorted(s, key=rank.__getitem__) for label, s in sets.items()}
-    need = {label: ceil(threshold * len(s) - 1e-9) for label, s in ordered.items()}
-    prefix = {label: s[: len(s) - need[label] + 1] for label, s in ordered.items()}
-    heads = sorted({w for p in prefix.values() for w in p})
+    """For each row of docs (column text): array of (label, share) of every line and template that meet the threshold."""
+    t = _Templates(docs, templates, threshold, counts)
     # Lines that hold a prefix token, whole; no lines of most documents.
-    some = r"(?m)^.*(?<![^\x00-\x2F\x3A-\x60\x7B-\x7F])(?:" + "|".join(heads) + r")(?![^\x00-\x2F\x3A-\x60\x7B-\x7F]).*$"
     lines = F.transform(
-        F.regexp_extract_all(F.translate(F.col("text"), _UPPER, _LOWER), F.lit(some.replace("(?m)", "(?md)")), F.lit(0)),
+        F.regexp_extract_all(F.translate(F.col("text"), _UPPER, _LOWER), F.lit(rf"(?md)^.*{t.head}.*$"), F.lit(0)),
         lambda x: F.array_distinct(F.split(F.trim(F.regexp_replace(x, _NOT_WORD, " ")), " ")),
     )
 
     def share(block: Column, label: str) -> Column:
-        tokens, k = ordered[label], need[label]
-        own = F.array(*map(F.lit, tokens))
-        first = F.array_intersect(F.array(*map(F.lit, prefix[label])), block)
-        # Place, from 1, of the first common token; the tokens from there on must still make up k.
-        position = F.when(F.size(first) > 0, len(tokens) - F.array_position(own, F.get(first, F.lit(0))) + 1 >= k)
-        both = F.size(F.array_intersect(own, block))
-        return F.when((F.size(block) >= k) & position, F.when(both >= k, F.struct(F.lit(NAMES.get(label, label)).alias("label"), (both / len(tokens)).alias("share"))))
+        return F.when(t.passes(block, label), t.held(F.size(F.array_intersect(t.own(label), block)), label))
+
+    return F.filter(F.flatten(F.transform(lines, lambda b: F.array(*(share(b, label) for label in t.ordered)))), lambda x: x.isNotNull())
+
+
+def windows_with_templates(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, counts: dict[str, int] | None = None) -> Column:
+    """For each row of docs (column text): array of (label, share) of every template with a window that meets the threshold, with its best one."""
+    t = _Templates(docs, templates, threshold, counts)
+    low = F.translate(F.col("text"), _UPPER, _LOWER)
+    words = F.split(F.trim(F.regexp_replace(low, _NOT_WORD, " ")), " ")
+    # Arrays of one element bind a value once for all that reads it.
+    texts = F.when(low.rlike(t.head), F.array(words)).otherwise(F.array().cast("array<array<string>>"))
+
+    def best(words: Column, label: str) -> Column:
+        """Most tokens of the template in a window; the best ones begin with a token, and may be cut by the end."""
+        starts = F.filter(F.sequence(F.lit(1), F.size(words)), lambda i: F.array_contains(t.own(label), F.element_at(words, i)))
+        return F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect(t.own(label), F.slice(words, i, F.lit(t.length[label]))))))
+
+    def share(words: Column, distinct: Column, label: str) -> Column:
+        found = t.passes(distinct, label) & (F.size(F.array_intersect(t.own(label), distinct)) >= t.need[label])
+        return F.when(found, F.transform(F.array(best(words, label)), lambda n: t.held(n, label))).otherwise(F.array().cast("array<struct<label:string,share:double>>"))
 
-    return F.filter(F.flatten(F.transform(lines, lambda b: F.array(*(share(b, label) for label in ordered)))), lambda x: x.isNotNull())
+    each = F.transform(texts, lambda w: F.flatten(F.transform(F.array(F.array_distinct(w)), lambda d: F.flatten(F.array(*(share(w, d, label) for label in t.ordered))))))
+    return F.filter(F.flatten(each), lambda x: x.isNotNull())
 
 
 def digest(
@@ -104,7 +144,8 @@ def digest(
 ) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score of every row."""
     plain = common.pick(docs, "doc_id", "text")
-    held = blocks_with_templates(plain, templates, threshold)
+    counts = frequencies(plain, sorted({w for words in templates.values() for w in words.split()}))
+    held = F.concat(blocks_with_templates(plain, templates, threshold, counts), windows_with_templates(plain, templates, threshold, counts))
     spaced = plain.select("doc_id", _spaced(F.coalesce("text", F.lit(""))).alias("s"), F.when(F.col("text").isNotNull(), held).alias("held"))
     any_phrase = "(?<= )(?:" + "|".join(map(_escaped, phrases)) + ")(?= )"
     s = F.col("s")

@@ -189,6 +189,45 @@ def test_license_join_is_exact(spark):
         assert found[i] == sorted(want)
 
 
+NOTICES = {
+    "apache-2": """/*
+ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License.
+ */""",
+    "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are\nmet:\n",
+    "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction""",
+    "mpl-2": "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. */",
+    "": "Permission is hereby granted to any person, free of charge.\nWe have a copy of this\n" + "filler " * 30 + "\nsoftware and associated documentation files obtaining the software",
+}
+
+
+def test_wrapped_licenses(spark):
+    df = spark.createDataFrame([(i, f"some words before\r\n{t}\nand after") for i, t in enumerate(NOTICES.values())], "doc_id long, text string")
+    found = {r["doc_id"]: r for r in license_scan.digest(df).collect()}
+    assert [found[i]["labels"] for i in range(len(NOTICES))] == list(NOTICES)
+    assert [found[i]["score"] for i in range(len(NOTICES))] == [1, 1, 1, 1, 0]
+
+
+def test_license_windows_are_exact(spark):
+    rng = random.Random(8)
+    templates = {"one": "a b c d e f g h i j a", "two": "a b k l m n o p q r s t", "three": "x y z"}
+    vocabulary = "a b c d e f g h i j k l m n o p q r s t u x y z".split()
+    data = [(i, "".join(rng.choice(vocabulary) + rng.choice([" ", "\n", "\n\n", " - "]) for _ in range(rng.randint(0, 90)))) for i in range(150)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    found = {r["doc_id"]: sorted((x["label"], round(x["share"], 9)) for x in r["held"]) for r in df.select("doc_id", license_scan.windows_with_templates(df, templates, 0.6).alias("held")).collect()}
+    for i, text in data:
+        words, want = [w for w in text.split() if w != "-"], []
+        for label, template in templates.items():
+            own, n = set(template.split()), len(template.split())
+            share = max((len(own & set(words[k : k + n])) / len(own) for k in range(len(words))), default=0)
+            if share >= 0.6 - 1e-12:
+                want.append((label, round(share, 9)))
+        assert found[i] == sorted(want)
+    assert sum(map(bool, found.values())) > 20
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_packing_rules(seed):
     rng = random.Random(seed)
