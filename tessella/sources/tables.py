@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,8 +30,8 @@ def check_input(path: str) -> str:
     return suffix
 
 
-def sniff(head: bytes, whole: bool = True) -> tuple[str, str]:
-    """Encoding and separator of the first pair that reads the head as more than one column with rows of one width."""
+def guesses(head: bytes, whole: bool = True) -> Iterator[tuple[str, str]]:
+    """Each encoding and separator that read the head as more than one column with rows of one width."""
     for encoding in ENCODINGS:
         try:
             text = head.decode(encoding) if whole else head.decode(encoding, "ignore" if encoding == "latin1" else "strict")
@@ -46,8 +47,45 @@ def sniff(head: bytes, whole: bool = True) -> tuple[str, str]:
         for separator in SEPARATORS:
             widths = [len(x.split(separator)) for x in (lines if whole else lines[:-1] or lines)]
             if widths and widths[0] > 1 and max(widths) <= widths[0] + sum(x.count('"') for x in lines):
-                return encoding, separator
-    return "utf-8", ","
+                yield encoding, separator
+
+
+def sniff(head: bytes, whole: bool = True) -> tuple[str, str]:
+    """The first of the guesses."""
+    return next(guesses(head, whole), ("utf-8", ","))
+
+
+def _utf16_lines(path: str) -> Iterator[str]:
+    with open(path, encoding="utf-16", newline=None) as f:
+        yield from f
+
+
+def fits(spark: SparkSession, path: str, encoding: str, separator: str | None = None) -> bool:
+    """Whether the whole file decodes in the encoding and, given a separator, no row is wider than the first.
+
+    Text lines come as they are in the file, so UTF-8 is tested in parallel.
+    UTF-16 is streamed once, as it is read by one task later on.
+    """
+    if encoding == "utf-16":
+        first, widest, quotes = 0, 0, 0
+        try:
+            for line in _utf16_lines(path):
+                if line.strip():
+                    width = line.count(separator) + 1 if separator else 1
+                    first, widest, quotes = first or width, max(widest, width), quotes + line.count('"')
+        except UnicodeError:
+            return False
+        return widest <= first + quotes
+    lines = spark.read.text(path)
+    held = F.is_valid_utf8("value") if encoding == "utf-8" else F.lit(True)
+    count = lambda c: F.length(F.regexp_replace("value", f"[^{c}]", ""))
+    filled = lines.where(F.trim("value") != "")
+    width = count("\\" + separator) + 1 if separator else F.lit(1)
+    all_held, widest, quotes = filled.agg(F.bool_and(held), F.max(width), F.sum(count('"'))).first()
+    if all_held is None:
+        return True
+    first = filled.select(width).first()[0] if separator else 1
+    return all_held and widest <= first + quotes
 
 
 def numbered(df: DataFrame, row: str = ROW) -> DataFrame:
@@ -69,10 +107,14 @@ def numbered(df: DataFrame, row: str = ROW) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, row: str = ROW) -> DataFrame:
-    """A CSV as a table with typed columns, its encoding and separator found from the head."""
+    """A CSV as a table with typed columns, its encoding and separator the first ones that hold for the whole file; the head only gives the guesses."""
     size = os.path.getsize(path)
     with open(path, "rb") as f:
-        encoding, separator = sniff(f.read(PROBE), size <= PROBE)
+        head = f.read(PROBE)
+    whole = size <= PROBE
+    found = next((x for x in guesses(head, whole) if whole or fits(spark, path, *x)), None)
+    marked = head[:2] in (b"\xff\xfe", b"\xfe\xff")
+    encoding, separator = found or (next(x for x in ENCODINGS if (marked or x != "utf-16") and fits(spark, path, x)), ",")
     spark_name = {"utf-16": "UTF-16", "utf-8": "UTF-8", "latin1": "ISO-8859-1"}[encoding]
     frame = spark.read.csv(path, sep=separator, encoding=spark_name, header=True, inferSchema=True, multiLine=encoding == "utf-16", enforceSchema=False)
     return numbered(frame, row)

@@ -163,6 +163,29 @@ def test_csv_sniffing(spark, tmp_path, encoding, separator):
     assert [(r["naïve"], r["n"]) for r in found] == [("é", 1), ("b", 2)]
 
 
+@pytest.mark.parametrize(("encoding", "end", "want"), [("latin1", "naïve;é", ("naïve", "é")), ("utf-8", "naïve;é", ("naïve", "é")), ("utf-16", "naïve;é", ("naïve", "é")), ("utf-8", "類別;Ω", ("類別", "Ω"))])
+def test_encoding_holds_for_the_whole_file(spark, tmp_path, encoding, end, want):
+    path = tmp_path / "a.csv"
+    path.write_text("a;b\n" + "plain;text\n" * 9000 + end + "\n", encoding=encoding)
+    assert path.stat().st_size > tables.PROBE
+    found = tables.read_csv(spark, str(path)).orderBy(ROW).collect()
+    assert len(found) == 9001 and (found[-1]["a"], found[-1]["b"]) == want and found[0]["a"] == "plain"
+
+
+def test_separator_holds_for_the_whole_file(spark, tmp_path):
+    path = tmp_path / "a.csv"
+    path.write_text("a,b;c\n" + "1,2;3\n" * 15000 + "1,2,3,4;5\n")
+    assert path.stat().st_size > tables.PROBE
+    assert set(tables.read_csv(spark, str(path)).columns) == {ROW, "a,b", "c"}
+
+
+def test_one_column_in_latin1(spark, tmp_path):
+    for n in (3, 40000):
+        path = tmp_path / f"{n}.csv"
+        path.write_text("a\n" + "x\n" * n + "é\n", encoding="latin1")
+        assert [r["a"] for r in tables.read_csv(spark, str(path)).orderBy(ROW).collect()][-1] == "é"
+
+
 def test_numbered_rows(spark):
     df = tables.numbered(spark.range(0, 1000, 1, 7))
     assert all(r["id"] == r[ROW] for r in df.collect())
