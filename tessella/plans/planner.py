@@ -203,14 +203,15 @@ class RulePlanner:
             return out
         first = names[0]
         text = [s["name"] for s in stats if not s["numeric"]]
+        marker, hit = F.lit(False), F.lit(False)
         if len(names) > 2:
             marker = tidy.is_marker_row(body, first)
+            # marker_rows and total_row_indices are previews; the counts below are of all rows.
             found = body.where(marker).select(ROW, F.col(f"`{first}`").cast("string").alias("v")).orderBy(ROW).limit(SAMPLE_ROWS).collect()
             if found:
                 out |= {"has_section_markers": True, "section_marker_details": {"marker_column": 0, "marker_rows": [r[ROW] for r in found], "marker_values": [r["v"] for r in found], "semantic": "section"}}
         if text:
             labels = [x.lower() for x in tidy.TOTAL_LABELS]
-            hit = F.lit(False)
             for c in text:
                 hit = hit | F.coalesce(F.lower(F.trim(F.col(f"`{c}`").cast("string"))).isin(labels), F.lit(False))
             totals = [r[0] for r in body.where(hit).select(ROW).orderBy(ROW).limit(SAMPLE_ROWS).collect()]
@@ -227,6 +228,7 @@ class RulePlanner:
                         if apart:
                             out["bilingual_details"]["data_relationship"] = "DIFFERENT_DATA_TYPES"
                     break
+        out["marker_row_count"], out["total_row_count"], out["left_out_row_count"] = body.agg(F.count_if(marker), F.count_if(hit), F.count_if(marker | hit)).first()
         return out
 
     def _implicit(self, body: DataFrame, candidates: list[str]) -> dict:
@@ -288,8 +290,11 @@ class RulePlanner:
         n = table.where(F.col(ROW).between(analysis["data_region"]["start_row"], analysis["data_region"]["end_row"])).count()
         formula = "rows of the data region"
         rows = analysis["row_patterns"]
-        n -= len(rows["section_marker_details"].get("marker_rows", [])) if rows["has_section_markers"] else 0
-        n -= len(rows["total_row_indices"])
+        if "left_out_row_count" in rows:
+            n -= rows["left_out_row_count"]
+        else:  # an analysis from elsewhere has lists only
+            n -= len(rows["section_marker_details"].get("marker_rows", [])) if rows["has_section_markers"] else 0
+            n -= len(rows["total_row_indices"])
         if rows["has_bilingual_rows"]:
             n, formula = n // 2, formula + " / 2"
         elif analysis["column_patterns"]["value_columns"]:

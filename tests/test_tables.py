@@ -128,6 +128,26 @@ def test_rule_planner(spark):
     assert result.columns == ["store", "product", "variable", "value"]
 
 
+@pytest.mark.parametrize("sections", [20, 150])
+def test_all_markers_and_totals_are_counted(spark, sections):
+    rows = [r for k in range(sections) for r in ((f"Section {k}", None, None), (f"item {k}", 1, 2), ("Subtotal", 1, 2))]
+    df = numbered(spark, ["a", "n", "m"], [*rows, ("Total", None, None)])
+    planner = pl.RulePlanner()
+    analysis = planner.analyze(df)
+    schema = planner.schema(df, analysis)
+    result = planner.plan(df, analysis, schema).apply(df)
+    assert schema["expected_output"]["row_count_estimate"] == sections == result.count() and validate(result, schema)["is_valid"]
+    assert analysis["row_patterns"]["total_row_count"] == sections + 1 == analysis["row_patterns"]["marker_row_count"]
+
+
+def test_totals_of_many_sections_are_left_out(spark, tmp_path):
+    path = tmp_path / "in.csv"
+    path.write_text("a,n,m\n" + "".join(f"Section {k},,\nitem {k},1,2\nSubtotal,1,2\n" for k in range(150)))
+    result = N.Normalizer(spark, N.Config(output_dir=str(tmp_path / "out"))).normalize(str(path))
+    assert result.validation["is_valid"] and result.table.count() == 150
+    assert result.table.where(F.lower("a") == "subtotal").count() == 0
+
+
 def test_defaults_and_model_planner(spark):
     df = numbered(spark, ["a", "b"], [("x", 1), ("y", 2)])
     assert pl.complete_analysis({"data_region": {"start_row": -3, "end_row": 99}}, 2)["data_region"] == {"start_row": 0, "end_row": 1, "notes": ""}
