@@ -2,19 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _checkpoint(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessella-"))
-    return df.checkpoint()
+from .scratch import free, join_counted, materialize
 
 
 def components(edges: DataFrame, keys: list[str]) -> DataFrame:
@@ -22,21 +13,31 @@ def components(edges: DataFrame, keys: list[str]) -> DataFrame:
 
     Large and small stars by turns: every round is a few aggregations and joins
     on all graphs together, and the number of rounds grows with the logarithm of
-    the longest path, so long thin tables are no special case.
+    the longest path, so long thin tables are no special case. A hub's edges
+    are never brought to one task: its row of the aggregate is broadcast
+    (join_counted). Nothing is collected but one row of counts a round.
     """
     e = edges.where("u <> v").select(*keys, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    e = _checkpoint(e)
-    was = None
-    while True:
-        now = tuple(e.agg(F.count("*"), F.expr("bit_xor(xxhash64(" + ", ".join([*keys, "u", "v"]) + "))")).first())
-        if now == was or not now[0]:
+    e = materialize(e, "edges")
+    at = [*keys, "u"]
+
+    def mark(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count("*"), F.expr(f"bit_xor(xxhash64({', '.join([*at, 'v'])}))")).first())
+
+    was = mark(e)
+    while was[0]:
+        both = e.unionByName(e.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
+        low = materialize(both.groupBy(*at).agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), "least")
+        large = join_counted(both.where("v > u"), low, at).select(*keys, F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = materialize(large, "stars")
+        under = materialize(large.groupBy(*at).agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+        small = join_counted(large, under, at).select(*keys, F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        after = materialize(small.unionByName(under.select(*at, F.col("m").alias("v"))).distinct(), "edges")
+        now = mark(after)
+        free(e, low, large, under)
+        e = after
+        if now == was:
             break
         was = now
-        both = e.unionByName(e.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy(*keys, "u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, [*keys, "u"]).select(*keys, F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy(*keys, "u").agg(F.min("v").alias("m"))
-        small = large.join(low, [*keys, "u"]).select(*keys, F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        e = _checkpoint(small.unionByName(low.select(*keys, "u", F.col("m").alias("v"))).distinct())
     tops = e.select(*keys, F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return e.select(*keys, F.col("u").alias("id"), F.col("v").alias("component")).unionByName(tops)

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: One row for each non-empty or formatted cell. Rows and columns count from 1.
+#: One row for each non-empty or formatted cell. Rows and columns count from 1, sheets of a workbook (sheet_no) from 0.
 CELLS = (
     "file string, sheet string, row int, col int, dtype string, py_type string, v_str string, number_format string, "
-    "bold boolean, h_align string, fill string, has_border boolean, merged_range string, is_merge_start boolean"
+    "bold boolean, h_align string, fill string, has_border boolean, merged_range string, is_merge_start boolean, sheet_no int"
 )
 SHEET = ["file", "sheet"]
 _PY = {"boolean": ("b", "bool"), "tinyint": ("n", "int"), "smallint": ("n", "int"), "int": ("n", "int"), "bigint": ("n", "int"), "float": ("n", "float"), "double": ("n", "float")}
@@ -36,7 +36,7 @@ def cells_from_table(df: DataFrame, row: str, file: str = "", sheet: str = "Shee
         for i, c in enumerate(columns, 1)
     )))
     plain = [F.lit("General").alias("number_format"), F.lit(False).alias("bold"), F.lit(None).cast("string").alias("h_align"), F.lit("none").alias("fill"), F.lit(False).alias("has_border")]
-    merge = [F.lit(None).cast("string").alias("merged_range"), F.lit(False).alias("is_merge_start")]
+    merge = [F.lit(None).cast("string").alias("merged_range"), F.lit(False).alias("is_merge_start"), F.lit(0).alias("sheet_no")]
     where = [F.lit(file).alias("file"), F.lit(sheet).alias("sheet")]
     cells = df.select((F.col(f"`{row}`") + shift).cast("int").alias("row"), body.alias("c")).select(*where, "row", "c.*", *plain, *merge).where("v_str is not null")
     if not header:

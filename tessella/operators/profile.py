@@ -17,7 +17,7 @@ from ..functions import cells as C
 # Fixed values that results depend on.
 NA_WORDS = ["n/a", "na", "not applicable", "不適用", "不适用", "none", "null", ""]
 BOOLEAN_SETS = [
-    ["yes", "no"], ["true", "false"], ["y", "n"], ["t", "f"], ["1", "0"], ["是", "否"], ["有", "沒有", "无"], ["有", "没有"],
+    ["yes", "no"], ["y", "n"], ["true", "false"], ["t", "f"], ["1", "0"], ["是", "否"], ["有", "沒有", "无"], ["有", "没有"],
 ]
 DELIMITERS = [" - ", "-", " / ", "/", " | ", "|", ":", ";", ",", "(", ")"]
 

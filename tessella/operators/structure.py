@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import cells as C
 from . import graph
 from .model import SHEET, extents
+from .scratch import join_counted, materialize
 
 REGION = [*SHEET, "region"]
 #: Columns of one sheet are numbered below this.
@@ -75,8 +76,9 @@ def components(edges: DataFrame, min_size: int = 4) -> DataFrame:
     """row, col, component (its first cell in row order) and size of the vertices of components with min_size cells or more."""
     number = lambda r, c: F.col(r).cast("long") * _WIDE + F.col(c)
     found = graph.components(edges.select(*REGION, number("row", "col").alias("u"), number("to_row", "to_col").alias("v")), REGION)
-    size = Window.partitionBy(*REGION, "component")
-    found = found.withColumn("size", F.count("*").over(size)).where(F.col("size") >= min_size)
+    found = materialize(found, "components")
+    size = materialize(found.groupBy(*REGION, "component").agg(F.count("*").alias("n")).where(F.col("n") >= min_size).withColumn("size", F.col("n")), "sizes")
+    found = join_counted(found, size, [*REGION, "component"])
     return found.select(*REGION, F.expr(f"cast(id div {_WIDE} as int)").alias("row"), F.expr(f"cast(id % {_WIDE} as int)").alias("col"), "component", "size")
 
 
@@ -127,6 +129,18 @@ def kept(anchor: DataFrame, axis: str, k: int) -> DataFrame:
     return expand(anchor, axis, k, f"min_{axis}", f"max_{axis}").select(*REGION, axis)
 
 
+def or_first(kept: dict[str, DataFrame], regions: DataFrame, most: int) -> dict[str, DataFrame]:
+    """kept by axis; a region that has no kept rows or no kept columns gets its first rows and columns, most of each."""
+    full = kept["row"].select(*REGION).distinct().join(kept["col"].select(*REGION).distinct(), REGION, "left_semi")
+    none = regions.join(full, REGION, "left_anti")
+    out = {}
+    for axis, df in kept.items():
+        low, high = F.col(f"min_{axis}"), F.col(f"max_{axis}")
+        first = none.select(*REGION, F.explode(F.sequence(low, F.least(low + most - 1, high))).alias(axis))
+        out[axis] = df.join(full, REGION, "left_semi").unionByName(first)
+    return out
+
+
 def grid(cells: DataFrame, rows: DataFrame, cols: DataFrame) -> DataFrame:
     """Every kept row by every kept column, with the cell there or nulls: empty cells have formats too."""
     full = rows.join(cols, REGION).join(cells, [*SHEET, "row", "col"], "left")

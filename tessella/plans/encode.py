@@ -3,8 +3,10 @@
 "v1" looks at each sheet as one region, finds header rows and columns by a plain
 rule, and copies merged values to all cells they cover. "v2" splits a sheet into
 regions, anchors them at the edges of look-alike cells, and gives a merged value
-its whole range. The relations are built lazily for all sheets together; only
-what goes into the result is collected: anchors, ranges and sizes.
+its whole range. The relations are built for all sheets of all files together,
+each written once to the scratch folder, so plans stay short. encode() collects
+one file's anchors, ranges and sizes into a document; entries() leaves them
+distributed, for any number of files.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from ..functions import ranges as R
 from ..operators import index as I
 from ..operators import structure as S
 from ..operators.model import SHEET, extents
+from ..operators.scratch import materialize, scope
 from ..operators.structure import REGION
 
 
@@ -63,48 +66,51 @@ class Encoding:
     formats: DataFrame
     extents: DataFrame
     options: Options = field(default_factory=Options)
-    #: Relations that are cached until the encoding is done.
-    kept: tuple = ()
 
 
-def _copy_merged(cells: DataFrame) -> DataFrame:
-    """Every cell of a merged range with the value of the range's first cell."""
-    starts = cells.where("is_merge_start and v_str is not null").select(*SHEET, "merged_range", F.col("v_str").alias("m_str"), F.col("row").alias("r0"), F.col("col").alias("c0"))
-    ends = F.split("merged_range", ":")
-    last = C.split_ref(F.element_at(ends, -1))
-    covered = starts.select(*SHEET, "m_str", F.explode(F.sequence("r0", last["row"])).alias("row"), "c0", C.column_number(last["letters"]).alias("c1"))
-    return covered.select(*SHEET, "row", F.explode(F.sequence("c0", "c1")).alias("col"), "m_str")
+def _copy_merged(cells: DataFrame, full: DataFrame) -> DataFrame:
+    """Kept cells that lie in a merged range, with the value of the range's first cell; ranges are matched, not unrolled."""
+    starts = cells.where("is_merge_start and v_str is not null").select(*SHEET, F.col("v_str").alias("m_str"), F.col("row").alias("r0"), F.col("col").alias("c0"), F.split("merged_range", ":").alias("ends"))
+    last = C.split_ref(F.element_at("ends", -1))
+    ranges = starts.select(*SHEET, "m_str", "r0", "c0", last["row"].alias("r1"), C.column_number(last["letters"]).alias("c1"))
+    return S.merged_lookup(full.select(*SHEET, "row", "col").distinct(), ranges).select(*SHEET, "row", "col", "m_str")
 
 
 def build(cells: DataFrame, options: Options = Options()) -> Encoding:
-    """The relations of the encoding of every sheet in cells."""
-    size = extents(cells).cache()
+    """The relations of the encoding of every sheet in cells. They are scratch tables; see scratch.scope()."""
+    size = materialize(extents(cells), "extents")
     cells = cells.join(size.select(*SHEET), SHEET, "left_semi")
-    kept = {}
     if options.profile == "v1":
         regions = S.full_regions(cells)
         anchor = {axis: S.header_anchors(cells, axis, options.k) for axis in ("row", "col")}
-        kept = {axis: anchor[axis].select(*REGION, axis) for axis in anchor}
         drop = S.drop_uniform_lines
     else:
-        regions = (S.table_regions(cells, options.min_cells) if options.detect_subtables else S.full_regions(cells)).select(*REGION, "min_row", "max_row", "min_col", "max_col").cache()
-        parts = S.components(S.similar_edges(S.in_regions(cells, regions)))
+        regions = S.table_regions(cells, options.min_cells) if options.detect_subtables else S.full_regions(cells)
+        regions = materialize(regions.select(*REGION, "min_row", "max_row", "min_col", "max_col"), "regions")
+        parts = materialize(S.components(S.similar_edges(S.in_regions(cells, regions))), "parts")
         anchor = {axis: S.anchors(cells, regions, axis, options.k, parts) for axis in ("row", "col")}
-        kept = {axis: S.kept(anchor[axis], axis, options.k) for axis in anchor}
         drop = S.drop_blank_lines
-    before = S.grid(cells, kept["row"], kept["col"])
-    before = before.cache()
-    full = S.grid(cells, drop(before, "row"), drop(before, "col")).cache()
+    anchor = {axis: materialize(df, "anchors") for axis, df in anchor.items()}
     if options.profile == "v1":
-        full = full.join(_copy_merged(cells), [*SHEET, "row", "col"], "left")
-        shown = full.withColumn("v_str", F.coalesce("m_str", "v_str"))
-        index = I.inverted_index(shown, longest=None, skip_blank=False)
+        kept = {axis: df.select(*REGION, axis) for axis, df in anchor.items()}
     else:
-        index = I.inverted_index(full, longest=options.longest_value)
-    formats = I.format_map(full, copy_merged=options.profile == "v1").cache()
-    index = I.index_ranges(index).cache()
-    kept_until = (before, full, formats, index, size, *([regions] if options.profile != "v1" else []))
-    return Encoding(regions, anchor["row"], anchor["col"], full, index, formats, size, options, kept_until)
+        kept = S.or_first({axis: S.kept(df, axis, options.k) for axis, df in anchor.items()}, regions, options.fallback)
+    before = materialize(S.grid(cells, kept["row"], kept["col"]), "before")
+    full = S.grid(cells, drop(before, "row"), drop(before, "col"))
+    if options.profile == "v1":
+        full = materialize(full, "full")
+        full = full.join(_copy_merged(cells, full), [*SHEET, "row", "col"], "left")
+    full = materialize(full, "full")
+    index = I.index_ranges(_index(full, options))
+    formats = materialize(I.format_map(full, copy_merged=options.profile == "v1"), "formats")
+    return Encoding(regions, anchor["row"], anchor["col"], full, materialize(index, "index"), formats, size, options)
+
+
+def _index(full: DataFrame, options: Options) -> DataFrame:
+    """The inverted index; v1 takes values as they are, blanks and copies in merged ranges included."""
+    if options.profile == "v1":
+        return I.inverted_index(full.withColumn("v_str", F.coalesce("m_str", "v_str")), longest=None, skip_blank=False)
+    return I.inverted_index(full, longest=options.longest_value)
 
 
 def _numeric(e: Encoding, cells: DataFrame) -> DataFrame:
@@ -120,29 +126,45 @@ def _numeric(e: Encoding, cells: DataFrame) -> DataFrame:
     return I.format_rectangles(numeric.unionByName(rest), e.extents)
 
 
+def entries(e: Encoding, cells: DataFrame) -> DataFrame:
+    """The encodings of all files and sheets as rows: file, sheet, region, part (cells, formats or numeric_ranges), name and ranges."""
+    name = F.to_json(F.struct(F.col("nf").alias("nfs"), F.col("semantic").alias("type")))
+    of = lambda df, part, name: df.select(*REGION, F.lit(part).alias("part"), name.alias("name"), "ranges")
+    values = of(e.index, "cells", F.col("value"))
+    formats = of(I.format_rectangles(e.formats, e.extents), "formats", name)
+    return values.unionByName(formats).unionByName(of(_numeric(e, cells), "numeric_ranges", name))
+
+
 def encode(cells: DataFrame, options: Options = Options(), file_name: str | None = None) -> dict:
-    """The encoding of one file's sheets as a dict, with sizes and ratios."""
-    cells = cells.cache()
-    e = build(cells, options)
-    try:
-        return _encode(e, cells, options, file_name)
-    finally:
-        for df in (*e.kept, cells):
-            df.unpersist()
+    """The encoding of one file's sheets as a dict, with sizes and ratios; sheets in the order of the workbook."""
+    with scope():
+        cells = materialize(cells, "cells")
+        files = [r[0] for r in cells.select("file").distinct().limit(2).collect()]
+        if len(files) > 1:
+            raise ValueError("cells of more than one file: use encode_files()")
+        return _encode(build(cells, options), cells, options, file_name)
+
+
+def encode_files(cells: DataFrame, options: Options = Options()) -> dict[str, dict]:
+    """encode() of each file, by its name; for many files take entries()."""
+    with scope():
+        cells = materialize(cells, "cells")
+        names = sorted(r[0] for r in cells.select("file").distinct().collect())
+        return {name: encode(cells.where(F.col("file") == name), options, name) for name in names}
 
 
 def _encode(e: Encoding, cells: DataFrame, options: Options, file_name: str | None) -> dict:
     v1 = options.profile == "v1"
     longest = None if v1 else options.longest_value
     key = lambda r: (r["sheet"], r["region"])
+    sheet_no = {r["sheet"]: r["no"] for r in cells.groupBy("sheet").agg(F.min("sheet_no").alias("no")).collect()}
     original = {r["sheet"]: r["size"] for r in cells_size(cells, SHEET, longest, not v1).collect()}
     anchored = {key(r): r["size"] for r in cells_size(e.full, REGION, longest, not v1).collect()}
     refs = F.concat(F.transform("cells", lambda c: C.cell_ref(c["row"], c["col"])), F.coalesce("merged.merged_range", F.array().cast("array<string>")))
-    if v1:
-        sized_index = I.inverted_index(e.full.withColumn("v_str", F.coalesce("m_str", "v_str")), longest=None, skip_blank=False)
-    else:
-        sized_index = e.index
-    per_value = sized_index.withColumn("refs", refs).groupBy(*REGION).agg(C.json_object_size(F.count("*"), F.sum(C.json_quoted_size(F.col("value")) + _strings_size(F.col("refs")))).alias("size"))
+    sized_index = _index(e.full, options) if v1 else e.index
+    per_value = sized_index.withColumn("refs", refs).groupBy(*REGION).agg(
+        C.json_object_size(F.count("*"), F.sum(C.json_quoted_size(F.col("value")) + _strings_size(F.col("refs")))).alias("size")
+    )
     indexed = {key(r): r["size"] for r in per_value.collect()}
 
     def gathered(df: DataFrame, name, order) -> dict:
@@ -163,7 +185,7 @@ def _encode(e: Encoding, cells: DataFrame, options: Options, file_name: str | No
 
     sheets: dict = {}
     metrics: dict = {}
-    for r in sorted(e.regions.collect(), key=lambda r: (r["sheet"], r["region"])):
+    for r in sorted(e.regions.collect(), key=lambda r: (sheet_no[r["sheet"]] or 0, r["sheet"], r["region"])):
         at, sheet = key(r), r["sheet"]
         found = anchors.get(at, {"row": [], "col": []})
         encoding = {} if v1 else {"region": {x: r[x] for x in ("min_row", "max_row", "min_col", "max_col")}}
@@ -173,6 +195,7 @@ def _encode(e: Encoding, cells: DataFrame, options: Options, file_name: str | No
             "formats": formats.get(at, {}),
             "numeric_ranges": numeric.get(at, {}),
         }
+        # The names of the sizes and ratios.
         sizes = {
             "original_tokens": original.get(sheet, 2),
             "after_anchor_tokens": anchored.get(at, 2),

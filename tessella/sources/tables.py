@@ -20,16 +20,38 @@ SEPARATORS = ["\t", ",", ";", "|"]
 PROBE = 65_536
 
 
-def check_input(path: str) -> str:
-    """The suffix, .csv or .xlsx; errors for others and for missing files."""
+def _stored(spark: SparkSession, path: str):  # noqa: ANN202
+    """File system and path of a file in any store that the session reads."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def check_input(path: str, spark: SparkSession | None = None) -> str:
+    """The suffix, .csv or .xlsx; errors for others and for missing files. Without a session, local files only."""
     suffix = Path(path).suffix.lower()
     if suffix not in (".csv", ".xlsx"):
         raise ValueError(f"{path}: neither .csv nor .xlsx")
-    if not os.path.exists(path):
+    if spark is None:
+        there = os.path.exists(path)
+    else:
+        store, at = _stored(spark, path)
+        there = store.exists(at)
+    if not there:
         raise FileNotFoundError(path)
     return suffix
 
 
+def read_head(spark: SparkSession, path: str, size: int = PROBE) -> tuple[bytes, bool]:
+    """The first bytes of a file in any store, and whether they are all of it."""
+    store, at = _stored(spark, path)
+    stream = store.open(at)
+    try:
+        head = bytes(stream.readNBytes(size + 1))
+    finally:
+        stream.close()
+    return head[:size], len(head) <= size
+
+
 def guesses(head: bytes, whole: bool = True) -> Iterator[tuple[str, str]]:
     """Each encoding and separator that read the head as more than one column with rows of one width."""
     for encoding in ENCODINGS:
@@ -55,27 +77,39 @@ def sniff(head: bytes, whole: bool = True) -> tuple[str, str]:
     return next(guesses(head, whole), ("utf-8", ","))
 
 
-def _utf16_lines(path: str) -> Iterator[str]:
-    with open(path, encoding="utf-16", newline=None) as f:
-        yield from f
+def _utf16_widths(separator: str | None):  # noqa: ANN202
+    """Whether a file's bytes decode, the width of the first row and the widest, and the number of quotes."""
+
+    def widths(batches):  # noqa: ANN001, ANN202
+        import io
+
+        import pandas as pd
+
+        for batch in batches:
+            for content in batch["content"]:
+                held, first, widest, quotes = True, 0, 0, 0
+                try:
+                    for line in io.TextIOWrapper(io.BytesIO(content), encoding="utf-16", newline=None):
+                        if line.strip():
+                            width = line.count(separator) + 1 if separator else 1
+                            first, widest, quotes = first or width, max(widest, width), quotes + line.count('"')
+                except UnicodeError:
+                    held = False
+                yield pd.DataFrame({"held": [held], "first": [first], "widest": [widest], "quotes": [quotes]})
+
+    return widths
 
 
 def fits(spark: SparkSession, path: str, encoding: str, separator: str | None = None) -> bool:
     """Whether the whole file decodes in the encoding and, given a separator, no row is wider than the first.
 
     Text lines come as they are in the file, so UTF-8 is tested in parallel.
-    UTF-16 is streamed once, as it is read by one task later on.
+    A UTF-16 file is read by one task, here as later on.
     """
     if encoding == "utf-16":
-        first, widest, quotes = 0, 0, 0
-        try:
-            for line in _utf16_lines(path):
-                if line.strip():
-                    width = line.count(separator) + 1 if separator else 1
-                    first, widest, quotes = first or width, max(widest, width), quotes + line.count('"')
-        except UnicodeError:
-            return False
-        return widest <= first + quotes
+        content = spark.read.format("binaryFile").load(path).select("content")
+        found = content.mapInPandas(_utf16_widths(separator), "held boolean, first long, widest long, quotes long").first()
+        return found["held"] and found["widest"] <= found["first"] + found["quotes"]
     lines = spark.read.text(path)
     held = F.is_valid_utf8("value") if encoding == "utf-8" else F.lit(True)
     count = lambda c: F.length(F.regexp_replace("value", f"[^{c}]", ""))
@@ -108,10 +142,7 @@ def numbered(df: DataFrame, row: str = ROW) -> DataFrame:
 
 def read_csv(spark: SparkSession, path: str, row: str = ROW) -> DataFrame:
     """A CSV as a table with typed columns, its encoding and separator the first ones that hold for the whole file; the head only gives the guesses."""
-    size = os.path.getsize(path)
-    with open(path, "rb") as f:
-        head = f.read(PROBE)
-    whole = size <= PROBE
+    head, whole = read_head(spark, path)
     found = next((x for x in guesses(head, whole) if whole or fits(spark, path, *x)), None)
     marked = head[:2] in (b"\xff\xfe", b"\xfe\xff")
     encoding, separator = found or (next(x for x in ENCODINGS if (marked or x != "utf-16") and fits(spark, path, x)), ",")
@@ -121,12 +152,27 @@ def read_csv(spark: SparkSession, path: str, row: str = ROW) -> DataFrame:
 
 
 def read_cells(spark: SparkSession, path: str, data_only: bool = True) -> DataFrame:
-    """Cells of a workbook, or of a CSV with its header as row 1."""
-    if check_input(path) == ".csv":
+    """Cells of a workbook, of a folder of workbooks, or of a CSV with its header as row 1.
+
+    Local workbooks are read sheet by sheet in parallel; those in another store file by file.
+    """
+    folder = not path.lower().endswith((".csv", ".xlsx")) and _is_folder(spark, path)
+    if not folder and check_input(path, spark) == ".csv":
         table = read_csv(spark, path)
-        return cells_from_table(table.withColumn(ROW, F.col(ROW) + 1), ROW, file=os.path.basename(path))
-    spark.dataSource.register(xlsx.XlsxCells)
-    return spark.read.format(xlsx.NAME).option("data_only", data_only).schema(CELLS).load(path)
+        return cells_from_table(table.withColumn(ROW, F.col(ROW) + 1), ROW, file=path)
+    local = "://" not in path or path.startswith("file://")
+    if local:
+        spark.dataSource.register(xlsx.XlsxCells)
+        return spark.read.format(xlsx.NAME).option("data_only", data_only).schema(CELLS).load(path)
+    files = spark.read.format("binaryFile")
+    if folder:
+        files = files.option("pathGlobFilter", "*.xlsx").option("recursiveFileLookup", "true")
+    return xlsx.cells_of_binary_files(files.load(path), data_only)
+
+
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    store, at = _stored(spark, path)
+    return store.exists(at) and store.getFileStatus(at).isDirectory()
 
 
 def table_from_cells(cells: DataFrame, sheet: str | None = None) -> DataFrame:
@@ -156,13 +202,10 @@ def table_from_cells(cells: DataFrame, sheet: str | None = None) -> DataFrame:
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """A CSV, or the first sheet of a workbook, as a table with numbered rows."""
-    if check_input(path) == ".csv":
+    if check_input(path, spark) == ".csv":
         return read_csv(spark, path)
-    import zipfile
-
-    with zipfile.ZipFile(path) as book:
-        first = xlsx.sheets(book)[0][0]
-    return table_from_cells(read_cells(spark, path), first)
+    cells = read_cells(spark, path)
+    return table_from_cells(cells.where("sheet_no = 0"))
 
 
 def write_json(path: str, value: object) -> None:

@@ -27,7 +27,7 @@ from ..functions.ranges import letters, number
 NAME = "tessella_xlsx"
 SCHEMA = (
     "file string, sheet string, row int, col int, dtype string, py_type string, v_str string, number_format string, "
-    "bold boolean, h_align string, fill string, has_border boolean, merged_range string, is_merge_start boolean"
+    "bold boolean, h_align string, fill string, has_border boolean, merged_range string, is_merge_start boolean, sheet_no int"
 )
 _REF = re.compile(r"([A-Za-z]+)(\d+)")
 # Number formats that workbooks name by number only.
@@ -125,7 +125,16 @@ def _is_date(number_format: str) -> bool:
     return number_format != "General" and any(c in "dmhysDMHYS" for c in _DATE.sub("", number_format))
 
 
-def _value(kind: str, text: str | None, strings: list[str], number_format: str) -> tuple[str, str, str] | None:
+#: Day 0 of the two date systems of workbooks.
+DAY_ZERO = {False: datetime.datetime(1899, 12, 30), True: datetime.datetime(1904, 1, 1)}
+
+
+def counts_from_1904(book: zipfile.ZipFile) -> bool:
+    settings = _one(ET.fromstring(book.read("xl/workbook.xml")), "workbookPr")
+    return settings is not None and settings.get("date1904", "0") in ("1", "true")
+
+
+def _value(kind: str, text: str | None, strings: list[str], number_format: str, zero: datetime.datetime) -> tuple[str, str, str] | None:
     """dtype, py_type and text of a stored value; the text is what Python's str() makes of it."""
     if text is None:
         return None
@@ -139,7 +148,7 @@ def _value(kind: str, text: str | None, strings: list[str], number_format: str)
         return "e", "str", text
     x = float(text)
     if _is_date(number_format):
-        day = datetime.datetime(1899, 12, 30) + datetime.timedelta(days=x)
+        day = zero + datetime.timedelta(days=x)
         day = (day + datetime.timedelta(microseconds=500)).replace(microsecond=day.microsecond // 1000 * 1000)
         return "d", "datetime", str(day)
     if re.fullmatch(r"-?\d+", text.strip()):
@@ -147,21 +156,43 @@ def _value(kind: str, text: str | None, strings: list[str], number_format: str)
     return "n", "float", str(x)
 
 
-def cells(data: bytes, file: str, sheet: str, part: str, data_only: bool = True) -> Iterator[tuple]:
+class _Merged:
+    """Merged ranges of a sheet, looked up for cells in row order; a range is kept as its corners, whatever its size."""
+
+    def __init__(self, refs: list[str]) -> None:
+        self.waiting = []
+        for ref in refs:
+            (c0, r0), (c1, r1) = (_REF.match(p).groups() for p in (ref.split(":") * 2)[:2])
+            self.waiting.append((int(r0), int(r1), number(c0), number(c1), ref))
+        self.waiting.sort(reverse=True)
+        self.open: list[tuple] = []
+        self.row = 0
+
+    def of(self, row: int, col: int) -> tuple[str | None, bool]:
+        """The range that the cell lies in, and whether it is its first cell."""
+        if row != self.row:
+            self.row = row
+            self.open = [x for x in self.open if x[1] >= row]
+            while self.waiting and self.waiting[-1][0] <= row:
+                self.open.append(self.waiting.pop())
+        for r0, r1, c0, c1, ref in self.open:
+            if r0 <= row <= r1 and c0 <= col <= c1:
+                return ref, (row, col) == (r0, c0)
+        return None, False
+
+
+def cells(data: bytes, file: str, sheet: str, part: str, data_only: bool = True, sheet_no: int = 0) -> Iterator[tuple]:
     """Rows of the cell relation of one sheet."""
     book = zipfile.ZipFile(io.BytesIO(data))
-    styles, strings = _styles(book), _strings(book)
-    merged = []
+    styles, strings, zero = _styles(book), _strings(book), DAY_ZERO[counts_from_1904(book)]
+    refs = []
     with book.open(part) as f:
         for _, x in ET.iterparse(f):  # merged ranges stand after the cells
             if _tag(x) == "mergeCell":
-                merged.append(x.get("ref"))
-            elif _tag(x) in ("row", "c"):
-                x.clear() if _tag(x) == "row" else None
-    covering = {}
-    for ref in merged:
-        (c0, r0), (c1, r1) = (_REF.match(p).groups() for p in (ref.split(":") * 2)[:2])
-        covering |= {(r, c): (ref, (r, c) == (int(r0), number(c0))) for r in range(int(r0), int(r1) + 1) for c in range(number(c0), number(c1) + 1)}
+                refs.append(x.get("ref"))
+            elif _tag(x) == "row":
+                x.clear()
+    merged = _Merged(refs)
     row = 0
     with book.open(part) as f:
         for event, x in ET.iterparse(f, events=("start", "end")):
@@ -178,11 +209,12 @@ def cells(data: bytes, file: str, sheet: str, part: str, data_only: bool = True)
                 if formula is not None and not data_only:
                     value = ("f", "str", "=" + (formula.text or ""))
                 else:
-                    value = _value(x.get("t", "n"), text, strings, style.number_format)
-                merge, first = covering.get((row, col), (None, False))
+                    value = _value(x.get("t", "n"), text, strings, style.number_format, zero)
+                merge, first = merged.of(row, col)
                 if value is not None or style != Style() or merge:
                     dtype, py_type, v_str = value or ("n", None, None)
-                    yield (file, sheet, row, col, dtype, py_type, v_str, style.number_format, style.bold, style.h_align, style.fill, style.has_border, merge, first)
+                    look = (style.number_format, style.bold, style.h_align, style.fill, style.has_border)
+                    yield (file, sheet, row, col, dtype, py_type, v_str, *look, merge, first, sheet_no)
 
 
 def find(path: str) -> list[str]:
@@ -200,8 +232,8 @@ def find(path: str) -> list[str]:
 
 
 class _Sheet(InputPartition):
-    def __init__(self, path: str, name: str, part: str) -> None:
-        self.path, self.name, self.part = path, name, part
+    def __init__(self, path: str, name: str, part: str, number: int) -> None:
+        self.path, self.name, self.part, self.number = path, name, part, number
 
 
 class _Reader(DataSourceReader):
@@ -213,12 +245,12 @@ class _Reader(DataSourceReader):
         out = []
         for path in find(self.path):
             with zipfile.ZipFile(path) as book:
-                out += [_Sheet(path, name, part) for name, part in sheets(book)]
+                out += [_Sheet(path, name, part, i) for i, (name, part) in enumerate(sheets(book))]
         return out
 
     def read(self, partition: _Sheet) -> Iterator[tuple]:
         with open(partition.path, "rb") as f:
-            yield from cells(f.read(), os.path.basename(partition.path), partition.name, partition.part, self.data_only)
+            yield from cells(f.read(), partition.path, partition.name, partition.part, self.data_only, partition.number)
 
 
 class XlsxCells(DataSource):
@@ -244,9 +276,9 @@ def cells_of_binary_files(files, data_only: bool = True):  # noqa: ANN001, ANN20
             for path, content in zip(batch["path"], batch["content"]):
                 with zipfile.ZipFile(io.BytesIO(content)) as book:
                     parts = sheets(book)
-                for name, part in parts:
+                for i, (name, part) in enumerate(parts):
                     rows: list = []
-                    for cell in cells(content, path.rpartition("/")[2], name, part, data_only):
+                    for cell in cells(content, path, name, part, data_only, i):
                         rows.append(cell)
                         if len(rows) == 50_000:
                             yield pd.DataFrame(rows, columns=names)

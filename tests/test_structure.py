@@ -22,7 +22,7 @@ def sheet(spark, grid: dict, name: str = "S", **styles):
         py = type(v).__name__ if v is not None else None
         dtype = {"str": "s", "bool": "b"}.get(py, "n")
         look = {"number_format": "General", "bold": False, "h_align": None, "fill": "none", "has_border": False, "merged_range": None, "is_merge_start": False} | styles.get("styles", {}).get((r, c), {})
-        rows.append(("f", name, r, c, dtype, py, None if v is None else str(v), *look.values()))
+        rows.append(("f", name, r, c, dtype, py, None if v is None else str(v), *look.values(), styles.get("sheet_no", 0)))
     return spark.createDataFrame(rows, CELLS)
 
 
