@@ -84,8 +84,8 @@ def _drop_all() -> None:
         _drop(path)
 
 
-def join_counted(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
-    """rows joined with table, which has one row for each key and in n how many rows hold it.
+def join_counted(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """rows joined with table, which has one row for each key and in n how many rows hold it. how: inner or left.
 
     table is a materialised one. Keys with more than one in HOT of all rows,
     fewer than HOT by that, are broadcast, so a task never gets all rows of a
@@ -94,4 +94,4 @@ def join_counted(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFram
     total = table.agg(F.sum("n")).first()[0] or 0
     hot, rest = table.where(F.col("n") * HOT > total).drop("n"), table.where(F.col("n") * HOT <= total).drop("n")
     few = F.broadcast(hot.select(*keys))
-    return rows.join(F.broadcast(hot), keys).unionByName(rows.join(few, keys, "left_anti").join(rest, keys))
+    return rows.join(F.broadcast(hot), keys).unionByName(rows.join(few, keys, "left_anti").join(rest, keys, how))
