@@ -1,59 +1,18 @@
-"""What the operators of this subpackage share: scratch tables, fixed-size row filters, components."""
+"""What the operators of this subpackage share: scratch tables, row filters of a checked size, components."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Stands for a null document id wherever ids are ordered: null ranks last.
-NO_ID = 2**63 - 1
-
-_OWN_DIR: dict[str, str] = {}
-_MADE: list[tuple[SparkSession, str]] = []
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); a folder of our own only where that is unset."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return _OWN_DIR.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="tessella-"))
-
-
-def _drop(spark: SparkSession, path: str) -> None:
-    try:
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-    except Exception:  # noqa: BLE001  the session may have ended; the folder is scratch
-        pass
-
-
-@atexit.register
-def _drop_all() -> None:
-    for spark, path in _MADE:
-        if spark.sparkContext._jsc is not None:
-            _drop(spark, path)
+from ..operators import graph
+from ..operators.scratch import free, join_counted, materialize, new_path, scope, scratch_dir
 
+__all__ = ["NO_ID", "Forest", "components", "free", "index_of", "join_counted", "materialize", "maybe_among", "new_path", "pick", "scope", "scratch_dir"]
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df once as Parquet in the shared scratch folder and reads it back.
-
-    Cuts the lineage in a form that survives a lost executor, and gives the
-    planner the true size, so that joins are broadcast only below the
-    session's threshold.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/tessella/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _MADE.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+#: Stands for a null document id wherever ids are ordered: null ranks last.
+NO_ID = 2**63 - 1
 
 
 def index_of(df: DataFrame, name: str) -> int:
@@ -70,61 +29,35 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return plain.select(*(F.col(f"_{index_of(df, name)}").alias(name) for name in names))
 
 
-FILTER_BITS = 2**23
-
-
-def _filter_bit(*keys: str) -> Column:
-    return F.pmod(F.xxhash64(*keys), F.lit(FILTER_BITS))
+#: Bits of a row filter for each key, and its largest size: 2 ** 28 bits are 32 MB.
+BITS_PER_KEY, LEAST_BITS, MOST_BITS = 16, 2**16, 2**28
 
 
 def maybe_among(rows: DataFrame, keys: DataFrame, *names: str) -> DataFrame:
     """rows with a column maybe: false only where the row's key is surely not in keys.
 
-    The keys become a bitmap of at most FILTER_BITS bits (1 MB, whatever the
-    number of keys), so the broadcast has a proven size. Too many keys only
-    make the filter let more rows pass; what follows decides exactly.
+    keys is a written table, so counting it is cheap. Its bitmap has 16 to 32
+    bits for each key, so that about one other row in twenty passes, and at most
+    MOST_BITS (32 MB), so the broadcast has a proven size. Beyond 2 ** 24 keys
+    the filter lets more rows pass; what follows decides exactly, so that costs
+    a shuffle of more rows and nothing else.
     """
-    bit = keys.select(_filter_bit(*names).alias("_bit"))
-    bitmap = (
-        bit.groupBy(F.bitmap_bucket_number("_bit").alias("_bucket"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("_bit")).alias("_map"))
-    )
-    flagged = rows.withColumn("_bit", _filter_bit(*names)).withColumn("_bucket", F.bitmap_bucket_number("_bit"))
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_PER_KEY * max(1, keys.count()) - 1).bit_length()))
+
+    def bit() -> Column:
+        return F.pmod(F.xxhash64(*names), F.lit(bits))
+
+    bitmap = keys.select(bit().alias("_bit")).groupBy(F.bitmap_bucket_number("_bit").alias("_bucket"))
+    bitmap = bitmap.agg(F.bitmap_construct_agg(F.bitmap_bit_position("_bit")).alias("_map"))
+    flagged = rows.withColumn("_bit", bit()).withColumn("_bucket", F.bitmap_bucket_number("_bit"))
     byte = F.expr("conv(hex(substring(_map, cast(bitmap_bit_position(_bit) div 8 + 1 as int), 1)), 16, 10)").cast("int")
     hit = F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, cast(bitmap_bit_position(_bit) % 8 as int))")) != 0, F.lit(False))
     return flagged.join(F.broadcast(bitmap), "_bucket", "left").withColumn("maybe", hit).drop("_bit", "_bucket", "_map")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, component) of every vertex of edges (u, v): component is the smallest id that links reach.
-
-    Alternating large and small stars. Each round is a few pre-aggregated
-    shuffles and is written to the scratch folder; nothing is collected but
-    one row of counts. A hub's edges meet in joins only, which are split
-    where they are skewed.
-    """
-    e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    e = materialize(e, "edges")
-
-    def mark(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first())
-
-    was = mark(e)
-    while was[0]:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialize(large, "stars")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        e = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        now = mark(e)
-        if now == was:
-            break
-        was = now
-    return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
-        e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-    )
+    """(id, component) of every vertex of edges (u, v): component is the smallest id that links reach."""
+    return graph.components(edges, [])
 
 
 class Forest:

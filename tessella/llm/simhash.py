@@ -7,11 +7,12 @@ links them. A pair at distance two or less meets where both flip at most one
 bit. A pair at distance three has one fingerprint of even and one of odd
 parity, and two of the three bits lie in the same half of the word: the odd
 one flips those two, the even one the third. So even fingerprints emit 65
-variants and odd ones 65 + 992. Whatever meets is within the radius by
-construction: all that reach a variant by at most one flip are within two of
-each other, those that reach it by two within three of these. So each variant
-needs a star, not all pairs, and a large group of near copies costs no more
-than any other rows.
+variants and odd ones 65 + 992. What meets in a variant is within the radius:
+all that reach a variant by at most one flip are within two of each other, those
+that reach it by two within three of these. So each variant needs a star around
+one that reaches it by at most one flip, not all pairs, and a large group of near
+copies costs no more than any other rows. Pairs are deduplicated, and each is
+verified by the bits that its two fingerprints differ in.
 
 The shuffle deals variants by their top bits. A fingerprint is sent once to
 each such prefix that its ball touches, and its variants are expanded there, so
@@ -19,8 +20,11 @@ the shuffle holds a few rows a fingerprint instead of a thousand. Each prefix
 returns a spanning forest of what met there.
 
 Defined results: null and empty texts, and texts of white space only, have the
-fingerprint zero and link like any other. Repeated ids and rows are allowed. A
-null id never becomes a component's id unless the component has no other.
+fingerprint zero and link like any other. Texts of any length are shingled whole,
+by parts of 65,536 hashes. Repeated ids and rows are allowed, and rows alike get
+equal results. A null id never becomes a component's id unless the component has
+no other. Of columns only doc_id and text count, by their exact names. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,6 +42,7 @@ from pyspark.sql import functions as F
 from . import common
 
 SEED = 42
+RADIUS = 3
 HALVES = (range(32), range(32, 64))
 #: Variants that one prefix is meant to hold; twice the prefixes from twice the rows.
 VARIANTS_PER_PREFIX = 4_000_000
@@ -80,6 +85,11 @@ def _odd(x: np.ndarray) -> np.ndarray:
     return (x & np.uint64(1)).astype(bool)
 
 
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many bits the fingerprints of two arrays differ."""
+    return np.unpackbits((x ^ y).view(np.uint8).reshape(-1, 8), axis=1).sum(1)
+
+
 def _reach(q: int) -> tuple[list[int], list[int]]:
     """What a ball's prefixes differ in from the fingerprint's own, for even and for odd ones."""
     near = [0, *(1 << i for i in range(q))]
@@ -140,6 +150,7 @@ def _meet(fps: np.ndarray, prefix: int, q: int) -> np.ndarray:
     look(fps[twice] ^ crossing[twice], twice)
 
     pairs = np.unique(np.concatenate(pairs), axis=0)
+    pairs = pairs[_apart(fps[pairs[:, 0]], fps[pairs[:, 1]]) <= RADIUS]
     forest = common.Forest(len(fps))
     forest.join(pairs[pairs[:, 0] != pairs[:, 1]])
     return forest.roots()
@@ -162,11 +173,14 @@ def links(fps: DataFrame, n: int) -> DataFrame:
 def classes(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """(doc_id, fp, component_id) of every row."""
     fps = common.materialize(fingerprints(docs, shingle), "fingerprints")
-    distinct = common.materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
+    distinct = common.materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "fingerprints")
     joined = common.components(links(distinct, distinct.count()))
-    roots = distinct.join(joined, distinct.fp == joined.id, "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
-    named = roots.join(roots.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return fps.join(common.materialize(named, "classes"), "fp").select("doc_id", "fp", "component_id")
+    # Copies of one text, and near copies of one component, may be a large part of all rows.
+    roots = distinct.join(joined, distinct.fp == joined.id, "left").select("fp", "least", "n", F.coalesce("component", "fp").alias("root"))
+    roots = common.materialize(roots.withColumnRenamed("n", "rows"), "roots")
+    names = common.materialize(roots.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "names")
+    named = common.join_counted(roots, names, ["root"]).select("fp", F.col("rows").alias("n"), "component_id")
+    return common.join_counted(fps, common.materialize(named, "classes"), ["fp"]).select("doc_id", "fp", "component_id")
 
 
 def deduplicate(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -181,10 +195,10 @@ def deduplicate(docs: DataFrame, shingle: int = 3) -> DataFrame:
     doc_id, text = (F.col(f"_{common.index_of(docs, x)}") for x in ("doc_id", "text"))
     ids = classes(docs, shingle).where("doc_id is not null").groupBy(F.col("doc_id").alias("_id"))
     ids = ids.agg(F.count("*").alias("_n"), F.bool_or(F.col("doc_id") == F.col("component_id")).alias("_stays"))
-    special = common.materialize(ids.where("_n > 1 or not _stays"), "special")
+    special = common.materialize(ids.where("_n > 1 or not _stays").withColumn("n", F.col("_n")), "special")
     flagged = common.maybe_among(plain.withColumn("_id", doc_id), special, "_id")
     names = plain.columns
-    held = flagged.where("maybe").join(special, "_id", "left").where("coalesce(_stays, true)")
+    held = common.join_counted(flagged.where("maybe"), special, ["_id"], "left").where("coalesce(_stays, true)")
     out = flagged.where("not maybe").select(*names).unionByName(held.where("coalesce(_n, 1) = 1").select(*names))
     if not special.where("_n > 1 and _stays").isEmpty():
         again = held.where("_n > 1").withColumn("_r", F.row_number().over(Window.partitionBy(doc_id).orderBy(F.xxhash64(text))))
