@@ -1,25 +1,37 @@
 """License scans: phrases, and an exact set-similarity join of text blocks with templates.
 
-A block is a line of a text, or a window: as many words in a row as the template
-has, wherever lines or paragraphs end, so wrapped notices are found. Its tokens
-are its distinct words. A template is a set of words. A block has a template if it holds at least
-threshold of the template's words. All tokens are ordered by their frequency in
-the whole corpus, rarest first. Of a template with n tokens that needs k of
-them, any block with k has one of the template's first n - k + 1: only lines, and
-for windows only texts, with such a prefix token are taken up. A text's windows
-are looked at only if the text as a whole passes the filters and has k tokens. The length filter drops blocks of fewer
-than k tokens. The positional filter drops a pair whose first common token
-stands so late in either order that k can't be reached. What is left is
-counted exactly. DataFrame functions only.
-
-Words: A-Z is lower-cased, then runs of [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]. Phrases may
-span lines. The corpus frequencies are counted over all documents, for the
-templates' tokens (a fixed list), so their table has a proven size.
-
-Defined results: a null text is empty: no words, no labels, null positions,
-score 0. Repeated rows and ids each get a row. score is the largest share of a
-template that a block of the document holds, 0 where no block reaches the
-threshold, and 1 where a phrase stands.
+A template is a set of tokens (its distinct words). A block is a run of words of a
+text, across lines and paragraphs, as long as the template and half as long again
+(SLACK), so notices that are wrapped or have words put in are found. A block has a
+template if it holds at least threshold of its tokens. The join is one of relations;
+templates are a table of checked length, and neither the plan nor the work for a text
+without their rare words grows with their number:
+
+1. Order. All tokens are ordered by their frequency in the whole corpus, rarest first.
+2. Prefix filter. Of a template with n tokens of which k are needed, any block that has
+   it holds one of its first n - k + 1. The words of all texts are joined with these
+   prefix tokens; what meets are candidates (text, template, place).
+3. Around each candidate, the tokens of templates that stand within a block's reach are
+   brought together by a join on cells of places, so a long text is no single group.
+4. Length filter: candidates with fewer than k distinct tokens around them go.
+   Positional filter: with i tokens of the block before the first common one, in the
+   order of 1, and j of the template, at most min(block - i, template - j) can be common;
+   candidates where that is less than k go.
+5. Every block around what is left is counted exactly.
+
+DataFrame functions only. Copies of a text are joined once, and the results given to all
+of them.
+
+Words: A-Z is lower-cased, then runs of [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]. Phrases may span
+lines. The frequencies are collected for the templates' tokens only, a fixed list.
+
+Defined results: a null or empty text has no words, no labels, null positions and score
+0. Very long texts are scanned whole. Repeated rows and ids each get a row, rows alike
+equal ones. Of blocks of one text the best counts for each template; where templates
+share a label, the best of them. score is the largest share of a template that a block of
+the document holds, 0 where no block reaches the threshold, and 1 where a phrase stands.
+Of columns only doc_id and text count, by their exact names. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +39,7 @@ from __future__ import annotations
 from functools import reduce
 from math import ceil
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -51,122 +63,128 @@ TEMPLATES = {
 }
 NAMES = {"mit-notice": "mit"}
 THRESHOLD = 0.9
+#: A block is as long as its template, and this part of it more.
+SLACK = 0.5
+#: Tables of templates are broadcast, so their number is checked.
+MOST_TEMPLATES, MOST_WORDS = 20_000, 400
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+TEXT = ["h1", "h2"]
 
 
-def _spaced(text: Column, between: str = _NOT_WORD) -> Column:
+def _spaced(text: Column) -> Column:
     """Words with one space before, between and after."""
-    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.translate(text, _UPPER, _LOWER), between, " ")), F.lit(" "))
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.translate(text, _UPPER, _LOWER), _NOT_WORD, " ")), F.lit(" "))
 
 
 def _spaces(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
 
 
-def frequencies(docs: DataFrame, tokens: list[str]) -> dict[str, int]:
-    """How often each of these tokens stands in the whole corpus."""
-    word = F.explode(F.split(_spaced(F.coalesce("text", F.lit(""))), " "))
-    counts = common.pick(docs, "text").select(word.alias("w")).where(F.col("w").isin(*tokens)).groupBy("w").count()
-    return dict.fromkeys(tokens, 0) | {r[0]: r[1] for r in counts.collect()}
+def text_key() -> list[Column]:
+    """128 bits that stand for a text."""
+    return [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")]
 
 
-class _Templates:
-    """Templates with their tokens in the order of the corpus, the prefix filter's pattern, and the filters of a block."""
-
-    def __init__(self, docs: DataFrame, templates: dict[str, str], threshold: float, counts: dict[str, int] | None) -> None:
-        sets = {label: sorted(set(words.split())) for label, words in templates.items()}
-        everything = sorted({w for s in sets.values() for w in s})
-        counts = frequencies(docs, everything) if counts is None else counts
-        rank = {w: i for i, w in enumerate(sorted(everything, key=lambda w: (counts[w], w)))}
-        self.length = {label: len(words.split()) for label, words in templates.items()}
-        self.ordered = {label: sorted(s, key=rank.__getitem__) for label, s in sets.items()}
-        self.need = {label: ceil(threshold * len(s) - 1e-9) for label, s in self.ordered.items()}
-        self.prefix = {label: s[: len(s) - self.need[label] + 1] for label, s in self.ordered.items()}
-        heads = "|".join(sorted({w for p in self.prefix.values() for w in p}))
-        self.head = rf"(?<![^\x00-\x2F\x3A-\x60\x7B-\x7F])(?:{heads})(?![^\x00-\x2F\x3A-\x60\x7B-\x7F])"
-
-    def own(self, label: str) -> Column:
-        return F.array(*map(F.lit, self.ordered[label]))
-
-    def passes(self, block: Column, label: str) -> Column:
-        """Length and positional filters on a block of distinct words."""
-        tokens, k = self.ordered[label], self.need[label]
-        first = F.array_intersect(F.array(*map(F.lit, self.prefix[label])), block)
-        # Place, from 1, of the first common token; the tokens from there on must still make up k.
-        position = F.when(F.size(first) > 0, len(tokens) - F.array_position(self.own(label), F.get(first, F.lit(0))) + 1 >= k)
-        return (F.size(block) >= k) & position
-
-    def held(self, both: Column, label: str) -> Column:
-        """The template with its share, if these many tokens are enough."""
-        return F.when(both >= self.need[label], F.struct(F.lit(NAMES.get(label, label)).alias("label"), (both / len(self.ordered[label])).alias("share")))
-
-
-def blocks_with_templates(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, counts: dict[str, int] | None = None) -> Column:
-    """For each row of docs (column text): array of (label, share) of every line and template that meet the threshold."""
-    t = _Templates(docs, templates, threshold, counts)
-    # Lines that hold a prefix token, whole; no lines of most documents.
-    lines = F.transform(
-        F.regexp_extract_all(F.translate(F.col("text"), _UPPER, _LOWER), F.lit(rf"(?md)^.*{t.head}.*$"), F.lit(0)),
-        lambda x: F.array_distinct(F.split(F.trim(F.regexp_replace(x, _NOT_WORD, " ")), " ")),
-    )
-
-    def share(block: Column, label: str) -> Column:
-        return F.when(t.passes(block, label), t.held(F.size(F.array_intersect(t.own(label), block)), label))
+def _words(docs: DataFrame, *keys: Column | str) -> DataFrame:
+    """The keys, and pos (from 1) and word of every word of every text."""
+    return docs.where("text is not null").select(*keys, F.posexplode(F.split(_spaced(F.col("text")), " ")).alias("pos", "word"))
 
-    return F.filter(F.flatten(F.transform(lines, lambda b: F.array(*(share(b, label) for label in t.ordered)))), lambda x: x.isNotNull())
 
+def frequencies(docs: DataFrame, tokens: list[str]) -> dict[str, int]:
+    """How often each of these tokens stands in the whole corpus."""
+    own = docs.sparkSession.createDataFrame([(t,) for t in tokens], "word string")
+    counts = _words(common.pick(docs, "text")).join(F.broadcast(own), "word").groupBy("word").count()
+    return dict.fromkeys(tokens, 0) | {r[0]: r[1] for r in counts.collect()}
 
-def windows_with_templates(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, counts: dict[str, int] | None = None) -> Column:
-    """For each row of docs (column text): array of (label, share) of every template with a window that meets the threshold, with its best one."""
-    t = _Templates(docs, templates, threshold, counts)
-    low = F.translate(F.col("text"), _UPPER, _LOWER)
-    words = F.split(F.trim(F.regexp_replace(low, _NOT_WORD, " ")), " ")
-    # Arrays of one element bind a value once for all that reads it.
-    texts = F.when(low.rlike(t.head), F.array(words)).otherwise(F.array().cast("array<array<string>>"))
-
-    def best(words: Column, label: str) -> Column:
-        """Most tokens of the template in a window; the best ones begin with a token, and may be cut by the end."""
-        starts = F.filter(F.sequence(F.lit(1), F.size(words)), lambda i: F.array_contains(t.own(label), F.element_at(words, i)))
-        return F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect(t.own(label), F.slice(words, i, F.lit(t.length[label]))))))
-
-    def share(words: Column, distinct: Column, label: str) -> Column:
-        found = t.passes(distinct, label) & (F.size(F.array_intersect(t.own(label), distinct)) >= t.need[label])
-        return F.when(found, F.transform(F.array(best(words, label)), lambda n: t.held(n, label))).otherwise(F.array().cast("array<struct<label:string,share:double>>"))
 
-    each = F.transform(texts, lambda w: F.flatten(F.transform(F.array(F.array_distinct(w)), lambda d: F.flatten(F.array(*(share(w, d, label) for label in t.ordered))))))
-    return F.filter(F.flatten(each), lambda x: x.isNotNull())
+def template_tables(spark: SparkSession, templates: dict[str, str], counts: dict[str, int], threshold: float, slack: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(word, rank) of all tokens; (word, tid) of prefix tokens; (tid, label, ranks, need, reach) of templates."""
+    if len(templates) > MOST_TEMPLATES or any(len(words.split()) > MOST_WORDS for words in templates.values()):
+        raise ValueError(f"more than {MOST_TEMPLATES} templates, or one of more than {MOST_WORDS} words")
+    sets = {label: set(words.split()) for label, words in templates.items() if words.split()}
+    rank = {w: i for i, w in enumerate(sorted({w for s in sets.values() for w in s}, key=lambda w: (counts[w], w)))}
+    prefix, rows = [], []
+    for tid, (label, tokens) in enumerate(sets.items()):
+        ordered = sorted(tokens, key=rank.__getitem__)
+        need, length = ceil(threshold * len(ordered) - 1e-9), len(templates[label].split())
+        prefix += [(w, tid) for w in ordered[: len(ordered) - need + 1]]
+        rows.append((tid, NAMES.get(label, label), [rank[w] for w in ordered], need, length + int(slack * length)))
+    return (
+        spark.createDataFrame(list(rank.items()), "word string, rank int"),
+        spark.createDataFrame(prefix, "word string, tid int"),
+        spark.createDataFrame(rows, "tid int, label string, ranks array<int>, need int, reach int"),
+    )
 
 
-def digest(
-    docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD
-) -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score of every row."""
-    plain = common.pick(docs, "doc_id", "text")
-    counts = frequencies(plain, sorted({w for words in templates.values() for w in words.split()}))
-    held = F.concat(blocks_with_templates(plain, templates, threshold, counts), windows_with_templates(plain, templates, threshold, counts))
-    spaced = plain.select("doc_id", _spaced(F.coalesce("text", F.lit(""))).alias("s"), F.when(F.col("text").isNotNull(), held).alias("held"))
-    any_phrase = "(?<= )(?:" + "|".join(map(_escaped, phrases)) + ")(?= )"
-    s = F.col("s")
-    at = [F.regexp_count(s, F.lit(f"(?<= ){_escaped(p)}(?= )")) for p in phrases]
-    base = F.array_compact(F.array(*(F.when(n > 0, F.lit(label)) for n, label in zip(at, phrases.values()))))
+def similar_blocks(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, slack: float = SLACK) -> DataFrame:
+    """h1, h2 (of text_key()), label and share: the best share of each template that a block of a text meets the threshold with."""
+    spark = docs.sparkSession
+    texts = common.pick(docs, "text").select(*text_key(), "text")
+    counts = frequencies(texts, sorted({w for words in templates.values() for w in words.split()}))
+    vocabulary, prefix, table = template_tables(spark, templates, counts, threshold, slack)
+    if table.isEmpty():
+        return spark.createDataFrame([], "h1 bigint, h2 bigint, label string, share double")
+    # 2. One copy of a text is as good as another, and its places are the same.
+    met = _words(texts, *TEXT).join(F.broadcast(prefix), "word").select(*TEXT, "tid", "pos").distinct()
+    met = common.materialize(met.join(F.broadcast(table.select("tid", "reach")), "tid"), "candidates")
+    # 3. Cells are as wide as the longest reach, so a candidate touches three at most.
+    held = common.materialize(met.select(*TEXT).distinct(), "texts")
+    some = common.maybe_among(texts, held, *TEXT).where("maybe").groupBy(*TEXT).agg(F.first("text").alias("text")).join(held, TEXT)
+    cell = F.lit(table.agg(F.max("reach")).first()[0])
+    tokens = _words(some, *TEXT).join(F.broadcast(vocabulary), "word").select(*TEXT, F.floor(F.col("pos") / cell).alias("cell"), F.col("pos").alias("at"), "rank")
+    low, high = F.col("pos") - F.col("reach") + 1, F.col("pos") + F.col("reach") - 1
+    reached = met.select("*", F.explode(F.sequence(F.floor(F.greatest(low, F.lit(0)) / cell), F.floor(high / cell))).alias("cell"))
+    near = reached.join(tokens, [*TEXT, "cell"]).where(F.col("at").between(low, high))
+    near = near.groupBy(*TEXT, "tid", "pos").agg(F.collect_list(F.struct("at", "rank")).alias("near")).join(F.broadcast(table), "tid")
+    # 4.
+    block = F.array_sort(F.array_distinct(F.col("near.rank")))
+    near = near.withColumn("block", block).where(F.size("block") >= F.col("need"))
+    first = F.get(F.array_intersect("ranks", "block"), F.lit(0))
+    left = lambda side: F.size(side) - F.array_position(F.col(side), F.col("first")) + 1
+    near = near.withColumn("first", first).where((left("block") >= F.col("need")) & (left("ranks") >= F.col("need")))
+    # 5. The best block begins with one of the template's tokens.
+    own = F.filter("near", lambda x: F.array_contains("ranks", x["rank"]))
+    starts = F.filter("own", lambda x: x["at"] <= F.col("pos"))
+    count = lambda s: F.size(F.array_distinct(F.transform(F.filter("own", lambda x: x["at"].between(s["at"], s["at"] + F.col("reach") - 1)), lambda x: x["rank"])))
+    best = near.withColumn("own", own).withColumn("best", F.array_max(F.transform(starts, count))).where("best >= need")
+    return best.groupBy(*TEXT, "label").agg(F.max(F.col("best") / F.size("ranks")).alias("share"))
+
+
+def _phrases(s: Column, phrases: dict[str, str]) -> list[Column]:
+    """n_words, n_base, first_word, last_word and base (labels) of spaced words. Regular expressions run only where a phrase stands."""
+    inside = [F.contains(s, F.lit(f" {_escaped(p)} ")) for p in phrases]
+    found = reduce(lambda a, b: a | b, inside)
+    at = [F.when(has, F.regexp_count(s, F.lit(f"(?<= ){p}(?= )"))).otherwise(0) for has, p in zip(inside, phrases)]
+    any_phrase = f"(?<= )(?:{'|'.join(phrases)})(?= )"
     # Before a word stand as many spaces as its number, and one more at the start.
     first = _spaces(F.get(F.split(s, any_phrase, 2), F.lit(0))) - 1
-    last = reduce(F.greatest, [F.coalesce(F.when(s.rlike(f"(?<= ){_escaped(p)}(?= )"), _spaces(F.regexp_extract(s, f"(?s)^(.*)(?<= ){_escaped(p)}(?= )", 1)) - 1), F.lit(-1)) for p in phrases])
-    found = s.rlike(any_phrase)
-    out = spaced.select(
-        "doc_id",
+    ends = [F.when(has, _spaces(F.regexp_extract(s, f"(?s)^(.*)(?<= ){p}(?= )", 1)) - 1).otherwise(-1) for has, p in zip(inside, phrases)]
+    labels = F.array_compact(F.array(*(F.when(has, F.lit(label)) for has, label in zip(inside, phrases.values()))))
+    return [
         F.when(s == "  ", 0).otherwise(_spaces(s) - 1).cast("bigint").alias("n_words"),
         F.when(found, reduce(lambda a, b: a + b, at)).otherwise(0).cast("bigint").alias("n_base"),
         F.when(found, first).cast("bigint").alias("first_word"),
-        F.when(found, last).cast("bigint").alias("last_word"),
-        F.when(found, F.array_sort(F.array_distinct(base))).otherwise(F.array().cast("array<string>")).alias("base"),
-        F.coalesce("held", F.array().cast("array<struct<label:string,share:double>>")).alias("held"),
+        F.when(found, reduce(F.greatest, ends) if len(ends) > 1 else ends[0]).cast("bigint").alias("last_word"),
+        F.when(found, F.array_sort(F.array_distinct(labels))).otherwise(F.array().cast("array<string>")).alias("base"),
+    ]
+
+
+def digest(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score of every row."""
+    plain = common.pick(docs, "doc_id", "text")
+    spaced = plain.select("doc_id", *text_key(), _spaced(F.coalesce("text", F.lit(""))).alias("s"))
+    base = common.materialize(spaced.select("doc_id", *TEXT, *_phrases(F.col("s"), phrases)), "phrases")
+    held = similar_blocks(plain, templates, threshold).groupBy(*TEXT).agg(F.collect_list(F.struct("label", "share")).alias("held"))
+    # A notice may be the whole text of a large part of all rows.
+    held = common.materialize(held.join(base.groupBy(*TEXT).agg(F.count("*").alias("n")), TEXT), "held")
+    out = common.join_counted(base, held, TEXT, "left")
+    labels = F.array_sort(F.array_union("base", F.coalesce(F.col("held.label"), F.array().cast("array<string>"))))
+    best = F.greatest(F.coalesce(F.array_max("held.share"), F.lit(0.0)), F.when(F.col("n_base") > 0, 1.0).otherwise(0.0))
+    return out.select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), best.alias("score")
     )
-    labels = F.array_sort(F.array_union("base", F.transform("held", lambda x: x["label"])))
-    best = F.greatest(F.coalesce(F.array_max(F.transform("held", lambda x: x["share"])), F.lit(0.0)), F.when(F.col("n_base") > 0, 1.0).otherwise(0.0))
-    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), best.alias("score"))
 
 
 def _escaped(phrase: str) -> str:
