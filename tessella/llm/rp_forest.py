@@ -2,16 +2,23 @@
 
 Equal vectors of one label form a class and take part once, with their number.
 Every tree splits the space of unit vectors again and again along random
-directions, at the median of a bounded sample (SAMPLE vectors with the smallest
-hashes); a vector within the spill of a split goes to both sides. A vector so
-has some leaves in each tree. Vectors of one label, width and leaf are
-compared in double precision. A pair is counted in the first leaf that its two
-vectors share, by the leaf lists that they carry, so pairs are never emitted,
-shuffled or deduplicated: a leaf returns a count and a root for each vector.
+directions. It is fitted on a bounded sample (SAMPLE vectors with the smallest
+hashes, a documented bound): a node takes the direction and place, of some random
+ones, that sends the fewest vectors both ways and leaves a fair part on either side.
+A vector within the spill of a split goes to both sides, so it has some leaves in
+each tree. A node isn't split where the best split would send more than MOST_BOTH of
+its vectors both ways: it is one tight cluster, which splitting would only copy. Only
+the number of a direction and the place of each split are sent to the tasks, never
+the sample.
+
+Vectors of one label, width and leaf are compared in double precision. A pair is
+counted in the first leaf that its two vectors share, by the leaf lists that they
+carry, so pairs are never emitted, shuffled or deduplicated: a leaf returns a count
+and a root for each vector. A leaf larger than LEAF_MOST is compared in parts, each
+with each, in tasks of their own, which loses nothing.
 
 The depth follows from the largest label, so leaves keep their size as the table
-grows. A leaf that is still larger than LEAF_MOST is compared in parts, each with
-each, which loses nothing.
+grows.
 
 Pairs below the threshold are never linked. A pair at the threshold is lost by
 one tree with a probability of some hundredths (the two must fall on different
@@ -20,14 +27,15 @@ tests hold the result against brute force.
 
 Defined results: vectors that are null, empty or zero, or hold null or
 non-finite components, or whose label or id is null, link with nothing, and are
-kept. Vectors of different width don't link. Repeated ids are allowed.
+kept. Vectors of different width don't link. Repeated ids are allowed: their rows
+are vectors of their own. The smallest id of equal ones stands for a class. Of columns
+only vec_id, embedding and label count, by their exact names. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil, log2
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -43,46 +51,68 @@ LEAF_MOST = 4_096
 SPILL = 0.5
 
 
-#: Levels whose medians are of rows of the sample that reach the node; below, of those that reach its last ancestor there.
-FITTED = 9
+#: Random directions of a tree, and how many of them a node tries.
+DIRECTIONS, TRIED = 64, 6
+#: Part of a node's vectors that a split may send both ways.
+MOST_BOTH = 0.35
+#: Rows of the sample below which a node's own say too little; its nearest ancestor with as many stands for it.
+FEW = 48
+_PLACES = np.linspace(0.25, 0.75, 11)
+
+
+def directions(tree: int, width: int) -> np.ndarray:
+    """The random unit directions of one tree, as columns; made anew wherever they are needed."""
+    ways = np.random.default_rng([tree, width]).standard_normal((width, DIRECTIONS))
+    return ways / np.linalg.norm(ways, axis=0)
 
 
 class Tree:
-    """Directions and thresholds of one tree over unit vectors of one width; fitted on a sample."""
-
-    def __init__(self, number: int, width: int, depth: int, spill: float, sample: np.ndarray) -> None:
-        self.number, self.width, self.depth, self.spill = number, width, depth, spill
-        self.known: dict[int, tuple[np.ndarray, float]] = {}
-        self.sample = {1: sample}
-        for node in range(1, 1 << min(depth, FITTED)):
-            way, middle = self.split(node)
-            rows = self.sample.pop(node)
-            side = rows @ way
-            self.sample[2 * node], self.sample[2 * node + 1] = rows[side <= middle], rows[side > middle]
-            self.known[node] = (way, middle)
-
-    def split(self, node: int) -> tuple[np.ndarray, float]:
-        if node in self.known:
-            return self.known[node]
-        way = np.random.default_rng([self.number, self.width, node]).standard_normal(self.width)
-        way /= np.linalg.norm(way)
-        rows = self.sample[node >> max(0, node.bit_length() - 1 - min(self.depth, FITTED))]
-        return way, float(np.median(rows @ way)) if len(rows) else 0.0
+    """Splits of one tree over unit vectors of one width: node -> (direction, place, node below, node above). Nodes are numbered from 0."""
+
+    def __init__(self, number: int, width: int, spill: float) -> None:
+        self.number, self.width, self.spill = number, width, spill
+        self.splits: dict[int, tuple[int, float, int, int]] = {}
+
+    def fit(self, sample: np.ndarray, rows: int, leaf_rows: int) -> Tree:
+        """Splits until a leaf is expected to hold leaf_rows of the rows that the sample stands for, or is one tight cluster."""
+        side = sample @ directions(self.number, self.width)
+        todo, nodes = [(0, np.arange(len(sample)), float(rows))], 1
+        while todo:
+            node, own, expected = todo.pop()
+            if expected <= leaf_rows or not len(own):
+                continue
+            tried = np.random.default_rng([self.number, node]).choice(DIRECTIONS, TRIED, replace=False)
+            best = None
+            for way in tried.tolist():
+                x = np.sort(side[own, way])
+                places = np.quantile(x, _PLACES)
+                both = (np.searchsorted(x, places + self.spill, "right") - np.searchsorted(x, places - self.spill)) / len(x)
+                k = int(np.lexsort((np.abs(_PLACES - 0.5), both))[0])
+                if best is None or both[k] < best[0]:
+                    best = (float(both[k]), way, float(places[k]))
+            if best[0] > MOST_BOTH:
+                continue
+            self.splits[node] = (*best[1:], nodes, nodes + 1)
+            x = side[own, best[1]] - best[2]
+            for child, part in ((nodes, own[x <= self.spill]), (nodes + 1, own[x >= -self.spill])):
+                todo.append((child, part if len(part) >= FEW else own, expected * max(len(part), 1) / len(own)))
+            nodes += 2
+        return self
 
     def leaves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf) pairs."""
-        rows, nodes = np.arange(len(x)), np.ones(len(x), np.int64)
-        for _ in range(self.depth):
-            out_rows, out_nodes = [], []
-            for node in np.unique(nodes):
-                own = rows[nodes == node]
-                way, middle = self.split(int(node))
-                side = x[own] @ way - middle
-                for child, some in ((2 * node, own[side <= self.spill]), (2 * node + 1, own[side >= -self.spill])):
-                    out_rows.append(some)
-                    out_nodes.append(np.full(len(some), child))
-            rows, nodes = np.concatenate(out_rows), np.concatenate(out_nodes)
-        return rows, nodes
+        side = x @ directions(self.number, self.width)
+        todo, rows, nodes = [(0, np.arange(len(x)))], [], []
+        while todo:
+            node, own = todo.pop()
+            if node not in self.splits:
+                rows.append(own)
+                nodes.append(np.full(len(own), node, np.int64))
+                continue
+            way, place, below, above = self.splits[node]
+            at = side[own, way] - place
+            todo += [(child, part) for child, part in ((below, own[at <= self.spill]), (above, own[at >= -self.spill])) if len(part)]
+        return np.concatenate(rows), np.concatenate(nodes)
 
 
 def _unit(vectors: pd.Series) -> np.ndarray:
@@ -154,17 +184,18 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, trees: int = TR
         forests = {}
         for width, most in sizes:
             sample = classes.where(F.col("width") == width).orderBy(F.xxhash64("embedding"), "id").limit(SAMPLE).select("embedding").toPandas()
-            depth = max(0, ceil(log2(most / leaf_rows)))
             spill = SPILL * (2 - 2 * threshold) ** 0.5 / width**0.5
-            forests[width] = [Tree(k, width, depth, spill, _unit(sample["embedding"])) for k in range(trees)]
+            unit = _unit(sample["embedding"])
+            forests[width] = [Tree(k, width, spill).fit(unit, most, leaf_rows) for k in range(trees)]
         routed = classes.select("id", "label", "width", "n", "embedding").mapInPandas(
             _router(forests), f"id bigint, label string, width int, n bigint, embedding {classes.schema['embedding'].dataType.simpleString()}, leaves array<bigint>"
         )
         routed = common.materialize(routed, "routed")
-        crowds = routed.select("label", "width", F.explode("leaves").alias("leaf")).groupBy("label", "width", "leaf").count().where("count > 1")
-        crowds = common.materialize(crowds.withColumn("parts", F.ceil(F.col("count") / leaf_most).cast("int")), "leaves")
+        at = ["label", "width", "leaf"]
+        crowds = routed.select("label", "width", F.explode("leaves").alias("leaf")).groupBy(*at).agg(F.count("*").alias("n")).where("n > 1")
+        crowds = common.materialize(crowds.withColumn("parts", F.ceil(F.col("n") / leaf_most).cast("int")), "leaves")
         part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("id"), F.col("parts"))).otherwise(0).cast("int")
-        placed = routed.withColumn("leaf", F.explode("leaves")).join(crowds, ["label", "width", "leaf"]).withColumn("part", part)
+        placed = common.join_counted(routed.withColumn("leaf", F.explode("leaves")), crowds, at).withColumn("part", part)
         # A part meets itself and every other part once.
         meets = F.expr("explode(transform(sequence(0, parts - 1), p -> struct(least(p, part) as a, greatest(p, part) as b)))")
         dealt = placed.withColumn("m", meets).select("label", "width", "leaf", "m.a", "m.b", "part", "id", "n", "embedding", "leaves")
@@ -180,8 +211,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, trees: int = TR
         links = found.groupBy("id").agg(F.sum("links").alias("links"))
         joined = common.components(found.select(F.col("id").alias("u"), F.col("root").alias("v")))
         known = classes.join(links, "id", "left").join(joined, "id", "left")
-        known = known.select(*of, (F.col("n") - 1 + F.coalesce("links", counted)).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-        linked = good.join(common.materialize(known, "known"), of)
+        known = known.select(*of, "n", (F.col("n") - 1 + F.coalesce("links", counted)).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+        linked = common.join_counted(good, common.materialize(known, "known"), of)
     else:
         linked = good.withColumn("n_links", counted).withColumn("component_id", F.col("vec_id"))
     alone = plain.where(~fit).withColumn("n_links", counted).withColumn("component_id", F.col("vec_id"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import pickle
 import random
 
 import numpy as np
@@ -41,6 +42,31 @@ def test_forest_against_brute_force(spark, leaf, most):
     assert found == {i: (n, c, i == c) for i, (n, c) in want.items()} and sum(n for n, _ in want.values()) > 200
 
 
+@pytest.mark.parametrize("share", [0.0, 0.5, 1.0])
+def test_dense_labels_are_not_copied(share):
+    """A label that is, wholly or by half, one tight cluster: few copies of a vector in a tree, and hardly a link lost."""
+    rng = np.random.default_rng(3)
+    n, width = 6000, 64
+    centre, x = rng.standard_normal(width), rng.standard_normal((n, width))
+    near = int(n * share)
+    x[:near] = centre + 0.27 * rng.standard_normal((near, width))
+    x[near:] = np.repeat(x[near:][::3], 3, axis=0)[: n - near] + 0.2 * rng.standard_normal((n - near, width))
+    x = x[rng.permutation(n)] / 1.0
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    spill = rp_forest.SPILL * (2 - 2 * 0.93) ** 0.5 / width**0.5
+    found = np.zeros((n, n), bool)
+    for k in range(rp_forest.TREES):
+        tree = rp_forest.Tree(k, width, spill).fit(x[:2000], n, 200)
+        row, leaf = tree.leaves(x)
+        assert len(row) < 8 * n and sorted(set(row.tolist())) == list(range(n))
+        for one in np.unique(leaf):
+            own = row[leaf == one]
+            found[np.ix_(own, own)] = True
+        assert len(pickle.dumps(tree)) < 100_000
+    linked = x @ x.T >= 0.93
+    assert linked.sum() > 2 * n and found[linked].mean() > 0.99
+
+
 def test_forest_of_nothing(spark):
     schema = "vec_id long, embedding array<float>, label int"
     assert rp_forest.near_duplicates(spark.createDataFrame([], schema)).count() == 0
