@@ -33,10 +33,15 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(_table(spark, sf_dir, "documents"))
 
 
-def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+def model_path() -> str:
+    """The tokenizer of the registered queries and of the pipeline."""
     import public_tokenizers
 
-    return sentencepiece_codec.digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.digest(_table(spark, sf_dir, "documents"), model_path())
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +54,7 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(_table(spark, sf_dir, "documents"))
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), model_path())
 
 
 def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

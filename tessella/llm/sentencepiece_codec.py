@@ -12,7 +12,10 @@ have to be joined to every position of every text.
 The model is checked for the property before use; where it doesn't hold, texts
 are segmented whole by the library.
 
-Defined results: a null text is empty. Texts of any length are encoded whole.
+Defined results: a null text is empty: the begin and end ids only. Texts of any length
+are encoded whole. Rows are encoded one by one; repeated rows get equal results. Of
+columns only doc_id and text count, by their exact names. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -51,6 +54,7 @@ class Codec:
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.apart = chunks_are_independent(self.model)
         self.table: dict[str, tuple[bytes, bytes]] = {}
+        self.sizes: dict[str, int] = {}
         self.ends = (self.model.bos_id(), self.model.eos_id())
         if self.apart:
             # What each id stands for in the marked text, and in the decoded one.
@@ -85,21 +89,33 @@ class Codec:
             self.table[chunk] = (raw[4 * at : 4 * end], decoded[a:b])
             at = end
 
-    def round_trip(self, text: str | None) -> tuple[list[int] | bytes, str]:
+    def _chunks(self, text: str) -> list[str]:
+        """The text's chunks in order; all of them are in the table then."""
+        chunks = _CHUNK.findall(MARK + text.replace(" ", MARK))
+        new = [c for c in set(chunks) if c not in self.table]
+        if new:
+            if len(self.table) + len(new) > TABLE:
+                self.table.clear()
+                self.sizes.clear()
+                new = list(set(chunks))
+            self._segment(new)
+            self.sizes.update((c, len(self.table[c][0]) // 4) for c in new)
+        return chunks
+
+    def count(self, text: str | None) -> int:
+        """Number of ids of a text, begin and end included."""
+        if not text or not self.apart:
+            return len(self.model.encode(text or "", add_bos=True, add_eos=True))
+        return 2 + sum(map(self.sizes.__getitem__, self._chunks(text)))
+
+    def round_trip(self, text: str | None) -> tuple[bytes, str]:
         """Ids (little-endian 32-bit) with begin and end, and the text decoded from them."""
         text = text or ""
         if not text or not self.apart:
             ids = self.model.encode(text, add_bos=True, add_eos=True)
             return np.array(ids, "<u4").tobytes(), self.model.decode(ids)
-        chunks = _CHUNK.findall(MARK + text.replace(" ", MARK))
-        table = self.table
-        new = [c for c in set(chunks) if c not in table]
-        if new:
-            if len(table) + len(new) > TABLE:
-                table.clear()
-                new = list(set(chunks))
-            self._segment(new)
-        found = list(map(table.__getitem__, chunks))
+        chunks = self._chunks(text)
+        found = list(map(self.table.__getitem__, chunks))
         head, tail = (np.array([x], "<u4").tobytes() for x in self.ends)
         decoded = b"".join([x[1] for x in found])[1:].decode("utf-8", "surrogatepass")
         return b"".join([head, *(x[0] for x in found), tail]), decoded

@@ -4,14 +4,19 @@ Overlapping heuristic labellers vote good, bad or nothing on each document.
 Expectation-maximisation estimates the accuracy of every labeller and the
 share of good documents from how often each pattern of votes occurs in the
 whole corpus; there are at most 3 ** len(LABELLERS) patterns, so their counts
-have a fixed size. The posteriors of a sample (about SAMPLE documents, drawn by
-a hash; the bound is a parameter) train a linear scorer over hashed words and
-word shapes. Its weights, DIMENSIONS numbers, go to every task, and every
-document is scored whole.
-
-Defined results: a null or empty text has no words and is scored by the bias and
-judged bad by length. Rows are judged one by one: repeated rows get equal
-results. With no documents nothing is fitted and the result is empty.
+have a fixed size. The posteriors of a sample train a linear scorer over hashed
+words and word shapes. Its weights, DIMENSIONS numbers, go to every task, and every
+document is voted on and scored whole in one pass, without a join.
+
+The sample is the SAMPLE documents with the smallest hashes of id and text, so the
+fit can be repeated whatever the partitions are. The bound is a parameter: the driver
+gets at most SAMPLE rows of at most DIMENSIONS (place, share) pairs of 6 bytes.
+
+Defined results: a null or empty text has no words and is scored 0 and judged bad by
+length. Very long texts are voted on and scored whole. Rows are judged one by one:
+repeated rows, and rows alike, get equal results. score equal to the threshold is
+kept. Of columns only doc_id and text count, by their exact names. With no documents
+nothing is fitted and the result is empty.
 """
 
 from __future__ import annotations
@@ -112,10 +117,17 @@ def _vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for text, pattern in zip(batch["text"], batch["pattern"]):
             words = split_words(text)
             count = Counter(x for w in words for x in _places(w))
-            rows.append((pattern, list(count), [c / len(words) for c in count.values()]))
+            rows.append((pattern, np.fromiter(count, np.int16, len(count)), np.fromiter(count.values(), np.float32, len(count)) / np.float32(max(1, len(words)))))
         yield pd.DataFrame(rows, columns=["pattern", "at", "share"])
 
 
+def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """How often each pattern occurs in a batch."""
+    for batch in batches:
+        count = Counter(map(votes, batch["text"]))
+        yield pd.DataFrame({"pattern": list(count), "n": list(count.values())})
+
+
 def train(at: list[np.ndarray], share: list[np.ndarray], target: np.ndarray, rounds: int = 150, rate: float = 0.5) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic scorer of the mean weight of a text's features, by Adam on soft labels."""
     places, values = np.concatenate(at).astype(np.int64), np.concatenate(share)
@@ -143,19 +155,18 @@ def classify(docs: DataFrame, sample: int = SAMPLE, threshold: float = 0.5) -> D
     def vote(texts: pd.Series) -> pd.Series:
         return pd.Series([votes(x) for x in texts], dtype=object)
 
-    voted = common.materialize(plain.select("doc_id", F.xxhash64("text").alias("thash"), vote("text").alias("pattern")), "votes")
-    counts = {r[0]: r[1] for r in voted.groupBy("pattern").count().collect()}
+    sums = plain.select("text").mapInPandas(_counts, "pattern string, n bigint").groupBy("pattern").agg(F.sum("n").alias("n"))
+    counts = {r[0]: r[1] for r in sums.collect()}
     total = sum(counts.values())
-    empty = "doc_id bigint, pattern string, posterior double, score double, kept boolean"
     if not total:
-        return docs.sparkSession.createDataFrame([], empty)
+        return docs.sparkSession.createDataFrame([], "doc_id bigint, pattern string, posterior double, score double, kept boolean")
     posterior, _, _ = fit_labellers(counts)
-    drawn = F.pmod(F.xxhash64(F.lit(11), "doc_id", "text"), F.lit(1 << 30)) < int(min(1.0, sample / total) * (1 << 30))
-    learned = plain.where(drawn).limit(2 * sample).select("text", vote("text").alias("pattern")).mapInPandas(_vectors, "pattern string, at array<int>, share array<double>").toPandas()
-    if len(learned):
-        weights, bias = train(list(learned["at"]), list(learned["share"]), learned["pattern"].map(posterior).to_numpy(np.float64))
-    else:
-        weights, bias = np.zeros(DIMENSIONS, np.float32), 0.0
+    # A hash takes about twice the sample, and the smallest ones of these are it: fewer rows are ordered.
+    keyed = plain.withColumn("key", F.xxhash64(F.lit(11), "doc_id", "text"))
+    near = keyed.where(F.pmod("key", F.lit(1 << 30)) < int(min(1.0, (2 * sample + 100) / total) * (1 << 30)))
+    drawn = near.orderBy(F.pmod("key", F.lit(1 << 30)), "key", "doc_id").limit(sample)
+    learned = drawn.select("text", vote("text").alias("pattern")).mapInPandas(_vectors, "pattern string, at array<smallint>, share array<float>").toPandas()
+    weights, bias = train(list(learned["at"]), list(learned["share"]), learned["pattern"].map(posterior).to_numpy(np.float64))
 
     class Weights(dict):
         def __missing__(self, word: bytes) -> float:
@@ -165,17 +176,14 @@ def classify(docs: DataFrame, sample: int = SAMPLE, threshold: float = 0.5) -> D
             x = self[word] = float(weights[a] + weights[b])
             return x
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
+    @F.pandas_udf("pattern string, posterior double, score double")
+    def judge(texts: pd.Series) -> pd.DataFrame:
         of, out = Weights(), []
         for text in texts:
-            words = split_words(text)
+            words, pattern = split_words(text), votes(text)
             z = bias + (sum(map(of.__getitem__, words)) / len(words) if words else 0.0)
-            out.append(1 / (1 + np.exp(-min(30.0, max(-30.0, z)))) if words else 0.0)
-        return pd.Series(out, dtype="float64")
-
-    by_pattern = F.create_map(*(F.lit(x) for kv in posterior.items() for x in kv))
-    scored = plain.select("doc_id", F.xxhash64("text").alias("thash"), score("text").alias("score"))
-    known = voted.dropDuplicates(["doc_id", "thash"]).select(F.col("doc_id").alias("_d"), F.col("thash").alias("_t"), "pattern")
-    out = scored.join(known, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("thash").eqNullSafe(F.col("_t")), "left")
-    return out.select("doc_id", "pattern", by_pattern[F.col("pattern")].alias("posterior"), "score", (F.col("score") >= threshold).alias("kept"))
+            out.append((pattern, posterior[pattern], 1 / (1 + np.exp(-min(30.0, max(-30.0, z)))) if words else 0.0))
+        return pd.DataFrame(out, columns=["pattern", "posterior", "score"])
+
+    out = plain.select("doc_id", judge("text").alias("j")).select("doc_id", "j.*")
+    return out.withColumn("kept", F.col("score") >= threshold)

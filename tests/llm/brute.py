@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 
 import numpy as np
 import xxhash
 
+from tessella.llm import quality_rules, weak_labels
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -137,3 +140,130 @@ def licenses(text: str | None) -> tuple:
                 at.append(k)
                 labels.add(label)
     return len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(labels))
+
+
+def best_fit(lengths: list[int], sizes: tuple, overhead: int) -> tuple:
+    """Every open bin is looked at for every item, and the rest of the items summed for every opening."""
+    bins: list[list[int]] = []  # size, held
+    of, at = [], []
+    for i, n in enumerate(lengths):
+        fits = [(size - held - n, k) for k, (size, held) in enumerate(bins) if size - held >= n]
+        if fits:
+            k = min(fits)[1]
+        else:
+            costs = []
+            for size in sizes:
+                if size >= n:
+                    rest = sum(x for x in lengths[i + 1 :] if x <= size - n)
+                    costs.append(((size + overhead) / (n + min(size - n, rest)), size))
+            bins.append([min(costs)[1], 0])
+            k = len(bins) - 1
+        of.append(k)
+        at.append(bins[k][1])
+        bins[k][1] += n
+    return of, at, [min(s for s in sizes if s >= held) for _, held in bins]
+
+
+def _distance(p: list, q: list) -> float:
+    if not sum(p) or not sum(q):
+        return 0.0
+    p, q = [x / sum(p) for x in p], [x / sum(q) for x in q]
+    total = 0.0
+    for a, b in zip(p, q):
+        m = (a + b) / 2
+        total += (a * math.log2(a / m) if a else 0) / 2 + (b * math.log2(b / m) if b else 0) / 2
+    return max(0.0, total) ** 0.5
+
+
+def _histograms(text: str | None) -> tuple[list, list]:
+    text = text or ""
+    kinds = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", None, "0123456789", " \t", "\n\r\v\f", ".,;:'\"-()", "!?", "#*$%&|<>"]
+    by_class = [0] * 10
+    for c in text:
+        by_class[2 if ord(c) > 127 else next((k for k, x in enumerate(kinds) if x and c in x), 9)] += 1
+    words = WORD.findall(text.lower())
+    by_word = [words.count(w) for w in quality_rules.WORDS]
+    return by_class, [*by_word, len(words) - sum(by_word)]
+
+
+def quality_verdicts(docs: list[tuple], least: int) -> dict:
+    """docs: (doc_id, text, lang). (doc_id, text, lang) -> kept and both distances."""
+    both = [_histograms(t) for _, t, _ in docs]
+    add = lambda rows: tuple([sum(x) for x in zip(*part)] for part in zip(*rows))
+    everything = add(both)
+    own = {}
+    for lang in {d[2] for d in docs} - {None}:
+        sums = add([h for h, d in zip(both, docs) if d[2] == lang])
+        if sum(sums[1]) >= least:
+            own[lang] = sums
+    out = {}
+    for (i, text, lang), (by_class, by_word) in zip(docs, both):
+        n, chars, *_, failed = quality(text)
+        ref = own.get(lang, everything)
+        a, b = _distance(by_class, ref[0]), _distance(by_word, ref[1])
+        apart = (chars >= 120 and a > 0.3) or (n >= 60 and b > 0.18 + 1.6 / n**0.5)
+        out[i, text, lang] = (not failed and not apart, a, b)
+    return out
+
+
+def classify(docs: list[tuple], sample: int, spark) -> list[tuple]:
+    """(doc_id, pattern, posterior, score); only the votes, the hashes and the places of words are the operator's."""
+    from pyspark.sql import functions as F
+
+    patterns = [weak_labels.votes(t) for _, t in docs]
+    counts: dict = {}
+    for p in patterns:
+        counts[p] = counts.get(p, 0) + 1
+    names, k = sorted(counts), len(weak_labels.LABELLERS)
+    good = {}
+    for p in names:
+        said = [c for c in p if c != "-"]
+        good[p] = 0.5 * said.count("1") / max(1, len(said)) if "0" in p else 0.95
+    for _ in range(60):
+        total = sum(counts.values())
+        prior = min(0.98, max(0.02, sum(counts[p] * good[p] for p in names) / total))
+        new = {}
+        said = {}
+        for j in range(k):
+            for of_good in (True, False):
+                weight = lambda c: 1 + sum(counts[p] * (good[p] if of_good else 1 - good[p]) for p in names if p[j] == c)  # noqa: B023, E731
+                one, nought = weight("1"), weight("0")
+                said[j, of_good] = {"1": one / (one + nought), "0": nought / (one + nought), "-": 1.0}
+        for p in names:
+            a, b = math.log(prior), math.log(1 - prior)
+            for j, c in enumerate(p):
+                a, b = a + math.log(said[j, True][c]), b + math.log(said[j, False][c])
+            new[p] = 1 / (1 + math.exp(max(-50, min(50, b - a))))
+        good = new
+    df = spark.createDataFrame([(n, i, t) for n, (i, t) in enumerate(docs)], "n long, doc_id long, text string")
+    key = {r["n"]: r["k"] for r in df.select("n", F.xxhash64(F.lit(11), "doc_id", "text").alias("k")).collect()}
+    order = sorted(range(len(docs)), key=lambda n: (key[n] % (1 << 30), key[n]))[:sample]
+    size = weak_labels.DIMENSIONS
+
+    def features(text: str | None) -> dict:
+        words = (text or "").encode("utf-8", "surrogatepass").split()
+        out: dict = {}
+        for w in words:
+            for place in weak_labels._places(w):
+                out[place] = out.get(place, 0) + 1 / len(words)
+        return out
+
+    rows = [(features(docs[n][1]), good[patterns[n]]) for n in order]
+    high = sum(y > 0.5 for _, y in rows) / len(rows)
+    w, m, s = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
+    for step in range(1, 151):
+        g = np.zeros(size + 1)
+        for x, y in rows:
+            z = w[-1] + sum(v * w[at] for at, v in x.items())
+            error = (0.5 / max(1e-9, high if y > 0.5 else 1 - high)) * (1 / (1 + math.exp(-max(-30, min(30, z)))) - y) / len(rows)
+            for at, v in x.items():
+                g[at] += v * error
+            g[-1] += error
+        g[:-1] += 1e-6 * w[:-1]
+        m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
+        w -= 0.5 * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
+    out = []
+    for (i, t), p in zip(docs, patterns):
+        x = features(t)
+        out.append((i, p, good[p], 1 / (1 + math.exp(-max(-30, min(30, w[-1] + sum(v * w[at] for at, v in x.items()))))) if x else 0.0))
+    return out

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -34,6 +35,16 @@ def test_quality_keep_leaves_columns_alone(docs):
     assert judged.where("quality.kept and quality.base_failed").count() == 0
 
 
+def test_quality_verdicts_and_distances(docs, docs_rows):
+    found = quality_rules.judge(docs, min_reference_words=500).select("doc_id", "text", "lang", "quality.*").collect()
+    want = brute.quality_verdicts(docs_rows, 500)
+    assert len(found) == len(docs_rows) and 0 < sum(r["kept"] for r in found) < len(found)
+    for r in found:
+        kept, by_class, by_word = want[r["doc_id"], r["text"], r["lang"]]
+        assert r["kept"] == kept and abs(r["class_distance"] - by_class) < 1e-9 and abs(r["common_distance"] - by_word) < 1e-9
+    assert any(r["class_distance"] > 0.3 for r in found)
+
+
 def test_divergence():
     p, q = np.array([1, 2, 3]), np.array([10, 20, 30])
     assert quality_rules.divergence(p, q) < 1e-6
@@ -65,6 +76,44 @@ def test_secret_ledger_scans_only_what_is_new(spark, docs, docs_rows, tmp_path):
     assert ledger.where("size(scanned) = 1").count() == len({t or "" for _, t, _ in docs_rows}) == ledger.where(F.array_contains("scanned", new[-1].version)).count()
 
 
+def _all_spans(text: str | None, rules: list) -> str:
+    """Every rule's spans of a text by Python's expressions; the rules' Java patterns mean the same there."""
+    import re
+
+    spans = set()
+    for k, r in enumerate(dict.fromkeys(rules)):
+        pattern = r.pattern.replace("(?i:", "(?ia:")
+        spans |= {(m.start(), k, m.end(), r.kind) for m in re.finditer(pattern, text or "") if len(m[r.group]) >= r.least}
+    return ",".join(f"{kind}:{a}:{b}" for a, _, b, kind in sorted(spans))
+
+
+def test_spans_of_all_kinds_and_rule_lists(spark, docs, docs_rows, tmp_path):
+    """Reordered, removed and repeated rules, over one ledger, against brute force."""
+    jwt = "eyJabcdefgh.eyJijklmnop.qrstuvwx"
+    texts = [f"{jwt} xoxb-123456-abcdef gho_{'a1' * 20} -----BEGIN EC PRIVATE KEY-----", f"u://a:bcd@h xoxp-1234567890 {jwt}{jwt}", "gh" * 40 + "ghs_" + "b" * 36, "0123456789abcdef" * 3000 + " token=abcdefghijkl" * 4000, None]
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(900 + i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
+    data = [(i, t) for i, t, _ in docs_rows] + [(900 + i, t) for i, t in enumerate(texts)]
+    path = f"file://{tmp_path}/ledger"
+    B, M = secrets.BASE, secrets.MORE
+    for rules in ([*B, *M], [*B, M[0], M[2], M[1], M[3], M[4]], [*B, *M[1:]], [*B, M[1], M[1], M[0]], [*M, *B]):
+        found = rows(secrets.digest(df, rules, path), "doc_id", "spans")
+        assert found == Counter((i, _all_spans(t, rules)) for i, t in data), [r.kind for r in rules]
+    # All pairs were scanned by the first run; equal rows of two runs at once count once.
+    ledger = spark.read.parquet(path)
+    n = len({t or "" for _, t in data})
+    assert ledger.count() == n and ledger.where(f"size(scanned) = {len(secrets.RULES)}").count() == n
+    ledger.write.mode("append").parquet(path)
+    assert rows(secrets.digest(df, ledger_path=path), "doc_id", "spans") == Counter((i, _all_spans(t, secrets.RULES)) for i, t in data)
+
+
+def test_query_of_secrets_goes_through_the_ledger(spark, docs, monkeypatch):
+    """What the ledger says is what comes out, and each blob is scanned in one of several appends."""
+    calls = []
+    real = secrets.scan
+    monkeypatch.setattr(secrets, "scan", lambda blobs, rules: calls.append(1) or real(blobs, rules).withColumn("spans", F.array().cast(secrets.SPANS)))
+    assert {r["spans"] for r in secrets.digest(docs).collect()} == {""} and len(calls) == secrets.SHARDS
+
+
 def test_secrets_are_redacted(docs, docs_rows):
     out = secrets.redact(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
@@ -120,6 +169,31 @@ def test_substring_of_loops_and_small_windows(spark, seed):
     assert found == Counter(brute.substring(data, 8))
 
 
+def test_automata_decide_what_goes(docs, docs_rows, monkeypatch):
+    """Without the automata nothing is removed; a shard's automaton finds what the whole corpus repeats."""
+    monkeypatch.setattr(substring_dedup, "BLOCK_WORDS", 900)
+    want = Counter((None if i == 2**63 - 1 else i, n) for i, _, n, _ in brute.substring([(i, t) for i, t, _ in docs_rows]))
+    assert rows(substring_dedup.digest(docs), "doc_id", "n_removed") == want
+
+    words, found = [b"a b c d e f".split()], [(b"b c d", 1)]
+    assert substring_dedup.locate(words, [2], found)[0].tolist() == [False, True, True, True, False, False]
+    assert not substring_dedup.locate(words, [1], found)[0].any()
+    real = substring_dedup.ahocorasick
+    deaf = SimpleNamespace(add_word=lambda *_: None, make_automaton=lambda: None, iter=lambda _: iter(()))
+    monkeypatch.setattr(substring_dedup, "ahocorasick", SimpleNamespace(STORE_ANY=real.STORE_ANY, KEY_SEQUENCE=real.KEY_SEQUENCE, Automaton=lambda *_: deaf))
+    assert not substring_dedup.locate(words, [2], found)[0].any()
+
+
+def test_rows_alike_and_many_repeats(spark):
+    """Rows alike in id and text, and one passage in many documents between other words."""
+    rng = random.Random(9)
+    prose = lambda n: " ".join(str(rng.randint(0, 10**6)) for _ in range(n))
+    passage = prose(230)
+    data = [(i, f"{prose(rng.randint(0, 70))} {passage} {prose(rng.randint(0, 70))}") for i in range(60)] + [(70, passage)] * 40 + [(i, " ".join(passage.split()[k : k + 60])) for k, i in enumerate(range(80, 100))]
+    found = rows(substring_dedup.digest(spark.createDataFrame(data, "doc_id long, text string")), "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert found == Counter(brute.substring(data)) and found[(70, 230, 230, brute.sha(""))] == 40
+
+
 def test_substring_texts(docs, docs_rows):
     out = substring_dedup.deduplicate(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
@@ -246,17 +320,59 @@ def test_packing_rules(seed):
     assert sum(lengths) == sum(n for items in held.values() for _, n in items)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_packing_against_plain_best_fit(seed):
+    rng = random.Random(seed)
+    for sizes in (packing.SIZES, (4096,), (100, 300)):
+        lengths = sorted((rng.choice([1, 5, 100, rng.randint(1, max(sizes))]) for _ in range(rng.randint(0, 200))), reverse=True)
+        assert packing.pack(lengths, sizes) == brute.best_fit(lengths, sizes, packing.OVERHEAD)
+
+
+def test_packing_fills_better_than_one_size():
+    rng = random.Random(5)
+    documents = [int(min(20_000, rng.lognormvariate(6, 1))) + 2 for _ in range(3000)]
+
+    def fill(sizes):
+        pieces = sorted((k for n in documents for k in [max(sizes)] * (n // max(sizes)) + [n % max(sizes)] if k), reverse=True)
+        return sum(documents) / sum(packing.pack(pieces, sizes)[2])
+
+    assert fill(packing.SIZES) >= max(fill((s,)) for s in packing.SIZES[1:]) and fill(packing.SIZES) > 0.995
+
+
 def test_packing_of_documents(docs, docs_rows, empty):
-    found = packing.pack_documents(docs).collect()
-    want = Counter()
-    for i, t, _ in docs_rows:
-        want[i] += len(brute.WORD.findall(t or ""))
-    got = Counter()
+    import sentencepiece
+
+    path = model_path()
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    ids = [sp.encode(t or "", add_bos=True, add_eos=True) for _, t, _ in docs_rows]
+    found = packing.pack_documents(docs, path).collect()
+    want, got = Counter(), Counter()
+    for (i, _, _), x in zip(docs_rows, ids):
+        want[i] += len(x)
     for r in found:
         got[r["doc_id"]] += r["length"]
-        assert r["length"] == 0 or r["offset"] + r["length"] <= r["bin_size"]
+        assert r["offset"] + r["length"] <= r["bin_size"]
     assert got == want and any(r["piece"] == 2 for r in found)
-    assert packing.pack_documents(empty).count() == 0
+    assert packing.pack_documents(empty, path).count() == 0
+
+    bins = packing.sequences(docs, path).collect()
+    assert {(r["shard"], r["bin"], r["bin_size"]) for r in bins} == {(r["shard"], r["bin"], r["bin_size"]) for r in found}
+    pieces = Counter(tuple(x[a : a + 4096]) for x in ids for a in range(0, len(x), 4096))
+    at = {}
+    for r in found:
+        at.setdefault((r["shard"], r["bin"]), []).append((r["offset"], r["length"], r["doc_id"]))
+    for r in bins:
+        assert r["n_tokens"] == len(r["ids"]) <= r["bin_size"]
+        inside = sorted(at[r["shard"], r["bin"]])
+        assert [d for _, _, d in inside] == list(r["doc_ids"])
+        pieces.subtract(tuple(r["ids"][a : a + n]) for a, n, _ in inside)
+    assert not any(pieces.values())
+
+
+def test_packing_order_of_equal_lengths(spark):
+    items = [(3, 9, 700), (1, 9, 700), (None, 9, 700), (1, 5, 700), (2, 9, 4000), (4, 9, 0), (5, 9, None)]
+    found = {(r["doc_id"], r["thash"]): (r["bin"], r["offset"]) for r in packing.best_fit(spark.createDataFrame(items, "doc_id long, thash long, n_tokens long")).collect()}
+    assert found == {(2, 9): (0, 0), (1, 5): (1, 0), (1, 9): (1, 700), (3, 9): (2, 0), (None, 9): (2, 700), (4, 9): (None, None), (5, 9): (None, None)}
 
 
 def test_weak_labels(spark, docs, docs_rows, empty):
@@ -266,6 +382,18 @@ def test_weak_labels(spark, docs, docs_rows, empty):
     assert weak_labels.classify(empty).count() == 0
 
 
+def test_classifier_against_brute_force(spark, docs, docs_rows):
+    """Counts of patterns, expectation-maximisation, sample, training and scores, in plain loops."""
+    found = weak_labels.classify(docs, sample=30)
+    want = brute.classify([(i, t) for i, t, _ in docs_rows], 30, spark)
+    got = sorted((str(r["doc_id"]), r["pattern"], round(r["posterior"], 6), round(r["score"], 3)) for r in found.collect())
+    expected = sorted((str(i), p, round(a, 6), round(b, 3)) for i, p, a, b in want)
+    assert [x[:3] for x in got] == [x[:3] for x in expected]
+    assert max(abs(x[3] - y[3]) for x, y in zip(got, expected)) <= 0.002
+    again = weak_labels.classify(docs.repartition(7), sample=30)
+    assert rows(again, "doc_id", "score", "kept") == rows(found, "doc_id", "score", "kept")
+
+
 def test_labeller_accuracies_are_recovered():
     rng = random.Random(1)
     right = [0.95, 0.9, 0.8, 0.7, 0.85, 0.6, 0.9]

@@ -100,15 +100,37 @@ def test_urls_against_all_rules(spark):
 
 
 def test_literal_tokens():
-    found = {p: url_rules.literal_tokens(p) for p in (r"/cgi-bin/", r"[?&]sessionid=", r"://(?:[^/]*[.-])?ads[.-]", r"\.(?:exe|zip)$", r"/abc+/", r"x/abc", r"^/ab_cd\b")}
-    assert found[r"/cgi-bin/"] == ["cgi", "bin"] and found[r"[?&]sessionid="] == ["sessionid"]
-    assert found[r"://(?:[^/]*[.-])?ads[.-]"] == [] and found[r"\.(?:exe|zip)$"] == [] and found[r"/abc+/"] == [] and found[r"x/abc"] == []
-    index, always = url_rules.index([url_rules.PatternRule("block", p) for p in found], {"cgi": 5, "bin": 2})
-    assert index["bin"] == [0] and len(always) == 4
+    want = {
+        r"/cgi-bin/": [["cgi"], ["bin"]], r"[?&]sessionid=": [["sessionid"]], r"://(?:[^/]*[.-])?ads[.-]": [["ads"]], r"\.(?:exe|zip)$": [["exe", "zip"]],
+        r"\.(?:exe|zip|apk|dmg)(?:[?#]|$)": [["apk", "dmg", "exe", "zip"]], r"/(?:apk|apx)/": [["apk", "apx"]], r"/(?:a|b)/": [["a", "b"]],
+        r"/abc+/": [], r"x/abc": [], r"^/ab_cd\b": [["ab"], ["cd"]], r"/(?:x)?ads/": [], r"/ads(?:[.-]x)?/": [["ads"]], r"/ads(?:x)?/": [], r"/(?:exe|\d)/": [], r"/(?:-?)ads/": [["ads"]],
+    }
+    assert {p: url_rules.literal_tokens(p) for p in want} == want
+    index, always = url_rules.index([url_rules.PatternRule("block", p) for p in want], {"cgi": 5, "bin": 2})
+    assert index["bin"] == [0] and "cgi" not in index and index["zip"] == [3, 4] and len(always) == 5
+    assert url_rules.index(url_rules.PATTERN_RULES, {})[1] == []
     with pytest.raises(ValueError, match="rules"):
         url_rules.judge(None, [], [url_rules.PatternRule("block", "x")] * (url_rules.MOST_RULES + 1))
 
 
+def test_tokens_never_miss_a_url():
+    """Whatever an expression fits has a token that it is filed under."""
+    import re
+
+    rng = random.Random(11)
+    parts = ["ads", "tracker", "casino", "exe", "zip", "dmg", "x", "/", ".", "-", "_", "?", "&", "=", "#", "sessionid", "cgi", "bin", "wp", "login", "php", "://", "utm", "campaign", "spam", "robots", "txt"]
+    sets = {r.pattern: url_rules.literal_tokens(r.pattern) for r in url_rules.PATTERN_RULES}
+    hits = 0
+    for _ in range(90_000):
+        url = "http://" + "".join(rng.choice(parts) for _ in range(rng.randint(1, 9)))
+        tokens = set(url_rules._TOKEN.findall(url))
+        for pattern, groups in sets.items():
+            if re.search(pattern, url):
+                hits += 1
+                assert all(tokens & set(words) for words in groups), (pattern, url)
+    assert hits > 1000
+
+
 def _stage_rows(df) -> list:
     return sorted(map(tuple, df.collect()), key=str)
 
@@ -134,6 +156,17 @@ def test_pipeline(spark, docs, docs_rows, tmp_path):
     assert corpus_pipeline.ORACLE_SQL is None
 
 
+def test_pipeline_of_nothing(spark, docs, tmp_path):
+    docs.select("doc_id", "text", "lang", "source", "n_chars").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_repeated_urls_get_equal_verdicts(spark):
+    df = spark.createDataFrame([(1, "http://ads.x.net/a")] * 3 + [(1, None)], "page_id long, url string")
+    found = [(r["page_id"], r["host"], r["verdict"]) for r in url_rules.judge(df).collect()]
+    assert sorted(found) == [(1, "", "allow")] + [(1, "ads.x.net", "block")] * 3
+
+
 def test_queries_are_ten():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
     assert set(queries.oracle_sql()) <= set(queries.queries())
