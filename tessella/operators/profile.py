@@ -13,13 +13,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cells as C
+from .scratch import materialize
 
 # Fixed values that results depend on.
 NA_WORDS = ["n/a", "na", "not applicable", "不適用", "不适用", "none", "null", ""]
 BOOLEAN_SETS = [
     ["yes", "no"], ["y", "n"], ["true", "false"], ["t", "f"], ["1", "0"], ["是", "否"], ["有", "沒有", "无"], ["有", "没有"],
 ]
-DELIMITERS = [" - ", "-", " / ", "/", " | ", "|", ":", ";", ",", "(", ")"]
+DELIMITERS = {
+    " - ": "space-dash-space", "-": "dash", " / ": "space-slash-space", "/": "slash", " | ": "space-pipe-space", "|": "pipe",
+    ":": "colon", ";": "semicolon", ",": "comma", "(": "open-paren", ")": "close-paren",
+}
 
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
 INTEGER = ("tinyint", "smallint", "int", "bigint")
@@ -112,24 +116,28 @@ def reads_as_date(value: Column) -> Column:
 
 
 def delimiters(samples: DataFrame) -> DataFrame:
-    """column, delimiter, share, is_consistent, num_parts and sample_split: delimiters in at least half of a column's samples.
+    """column, delimiter, name, ordinal, frequency, share, is_consistent, num_parts and sample_split: delimiters in at least half of a column's samples.
 
     samples: column, rank, value; the first 20 count, and columns with fewer
-    than 3 have none. The candidates are a fixed list of eleven.
+    than 3 have none. num_parts is null where the samples that have the
+    delimiter have different numbers of parts, sample_split is of the first
+    sample, null where it has none. The candidates are a fixed list of eleven.
     """
     first = samples.where("rank <= 20 and value is not null")
-    each = F.explode(F.array(*(F.struct(F.lit(i).alias("ordinal"), F.lit(d).alias("delimiter")) for i, d in enumerate(DELIMITERS))))
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("ordinal"), F.lit(d).alias("delimiter"), F.lit(name).alias("name")) for i, (d, name) in enumerate(DELIMITERS.items()))))
     held = first.select("column", "rank", "value", each.alias("d")).select("column", "rank", "value", "d.*")
     parts = F.split("value", F.concat(F.lit("\\Q"), F.col("delimiter"), F.lit("\\E")))
     has = F.contains(F.col("value"), F.col("delimiter"))
-    found = held.groupBy("column", "ordinal", "delimiter").agg(
+    found = held.groupBy("column", "ordinal", "delimiter", "name").agg(
         F.count("*").alias("n"),
-        F.count_if(has).alias("with"),
-        F.count_distinct(F.when(has, F.size(parts))).alias("kinds"),
-        F.min(F.when(has, F.struct("rank", F.size(parts).alias("num_parts"), parts.alias("sample_split")))).alias("first"),
+        F.count_if(has).alias("frequency"),
+        F.min(F.when(has, F.size(parts))).alias("least"),
+        F.max(F.when(has, F.size(parts))).alias("most"),
+        F.min_by(F.when(has, parts), "rank").alias("sample_split"),
     )
-    return found.where("n >= 3 and with * 2 >= n").select(
-        "column", "delimiter", "ordinal", (F.col("with") / F.col("n")).alias("share"), (F.col("kinds") == 1).alias("is_consistent"), "first.num_parts", "first.sample_split"
+    alike = F.col("least") == F.col("most")
+    return found.where("n >= 3 and frequency * 2 >= n").select(
+        "column", "delimiter", "name", "ordinal", "frequency", (F.col("frequency") / F.col("n")).alias("share"), alike.alias("is_consistent"), F.when(alike, F.col("least")).alias("num_parts"), "sample_split"
     )
 
 
@@ -157,13 +165,15 @@ def profile(df: DataFrame, row: str, max_unique: int = 100) -> DataFrame:
         [(i, c, t, "integer" if t in INTEGER else "numeric" if t in NUMERIC or t.startswith("decimal") or t == "boolean" else "other") for i, (c, t) in enumerate(table.dtypes)],
         "ordinal int, column string, dtype string, family string",
     )
-    counts = value_counts(df, row)
-    samples = first_values(df, row, 20)
+    counts = materialize(value_counts(df, row), "counts")
+    samples = materialize(first_values(df, row, 20), "samples")
     distinct = counts.groupBy("column").agg(F.count("*").alias("n_distinct"))
     few = unique_values(counts, max_unique)
     dates = samples.where("rank <= 10").groupBy("column").agg(F.avg(reads_as_date(F.col("value")).cast("double")).alias("date_share"))
     top = top_values(counts, max_distinct=max_unique).groupBy("column").agg(F.map_from_entries(F.transform(F.sort_array(F.collect_list(F.struct("rank", "value", "n"))), lambda x: F.struct(x["value"], x["n"]))).alias("value_counts"))
-    marks = delimiters(samples).groupBy("column").agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("share")).alias("s"), "ordinal", "delimiter", "is_consistent", "num_parts", "sample_split"))), lambda x: F.struct(x["delimiter"].alias("delimiter"), (-x["s"]).alias("share"), x["is_consistent"].alias("is_consistent"), x["num_parts"].alias("num_parts"), x["sample_split"].alias("sample_split"))).alias("delimiters"))
+    fields = ["delimiter", "name", "frequency", "is_consistent", "num_parts", "sample_split"]
+    ordered = F.sort_array(F.collect_list(F.struct((-F.col("share")).alias("s"), "ordinal", *fields)))
+    marks = delimiters(samples).groupBy("column").agg(F.transform(ordered, lambda x: F.struct((-x["s"]).alias("share"), *(x[f].alias(f) for f in fields))).alias("delimiters"))
     out = kinds
     for part in (nulls(table), distinct, statistics(table), few, dates, top, marks, bilingual(samples)):
         out = out.join(part, "column", "left")

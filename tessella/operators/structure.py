@@ -162,7 +162,12 @@ def drop_uniform_lines(full: DataFrame, axis: str) -> DataFrame:
     return kinds.where("not (a <=> b and f <=> g)").select(*REGION, axis)
 
 
+#: Rows of one cell of the grid in which ranges are looked up.
+_TALL = 256
+
+
 def merged_lookup(cells: DataFrame, ranges: DataFrame) -> DataFrame:
-    """The merged range (r0, c0, r1, c1 of ranges) that each cell lies in."""
+    """The merged range (r0, c0, r1, c1 of ranges) that each cell lies in: an equi-join on the sheet and strips of rows, then a test."""
+    strip = F.explode(F.sequence(F.floor(F.col("r0") / _TALL), F.floor(F.col("r1") / _TALL))).alias("_strip")
     inside = F.col("row").between(F.col("r0"), F.col("r1")) & F.col("col").between(F.col("c0"), F.col("c1"))
-    return cells.join(ranges, SHEET).where(inside)
+    return cells.withColumn("_strip", F.floor(F.col("row") / _TALL)).join(ranges.select("*", strip), [*SHEET, "_strip"]).where(inside).drop("_strip")

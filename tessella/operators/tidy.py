@@ -109,16 +109,27 @@ def is_marker_row(df: DataFrame, column: str) -> Column:
     return (total == 1) & (_filled(df, column) == 1)
 
 
+#: Rows of one stretch of a table that is filled by itself.
+STRETCH = 1 << 16
+
+
 def fill_section_markers(df: DataFrame, column: str, into: str, group: list[str] | None = None) -> DataFrame:
     """Marker rows go; the marker of each other row, the last one above it, is in column into.
 
-    Without group the table is one sequence and ordered by one task, as the
-    operation needs; with group (a file, a sheet) sequences are independent.
+    With group (a file, a sheet) sequences are independent, else the table is
+    one. Stretches of STRETCH rows are filled by themselves; the last marker
+    before a stretch is carried over from a table with one row a stretch, so no
+    task gets more rows than that of a sequence.
     """
-    order = Window.partitionBy(*(group or [])).orderBy(ROW).rowsBetween(Window.unboundedPreceding, 0)
-    marked = df.withColumn("_m", is_marker_row(df.drop(*(group or [])), column))
-    filled = marked.withColumn(into, F.last(F.when(F.col("_m"), F.col(f"`{column}`")), ignorenulls=True).over(order))
-    return filled.where("not _m").drop("_m")
+    keys = group or []
+    marked = df.withColumn("_m", F.when(is_marker_row(df.drop(*keys), column), F.col(f"`{column}`"))).withColumn("_s", F.floor(F.col(ROW) / STRETCH))
+    last = marked.groupBy(*keys, "_s").agg(F.max_by("_m", F.when(F.col("_m").isNotNull(), F.col(ROW))).alias("_last"))
+    before = Window.partitionBy(*keys).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select(*(F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_s").alias("_t"), F.last("_last", ignorenulls=True).over(before).alias("_before"))
+    same = reduce(lambda a, b: a & b, [F.col(f"`{k}`").eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], F.col("_s") == F.col("_t"))
+    order = Window.partitionBy(*keys, "_s").orderBy(ROW).rowsBetween(Window.unboundedPreceding, 0)
+    filled = marked.join(carried, same).withColumn(into, F.coalesce(F.last("_m", ignorenulls=True).over(order), "_before"))
+    return filled.where("_m is null").drop("_m", "_s", "_t", "_before", *(f"_k{i}" for i in range(len(keys))))
 
 
 def merge_bilingual_pairs(df: DataFrame, label: str, values: list[str], start: int = 0, same_data: bool = True, second_names: dict[str, str] | None = None) -> DataFrame:

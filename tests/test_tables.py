@@ -48,9 +48,13 @@ def test_profile(spark):
 
 
 def test_delimiters(spark):
-    df = numbered(spark, ["c"], [(f"x{i} - y (z)" if i % 2 else f"x{i} - y",) for i in range(20)])
+    df = numbered(spark, ["c"], [(f"x{i} - y (z)" if i % 2 else f"x{i} - y" + ";" * (i // 2),) for i in range(20)])
     found = {r["delimiter"]: r for r in P.delimiters(P.first_values(df, ROW, 20)).collect()}
     assert found[" - "]["share"] == 1 and found[" - "]["num_parts"] == 2 and found["("]["share"] == 0.5 and "|" not in found
+    assert (found[" - "]["name"], found[" - "]["frequency"], found[" - "]["sample_split"]) == ("space-dash-space", 20, ["x0", "y"])
+    assert found["("]["sample_split"] is None and found["("]["num_parts"] == 2
+    uneven = {r["delimiter"]: r for r in P.delimiters(P.first_values(numbered(spark, ["c"], [("a;b",), ("a;b;c",), ("d",)]), ROW, 20)).collect()}
+    assert (uneven[";"]["is_consistent"], uneven[";"]["num_parts"], uneven[";"]["frequency"]) == (False, None, 2)
 
 
 def test_header_and_unpivot(spark):
@@ -66,6 +70,11 @@ def test_header_and_unpivot(spark):
 def test_markers_pairs_totals(spark):
     df = numbered(spark, ["a", "n", "m"], [("2018", None, None), ("x", 1, 2), ("y", 3, 4), ("2019", None, None), ("x", 5, 6)])
     assert [r["s"] for r in tidy.fill_section_markers(df, "a", "s").orderBy(ROW).collect()] == ["2018", "2018", "2019"]
+    tall = spark.range(200_000).select(F.col("id").alias(ROW), F.when(F.col("id").isin(3, 70_000), F.concat(F.lit("S"), "id")).otherwise("x").alias("a"), F.when(~F.col("id").isin(3, 70_000), F.col("id")).alias("n"))
+    filled = tidy.fill_section_markers(tall, "a", "s").groupBy("s").count().collect()
+    assert {r["s"]: r["count"] for r in filled} == {None: 3, "S3": 69_996, "S70000": 129_999}
+    two = tall.where(f"{ROW} < 5").crossJoin(spark.createDataFrame([("p",), (None,)], "g string"))
+    assert {(r["g"], r["s"]) for r in tidy.fill_section_markers(two.withColumn("a", F.concat("a", F.coalesce("g", F.lit("-")))), "a", "s", ["g"]).where(f"{ROW} = 4").collect()} == {("p", "S3p"), (None, "S3-")}
     pairs = numbered(spark, ["label", "n"], [("男", 10), ("Male", 40), ("女", 20), ("Female", 60)])
     assert plain(tidy.merge_bilingual_pairs(pairs, "label", ["n"], same_data=False, second_names={"n": "pct"})) == [(0, "男", "Male", 10, 40), (1, "女", "Female", 20, 60)]
     labels = numbered(spark, ["l"], [("a",), (" Total ",), ("Other",), (None,), ("合計",)])
