@@ -68,30 +68,35 @@ class Codec:
             return bytes([int(piece[3:-1], 16)])
         return b"" if self.model.is_control(i) or self.model.is_unknown(i) else piece.encode()
 
-    def _segment(self, chunks: list[str]) -> None:
-        """Adds chunks to the table: they are segmented in one call, end to end, and cut where each ends.
+    def _segment(self, keys: list[str]) -> None:
+        """Adds chunks, named without their first marker, to the table: they are segmented in one call, end to end, and cut where each ends.
 
         Chunks of markers only would merge with the next; each is segmented behind a letter.
         """
         lead = self.model.encode("a")
-        for chunk in [c for c in chunks if c[-1] == MARK]:
-            ids = self.model.encode("a" + chunk)[len(lead) :]
-            self.table[chunk] = (np.array(ids, "<u4").tobytes(), b"".join([self.plain[i] for i in ids]))
-        chunks = [c for c in chunks if c[-1] != MARK]
-        if not chunks:
+        for key in [k for k in keys if not k or k[-1] == MARK]:
+            ids = self.model.encode("a" + MARK + key)[len(lead) :]
+            self.table[key] = (np.array(ids, "<u4").tobytes(), b"".join([self.plain[i] for i in ids]))
+            self.sizes[key] = len(ids)
+        keys = [k for k in keys if k and k[-1] != MARK]
+        if not keys:
             return
-        ids = np.array(self.model.encode("".join(chunks)[1:]), np.int64)
-        ends = np.searchsorted(np.cumsum(self.marked_size[ids]), np.cumsum([len(c.encode("utf-8", "surrogatepass")) for c in chunks])) + 1
+        ids = np.array(self.model.encode(MARK.join(keys)), np.int64)
+        ends = np.searchsorted(np.cumsum(self.marked_size[ids]), np.cumsum([len(k.encode("utf-8", "surrogatepass")) + len(MARK.encode()) for k in keys])) + 1
         decoded = b"".join([self.plain[i] for i in ids.tolist()])
         sizes = np.concatenate(([0], np.cumsum(self.plain_size[ids])))
         raw, at = ids.astype("<u4").tobytes(), 0
-        for chunk, end, a, b in zip(chunks, ends.tolist(), sizes[np.concatenate(([0], ends[:-1]))].tolist(), sizes[ends].tolist()):
-            self.table[chunk] = (raw[4 * at : 4 * end], decoded[a:b])
+        for key, end, a, b in zip(keys, ends.tolist(), sizes[np.concatenate(([0], ends[:-1]))].tolist(), sizes[ends].tolist()):
+            self.table[key] = (raw[4 * at : 4 * end], decoded[a:b])
+            self.sizes[key] = end - at
             at = end
 
     def _chunks(self, text: str) -> list[str]:
-        """The text's chunks in order; all of them are in the table then."""
-        chunks = _CHUNK.findall(MARK + text.replace(" ", MARK))
+        """The text's chunks in order, each without its first marker; all of them are in the table then."""
+        if "  " in text or MARK in text or text[0] == " " or text[-1] == " ":
+            chunks = [c[1:] for c in _CHUNK.findall(MARK + text.replace(" ", MARK))]
+        else:
+            chunks = text.split(" ")
         new = [c for c in set(chunks) if c not in self.table]
         if new:
             if len(self.table) + len(new) > TABLE:
@@ -99,7 +104,6 @@ class Codec:
                 self.sizes.clear()
                 new = list(set(chunks))
             self._segment(new)
-            self.sizes.update((c, len(self.table[c][0]) // 4) for c in new)
         return chunks
 
     def count(self, text: str | None) -> int:
