@@ -48,6 +48,8 @@ def nulls(df: DataFrame) -> DataFrame:
 def statistics(df: DataFrame) -> DataFrame:
     """column, min, max, mean, median and population std of numeric columns, in one pass; the median is exact."""
     names = [c for c, t in df.dtypes if t in NUMERIC or t.startswith("decimal")]
+    if not names:
+        return df.sparkSession.createDataFrame([], "column string, min double, max double, mean double, median double, std double")
     functions = {"min": F.min, "max": F.max, "mean": F.avg, "median": F.median, "std": F.stddev_pop}
     one = df.agg(*(f(F.col(f"`{c}`").cast("double")).alias(f"_{i}_{n}") for i, c in enumerate(names) for n, f in functions.items()))
     each = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), *(F.col(f"_{i}_{n}").alias(n) for n in functions)) for i, c in enumerate(names))))

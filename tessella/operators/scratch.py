@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A key with more than one in HOT of all rows is joined by broadcast; there are fewer than HOT of them.
@@ -35,20 +35,29 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, **totals: Column) -> DataFrame:
     """Writes df once as Parquet in the scratch folder and reads it back.
 
     Cuts the lineage in a form that survives a lost executor, and gives the
     planner the true size, so that joins are broadcast only below the
-    session's threshold.
+    session's threshold. totals are aggregates that are taken while it is
+    written; total() reads them.
     """
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._scratch_path = path
+    path, schema = new_path(df.sparkSession, name), df.schema
+    if "n" in df.columns:
+        totals |= {"n": F.sum("n"), "least_n": F.min("n"), "most_n": F.max("n")}
+    seen = Observation() if totals else None
+    (df.observe(seen, *(x.alias(k) for k, x in totals.items())) if totals else df).write.parquet(path)
+    out = df.sparkSession.read.schema(schema).parquet(path)
+    out._scratch_path, out._scratch_totals = path, seen.get if seen else {}
     return out
 
 
+def total(table: DataFrame, name: str) -> object:
+    """An aggregate that materialize() took of the table."""
+    return table._scratch_totals[name]
+
+
 def _drop(path: str) -> None:
     spark = _MADE.pop(path, None)
     if spark is None or spark.sparkContext._jsc is None:
@@ -91,7 +100,12 @@ def join_counted(rows: DataFrame, table: DataFrame, keys: list[str], how: str =
     fewer than HOT by that, are broadcast, so a task never gets all rows of a
     hot key; all other keys go through a shuffle.
     """
-    total = table.agg(F.sum("n")).first()[0] or 0
-    hot, rest = table.where(F.col("n") * HOT > total).drop("n"), table.where(F.col("n") * HOT <= total).drop("n")
+    rows_in_all, least, most = (total(table, x) or 0 for x in ("n", "least_n", "most_n"))
+    plain = table.drop("n")
+    if most * HOT <= rows_in_all:
+        return rows.join(plain, keys, how)
+    if least * HOT > rows_in_all:
+        return rows.join(F.broadcast(plain), keys, how)
+    hot, rest = table.where(F.col("n") * HOT > rows_in_all).drop("n"), table.where(F.col("n") * HOT <= rows_in_all).drop("n")
     few = F.broadcast(hot.select(*keys))
     return rows.join(F.broadcast(hot), keys).unionByName(rows.join(few, keys, "left_anti").join(rest, keys, how))

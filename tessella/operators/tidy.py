@@ -91,10 +91,15 @@ def drop_aggregate_columns(df: DataFrame, names: list[str] | None = None) -> Dat
     return df.drop(*(names if names is not None else [c for c in df.columns if is_aggregate_name(c)]))
 
 
+def is_total_row(columns: list[str], labels: list[str] = TOTAL_LABELS) -> Column:
+    """Whether a row has a total's label in any of these columns."""
+    low = [x.lower() for x in labels]
+    return reduce(lambda a, b: a | b, [F.coalesce(F.lower(F.trim(F.col(f"`{c}`").cast("string"))).isin(low), F.lit(False)) for c in columns])
+
+
 def drop_total_rows(df: DataFrame, columns: list[str], labels: list[str] = TOTAL_LABELS) -> DataFrame:
     """Without rows that have a total's label in any of these columns; Other and Unknown are rows like any."""
-    hit = reduce(lambda a, b: a | b, [F.coalesce(F.lower(F.trim(F.col(f"`{c}`").cast("string"))).isin([x.lower() for x in labels]), F.lit(False)) for c in columns])
-    return df.where(~hit)
+    return df.where(~is_total_row(columns, labels))
 
 
 def _filled(df: DataFrame, c: str) -> Column:

@@ -219,19 +219,22 @@ def _encode(e: Encoding, cells: DataFrame, options: Options, file_name: str | No
 
 
 def readable_text(name: str, encoding: dict, metrics: dict, values: int = 20, ranges: int = 5, formats: int = 10, format_ranges: int = 3) -> str:
-    """A sheet's encoding as text for people: head, region, anchors, values and formats, each cut short."""
+    """A sheet's encoding as text for people: head, region, anchors, values and formats, each cut short, with counts of what is left."""
 
     def some(items: list[str], most: int) -> str:
         rest = len(items) - most
         return ", ".join(items[:most]) + (f" (+{rest} more)" if rest > 0 else "")
 
+    def part(title: str, entries: dict, most: int, each: int, longest: int) -> list[str]:
+        lines = [f"  {key[:longest] + '...' if len(key) > longest else key}: {some(at, each)}" for key, at in list(entries.items())[:most]]
+        rest = len(entries) - most
+        return ["", title, *lines, *([f"  ... and {rest} more"] if rest > 0 else [])]
+
     anchors = encoding.get("structural_anchors", {})
     lines = ["=" * 60, f"SHEET {name}", f"Compression Ratio: {metrics.get('overall_ratio', 0):.2f}×", "=" * 60]
     if encoding.get("region"):
         r = encoding["region"]
         lines += ["", f"REGION: {R.a1(r['min_row'], r['min_col'], r['max_row'], r['max_col'])}"]
-    lines += ["", "STRUCTURAL ANCHORS", f"  Rows: {anchors.get('rows', [])}", f"  Columns: {anchors.get('columns', [])}", "", "CELL VALUES"]
-    lines += [f"  {v[:80]}: {some(at, ranges)}" for v, at in list(encoding.get("cells", {}).items())[:values]]
-    lines += ["", "FORMAT REGIONS"]
-    lines += [f"  {f}: {some(at, format_ranges)}" for f, at in list(encoding.get("formats", {}).items())[:formats]]
-    return "\n".join(lines)
+    lines += ["", "STRUCTURAL ANCHORS", f"  Rows: {anchors.get('rows', [])}", f"  Columns: {anchors.get('columns', [])}"]
+    lines += part("CELL VALUES", encoding.get("cells", {}), values, ranges, 80)
+    return "\n".join(lines + part("FORMAT REGIONS", encoding.get("formats", {}), formats, format_ranges, 80))

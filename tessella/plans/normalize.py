@@ -14,7 +14,7 @@ from ..sources import tables
 from . import encode as E
 from . import planner as pl
 from .plan import Plan
-from .validate import feedback, validate
+from .validate import Report, feedback, validate
 
 
 @dataclass
@@ -41,7 +41,7 @@ class Config:
 class Result:
     table: DataFrame
     plan: Plan
-    validation: dict
+    validation: Report
     log: dict
     output: str | None
     intermediate: dict
@@ -71,9 +71,12 @@ class Normalizer:
         first = next(iter(encoding["sheets"]), "")
         return self._described(table, encoding, first, encoding["compression_metrics"]["sheets"].get(first, {}))
 
-    def _described(self, table: DataFrame, encoding: dict, first: str, sizes: dict) -> dict:
+    def _described(self, table: DataFrame, encoding: dict, sheet: str, sizes: dict) -> dict:
         columns = [r.asDict(True) for r in P.profile(table, ROW, self.config.max_unique_values).orderBy("ordinal").collect()]
         shape = (columns[0]["n_rows"] if columns else 0, len(columns))
+        first: dict = {}
+        for r in sorted(P.first_values(table, ROW, 3).collect(), key=lambda r: r["rank"]):
+            first.setdefault(r["column"], []).append(r["value"][:50])
         metadata = {
             "original_shape": shape,
             "column_names": [c["column"] for c in columns],
@@ -81,10 +84,11 @@ class Normalizer:
             "null_counts": {c["column"]: c["n_null"] for c in columns},
             "compression_ratio": sizes.get("overall_ratio", 0),
             "compression_stages": sizes,
+            "sample_values": {c["column"]: first.get(c["column"], []) for c in columns},
             "columns": columns,
             "issues": [f"Multi-language column: {c}" for c in P.multi_language_columns(table.drop(ROW))],
         }
-        text = E.readable_text(first, encoding["sheets"].get(first, {}), sizes)
+        text = E.readable_text(sheet, encoding["sheets"].get(sheet, {}), sizes)
         return {"encoded_text": text, "metadata": metadata, "original_shape": shape, "encoding": encoding, "dataframe": table}
 
     def normalize(self, path: str, output: str | None = None) -> Result:
@@ -97,22 +101,19 @@ class Normalizer:
             self._keep("01_encoded_data.json", {"metadata": encoded["metadata"], "encoded_text_preview": encoded["encoded_text"][:2000]})
 
             analysis = self.planner.analyze(table)
-            log["stages"]["structure_analysis"] = {
-                "status": "success", "has_bilingual": analysis["row_patterns"]["has_bilingual_rows"], "has_section_markers": analysis["row_patterns"]["has_section_markers"],
-                "has_implicit_aggregation": analysis["implicit_aggregation"]["has_implicit_aggregation"], "transformation_complexity": analysis["transformation_complexity"],
-            }
-            self._keep("02_structure_analysis.json", analysis)
+            log["stages"]["structure_analysis"] = {"status": "success", "transformation_complexity": analysis.complexity, "findings": analysis.findings}
+            self._keep("02_structure_analysis.json", analysis.document())
 
             schema = self.planner.schema(table, analysis)
-            log["stages"]["schema_estimation"] = {"status": "success", "observation_unit": schema["observation_unit"].get("description", "unknown"), "num_target_columns": len(schema["target_columns"]), "expected_rows": schema["expected_output"]["row_count_estimate"]}
-            self._keep("03_schema.json", schema)
+            log["stages"]["schema_estimation"] = {"status": "success", "observation_unit": schema.unit, "num_target_columns": len(schema.columns), "expected_rows": schema.rows}
+            self._keep("03_schema.json", schema.document())
 
-            result, plan, checked, attempts = self._transform(table, analysis, schema, encoded["original_shape"])
-            log["stages"]["transformation"] = {"status": "success", "output_shape": checked["actual_shape"], "validation": checked, "attempts": attempts}
+            result, plan, checked, attempts = self._transform(table, analysis, schema)
+            log["stages"]["transformation"] = {"status": "success", "output_shape": checked.shape, "validation": checked.document(), "attempts": attempts}
             self._keep("04_transformation_plan.json", plan.steps)
 
             target = output or str(Path(self.config.output_dir) / "normalized_output.csv")
-            log["output_file"] = tables.save(result, target, self.config.output_format)
+            log["output_file"] = tables.save(result, target, self.config.output_format, self.config.output_encoding)
             log |= {"end_time": time.strftime("%Y-%m-%d %H:%M:%S"), "elapsed_seconds": round(time.time() - began, 2), "status": "success"}
             self._keep("pipeline_log.json", log)
             return Result(result, plan, checked, log, log["output_file"], {"encoded_data": encoded, "structure_analysis": analysis, "schema": schema})
@@ -121,21 +122,22 @@ class Normalizer:
             self._keep("pipeline_log.json", log)
             raise
 
-    def _transform(self, table: DataFrame, analysis: dict, schema: dict, shape: tuple[int, int]) -> tuple[DataFrame, Plan, dict, int]:
-        """Plans, applies and validates until the result is valid; the last attempt stands as it is."""
+    def _transform(self, table: DataFrame, analysis: pl.Analysis, schema: pl.Schema) -> tuple[DataFrame, Plan, Report, int]:
+        """Plans, applies and validates until the result is valid; the last attempt stands as it is, a plan that fails is put aside for none."""
         plan = self.planner.plan(table, analysis, schema)
         for attempt in range(1, self.config.max_retries + 1):
+            last = attempt == self.config.max_retries
             try:
                 result = plan.apply(table)
                 checked = validate(result, schema)
             except Exception:
-                if attempt == self.config.max_retries:
+                if last:
                     raise
-                plan = pl.default_plan()
+                plan = Plan()
                 continue
-            if checked["is_valid"] or attempt == self.config.max_retries:
+            if checked.is_valid or last:
                 break
-            plan = self.planner.repair(table, analysis, schema, plan, feedback(checked, shape, result.columns))
+            plan = self.planner.repair(table, analysis, schema, plan, feedback(checked))
         return result, plan, checked, attempt
 
     def _keep(self, name: str, value: object) -> None:
@@ -149,5 +151,7 @@ def summary(result: Result) -> str:
     log = result.log
     lines = [f"Input: {log['input_file']}", f"Output: {log.get('output_file')}", f"Time: {log.get('elapsed_seconds')} s"]
     lines += [f"{stage}: " + ", ".join(f"{k}={v}" for k, v in entry.items() if k != "validation") for stage, entry in log["stages"].items()]
-    lines += [f"Valid: {result.validation['is_valid']}", *(f"  error: {e}" for e in result.validation["errors"]), *(f"  warning: {w}" for w in result.validation["warnings"])]
+    lines.append(f"Valid: {result.validation.is_valid}")
+    lines += [f"  {c.name}: {c.found}, wanted {c.wanted}; {c.advice}" for c in result.validation.failed]
+    lines += [f"  {column}: {share} % nulls" for column, share in result.validation.mostly_null.items()]
     return "\n".join(lines)

@@ -1,4 +1,4 @@
-"""Checks of a result against its target schema, and feedback from what failed.
+"""Checks of a result against its target schema, and what to do about those that fail.
 
 A sample row is looked for by a filter on the result, whatever order or index
 its rows have.
@@ -6,12 +6,50 @@ its rows have.
 
 from __future__ import annotations
 
+from dataclasses import asdict, dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import cells as C
 from ..operators.tidy import ROW
+from .analysis import Schema
+
+#: A result with fewer rows than this part of the expected ones is wrong, one with more than this multiple is doubtful.
+FEWEST, MOST = 0.5, 2
+#: Percent of nulls above which a column is named.
+MANY_NULLS = 50
+
+
+@dataclass
+class Check:
+    name: str
+    passed: bool
+    found: object = None
+    wanted: object = None
+    #: Whether the result can stand though the check has failed.
+    doubtful: bool = False
+    advice: str = ""
+
+
+@dataclass
+class Report:
+    checks: list[Check]
+    shape: tuple[int, int]
+    #: Percent of nulls of the columns that have many.
+    mostly_null: dict[str, float] = field(default_factory=dict)
+
+    @property
+    def is_valid(self) -> bool:
+        return all(c.passed or c.doubtful for c in self.checks)
+
+    @property
+    def failed(self) -> list[Check]:
+        return [c for c in self.checks if not c.passed]
+
+    def document(self) -> dict:
+        return {"is_valid": self.is_valid, "shape": self.shape, "checks": [asdict(c) for c in self.checks], "mostly_null": self.mostly_null}
 
 
 def _matches(column: str, expected, dtype: str) -> Column:  # noqa: ANN001
@@ -19,74 +57,36 @@ def _matches(column: str, expected, dtype: str) -> Column:  # noqa: ANN001
     if expected is None or expected != expected:
         return found.isNull()
     if isinstance(expected, (int, float)) and not isinstance(expected, bool):
-        return F.coalesce(F.abs(found.try_cast("double") - float(expected)) < 0.01, F.lit(False))
+        return F.coalesce(C.same_value(found, F.lit(float(expected))), F.lit(False))
     return F.coalesce(found.cast("string") == str(expected), F.lit(False))
 
 
-def validate(df: DataFrame, schema: dict) -> dict:
-    """is_valid, errors, warnings and checks_performed. One pass over the result counts everything."""
-    df = df.drop(ROW)
-    errors, warnings, checks = [], [], []
+def validate(df: DataFrame, schema: Schema | dict) -> Report:
+    """One pass over the result counts all that the checks need."""
+    df, schema = df.drop(ROW), Schema.of(schema)
     kinds = dict(df.dtypes)
-    samples = [s for s in schema.get("validation_samples", []) if s.get("expected_row")]
-    conditions = [
-        reduce(lambda a, b: a & b, [_matches(c, v, kinds[c]) for c, v in s["expected_row"].items() if c in kinds], F.lit(True)) for s in samples
+    samples = [s for s in schema.samples if s.get("expected_row")]
+    rows = [reduce(lambda a, b: a & b, [_matches(c, v, kinds[c]) for c, v in s["expected_row"].items() if c in kinds], F.lit(True)) for s in samples]
+    nulls = [F.count_if(F.col(f"`{c}`").isNull()) for c in df.columns]
+    n, *counts = df.agg(F.count("*"), *nulls, *(F.count_if(x) for x in rows)).first()
+    null_counts, hits = counts[: len(nulls)], counts[len(nulls) :]
+
+    missing = [c for c in schema.names if c not in kinds]
+    extra = [c for c in df.columns if c not in schema.names]
+    checks = [
+        Check("rows", n > 0, n, advice="look for a filter that takes everything"),
+        Check("columns", not missing, list(df.columns), schema.names, advice=f"add steps that make {missing}; not asked for: {extra}"),
     ]
-    one = df.agg(
-        F.count("*").alias("n"),
-        *(F.count_if(F.col(f"`{c}`").isNull()).alias(f"null_{i}") for i, c in enumerate(df.columns)),
-        *(F.count_if(x).alias(f"hit_{i}") for i, x in enumerate(conditions)),
-    ).first()
-    n = one["n"]
-
-    if not n:
-        errors.append("Result DataFrame is empty")
-    checks.append({"check": "not_empty", "passed": n > 0})
-
-    wanted = [c["name"] for c in schema.get("target_columns", [])]
-    missing, extra = [c for c in wanted if c not in kinds], [c for c in df.columns if c not in wanted]
-    if missing:
-        errors.append(f"Missing columns: {missing}")
-    if extra:
-        warnings.append(f"Extra columns: {extra}")
-    checks.append({"check": "columns_match", "passed": not missing, "missing": missing, "extra": extra})
-
-    expected = schema.get("expected_output", {}).get("row_count_estimate", 0) or 0
-    ratio = n / expected if expected > 0 else 1
-    if ratio < 0.5:
-        errors.append(f"Row count too low: {n} vs expected {expected}")
-    elif ratio > 2:
-        warnings.append(f"Row count higher than expected: {n} vs expected {expected}")
-    checks.append({"check": "row_count", "passed": 0.5 <= ratio <= 2, "actual": n, "expected": expected})
-
-    for i, sample in enumerate(samples):
-        name, hit = sample.get("description", "Sample validation"), one[f"hit_{i}"] > 0
-        checks.append({"check": "semantic_sample", "description": name, "expected": sample["expected_row"], "passed": hit, "error": None if hit else "No matching row found"})
-        if not hit:
-            errors.append(f"Sample validation failed: {name}")
-    for i, c in enumerate(df.columns):
-        share = one[f"null_{i}"] / n * 100 if n else 0
-        if share > 50:
-            warnings.append(f"Column '{c}' has {share:.1f}% null values")
-    return {"is_valid": not errors, "errors": errors, "warnings": warnings, "checks_performed": checks, "actual_shape": (n, len(df.columns)), "expected_shape": (expected, len(wanted))}
-
-
-def feedback(result: dict, source_shape: tuple[int, int], columns: list[str]) -> dict:
-    """A diagnosis and a suggestion for each check that failed."""
-    issues = []
-    for check in result["checks_performed"]:
-        if check.get("passed", True):
-            continue
-        diagnosis = suggestion = None
-        if check["check"] == "row_count":
-            lost = check["expected"] - check["actual"]
-            if lost > 0:
-                diagnosis, suggestion = f"{lost} rows are missing", "see whether the data region begins too late, a filter takes too much, or a pair merge drops rows"
-            else:
-                diagnosis, suggestion = f"{-lost} rows too many", "see whether an unpivot repeats values, or total rows are left"
-        elif check["check"] == "columns_match":
-            diagnosis, suggestion = f"columns are missing: {check['missing']}", f"add steps that make {check['missing']}"
-        elif check["check"] == "semantic_sample":
-            diagnosis, suggestion = f"a sample row is not there: {check.get('error')}", "see which source columns the values come from"
-        issues.append({"check_type": check["check"], "details": check, "diagnosis": diagnosis, "suggested_fix": suggestion})
-    return {"status": "VALIDATION_FAILED" if issues else "VALID", "issues": issues, "debugging_info": {"result_shape": result["actual_shape"], "result_columns": columns, "source_shape": source_shape}}
+    if schema.rows > 0:
+        few = n < FEWEST * schema.rows
+        advice = "the region may begin late, or a filter or a pairing take too much" if few else "an unpivot may repeat values, or sums be left"
+        checks.append(Check("row_count", FEWEST * schema.rows <= n <= MOST * schema.rows, n, schema.rows, doubtful=not few, advice=advice))
+    for sample, hit in zip(samples, hits):
+        checks.append(Check("sample", hit > 0, hit, sample["expected_row"], advice=f"see which columns {sample.get('description', 'its values')} come from"))
+    shares = {c: round(100 * k / n, 1) for c, k in zip(df.columns, null_counts) if n}
+    return Report(checks, (n, len(df.columns)), {c: share for c, share in shares.items() if share > MANY_NULLS})
+
+
+def feedback(report: Report) -> list[dict]:
+    """For each check that failed: its name, what was found and wanted, and what to do."""
+    return [{"check": c.name, "found": c.found, "wanted": c.wanted, "advice": c.advice} for c in report.failed]

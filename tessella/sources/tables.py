@@ -217,10 +217,10 @@ def write_csv(df: DataFrame, folder: str, encoding: str = "UTF-8") -> None:
     df.write.mode("overwrite").csv(folder, header=True, encoding=encoding)
 
 
-def save(df: DataFrame, path: str, kind: str = "csv") -> str:
+def save(df: DataFrame, path: str, kind: str = "csv", encoding: str = "utf-8") -> str:
     """One file for people, .csv or .xlsx, in the order of rows; rows stream through the driver one partition at a time.
 
-    A .xlsx path with kind csv gets CSV text.
+    A .xlsx path with kind csv gets CSV text, in the given encoding. For tables of any size take write_csv().
     """
     import csv
 
@@ -231,7 +231,7 @@ def save(df: DataFrame, path: str, kind: str = "csv") -> str:
     if kind == "xlsx" and path.lower().endswith(".xlsx"):
         xlsx.write(path, names, rows)
         return path
-    with open(path, "w", newline="", encoding="utf-8-sig" if kind == "csv-bom" else "utf-8") as f:
+    with open(path, "w", newline="", encoding="utf-8-sig" if kind == "csv-bom" else encoding) as f:
         out = csv.writer(f)
         out.writerow(names)
         out.writerows(rows)

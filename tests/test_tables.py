@@ -118,23 +118,24 @@ def test_validate_and_feedback(spark):
     df = numbered(spark, ["a", "n"], [("x", 1), ("y", None), ("z", None)])
     schema = {"target_columns": [{"name": "a"}, {"name": "n"}, {"name": "m"}], "expected_output": {"row_count_estimate": 10}, "validation_samples": [{"expected_row": {"a": "x", "n": 1.004, "gone": 3}}, {"description": "d", "expected_row": {"a": "q"}}]}
     found = validate(df, schema)
-    assert not found["is_valid"] and len(found["errors"]) == 3 and [c["passed"] for c in found["checks_performed"]] == [True, False, False, True, False]
-    assert any("null" in w for w in found["warnings"])
-    assert [i["check_type"] for i in feedback(found, (3, 2), ["a", "n"])["issues"]] == ["columns_match", "row_count", "semantic_sample"]
+    assert not found.is_valid and [c.passed for c in found.checks] == [True, False, False, True, False]
+    assert found.mostly_null == {"n": 66.7} and found.shape == (3, 2)
+    assert [x["check"] for x in feedback(found)] == ["columns", "row_count", "sample"]
     many = validate(df, {"expected_output": {"row_count_estimate": 1}})
-    assert many["is_valid"] and not many["checks_performed"][2]["passed"]
-    assert not validate(df.limit(0), {})["is_valid"]
+    assert many.is_valid and not many.checks[2].passed
+    assert not validate(df.limit(0), {}).is_valid
 
 
 def test_rule_planner(spark):
     df = numbered(spark, ["Store", "Product", "Total", "Jan", "Feb", "Mar"], [("s", "p", 6, 1, 2, 3), ("s", "q", 15, 4, 5, 6), ("Total", None, 21, 5, 7, 9)])
     planner = pl.RulePlanner()
     analysis = planner.analyze(df)
-    assert analysis["column_patterns"]["aggregate_columns"][0]["name"] == "Total" and analysis["row_patterns"]["total_row_indices"] == [2]
+    assert analysis.aggregate_columns == ["Total"] and analysis.total_rows == [2] and analysis.header_rows == []
     schema = planner.schema(df, analysis)
     result = planner.plan(df, analysis, schema).apply(df)
-    assert schema["expected_output"]["row_count_estimate"] == 6 == result.count() and validate(result, schema)["is_valid"]
+    assert schema.rows == 6 == result.count() and validate(result, schema).is_valid
     assert result.columns == ["store", "product", "variable", "value"]
+    assert "Total" not in pl.described(analysis, schema) and "6 rows" in pl.described(analysis, schema)
 
 
 @pytest.mark.parametrize("sections", [20, 150])
@@ -145,26 +146,68 @@ def test_all_markers_and_totals_are_counted(spark, sections):
     analysis = planner.analyze(df)
     schema = planner.schema(df, analysis)
     result = planner.plan(df, analysis, schema).apply(df)
-    assert schema["expected_output"]["row_count_estimate"] == sections == result.count() and validate(result, schema)["is_valid"]
-    assert analysis["row_patterns"]["total_row_count"] == sections + 1 == analysis["row_patterns"]["marker_row_count"]
+    assert schema.rows == sections == result.count() and validate(result, schema).is_valid
+    assert analysis.left_out == 2 * sections + 1
 
 
 def test_totals_of_many_sections_are_left_out(spark, tmp_path):
     path = tmp_path / "in.csv"
     path.write_text("a,n,m\n" + "".join(f"Section {k},,\nitem {k},1,2\nSubtotal,1,2\n" for k in range(150)))
     result = N.Normalizer(spark, N.Config(output_dir=str(tmp_path / "out"))).normalize(str(path))
-    assert result.validation["is_valid"] and result.table.count() == 150
+    assert result.validation.is_valid and result.table.count() == 150
     assert result.table.where(F.lower("a") == "subtotal").count() == 0
 
 
-def test_defaults_and_model_planner(spark):
+def test_header_rows():
+    names = ["Report", "Unnamed: 1", "Unnamed: 2", "Unnamed: 3"]
+    blank, body = [None] * 4, ["x", "y", "1", "2.5"]
+    assert pl.header_rows(names, [blank, ["a", "b", "c", "d"], body, body]) == [1]
+    assert pl.header_rows(names, [["title", None, None, None], [None, "P", "North", "South"], ["C", None, "Q1", "Q2"], body]) == [1, 2]
+    assert pl.header_rows(names, [["a", "b", "2019", "2020"], body]) == [0]
+    assert pl.header_rows(["a", "b", "c", "d"], [["a", "b", "c", "d"], body]) == []
+    assert pl.header_rows(names, [["a", "b", "c", "d"]] * 3) == [] and pl.header_rows(names, []) == []
+
+
+def test_titled_sheet_with_two_header_levels(spark, tmp_path):
+    """From a workbook in a file:// store to a tidy table: title, two levels, thousands, a total, a note, spellings."""
+    path = f"{tmp_path}/report.xlsx"
+    rows = [
+        (None, None, None, None, None), ("Category", "Product", "Sales", None, "Stock"), (None, None, "Q1", "Q2", "Q1"), ("Food", "Rice", "1,200", 3, 7),
+        ("food ", "Oil", 4, "n/a", 8), ("Food", "Salt", 5, 6, 9), ("Total", None, 9, 9, 24), ("Source: office", None, None, None, None),
+    ]
+    xlsx.write(path, ["Report 2020", "", "", "", ""], iter(rows))
+    result = N.Normalizer(spark, N.Config(output_dir=str(tmp_path / "out"))).normalize(f"file://{path}")
+    assert result.validation.is_valid and [s["operator"] for s in result.plan.steps][:3] == ["promote_header", "slice_region", "cast_types"]
+    found = sorted(tuple(r) for r in result.table.drop(ROW).collect())
+    assert result.table.drop(ROW).columns == ["category", "product", "variable", "sales", "stock"]
+    assert found == [("Food", "Oil", "Q1", 4, 8), ("Food", "Oil", "Q2", None, None), ("Food", "Rice", "Q1", 1200, 7), ("Food", "Rice", "Q2", 3, None), ("Food", "Salt", "Q1", 5, 9), ("Food", "Salt", "Q2", 6, None)]
+
+
+def test_sums_that_name_themselves_are_excluded(spark):
+    df = numbered(spark, ["area", "n"], [("All - north", 1), ("All - south", 2), ("All", 3), ("x", 4)])
+    planner = pl.RulePlanner()
+    analysis = planner.analyze(df)
+    result = planner.plan(df, analysis, planner.schema(df, analysis)).apply(df)
+    assert sorted(map(tuple, result.collect()), key=str) == sorted([("All", "north", 1), ("All", "south", 2), ("x", None, 4)], key=str)
+
+
+def test_documents_and_model_planner(spark):
     df = numbered(spark, ["a", "b"], [("x", 1), ("y", 2)])
-    assert pl.complete_analysis({"data_region": {"start_row": -3, "end_row": 99}}, 2)["data_region"] == {"start_row": 0, "end_row": 1, "notes": ""}
-    assert pl.default_schema(["a", "b"], 2)["expected_output_columns"] == ["column_0", "column_1"]
-    replies = {"plan": '[{"operator": "slice_region", "start": 1, "end": 1}]'}
-    planner = pl.ModelPlanner(lambda question, context: replies[question], pl.RulePlanner())
+    found = pl.Analysis.of({"data_region": {"start_row": -3, "end_row": 99}, "row_patterns": 5}, ["a", "b"], 2)
+    assert (found.start, found.end, found.id_columns, found.total_rows) == (0, 1, ["a", "b"], [])
+    assert pl.Analysis.of(found.document(), ["a", "b"], 2) == found and found.document()["data_region"] == {"start_row": 0, "end_row": 1}
+    schema = pl.Schema([{"name": "a"}], 2, "all", "row")
+    assert pl.Schema.of(schema.document()) == schema and pl.Schema.of("x") == pl.Schema()
+    asked = []
+
+    def ask(question, context):
+        asked.append((question, context.get("last_error")))
+        return {"plan": '[{"operator": "exec"}]' if asked[-1][1] is None else '[{"operator": "slice_region", "start": 1, "end": 1}]'}[question]
+
+    planner = pl.ModelPlanner(ask, pl.RulePlanner())
     analysis = planner.analyze(df)
     assert planner.plan(df, analysis, planner.schema(df, analysis)).apply(df).count() == 1
+    assert [q for q, _ in asked] == ["structure"] * 2 + ["schema"] * 2 + ["plan"] * 2 and "no operator" in asked[-1][1]
 
 
 def test_xlsx_round_trip(spark, tmp_path):
@@ -232,7 +275,7 @@ def test_pipeline(spark, tmp_path):
     path.write_text("Store,Product,Total,Jan,Feb\ns,p,3,1,2\ns,q,7,3,4\nTotal,,10,4,6\n")
     config = N.Config(output_dir=str(tmp_path / "out"))
     result = N.Normalizer(spark, config).normalize(str(path))
-    assert result.validation["is_valid"] and result.log["status"] == "success" and result.table.count() == 4
+    assert result.validation.is_valid and result.log["status"] == "success" and result.table.count() == 4
     assert {p.name for p in (tmp_path / "out").iterdir()} >= {"01_encoded_data.json", "02_structure_analysis.json", "03_schema.json", "04_transformation_plan.json", "pipeline_log.json", "normalized_output.csv"}
     assert (tmp_path / "out/normalized_output.csv").read_text().splitlines()[0] == "store,product,variable,value"
     assert "Valid: True" in N.summary(result)
