@@ -29,12 +29,29 @@ class Config:
     save_intermediate: bool = True
     output_dir: str = "output"
     max_unique_values: int = 100
+    detect_implicit_aggregates: bool = True
 
     @staticmethod
     def from_dict(raw: dict) -> Config:
-        e, out, log, gen = (raw.get(k) or {} for k in ("encoder", "output", "logging", "generator"))
-        options = E.Options(k=e.get("anchor_neighborhood", 2), detect_subtables=e.get("detect_subtables", True), longest_value=e.get("max_value_len", 200), min_cells=e.get("min_nonempty_cells_for_region", 8), profile=e.get("profile", "v2"))
-        return Config(options, e.get("data_only", True), gen.get("max_retries", 3), out.get("format", "csv"), out.get("encoding", "utf-8"), log.get("save_intermediate", True), log.get("output_dir", "output"), e.get("max_unique_values", 100))
+        e, out, log, gen, analyzer = (raw.get(k) or {} for k in ("encoder", "output", "logging", "generator", "analyzer"))
+        options = E.Options(
+            k=e.get("anchor_neighborhood", 2),
+            detect_subtables=e.get("detect_subtables", True),
+            longest_value=e.get("max_value_len", 200),
+            min_cells=e.get("min_nonempty_cells_for_region", 8),
+            profile=e.get("profile", "v2"),
+        )
+        return Config(
+            options,
+            data_only=e.get("data_only", True),
+            max_retries=gen.get("max_retries", 3),
+            output_format=out.get("format", "csv"),
+            output_encoding=out.get("encoding", "utf-8"),
+            save_intermediate=log.get("save_intermediate", True),
+            output_dir=log.get("output_dir", "output"),
+            max_unique_values=e.get("max_unique_values", 100),
+            detect_implicit_aggregates=analyzer.get("detect_implicit_aggregates", True),
+        )
 
 
 @dataclass
@@ -49,7 +66,8 @@ class Result:
 
 class Normalizer:
     def __init__(self, spark: SparkSession, config: Config | None = None, planner: pl.Planner | None = None) -> None:
-        self.spark, self.config, self.planner = spark, config or Config(), planner or pl.RulePlanner()
+        self.spark, self.config = spark, config or Config()
+        self.planner = planner or (pl.RulePlanner() if self.config.detect_implicit_aggregates else pl.RulePlanner(max_implicit_columns=0))
 
     def encode(self, path: str) -> dict:
         """Encoding of the first sheet as text and metadata, and the table itself."""

@@ -210,14 +210,17 @@ def nonblank_counts(spark, sf):
     return S.occupancy(part_grid(spark, sf), "row").select("row", "n")
 
 
-@query(f"""
+REGIONS_SQL = f"""
+SELECT *, CAST(ROW_NUMBER() OVER (ORDER BY (max_row - min_row + 1) * (max_col - min_col + 1) DESC, min_row DESC, min_col DESC) - 1 AS INT) AS region FROM (
 WITH c AS ({PART_GRID_SQL}), r AS (SELECT row, row - ROW_NUMBER() OVER (ORDER BY row) AS g FROM (SELECT DISTINCT row FROM c)),
 k AS (SELECT col, col - ROW_NUMBER() OVER (ORDER BY col) AS g FROM (SELECT DISTINCT col FROM c)),
 ri AS (SELECT row, MIN(row) OVER (PARTITION BY g) AS a, MAX(row) OVER (PARTITION BY g) AS b FROM r), ki AS (SELECT col, MIN(col) OVER (PARTITION BY g) AS a, MAX(col) OVER (PARTITION BY g) AS b FROM k)
-SELECT ri.a AS min_row, ri.b AS max_row, ki.a AS min_col, ki.b AS max_col, COUNT(*) AS n_cells FROM c JOIN ri USING (row) JOIN ki USING (col) GROUP BY ALL HAVING COUNT(*) >= 8
-""")
+SELECT ri.a AS min_row, ri.b AS max_row, ki.a AS min_col, ki.b AS max_col, COUNT(*) AS n_cells FROM c JOIN ri USING (row) JOIN ki USING (col) GROUP BY ALL HAVING COUNT(*) >= 8)"""
+
+
+@query(REGIONS_SQL)
 def table_regions(spark, sf):
-    return S.table_regions(part_grid(spark, sf)).select("min_row", "max_row", "min_col", "max_col", "n_cells")
+    return S.table_regions(part_grid(spark, sf)).select("region", "min_row", "max_row", "min_col", "max_col", "n_cells")
 
 
 @query(f"""
@@ -308,9 +311,13 @@ def similar_edges(spark, sf):
     return _edges(spark, sf).select("row", "col", "to_row", "to_col")
 
 
+COMPONENTS_SQL = f"""
+RECURSIVE e AS ({EDGES_SQL}), b AS (SELECT row * 100 + col AS u, to_row * 100 + to_col AS v FROM e UNION ALL SELECT to_row * 100 + to_col, row * 100 + col FROM e),
+r(u, v) AS (SELECT DISTINCT u, u FROM b UNION SELECT r.u, b.v FROM r JOIN b ON r.v = b.u), m AS (SELECT u, MIN(v) AS c FROM r GROUP BY u), s AS (SELECT c, COUNT(*) AS n FROM m GROUP BY c HAVING COUNT(*) >= 4)"""
+
+
 @query(f"""
-WITH RECURSIVE e AS ({EDGES_SQL}), b AS (SELECT row * 100 + col AS u, to_row * 100 + to_col AS v FROM e UNION ALL SELECT to_row * 100 + to_col, row * 100 + col FROM e),
-r(u, v) AS (SELECT DISTINCT u, u FROM b UNION SELECT r.u, b.v FROM r JOIN b ON r.v = b.u), m AS (SELECT u, MIN(v) AS c FROM r GROUP BY u), s AS (SELECT c, COUNT(*) AS n FROM m GROUP BY c HAVING COUNT(*) >= 4)
+WITH {COMPONENTS_SQL}
 SELECT CAST(m.u // 100 AS INT) AS row, CAST(m.u % 100 AS INT) AS col, CAST(s.c // 100 AS INT) AS first_row, CAST(s.c % 100 AS INT) AS first_col, s.n AS size FROM m JOIN s USING (c)
 """)
 def components(spark, sf):
@@ -330,7 +337,12 @@ def merged_range_lookup(spark, sf):
     return S.merged_lookup(part_grid(spark, sf), ranges).select("row", "col", "name")
 
 
-@query()
+@query(f"""
+WITH {COMPONENTS_SQL}, g AS ({REGIONS_SQL}), x AS (SELECT s.c, MIN(m.u // 100) AS lo, MAX(m.u // 100) AS hi, MIN(m.u % 100) AS col FROM m JOIN s USING (c) GROUP BY s.c),
+h AS (SELECT region, min_row, max_row, UNNEST([lo, hi]) AS k FROM x JOIN g ON lo BETWEEN min_row AND max_row AND col BETWEEN min_col AND max_col)
+SELECT DISTINCT region, CAST(k AS INT) AS row FROM (SELECT region, UNNEST(generate_series(greatest(k - 2, min_row), least(k + 2, max_row))) AS k FROM h
+UNION ALL SELECT region, UNNEST([min_row, max_row]) FROM g WHERE region NOT IN (SELECT region FROM h))
+""")
 def structural_anchors_v2(spark, sf):
     cells = part_grid(spark, sf)
     regions = S.table_regions(cells)

@@ -189,14 +189,17 @@ def table_from_cells(cells: DataFrame, sheet: str | None = None) -> DataFrame:
         names.append(name if not seen[name] else f"{name}.{seen[name]}")
     kinds = {
         r["col"]: r
-        for r in cells.where("row > 1 and v_str is not null").groupBy("col").agg(F.bool_and(F.col("py_type") == "int").alias("i"), F.bool_and(F.col("py_type").isin("int", "float")).alias("f"), F.bool_and(F.col("py_type") == "bool").alias("b")).collect()
+        for r in cells.where("row > 1 and v_str is not null").groupBy("col").agg(F.bool_and(F.col("py_type") == "int").alias("i"), F.bool_and(F.col("py_type").isin("int", "float")).alias("f"), F.bool_and(F.col("py_type") == "bool").alias("b"), F.bool_and(F.col("py_type") == "datetime").alias("d")).collect()
     }
+    last = cells.where("v_str is not null").agg(F.max("row")).first()[0] or 1
     wide = cells.where("row > 1").groupBy("row").agg(*(F.max(F.when(F.col("col") == c, F.col("v_str"))).alias(f"_{c}") for c in range(1, widest + 1)))
 
     def kind(c: int) -> str:
         r = kinds.get(c)
-        return "string" if r is None else "bigint" if r["i"] else "double" if r["f"] else "boolean" if r["b"] else "string"
+        return "string" if r is None else "bigint" if r["i"] else "double" if r["f"] else "boolean" if r["b"] else "timestamp_ntz" if r["d"] else "string"
 
+    # Rows without cells are rows of the table as well.
+    wide = cells.sparkSession.range(2, last + 1).select(F.col("id").cast("int").alias("row")).join(wide, "row", "left")
     return wide.select((F.col("row") - 2).cast("long").alias(ROW), *(F.col(f"_{c}").try_cast(kind(c)).alias(names[c - 1]) for c in range(1, widest + 1)))
 
 

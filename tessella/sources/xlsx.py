@@ -305,6 +305,10 @@ def write(path: str, names: list[str], rows: Iterator, sheet: str = "Sheet1", he
             return f'<c {at}{s} t="b"><v>{int(v)}</v></c>'
         if isinstance(v, (int, float)):
             return f"<c {at}{s}><v>{v!r}</v></c>"
+        if isinstance(v, datetime.date):
+            moment = v if isinstance(v, datetime.datetime) else datetime.datetime(v.year, v.month, v.day)
+            days = (moment.replace(tzinfo=None) - DAY_ZERO[False]) / datetime.timedelta(days=1)
+            return f'<c {at} s="{2 if isinstance(v, datetime.datetime) else 3}"><v>{days!r}</v></c>'
         text = re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "", str(v))
         return f'<c {at}{s} t="inlineStr"><is><t xml:space="preserve">{escape(text)}</t></is></c>'
 
@@ -314,7 +318,7 @@ def write(path: str, names: list[str], rows: Iterator, sheet: str = "Sheet1", he
         book.writestr("xl/_rels/workbook.xml.rels", _RELS.format("worksheet", "worksheets/sheet1.xml", '<Relationship Id="rId2" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/styles" Target="styles.xml"/>'))
         book.writestr("xl/workbook.xml", f'<workbook xmlns="{_MAIN}" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="{escape(sheet)}" sheetId="1" r:id="rId1"/></sheets></workbook>')
         side = '<left style="thin"/><right style="thin"/><top style="thin"/><bottom style="thin"/>'
-        book.writestr("xl/styles.xml", f'<styleSheet xmlns="{_MAIN}"><fonts><font/><font><b/></font></fonts><fills><fill><patternFill patternType="none"/></fill></fills><borders><border/><border>{side}</border></borders><cellXfs><xf numFmtId="0" fontId="0" fillId="0" borderId="0"/><xf numFmtId="0" fontId="1" fillId="0" borderId="1"><alignment horizontal="center"/></xf></cellXfs></styleSheet>')
+        book.writestr("xl/styles.xml", f'<styleSheet xmlns="{_MAIN}"><fonts><font/><font><b/></font></fonts><fills><fill><patternFill patternType="none"/></fill></fills><borders><border/><border>{side}</border></borders><cellXfs><xf numFmtId="0" fontId="0" fillId="0" borderId="0"/><xf numFmtId="0" fontId="1" fillId="0" borderId="1"><alignment horizontal="center"/></xf><xf numFmtId="22" fontId="0" fillId="0" borderId="0"/><xf numFmtId="14" fontId="0" fillId="0" borderId="0"/></cellXfs></styleSheet>')
         with book.open("xl/worksheets/sheet1.xml", "w") as out:
             out.write(f'<worksheet xmlns="{_MAIN}"><sheetData>'.encode())
             top = "".join(cell(1, c, v, int(header_style)) for c, v in enumerate(names, 1))

@@ -87,3 +87,29 @@ def test_both_languages_are_looked_for_in_the_whole_text(spark, tmp_path):
         return None if whole is None else any("一" <= c <= "鿿" for c in whole) and any(c.isascii() and c.isalpha() for c in whole)
 
     assert {r["doc_id"]: r["both_languages"] for r in Q.bilingual_flag(spark, str(tmp_path)).collect()} == {i: want(i, t) for i, t in docs}
+
+
+def _slow_rectangles(order: list, max_row: int, max_col: int) -> list[str]:
+    """Every width and height up to 20 is tried at each cell in order; the largest wins, of equals the narrowest."""
+    free, out = set(order), []
+    for r, c in order:
+        if (r, c) in free:
+            fits = [(-w * t, w, t) for w in range(1, 21) for t in range(1, 21) if r + t - 1 <= max_row and c + w - 1 <= max_col and all((r + y, c + x) in free for y in range(t) for x in range(w))]
+            _, w, t = min(fits)
+            free -= {(r + y, c + x) for y in range(t) for x in range(w)}
+            first, last = f"{chr(64 + c)}{r}", f"{chr(63 + c + w)}{r + t - 1}"
+            out.append(first if first == last else f"{first}:{last}")
+    return out
+
+
+def test_format_rectangles_of_all_cells(spark, tmp_path):
+    n = 60
+    k = F.col("p_partkey")
+    rows = spark.range(1, n).select(F.col("id").alias("p_partkey"))
+    rows.select("p_partkey", F.concat(F.lit("b"), k).alias("p_brand"), F.lit("t").alias("p_type"), (k % 5).alias("p_size"), F.lit("n").alias("p_name")).write.parquet(f"{tmp_path}/part.parquet")
+    cells = [(r, c) for r in range(1, n) for c in (1, 2, 3, 5) if r % 10 and (r + c) % 7]
+    of = {"text": [x for x in cells if x[1] != 3], "integer": [x for x in cells if x[1] == 3]}
+    # Bold cells (every fifth row) are formats of their own: those of the format that is seen first come first.
+    first = {s: {b: min(x for x in own if (x[0] % 5 == 0) == b) for b in (True, False)} for s, own in of.items()}
+    want = {s: ", ".join(_slow_rectangles(sorted(own, key=lambda x: (first[s][x[0] % 5 == 0], x)), n - 1, 5)) for s, own in of.items()}
+    assert {r["semantic"]: r["ranges"] for r in Q.format_rectangles(spark, str(tmp_path)).collect()} == want

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import datetime
 import json
+import random
+import statistics
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +16,7 @@ from tessella.operators import profile as P
 from tessella.operators import tidy
 from tessella.operators.model import cells_from_table
 from tessella.operators.tidy import ROW
+from tessella.plans import encode as E
 from tessella.plans import normalize as N
 from tessella.plans import planner as pl
 from tessella.plans.plan import Plan, parse_reply
@@ -47,6 +52,40 @@ def test_profile(spark):
     assert found["flag"]["values"] == ["yes", "No ", "N/A"] and found["flag"]["value_counts"]["yes"] == 20
 
 
+@pytest.mark.parametrize("n", [1, 2, 7, 1000, 30_001])
+def test_medians_are_exact(spark, n):
+    rng = random.Random(n)
+    rows = [(rng.choice([None, rng.gauss(0, 1)]), rng.randint(0, 5), float(k), None) for k in range(n)]
+    found = {r["column"]: r["median"] for r in P.medians(spark.createDataFrame(rows, "a double, b int, c double, d double"), ["a", "b", "c", "d"]).collect()}
+    assert found == {c: statistics.median(v) for i, c in enumerate("abcd") for v in [[r[i] for r in rows if r[i] is not None]] if v}
+
+
+def test_merged_ranges_dates_of_1904_and_sheets_in_order(spark, tmp_path):
+    """A merged block of a million rows is two corners; sheets keep the workbook's order; day 0 may be in 1904."""
+    path = str(tmp_path / "a.xlsx")
+    xlsx.write(path, ["x", "n"], iter([("v", datetime.date(2020, 1, 2)), ("w", None)]), sheet="Zeta", merged=["A2:B1048576", "C1:D1"])
+    with zipfile.ZipFile(path) as book:
+        parts = {n: book.read(n) for n in book.namelist()}
+    own = parts["xl/workbook.xml"].decode()
+    own = own.replace("<sheets>", '<workbookPr date1904="1"/><sheets>').replace("</sheets>", '<sheet name="Alpha" sheetId="2" r:id="rId3"/></sheets>')
+    links = parts["xl/_rels/workbook.xml.rels"].decode()
+    link = links[links.index("<Relationship ") : links.index("/>") + 2]
+    parts |= {"xl/workbook.xml": own.encode(), "xl/_rels/workbook.xml.rels": links.replace("</Relationships>", link.replace("rId1", "rId3").replace("sheet1", "sheet2") + "</Relationships>").encode(), "xl/worksheets/sheet2.xml": parts["xl/worksheets/sheet1.xml"]}
+    with zipfile.ZipFile(path, "w") as book:
+        for name, data in parts.items():
+            book.writestr(name, data)
+    cells = tables.read_cells(spark, path)
+    found = {(r["sheet"], r["row"], r["col"]): r for r in cells.collect()}
+    assert (found["Zeta", 2, 1]["is_merge_start"], found["Zeta", 3, 1]["merged_range"], found["Zeta", 3, 1]["is_merge_start"]) == (True, "A2:B1048576", False)
+    assert found["Zeta", 1, 1]["merged_range"] is None and found["Zeta", 2, 2]["v_str"].startswith("2024-01-03")
+    encoded = E.encode(cells)
+    assert list(encoded["sheets"]) == ["Zeta", "Alpha"]
+    both = cells.unionByName(cells.withColumn("file", F.lit("other")))
+    with pytest.raises(ValueError, match="more than one file"):
+        E.encode(both)
+    assert {name: x["sheets"] for name, x in E.encode_files(both).items()} == {path: encoded["sheets"], "other": encoded["sheets"]}
+
+
 def test_delimiters(spark):
     df = numbered(spark, ["c"], [(f"x{i} - y (z)" if i % 2 else f"x{i} - y" + ";" * (i // 2),) for i in range(20)])
     found = {r["delimiter"]: r for r in P.delimiters(P.first_values(df, ROW, 20)).collect()}
@@ -220,6 +259,10 @@ def test_xlsx_round_trip(spark, tmp_path):
     assert (found[3, 2]["v_str"], found[3, 2]["py_type"], found[4, 2]["py_type"], found[4, 3]["py_type"]) == ("-2", "int", "bool", "float")
     table = tables.read_table(spark, path).orderBy(ROW)
     assert [tuple(r) for r in table.collect()][1] == (1, "類別", "-2", None)
+    days = str(tmp_path / "days.xlsx")
+    moments = [datetime.datetime(2020, 2, 29, 13, 30), datetime.datetime(1999, 12, 31)]
+    xlsx.write(days, ["t", "d"], iter([(moments[0], moments[0].date()), (None, None), (moments[1], moments[1].date())]))
+    assert [(r["t"], r["d"]) for r in tables.read_table(spark, days).orderBy(ROW).collect()] == [(moments[0], datetime.datetime(2020, 2, 29)), (None, None), (moments[1], moments[1])]
     with pytest.raises(FileNotFoundError):
         tables.read_cells(spark, str(tmp_path / "b.xlsx"))
     with pytest.raises(ValueError):
