@@ -156,20 +156,22 @@ def findings(docs: DataFrame, rules: list[Rule] = RULES, ledger_path: str | None
     Everything is read from the ledger after update() has brought it up to date.
     Without a path the ledger is a new one in the scratch folder.
     """
-    spark = docs.sparkSession
-    path = ledger_path or common.new_path(spark, "ledger")
-    update(docs, path, rules, shards)
-    ledger = read_ledger(spark, path)
-    if ledger is None:
-        ledger = spark.createDataFrame([], LEDGER)
-    order = {v: i for i, v in enumerate(by_version(rules))}
-    kinds = F.array(*(F.lit(v) for v in order))
-    own = F.filter("spans", lambda s: s["version"].isin(*order))
-    rows = ledger.withColumn("spans", own).where(F.size("spans") > 0)
-    placed = F.transform(F.flatten(F.collect_list("spans")), lambda s: F.struct(s["start"].alias("start"), (F.array_position(kinds, s["version"]) - 1).cast("int").alias("kind"), s["end"].alias("end")))
-    held = rows.groupBy("sha").agg(F.array_sort(F.array_distinct(placed)).alias("spans"))
-    addresses = common.pick(docs, "text").groupBy(blob_id(F.col("text")).alias("sha")).agg(F.count("*").alias("n"))
-    return common.materialize(held.join(addresses, "sha"), "findings")
+    spark, order = docs.sparkSession, {v: i for i, v in enumerate(by_version(rules))}
+    with common.scope() as kept:
+        path = ledger_path or common.new_path(spark, "ledger")
+        update(docs, path, rules, shards)
+        ledger = read_ledger(spark, path)
+        if ledger is None:
+            ledger = spark.createDataFrame([], LEDGER)
+        kinds = F.array(*(F.lit(v) for v in order))
+        rows = ledger.withColumn("spans", F.filter("spans", lambda s: s["version"].isin(*order))).where(F.size("spans") > 0)
+        kind = lambda s: (F.array_position(kinds, s["version"]) - 1).cast("int").alias("kind")
+        placed = F.transform(F.flatten(F.collect_list("spans")), lambda s: F.struct(s["start"].alias("start"), kind(s), s["end"].alias("end")))
+        held = rows.groupBy("sha").agg(F.array_sort(F.array_distinct(placed)).alias("spans"))
+        addresses = common.pick(docs, "text").groupBy(blob_id(F.col("text")).alias("sha")).agg(F.count("*").alias("n"))
+        found = common.materialize(held.join(addresses, "sha"), "findings")
+        kept.append(found)
+    return found
 
 
 def _joined(spans: Column, rules: list[Rule]) -> Column:
@@ -179,15 +181,17 @@ def _joined(spans: Column, rules: list[Rule]) -> Column:
 
 def digest(docs: DataFrame, rules: list[Rule] = RULES, ledger_path: str | None = None) -> DataFrame:
     """doc_id, count by base kind, base_sha256 and spans, for every row of docs."""
-    found = findings(docs, rules, ledger_path)
+    spans = findings(docs, rules, ledger_path)
     at = {v: i for i, v in enumerate(by_version(rules))}
     of_base = [at.get(r.version, -1) for r in BASE]
     base = F.filter("spans", lambda s: s["kind"].isin(*of_base))
     counts = [F.expr(f"cast(size(filter(spans, s -> s.kind = {i})) as bigint)").alias(f"n_{r.kind}") for i, r in zip(of_base, BASE)]
-    found = found.select("sha", "n", *counts, F.sha2(_joined(base, rules), 256).alias("base_sha256"), _joined(F.col("spans"), rules).alias("spans"))
+    found = spans.select("sha", "n", *counts, F.sha2(_joined(base, rules), 256).alias("base_sha256"), _joined(F.col("spans"), rules).alias("spans"))
     paths = common.pick(docs, "doc_id", "text").select("doc_id", blob_id(F.col("text")).alias("sha"))
+    digests = common.materialize(found, "digests")
+    common.free(spans)
     # A blob with findings may have a large part of all paths.
-    out = common.join_counted(paths, common.materialize(found, "digests"), ["sha"], "left")
+    out = common.join_counted(paths, digests, ["sha"], "left")
     return out.select(
         "doc_id",
         *(F.coalesce(f"n_{r.kind}", F.lit(0)).cast("bigint").alias(f"n_{r.kind}") for r in BASE),
@@ -206,6 +210,7 @@ def redact(docs: DataFrame, rules: list[Rule] = RULES, ledger_path: str | None =
     merged = found.withColumn("before", before).withColumn("g", group).groupBy("sha", "g").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     cuts = merged.groupBy("sha").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_cuts")).join(paths.select("sha", "n"), "sha")
     cuts = common.materialize(cuts.withColumnRenamed("sha", "_key"), "cuts")
+    common.free(paths)
     plain = docs.toDF(*(f"_{i}" for i in range(len(docs.columns))))
     text = f"_{common.index_of(docs, 'text')}"
     # Only texts that may hold a secret (a bitmap of their blobs tells) take part in the join.

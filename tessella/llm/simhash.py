@@ -172,15 +172,18 @@ def links(fps: DataFrame, n: int) -> DataFrame:
 
 def classes(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """(doc_id, fp, component_id) of every row."""
-    fps = common.materialize(fingerprints(docs, shingle), "fingerprints")
-    distinct = common.materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "fingerprints")
-    joined = common.components(links(distinct, distinct.count()))
-    # Copies of one text, and near copies of one component, may be a large part of all rows.
-    roots = distinct.join(joined, distinct.fp == joined.id, "left").select("fp", "least", "n", F.coalesce("component", "fp").alias("root"))
-    roots = common.materialize(roots.withColumnRenamed("n", "rows"), "roots")
-    names = common.materialize(roots.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "names")
-    named = common.join_counted(roots, names, ["root"]).select("fp", F.col("rows").alias("n"), "component_id")
-    return common.join_counted(fps, common.materialize(named, "classes"), ["fp"]).select("doc_id", "fp", "component_id")
+    with common.scope() as kept:
+        fps = common.materialize(fingerprints(docs, shingle), "fingerprints")
+        distinct = common.materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "fingerprints")
+        joined = common.components(links(distinct, distinct.count()))
+        # Copies of one text, and near copies of one component, may be a large part of all rows.
+        roots = distinct.join(joined, distinct.fp == joined.id, "left").select("fp", "least", "n", F.coalesce("component", "fp").alias("root"))
+        roots = common.materialize(roots.withColumnRenamed("n", "rows"), "roots")
+        names = common.materialize(roots.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "names")
+        named = common.join_counted(roots, names, ["root"]).select("fp", F.col("rows").alias("n"), "component_id")
+        named = common.materialize(named, "classes")
+        kept += [fps, named]
+    return common.join_counted(fps, named, ["fp"]).select("doc_id", "fp", "component_id")
 
 
 def deduplicate(docs: DataFrame, shingle: int = 3) -> DataFrame:
