@@ -66,7 +66,7 @@ THRESHOLD = 0.9
 #: A block is as long as its template, and this part of it more.
 SLACK = 0.5
 #: Tables of templates are broadcast, so their number is checked.
-MOST_TEMPLATES, MOST_WORDS = 20_000, 400
+MOST_TEMPLATES, MOST_WORDS = 2_000, 400
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"

@@ -10,8 +10,10 @@ planner broadcasts them by their true size.
 
 Defined results: a null text has no words. A language that is null, or has
 fewer than min_reference_words words in the corpus, is held against the sum of
-all languages. Rows are judged one by one, so repeated ids don't matter. Other
-columns are passed through unchanged.
+all languages. Rows are judged one by one, so repeated ids don't matter and rows alike
+get equal verdicts; a distance equal to its limit passes. Texts of any length are counted
+whole. Of columns only text and lang count, by their exact names; others, of any name, are
+passed through unchanged. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -191,7 +191,7 @@ def digest(docs: DataFrame, rules: list[Rule] = RULES, ledger_path: str | None =
     digests = common.materialize(found, "digests")
     common.free(spans)
     # A blob with findings may have a large part of all paths.
-    out = common.join_counted(paths, digests, ["sha"], "left")
+    out = common.join_counted(paths, digests, ["sha"], "left", wide=True)
     return out.select(
         "doc_id",
         *(F.coalesce(f"n_{r.kind}", F.lit(0)).cast("bigint").alias(f"n_{r.kind}") for r in BASE),
@@ -215,7 +215,7 @@ def redact(docs: DataFrame, rules: list[Rule] = RULES, ledger_path: str | None =
     text = f"_{common.index_of(docs, 'text')}"
     # Only texts that may hold a secret (a bitmap of their blobs tells) take part in the join.
     flagged = common.maybe_among(plain.withColumn("_key", blob_id(F.col(text))), cuts, "_key")
-    joined = common.join_counted(flagged.where("maybe"), cuts, ["_key"], "left")
+    joined = common.join_counted(flagged.where("maybe"), cuts, ["_key"], "left", wide=True)
     start = "if(i = 0, 0, get(_cuts, i - 1).end)"
     piece = F.expr(f"transform(_cuts, (c, i) -> substring({text}, {start} + 1, c.start - {start}))")
     rest = F.expr(f"substring({text}, get(_cuts, size(_cuts) - 1).end + 1)")

@@ -285,7 +285,7 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) ->
     changed = common.materialize(changed, "changed")
     flagged = common.maybe_among(keyed, changed, "_dk", "_tk")
     same = flagged.where("not maybe").drop("maybe", "_dk", "_tk")
-    held = common.join_counted(flagged.where("maybe").drop("maybe"), changed, ["_dk", "_tk"], "left")
+    held = common.join_counted(flagged.where("maybe").drop("maybe"), changed, ["_dk", "_tk"], "left", wide=True)
     held = held.withColumn(text, F.coalesce("_new", text))
     if "n_chars" in docs.columns:
         n = f"_{common.index_of(docs, 'n_chars')}"
