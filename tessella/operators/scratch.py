@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: A key with more than one in HOT of all rows is joined by broadcast; there are fewer than HOT of them.
 HOT = 1000
+#: Tasks that share a hot key where the row joined to it is wide.
+SALTS = 32
 
 _OWN_DIR: dict[str, str] = {}
 _MADE: dict[str, SparkSession] = {}
@@ -44,7 +46,7 @@ def materialize(df: DataFrame, name: str, **totals: Column) -> DataFrame:
     written; total() reads them.
     """
     path, schema = new_path(df.sparkSession, name), df.schema
-    if "n" in df.columns:
+    if dict(df.dtypes).get("n") in ("int", "bigint"):
         totals |= {"n": F.sum("n"), "least_n": F.min("n"), "most_n": F.max("n")}
     seen = Observation() if totals else None
     (df.observe(seen, *(x.alias(k) for k, x in totals.items())) if totals else df).write.parquet(path)
@@ -93,19 +95,25 @@ def _drop_all() -> None:
         _drop(path)
 
 
-def join_counted(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+def join_counted(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner", wide: bool = False) -> DataFrame:
     """rows joined with table, which has one row for each key and in n how many rows hold it. how: inner or left.
 
-    table is a materialised one. Keys with more than one in HOT of all rows,
-    fewer than HOT by that, are broadcast, so a task never gets all rows of a
-    hot key; all other keys go through a shuffle.
+    table is a materialised one. Keys with more than one in HOT of all rows are
+    fewer than HOT by that, and no task gets all rows of one: the table's rows for
+    them are broadcast, or, if they are wide (hold texts, say, so that their number
+    bounds no size), sent to SALTS tasks each. All other keys go through a shuffle.
     """
     rows_in_all, least, most = (total(table, x) or 0 for x in ("n", "least_n", "most_n"))
     plain = table.drop("n")
     if most * HOT <= rows_in_all:
         return rows.join(plain, keys, how)
-    if least * HOT > rows_in_all:
+    if least * HOT > rows_in_all and not wide:
         return rows.join(F.broadcast(plain), keys, how)
     hot, rest = table.where(F.col("n") * HOT > rows_in_all).drop("n"), table.where(F.col("n") * HOT <= rows_in_all).drop("n")
     few = F.broadcast(hot.select(*keys))
-    return rows.join(F.broadcast(hot), keys).unionByName(rows.join(few, keys, "left_anti").join(rest, keys, how))
+    others = rows.join(few, keys, "left_anti").join(rest, keys, how)
+    if not wide:
+        return rows.join(F.broadcast(hot), keys).unionByName(others)
+    salted = rows.join(few, keys, "left_semi").withColumn("_salt", F.spark_partition_id() % SALTS)
+    copies = hot.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, [*keys, "_salt"]).drop("_salt").unionByName(others)

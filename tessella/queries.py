@@ -68,7 +68,8 @@ def inverted_index(spark, sf):
 WITH c AS (SELECT DISTINCT v_str AS v, row, col FROM ({NATION})),
 g AS (SELECT v, col, row, row - ROW_NUMBER() OVER (PARTITION BY v, col ORDER BY row) AS k FROM c),
 r AS (SELECT v, col, MIN(row) AS a, MAX(row) AS b FROM g GROUP BY v, col, k)
-SELECT v AS value, STRING_AGG(chr(CAST(64 + col AS INT)) || a || CASE WHEN b > a THEN ':' || chr(CAST(64 + col AS INT)) || b ELSE '' END, ', ' ORDER BY a, col) AS ranges
+SELECT v AS value, STRING_AGG(chr(CAST(64 + col AS INT)) || a ||
+    CASE WHEN b > a THEN ':' || chr(CAST(64 + col AS INT)) || b ELSE '' END, ', ' ORDER BY a, col) AS ranges
 FROM r GROUP BY v
 """)
 def value_ranges(spark, sf):
@@ -98,10 +99,12 @@ WHEN nf = '@' THEN 'text_format' WHEN regexp_matches(nf, '[$€£¥]') THEN 'cur
 WHEN regexp_matches(lower(nf), 'e[+-]') THEN 'scientific' WHEN contains(nf, '#') AND contains(nf, '/') AND contains(nf, '?') THEN 'fraction'
 WHEN regexp_matches(lower(nf), 'yy|mm|d') AND (regexp_matches(lower(nf), 'h|s|a/p') OR contains(nf, ':')) THEN 'datetime_custom'
 WHEN regexp_matches(lower(nf), 'yy|mm|d') THEN 'date_custom' WHEN regexp_matches(lower(nf), 'h|s|a/p') OR contains(nf, ':') THEN 'time_custom'
-WHEN kind = 'numeric' THEN CASE WHEN nf IN ('0', '#,##0') THEN 'integer' WHEN nf IN ('0.00', '#,##0.00', '0.0', '#,##0.0') THEN 'float' ELSE 'other_numeric' END
+WHEN kind = 'numeric' THEN
+    CASE WHEN nf IN ('0', '#,##0') THEN 'integer' WHEN nf IN ('0.00', '#,##0.00', '0.0', '#,##0.0') THEN 'float' ELSE 'other_numeric' END
 ELSE 'other_date' END"""
 FORMAT_ROWS_SQL = f"""
-SELECT *, {CATEGORY_SQL} AS category FROM (SELECT list_extract([{', '.join(f"'{f}'" for f in FORMATS)}], CAST(l_orderkey % {len(FORMATS)} AS INT) + 1) AS nf,
+SELECT *, {CATEGORY_SQL} AS category
+    FROM (SELECT list_extract([{', '.join(f"'{f}'" for f in FORMATS)}], CAST(l_orderkey % {len(FORMATS)} AS INT) + 1) AS nf,
 CASE l_linenumber % 4 WHEN 0 THEN 'text' WHEN 1 THEN 'datetime' ELSE 'numeric' END AS kind,
 CASE l_linenumber % 4 WHEN 0 THEN 'str' WHEN 1 THEN 'datetime' WHEN 2 THEN 'int' ELSE 'float' END AS py FROM lineitem)"""
 
@@ -124,7 +127,8 @@ def number_format_category(spark, sf):
 
 @query(f"""
 SELECT nf, kind, py, CASE WHEN category IN ('percentage', 'currency') THEN category
-WHEN category IN ('date_custom', 'datetime_custom', 'datetime_general', 'other_date') THEN CASE WHEN contains(lower(nf), 'yy') AND NOT regexp_matches(lower(nf), '[md]') THEN 'year' ELSE 'date' END
+WHEN category IN ('date_custom', 'datetime_custom', 'datetime_general', 'other_date') THEN
+    CASE WHEN contains(lower(nf), 'yy') AND NOT regexp_matches(lower(nf), '[md]') THEN 'year' ELSE 'date' END
 WHEN category = 'time_custom' THEN 'time' WHEN category = 'scientific' THEN 'scientific_notation'
 WHEN kind = 'numeric' AND (py = 'int' OR category = 'integer') THEN 'integer' WHEN kind = 'numeric' AND (py = 'float' OR category = 'float') THEN 'float' ELSE kind END AS semantic,
 COUNT(*) AS n FROM ({FORMAT_ROWS_SQL}) GROUP BY ALL""")
@@ -134,12 +138,16 @@ def semantic_type(spark, sf):
 
 
 @query(rf"""
-SELECT kind, COUNT(*) AS n, MIN(coalesce(v, '')) AS first FROM (SELECT *, CASE WHEN v IS NULL THEN 'empty' WHEN py = 'str' AND regexp_matches(v, '{EMAIL_SQL}') THEN 'email' WHEN dtype = 's' THEN 'text'
+SELECT kind, COUNT(*) AS n, MIN(coalesce(v, '')) AS first FROM (SELECT *,
+    CASE WHEN v IS NULL THEN 'empty' WHEN py = 'str' AND regexp_matches(v, '{EMAIL_SQL}') THEN 'email' WHEN dtype = 's' THEN 'text'
 WHEN dtype = 'n' THEN 'numeric' WHEN dtype = 'b' THEN 'boolean' WHEN dtype = 'd' THEN 'datetime' WHEN dtype = 'e' THEN 'error'
-WHEN dtype = 'f' THEN CASE WHEN py = 'str' THEN 'text' WHEN py IN ('int', 'float', 'bool') THEN 'numeric' ELSE 'formula_cached_value' END ELSE 'unknown' END AS kind
-FROM (SELECT CASE event_id % 9 WHEN 0 THEN CASE WHEN value > 0.5 THEN event_type END WHEN 1 THEN event_type || '@' || user_id || '.org' WHEN 2 THEN props WHEN 3 THEN CAST(user_id AS VARCHAR) WHEN 4 THEN 'True'
+WHEN dtype = 'f' THEN
+    CASE WHEN py = 'str' THEN 'text' WHEN py IN ('int', 'float', 'bool') THEN 'numeric' ELSE 'formula_cached_value' END ELSE 'unknown' END AS kind
+FROM (SELECT CASE event_id % 9 WHEN 0 THEN
+    CASE WHEN value > 0.5 THEN event_type END WHEN 1 THEN event_type || '@' || user_id || '.org' WHEN 2 THEN props WHEN 3 THEN CAST(user_id AS VARCHAR) WHEN 4 THEN 'True'
 WHEN 5 THEN strftime(ts, '%Y-%m-%d') WHEN 6 THEN '#N/A' WHEN 7 THEN CAST(user_id AS VARCHAR) ELSE event_type || '@x' END AS v,
-list_extract(['str', 'str', 'str', 'int', 'bool', 'datetime', 'str', 'int', 'time'], CAST(event_id % 9 AS INT) + 1) AS py, list_extract(['s', 's', 'f', 'n', 'b', 'd', 'e', 'f', 'x'], CAST(event_id % 9 AS INT) + 1) AS dtype FROM events)) GROUP BY kind
+list_extract(['str', 'str', 'str', 'int', 'bool', 'datetime', 'str', 'int', 'time'], CAST(event_id % 9 AS INT) + 1) AS py, list_extract(['s', 's', 'f', 'n', 'b', 'd', 'e', 'f', 'x'], CAST(event_id % 9 AS INT) + 1) AS dtype
+    FROM events)) GROUP BY kind
 """)
 def cell_types(spark, sf):
     """Types of cells whose texts come from the table, nulls and addresses among them."""
@@ -177,7 +185,8 @@ def stringify_truncate(spark, sf):
 
 
 @query("""
-SELECT COUNT(*) AS n, CAST(2 + 2 * (COUNT(*) - 1) + 2 * COUNT(*) + SUM(length(chr(CAST(64 + col AS INT)) || row) + 2 + length(v_str) + 2) AS BIGINT) AS size FROM (%s)
+SELECT COUNT(*) AS n, CAST(2 + 2 * (COUNT(*) - 1) + 2 * COUNT(*) + SUM(length(chr(CAST(64 + col AS INT)) || row) + 2 + length(v_str) + 2) AS BIGINT) AS size
+    FROM (%s)
 """ % NATION)
 def json_size(spark, sf):
     c = nation_cells(spark, sf)
@@ -189,7 +198,8 @@ def json_size(spark, sf):
 
 #: A grid of part: rows by key, four columns, every tenth row and every cell by a pattern blank.
 PART_GRID_SQL = """
-SELECT CAST(p_partkey AS INT) AS row, c.col, CASE c.col WHEN 1 THEN p_brand WHEN 2 THEN p_type WHEN 3 THEN CAST(p_size AS VARCHAR) ELSE p_name END AS v, CASE WHEN c.col = 3 THEN 'int' ELSE 'str' END AS py
+SELECT CAST(p_partkey AS INT) AS row, c.col, CASE c.col WHEN 1 THEN p_brand WHEN 2 THEN p_type WHEN 3 THEN CAST(p_size AS VARCHAR) ELSE p_name END AS v,
+    CASE WHEN c.col = 3 THEN 'int' ELSE 'str' END AS py
 FROM part, (VALUES (1), (2), (3), (5)) c(col) WHERE p_partkey % 10 <> 0 AND (p_partkey + c.col) % 7 <> 0
 """
 
@@ -211,10 +221,12 @@ def nonblank_counts(spark, sf):
 
 
 REGIONS_SQL = f"""
-SELECT *, CAST(ROW_NUMBER() OVER (ORDER BY (max_row - min_row + 1) * (max_col - min_col + 1) DESC, min_row DESC, min_col DESC) - 1 AS INT) AS region FROM (
+SELECT *, CAST(ROW_NUMBER() OVER (ORDER BY (max_row - min_row + 1) * (max_col - min_col + 1) DESC, min_row DESC, min_col DESC) - 1 AS INT) AS region
+    FROM (
 WITH c AS ({PART_GRID_SQL}), r AS (SELECT row, row - ROW_NUMBER() OVER (ORDER BY row) AS g FROM (SELECT DISTINCT row FROM c)),
 k AS (SELECT col, col - ROW_NUMBER() OVER (ORDER BY col) AS g FROM (SELECT DISTINCT col FROM c)),
-ri AS (SELECT row, MIN(row) OVER (PARTITION BY g) AS a, MAX(row) OVER (PARTITION BY g) AS b FROM r), ki AS (SELECT col, MIN(col) OVER (PARTITION BY g) AS a, MAX(col) OVER (PARTITION BY g) AS b FROM k)
+ri AS (SELECT row, MIN(row) OVER (PARTITION BY g) AS a, MAX(row) OVER (PARTITION BY g) AS b
+    FROM r), ki AS (SELECT col, MIN(col) OVER (PARTITION BY g) AS a, MAX(col) OVER (PARTITION BY g) AS b FROM k)
 SELECT ri.a AS min_row, ri.b AS max_row, ki.a AS min_col, ki.b AS max_col, COUNT(*) AS n_cells FROM c JOIN ri USING (row) JOIN ki USING (col) GROUP BY ALL HAVING COUNT(*) >= 8)"""
 
 
@@ -224,7 +236,8 @@ def table_regions(spark, sf):
 
 
 @query(f"""
-WITH c AS ({PART_GRID_SQL}), h AS (SELECT row FROM c WHERE row <= 21 AND col <= 21 GROUP BY row HAVING COUNT(*) FILTER (WHERE py = 'str') / COUNT(*) > 0.5), m AS (SELECT MAX(row) AS m FROM c)
+WITH c AS ({PART_GRID_SQL}), h AS (SELECT row FROM c WHERE row <= 21 AND col <= 21
+    GROUP BY row HAVING COUNT(*) FILTER (WHERE py = 'str') / COUNT(*) > 0.5), m AS (SELECT MAX(row) AS m FROM c)
 SELECT DISTINCT CAST(r AS INT) AS row FROM (SELECT UNNEST(generate_series(greatest(row - 2, 1), least(row + 2, m))) AS r FROM h, m)
 """)
 def header_rows_v1(spark, sf):
@@ -240,7 +253,8 @@ def header_cols_v1(spark, sf):
 
 
 @query("""
-SELECT DISTINCT CAST(r AS INT) AS row FROM (SELECT UNNEST(generate_series(greatest(p_partkey - 2, 5), least(p_partkey + 2, (SELECT MAX(p_partkey) FROM part)))) AS r FROM part WHERE p_partkey % 13 = 0)
+SELECT DISTINCT CAST(r AS INT) AS row FROM (SELECT UNNEST(generate_series(greatest(p_partkey - 2, 5), least(p_partkey + 2, (SELECT MAX(p_partkey)
+    FROM part)))) AS r FROM part WHERE p_partkey % 13 = 0)
 """)
 def k_neighborhood(spark, sf):
     """Neighbours of every thirteenth row, the anchors, in a region from row 5 to the table's last row."""
@@ -260,7 +274,8 @@ def _grid(spark, sf) -> DataFrame:
 
 
 GRID_SQL = """
-SELECT CAST(p_partkey AS INT) AS row, c.col, CASE WHEN p_partkey % 6 = 0 THEN NULL WHEN p_partkey % 4 = 0 THEN 'x' ELSE CASE c.col WHEN 1 THEN p_brand WHEN 2 THEN p_type ELSE CAST(p_size AS VARCHAR) END END AS v
+SELECT CAST(p_partkey AS INT) AS row, c.col,
+    CASE WHEN p_partkey % 6 = 0 THEN NULL WHEN p_partkey % 4 = 0 THEN 'x' ELSE CASE c.col WHEN 1 THEN p_brand WHEN 2 THEN p_type ELSE CAST(p_size AS VARCHAR) END END AS v
 FROM part, (VALUES (1), (2), (3)) c(col)"""
 
 
@@ -280,8 +295,10 @@ def homogeneous_cols(spark, sf):
 
 
 @query("""
-WITH g AS (SELECT p_type, p_partkey, p_partkey - ROW_NUMBER() OVER (PARTITION BY p_type ORDER BY p_partkey) AS k FROM part), r AS (SELECT p_type, MIN(p_partkey) AS a, MAX(p_partkey) AS b FROM g GROUP BY p_type, k)
-SELECT p_type AS value, COUNT(*) AS n_ranges, STRING_AGG('A' || a || CASE WHEN b > a THEN ':A' || b ELSE '' END, ', ' ORDER BY a) AS ranges FROM r GROUP BY p_type
+WITH g AS (SELECT p_type, p_partkey, p_partkey - ROW_NUMBER() OVER (PARTITION BY p_type ORDER BY p_partkey) AS k
+    FROM part), r AS (SELECT p_type, MIN(p_partkey) AS a, MAX(p_partkey) AS b FROM g GROUP BY p_type, k)
+SELECT p_type AS value, COUNT(*) AS n_ranges, STRING_AGG('A' || a || CASE WHEN b > a THEN ':A' || b ELSE '' END, ', ' ORDER BY a) AS ranges FROM r
+    GROUP BY p_type
 """)
 def merge_refs_vertical(spark, sf):
     at = F.sort_array(F.collect_list(F.struct(F.col("p_partkey").cast("int").alias("row"), F.lit(1).alias("col"))))
@@ -298,7 +315,8 @@ def format_rectangles(spark, sf):
 
 EDGES_SQL = f"""
 WITH c AS ({PART_GRID_SQL})
-SELECT a.row, a.col, b.row AS to_row, b.col AS to_col FROM c a JOIN c b ON (b.row = a.row AND b.col = a.col + 1 OR b.row = a.row + 1 AND b.col = a.col)
+SELECT a.row, a.col, b.row AS to_row, b.col AS to_col FROM c a
+    JOIN c b ON (b.row = a.row AND b.col = a.col + 1 OR b.row = a.row + 1 AND b.col = a.col)
 WHERE ((a.row % 5 = 0) <> (b.row % 5 = 0))::INT + (a.py <> b.py)::INT <= 1"""
 
 
@@ -312,13 +330,15 @@ def similar_edges(spark, sf):
 
 
 COMPONENTS_SQL = f"""
-RECURSIVE e AS ({EDGES_SQL}), b AS (SELECT row * 100 + col AS u, to_row * 100 + to_col AS v FROM e UNION ALL SELECT to_row * 100 + to_col, row * 100 + col FROM e),
+RECURSIVE e AS ({EDGES_SQL}), b AS (SELECT row * 100 + col AS u, to_row * 100 + to_col AS v FROM e
+    UNION ALL SELECT to_row * 100 + to_col, row * 100 + col FROM e),
 r(u, v) AS (SELECT DISTINCT u, u FROM b UNION SELECT r.u, b.v FROM r JOIN b ON r.v = b.u), m AS (SELECT u, MIN(v) AS c FROM r GROUP BY u), s AS (SELECT c, COUNT(*) AS n FROM m GROUP BY c HAVING COUNT(*) >= 4)"""
 
 
 @query(f"""
 WITH {COMPONENTS_SQL}
-SELECT CAST(m.u // 100 AS INT) AS row, CAST(m.u % 100 AS INT) AS col, CAST(s.c // 100 AS INT) AS first_row, CAST(s.c % 100 AS INT) AS first_col, s.n AS size FROM m JOIN s USING (c)
+SELECT CAST(m.u // 100 AS INT) AS row, CAST(m.u % 100 AS INT) AS col, CAST(s.c // 100 AS INT) AS first_row, CAST(s.c % 100 AS INT) AS first_col, s.n AS size
+    FROM m JOIN s USING (c)
 """)
 def components(spark, sf):
     found = S.components(_edges(spark, sf))
@@ -326,7 +346,8 @@ def components(spark, sf):
 
 
 @query(f"""
-WITH c AS ({PART_GRID_SQL}), r AS (SELECT 'r' || p_partkey AS name, p_partkey AS r0, p_partkey + p_size AS r1, CAST(p_partkey % 3 AS INT) + 1 AS c0, CAST(p_partkey % 3 AS INT) + 2 AS c1 FROM part WHERE p_partkey % 50 = 0)
+WITH c AS ({PART_GRID_SQL}), r AS (SELECT 'r' || p_partkey AS name, p_partkey AS r0, p_partkey + p_size AS r1, CAST(p_partkey % 3 AS INT) + 1 AS c0, CAST(p_partkey % 3 AS INT) + 2 AS c1
+    FROM part WHERE p_partkey % 50 = 0)
 SELECT c.row, c.col, r.name FROM c JOIN r ON c.row BETWEEN r0 AND r1 AND c.col BETWEEN c0 AND c1
 """)
 def merged_range_lookup(spark, sf):
@@ -338,9 +359,11 @@ def merged_range_lookup(spark, sf):
 
 
 @query(f"""
-WITH {COMPONENTS_SQL}, g AS ({REGIONS_SQL}), x AS (SELECT s.c, MIN(m.u // 100) AS lo, MAX(m.u // 100) AS hi, MIN(m.u % 100) AS col FROM m JOIN s USING (c) GROUP BY s.c),
+WITH {COMPONENTS_SQL}, g AS ({REGIONS_SQL}), x AS (SELECT s.c, MIN(m.u // 100) AS lo, MAX(m.u // 100) AS hi, MIN(m.u % 100) AS col FROM m
+    JOIN s USING (c) GROUP BY s.c),
 h AS (SELECT region, min_row, max_row, UNNEST([lo, hi]) AS k FROM x JOIN g ON lo BETWEEN min_row AND max_row AND col BETWEEN min_col AND max_col)
-SELECT DISTINCT region, CAST(k AS INT) AS row FROM (SELECT region, UNNEST(generate_series(greatest(k - 2, min_row), least(k + 2, max_row))) AS k FROM h
+SELECT DISTINCT region, CAST(k AS INT) AS row FROM (SELECT region, UNNEST(generate_series(greatest(k - 2, min_row), least(k + 2, max_row))) AS k
+    FROM h
 UNION ALL SELECT region, UNNEST([min_row, max_row]) FROM g WHERE region NOT IN (SELECT region FROM h))
 """)
 def structural_anchors_v2(spark, sf):
@@ -380,8 +403,11 @@ COUNTED = {"o_orderstatus": "o_orderstatus", "k73": "o_orderkey % 91 % 73", "k10
 
 
 @query(f"""
-WITH c AS ({" UNION ALL ".join(f"SELECT '{c}' AS " + '"column"' + f", CAST({x} AS VARCHAR) AS value, o_orderkey AS r FROM orders" for c, x in COUNTED.items())}),
-g AS (SELECT "column", value, COUNT(*) AS n, MIN(r) AS first_row FROM c GROUP BY ALL), d AS (SELECT *, COUNT(*) OVER (PARTITION BY "column") AS d, ROW_NUMBER() OVER (PARTITION BY "column" ORDER BY n DESC, first_row, value) AS k FROM g)
+WITH c AS ({" UNION ALL ".join(f"SELECT '{c}' AS " + '"column"' + f", CAST({x} AS VARCHAR) AS value, o_orderkey AS r
+    FROM orders" for c, x in COUNTED.items())}),
+g AS (SELECT "column", value, COUNT(*) AS n, MIN(r) AS first_row FROM c
+    GROUP BY ALL), d AS (SELECT *, COUNT(*) OVER (PARTITION BY "column") AS d, ROW_NUMBER() OVER (PARTITION BY "column" ORDER BY n DESC, first_row, value) AS k
+    FROM g)
 SELECT "column", value, n, first_row FROM d WHERE d <= 100 AND k <= 50
 """)
 def value_counts_top50(spark, sf):
@@ -391,8 +417,10 @@ def value_counts_top50(spark, sf):
 
 
 @query("""
-SELECT "column", list_aggregate("values", 'string_agg', ',') AS "values", n > 5 AS truncated FROM (SELECT "column", list(v ORDER BY f)[1:5] AS "values", COUNT(*) AS n FROM (
-SELECT 'p_type' AS "column", p_type AS v, MIN(p_partkey) AS f FROM part GROUP BY p_type UNION ALL SELECT 'p_brand', p_brand, MIN(p_partkey) FROM part GROUP BY p_brand) GROUP BY "column")
+SELECT "column", list_aggregate("values", 'string_agg', ',') AS "values", n > 5 AS truncated
+    FROM (SELECT "column", list(v ORDER BY f)[1:5] AS "values", COUNT(*) AS n FROM (
+SELECT 'p_type' AS "column", p_type AS v, MIN(p_partkey) AS f FROM part GROUP BY p_type UNION ALL SELECT 'p_brand', p_brand, MIN(p_partkey) FROM part
+    GROUP BY p_brand) GROUP BY "column")
 """)
 def unique_values(spark, sf):
     counts = P.value_counts(table(spark, sf, "part").select("p_partkey", "p_type", "p_brand"), "p_partkey")
@@ -419,8 +447,10 @@ def _typed_sql() -> str:
     sets = ["[" + ", ".join(f"'{w}'" for w in words) + "]" for words in P.BOOLEAN_SETS]
     return f"""
     WITH c AS ({each}), v AS (SELECT *, list_filter(w, lambda x: NOT list_contains({na}, x)) AS words, list_has_any(w, {na}) AS na FROM c)
-    SELECT "column", CASE WHEN family = 'integer' THEN CASE WHEN lo BETWEEN 1900 AND 2100 AND hi BETWEEN 1900 AND 2100 THEN 'year' ELSE 'integer' END WHEN family = 'numeric' THEN 'numeric'
-    WHEN d <= 10 THEN CASE WHEN len(words) >= 2 AND ({" OR ".join(f"list_has_all({x}, words)" for x in sets)}) THEN CASE WHEN na THEN 'boolean_with_na' ELSE 'boolean' END
+    SELECT "column", CASE WHEN family = 'integer' THEN
+    CASE WHEN lo BETWEEN 1900 AND 2100 AND hi BETWEEN 1900 AND 2100 THEN 'year' ELSE 'integer' END WHEN family = 'numeric' THEN 'numeric'
+    WHEN d <= 10 THEN CASE WHEN len(words) >= 2 AND ({" OR ".join(f"list_has_all({x}, words)" for x in sets)}) THEN
+    CASE WHEN na THEN 'boolean_with_na' ELSE 'boolean' END
     WHEN len(words) = 1 AND na AND ({" OR ".join(f"list_has_all({x}, words)" for x in sets)}) THEN 'boolean_with_na' ELSE 'categorical' END
     WHEN d / n > 0.95 THEN 'identifier' WHEN d / n < 0.5 AND d <= 50 THEN 'categorical' WHEN dates > 0.7 THEN 'date' ELSE 'string' END AS column_type FROM v"""
 
@@ -434,10 +464,15 @@ def infer_column_type(spark, sf):
 
 
 @query("""
-WITH o AS (SELECT o_orderkey AS k, 'priority' AS c, o_orderpriority AS v FROM orders UNION ALL SELECT o_orderkey, 'path', CASE WHEN o_orderkey % 3 = 0 THEN 'a/b' ELSE 'a/b/' || o_orderstatus || ' (x)' END FROM orders UNION ALL SELECT o_orderkey, 'price', CAST(o_custkey AS VARCHAR) || CASE WHEN o_orderkey % 5 < 3 THEN ';' ELSE '' END FROM orders),
-s AS (SELECT c, v, ROW_NUMBER() OVER (PARTITION BY c ORDER BY k) AS r FROM o QUALIFY r <= 20), d AS (SELECT c, v, r, UNNEST([' - ', '-', ' / ', '/', ' | ', '|', ':', ';', ',', '(', ')']) AS delimiter FROM s),
-g AS (SELECT c, delimiter, COUNT(*) AS n, COUNT(*) FILTER (WHERE contains(v, delimiter)) AS frequency, MIN(len(string_split(v, delimiter))) FILTER (WHERE contains(v, delimiter)) AS a, MAX(len(string_split(v, delimiter))) FILTER (WHERE contains(v, delimiter)) AS b, arg_min(v, r) AS v FROM d GROUP BY c, delimiter)
-SELECT c AS "column", delimiter, frequency, frequency / n AS share, a = b AS is_consistent, CAST(CASE WHEN a = b THEN a END AS INT) AS num_parts, CASE WHEN contains(v, delimiter) THEN array_to_string(string_split(v, delimiter), '~') END AS sample_split FROM g WHERE frequency * 2 >= n
+WITH o AS (SELECT o_orderkey AS k, 'priority' AS c, o_orderpriority AS v FROM orders UNION ALL SELECT o_orderkey, 'path',
+    CASE WHEN o_orderkey % 3 = 0 THEN 'a/b' ELSE 'a/b/' || o_orderstatus || ' (x)' END FROM orders
+    UNION ALL SELECT o_orderkey, 'price', CAST(o_custkey AS VARCHAR) || CASE WHEN o_orderkey % 5 < 3 THEN ';' ELSE '' END FROM orders),
+s AS (SELECT c, v, ROW_NUMBER() OVER (PARTITION BY c ORDER BY k) AS r
+    FROM o QUALIFY r <= 20), d AS (SELECT c, v, r, UNNEST([' - ', '-', ' / ', '/', ' | ', '|', ':', ';', ',', '(', ')']) AS delimiter FROM s),
+g AS (SELECT c, delimiter, COUNT(*) AS n, COUNT(*) FILTER (WHERE contains(v, delimiter)) AS frequency, MIN(len(string_split(v, delimiter))) FILTER (WHERE contains(v, delimiter)) AS a, MAX(len(string_split(v, delimiter))) FILTER (WHERE contains(v, delimiter)) AS b, arg_min(v, r) AS v
+    FROM d GROUP BY c, delimiter)
+SELECT c AS "column", delimiter, frequency, frequency / n AS share, a = b AS is_consistent, CAST(CASE WHEN a = b THEN a END AS INT) AS num_parts,
+    CASE WHEN contains(v, delimiter) THEN array_to_string(string_split(v, delimiter), '~') END AS sample_split FROM g WHERE frequency * 2 >= n
 """)
 def detect_delimiters(spark, sf):
     path = F.when(F.col("o_orderkey") % 3 == 0, "a/b").otherwise(F.concat(F.lit("a/b/"), "o_orderstatus", F.lit(" (x)")))
@@ -448,7 +483,8 @@ def detect_delimiters(spark, sf):
 
 
 @query("""
-SELECT doc_id, regexp_matches(t, '[一-鿿]') AND regexp_matches(t, '[A-Za-z]') AS both_languages FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN text ELSE '類別' || text END AS t FROM documents)
+SELECT doc_id, regexp_matches(t, '[一-鿿]') AND regexp_matches(t, '[A-Za-z]') AS both_languages FROM (SELECT doc_id,
+    CASE WHEN doc_id % 3 = 2 THEN text ELSE '類別' || text END AS t FROM documents)
 """)
 def bilingual_flag(spark, sf):
     """Whether each whole text has Chinese and Latin letters; two of three texts have a Chinese prefix before them."""
@@ -474,7 +510,8 @@ def tidy_unpivot(spark, sf):
 
 
 @query("""
-SELECT l_orderkey, l_linenumber, 'gross' AS measure, l_quantity AS amount, l_extendedprice AS price FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, 'rate', l_discount, l_tax FROM lineitem
+SELECT l_orderkey, l_linenumber, 'gross' AS measure, l_quantity AS amount, l_extendedprice AS price FROM lineitem
+    UNION ALL SELECT l_orderkey, l_linenumber, 'rate', l_discount, l_tax FROM lineitem
 """)
 def tidy_unpivot_multi(spark, sf):
     rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
@@ -568,7 +605,8 @@ def exclude_summary_rows(spark, sf):
 
 
 @query("""
-SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_custkey END AS i, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_totalprice END AS f, CAST(o_custkey AS VARCHAR) AS s FROM orders
+SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_custkey END AS i,
+    CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_totalprice END AS f, CAST(o_custkey AS VARCHAR) AS s FROM orders
 """)
 def cast_types(spark, sf):
     k = F.col("o_orderkey") % 4 == 0
@@ -588,8 +626,10 @@ def map_values(spark, sf):
 
 @query(f"""
 WITH l AS (SELECT p, 'F' AS status, f AS n FROM ({WIDE_SQL}) UNION ALL SELECT p, 'O', o FROM ({WIDE_SQL}))
-SELECT 'rows' AS "check", COUNT(*) > 0 AS passed FROM l UNION ALL SELECT 'columns', list_has_all(['o_orderpriority', 'status', 'n'], ['o_orderpriority', 'status', 'n', 'year'])
-UNION ALL SELECT 'row_count', COUNT(*) BETWEEN 6 AND 24 FROM l UNION ALL SELECT 'sample', COUNT(*) > 0 FROM l WHERE status = 'F' AND abs(n - (SELECT f FROM ({WIDE_SQL}) ORDER BY p LIMIT 1)) < 0.01
+SELECT 'rows' AS "check", COUNT(*) > 0 AS passed FROM l
+    UNION ALL SELECT 'columns', list_has_all(['o_orderpriority', 'status', 'n'], ['o_orderpriority', 'status', 'n', 'year'])
+UNION ALL SELECT 'row_count', COUNT(*) BETWEEN 6 AND 24 FROM l UNION ALL SELECT 'sample', COUNT(*) > 0 FROM l WHERE status = 'F' AND abs(n - (SELECT f
+    FROM ({WIDE_SQL}) ORDER BY p LIMIT 1)) < 0.01
 UNION ALL SELECT 'sample', COUNT(*) > 0 FROM l WHERE status = 'O' AND n < 0
 """)
 def validate_result(spark, sf):
@@ -645,7 +685,8 @@ def _encoded(spark, sf, profile: str) -> DataFrame:
 
 def _encoded_sql(rows: str) -> str:
     return f"""
-    WITH c AS (SELECT v_str AS v, row, col FROM ({NATION}) WHERE {rows}), g AS (SELECT v, col, row, row - ROW_NUMBER() OVER (PARTITION BY v, col ORDER BY row) AS k FROM c),
+    WITH c AS (SELECT v_str AS v, row, col FROM ({NATION})
+    WHERE {rows}), g AS (SELECT v, col, row, row - ROW_NUMBER() OVER (PARTITION BY v, col ORDER BY row) AS k FROM c),
     r AS (SELECT v, col, MIN(row) AS a, MAX(row) AS b FROM g GROUP BY v, col, k)
     SELECT v AS value, STRING_AGG(chr(CAST(64 + col AS INT)) || a || CASE WHEN b > a THEN ':' || chr(CAST(64 + col AS INT)) || b ELSE '' END, ', ' ORDER BY a, col) AS ranges FROM r GROUP BY v"""
 

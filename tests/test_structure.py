@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import cells as C
 from tessella.functions import ranges as R
-from tessella.operators import graph
+from tessella.operators import graph, scratch
 from tessella.operators import structure as S
 from tessella.operators.model import CELLS
 from tessella.plans import encode as E
@@ -143,3 +143,14 @@ def test_trivial_sheets_are_skipped(spark):
 def test_ranges_of_merge_refs(spark):
     df = spark.createDataFrame([([(1, 1), (1, 2), (2, 1)],)], "c array<struct<row:int,col:int>>")
     assert df.select(R.merge_refs(F.col("c"))).first()[0] == ["A1:B1", "A2"]
+
+
+@pytest.mark.parametrize("wide", [False, True])
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_hot_keys_are_joined_like_others(spark, how, wide):
+    """Few keys, many even ones, and a hot one among many; keys without a row, and null ones."""
+    for keys in ([1] * 50, list(range(3000)), [7] * 1500 + list(range(2000)) + [None] * 3):
+        rows = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k long, i long").repartition(5)
+        table = scratch.materialize(rows.where("k % 3 = 1").groupBy("k").agg(F.count("*").alias("n"), F.max("i").alias("top")), "t")
+        found = sorted(map(tuple, scratch.join_counted(rows, table, ["k"], how, wide).select("k", "i", "top").collect()), key=str)
+        assert found == sorted(map(tuple, rows.join(table.drop("n"), "k", how).select("k", "i", "top").collect()), key=str)
