@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graph
 from ..operators.scratch import free, join_counted, materialize, new_path, scope, scratch_dir
 
-__all__ = ["NO_ID", "Forest", "components", "free", "index_of", "join_counted", "materialize", "maybe_among", "new_path", "pick", "scope", "scratch_dir"]
+__all__ = ["NO_ID", "Forest", "bound_batches", "components", "free", "index_of", "join_counted", "materialize", "maybe_among", "new_path", "pick", "scope", "scratch_dir"]
 
 #: Stands for a null document id wherever ids are ordered: null ranks last.
 NO_ID = 2**63 - 1
@@ -60,6 +60,18 @@ def components(edges: DataFrame) -> DataFrame:
     return graph.components(edges, [])
 
 
+#: Bytes of an Arrow batch of texts: a Python worker holds a few of them, and what it makes of them, at once.
+BATCH_BYTES = 16 * 2**20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's byte bound of Arrow batches to BATCH_BYTES where it is higher; batches of short rows stay as they are."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, "")
+    if now and not 0 < int(now.rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 class Forest:
     """Union-find over 0..n-1 with the smaller root on top."""
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, packing, quality_rules, rp_forest, secrets, sentencepiece_codec, simhash, substring_dedup, url_rules, weak_labels
+from . import common, license_scan, packing, quality_rules, rp_forest, secrets, sentencepiece_codec, simhash, substring_dedup, url_rules, weak_labels
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    common.bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

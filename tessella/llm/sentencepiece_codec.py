@@ -68,49 +68,54 @@ class Codec:
             return bytes([int(piece[3:-1], 16)])
         return b"" if self.model.is_control(i) or self.model.is_unknown(i) else piece.encode()
 
-    def _segment(self, keys: list[str]) -> None:
+    def _segment(self, keys: list[str], whole: bool) -> None:
         """Adds chunks, named without their first marker, to the table: they are segmented in one call, end to end, and cut where each ends.
 
-        Chunks of markers only would merge with the next; each is segmented behind a letter.
+        Chunks of markers only would merge with the next; each is segmented
+        behind a letter. Without whole, only their numbers of ids are kept.
         """
         lead = self.model.encode("a")
         for key in [k for k in keys if not k or k[-1] == MARK]:
             ids = self.model.encode("a" + MARK + key)[len(lead) :]
-            self.table[key] = (np.array(ids, "<u4").tobytes(), b"".join([self.plain[i] for i in ids]))
             self.sizes[key] = len(ids)
+            if whole:
+                self.table[key] = (np.array(ids, "<u4").tobytes(), b"".join([self.plain[i] for i in ids]))
         keys = [k for k in keys if k and k[-1] != MARK]
         if not keys:
             return
         ids = np.array(self.model.encode(MARK.join(keys)), np.int64)
         ends = np.searchsorted(np.cumsum(self.marked_size[ids]), np.cumsum([len(k.encode("utf-8", "surrogatepass")) + len(MARK.encode()) for k in keys])) + 1
+        self.sizes.update(zip(keys, np.diff(ends, prepend=0).tolist()))
+        if not whole:
+            return
         decoded = b"".join([self.plain[i] for i in ids.tolist()])
         sizes = np.concatenate(([0], np.cumsum(self.plain_size[ids])))
         raw, at = ids.astype("<u4").tobytes(), 0
         for key, end, a, b in zip(keys, ends.tolist(), sizes[np.concatenate(([0], ends[:-1]))].tolist(), sizes[ends].tolist()):
             self.table[key] = (raw[4 * at : 4 * end], decoded[a:b])
-            self.sizes[key] = end - at
             at = end
 
-    def _chunks(self, text: str) -> list[str]:
-        """The text's chunks in order, each without its first marker; all of them are in the table then."""
+    def _chunks(self, text: str, whole: bool = True) -> list[str]:
+        """The text's chunks in order, each without its first marker; all of them are in the table (without whole, their sizes) then."""
+        known = self.table if whole else self.sizes
         if "  " in text or MARK in text or text[0] == " " or text[-1] == " ":
             chunks = [c[1:] for c in _CHUNK.findall(MARK + text.replace(" ", MARK))]
         else:
             chunks = text.split(" ")
-        new = [c for c in set(chunks) if c not in self.table]
+        new = [c for c in set(chunks) if c not in known]
         if new:
-            if len(self.table) + len(new) > TABLE:
+            if len(self.sizes) + len(new) > TABLE:
                 self.table.clear()
                 self.sizes.clear()
                 new = list(set(chunks))
-            self._segment(new)
+            self._segment(new, whole)
         return chunks
 
     def count(self, text: str | None) -> int:
         """Number of ids of a text, begin and end included."""
         if not text or not self.apart:
             return len(self.model.encode(text or "", add_bos=True, add_eos=True))
-        return 2 + sum(map(self.sizes.__getitem__, self._chunks(text)))
+        return 2 + sum(map(self.sizes.__getitem__, self._chunks(text, False)))
 
     def round_trip(self, text: str | None) -> tuple[bytes, str]:
         """Ids (little-endian 32-bit) with begin and end, and the text decoded from them."""

@@ -22,7 +22,7 @@ def split_words(text: str | None) -> list[bytes]:
 class WordHashes(dict):
     """word -> 64-bit hash, kept for the words of one task; emptied when it has grown large."""
 
-    LARGEST = 400_000
+    LARGEST = 200_000
 
     def __init__(self, seed: int) -> None:
         super().__init__()
