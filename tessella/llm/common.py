@@ -65,10 +65,9 @@ BATCH_BYTES = 16 * 2**20
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Lowers the session's byte bound of Arrow batches to BATCH_BYTES where it is higher; batches of short rows stay as they are."""
+    """Sets the session's byte bound of Arrow batches to BATCH_BYTES if it has none of its own; batches of short rows stay as they are."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(key, "")
-    if now and not 0 < int(now.rstrip("b")) <= BATCH_BYTES:
+    if spark.conf.get(key, None) is None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
