@@ -150,7 +150,11 @@ def test_sentencepiece_tables(monkeypatch):
     for _ in range(3000):
         text = "".join(rng.choice("ab é▁\n\t  $1.\x00\u3000\U0001f600ñthe") for _ in range(rng.randint(0, 25)))
         ids = codec.model.encode(text, add_bos=True, add_eos=True)
+        assert codec.count(text) == len(ids)
         assert codec.round_trip(text) == (np.array(ids, "<u4").tobytes(), codec.model.decode(ids))
+        assert codec.count(text) == len(ids)
+    texts = ["a\nb c\n\nd", "\n", "\na", "a\n", "a \nb", "a\n b", "the\r\nthe end", "\n\n\n the", "ab" * 50 + "\n" + "ab" * 50, " \n", "\n "]
+    assert [codec.count(t) for t in texts] == [len(codec.model.encode(t, add_bos=True, add_eos=True)) for t in texts]
     assert isinstance(codec.model, sentencepiece.SentencePieceProcessor)
 
 
