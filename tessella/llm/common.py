@@ -7,9 +7,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graph
-from ..operators.scratch import free, join_counted, materialize, new_path, scope, scratch_dir
+from ..operators.scratch import free, join_counted, materialize, new_path, scope, scratch_dir, total
 
-__all__ = ["NO_ID", "Forest", "bound_batches", "components", "free", "index_of", "join_counted", "materialize", "maybe_among", "new_path", "pick", "scope", "scratch_dir"]
+__all__ = ["NO_ID", "Forest", "bound_batches", "components", "free", "index_of", "join_counted", "materialize", "maybe_among", "new_path", "pick", "scope", "scratch_dir", "total"]
 
 #: Stands for a null document id wherever ids are ordered: null ranks last.
 NO_ID = 2**63 - 1
