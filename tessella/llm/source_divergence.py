@@ -132,12 +132,16 @@ def _baseline(values: np.ndarray, rest: int, zero: int, others: np.ndarray) -> n
     return others * k - sums[k] + (sums[-1] - sums[k]) - others * (len(x) - k) + rest * np.abs(zero - others)
 
 
-def block_differences(entries: pd.DataFrame, rows: pd.DataFrame, terms: int) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
-    """For each source of block a: the sources of block b after it, and the sums of differences over the terms of a shard.
+def _bytes(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass")
+
+
+def block_differences(entries: pd.DataFrame, rows: pd.DataFrame, terms: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each source of block a: the sources of block b that it meets, as places in their byte order, and the sums of differences from all over a shard's terms.
 
     entries: source, term and share p of what occurs; rows: source, block side and share zero of what doesn't.
     """
-    rows = rows.sort_values("source", key=lambda s: s.map(lambda x: x.encode("utf-8", "surrogatepass")), ignore_index=True)
+    rows = rows.iloc[sorted(range(len(rows)), key=lambda i: _bytes(rows["source"].iloc[i]))].reset_index(drop=True)
     place = {s: i for i, s in enumerate(rows["source"])}
     zero, in_a, in_b = rows["zero"].to_numpy(np.int64), rows["in_a"].to_numpy(bool), rows["in_b"].to_numpy(bool)
     row = entries["source"].map(place).to_numpy(np.int64)
@@ -157,7 +161,7 @@ def block_differences(entries: pd.DataFrame, rows: pd.DataFrame, terms: int) ->
             change = np.abs(mine - share) - np.abs(mine - np.repeat(zero, counts))
             total[full] += np.add.reduceat(change, starts[full])
         to = np.flatnonzero(in_b & (np.arange(len(rows)) > i) | in_b & ~in_a & (np.arange(len(rows)) != i))
-        yield rows["source"][i], to, total
+        yield i, to, total
 
 
 def shares(docs: DataFrame, min_docs: int = 30, smoothing: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -204,12 +208,12 @@ def pair_differences(cells: DataFrame, groups: DataFrame, kept: DataFrame, shard
     by = ["lang", "shard", "a", "b"]
 
     def differ(key: tuple, rows: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
-        found = [pd.DataFrame({"u": u, "at": to, "value": total[to]}) for u, to, total in block_differences(entries, rows, int(rows["width"].iloc[0])) if len(to)] if len(rows) else []
-        if not found:
-            return pd.DataFrame({"lang": [], "u": [], "v": [], "value": []})
-        names = np.array(sorted(rows["source"], key=lambda x: x.encode("utf-8", "surrogatepass")), object)
-        out = pd.concat(found, ignore_index=True)
-        return pd.DataFrame({"lang": key[0], "u": out["u"], "v": names[out["at"]], "value": out["value"]})
+        found = [(i, to, total[to]) for i, to, total in block_differences(entries, rows, int(rows["width"].iloc[0]))] if len(rows) else []
+        names = np.array(sorted(rows["source"], key=_bytes), object)
+        u = np.repeat([i for i, _, _ in found], [len(to) for _, to, _ in found]).astype(np.int64)
+        v, value = (np.concatenate([np.zeros(0, np.int64), *(x[k] for x in found)]) for k in (1, 2))
+        text = lambda x: pd.Series(x, dtype=object)
+        return pd.DataFrame({"lang": text([key[0]] * len(u)), "u": text(names[u]), "v": text(names[v]), "value": value})
 
     sums = rows.groupBy(*by).cogroup(dealt.groupBy(*by)).applyInPandas(differ, "lang string, u string, v string, value bigint")
     return sums.groupBy("lang", "u", "v").agg(F.sum("value").alias("value"))

@@ -267,3 +267,65 @@ def classify(docs: list[tuple], sample: int, spark) -> list[tuple]:
         x = features(t)
         out.append((i, p, good[p], 1 / (1 + math.exp(-max(-30, min(30, w[-1] + sum(v * w[at] for at, v in x.items()))))) if x else 0.0))
     return out
+
+
+def _ranked(rows: list[tuple], top: int) -> list[tuple]:
+    """rows: (sort key, row). (row, rank) of the first."""
+    return [(row, k + 1) for k, (_, row) in enumerate(sorted(rows, key=lambda x: x[0])[:top])]
+
+
+def collocations(docs: list[tuple], longest: int, least: int, top: int) -> list[tuple]:
+    """docs: (text, lang). (lang, rank, phrase, a, l, r, n, score)."""
+    f: dict = {}
+    total: dict = {}
+    for text, lang in docs:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").translate(LOWER)):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            total[lang] = total.get(lang, 0) + len(words)
+            for k in range(1, longest + 1):
+                for i in range(len(words) - k + 1):
+                    p = lang, tuple(words[i : i + k])
+                    f[p] = f.get(p, 0) + 1
+    good = {p: a for p, a in f.items() if len(p[1]) > 1 and a >= least}
+    longer: dict = {}
+    for (lang, w), a in good.items():
+        for k in range(2, len(w)):
+            for i in range(len(w) - k + 1):
+                p = lang, w[i : i + k]
+                longer[p] = max(longer.get(p, 0), a)
+    by: dict = {}
+    for (lang, w), a in good.items():
+        if 100 * longer.get((lang, w), 0) >= 50 * a and (lang, w) in longer:
+            continue
+        cuts = [(1_000_000 * a * a // (f[lang, w[:k]] * f[lang, w[k:]]), k) for k in range(1, len(w))]
+        score, k = min(cuts)
+        phrase = " ".join(w)
+        by.setdefault(lang, []).append(((-score, -a, phrase.encode()), (phrase, a, f[lang, w[:k]], f[lang, w[k:]], score)))
+    return [(lang, rank, p, a, x, y, total[lang], s) for lang, rows in by.items() for (p, a, x, y, s), rank in _ranked(rows, top)]
+
+
+def divergence(docs: list[tuple], least: int, smoothing: int, top: int) -> list[tuple]:
+    """docs: (text, lang, source). (lang, source, part, item, value, rank)."""
+    counts: dict = {}
+    seen: dict = {}
+    groups_of: dict = {}
+    for text, lang, source in docs:
+        lang, source = lang or "", source or ""
+        groups_of.setdefault(lang, set()).add(source)
+        words = re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
+        for w in words:
+            counts[lang, source, w] = counts.get((lang, source, w), 0) + 1
+        for w in set(words):
+            seen[lang, w] = seen.get((lang, w), 0) + 1
+    out = []
+    for lang, sources in groups_of.items():
+        terms = [w for (g, w), n in seen.items() if g == lang and n >= least]
+        own = {s: [counts.get((lang, s, w), 0) for w in terms] for s in sources}
+        share = lambda c: [1 + 1_000_000_000 * (x + smoothing) // (sum(c) + smoothing * len(terms)) for x in c]  # noqa: B023, E731
+        p, q = {s: share(c) for s, c in own.items()}, share([sum(x) for x in zip(*own.values())])
+        for s in sources:
+            pairs = [((-v, t.encode()), (t, v)) for t in sources - {s} for v in [sum(abs(a - b) for a, b in zip(p[s], p[t]))]]
+            best = [((-v, w.encode()), (w, v)) for w, n, a, b in zip(terms, own[s], p[s], q) for v in [a - b] if n and v > 0]
+            out += [(lang, s, "pair", *row, k) for row, k in _ranked(pairs, len(pairs))] + [(lang, s, "term", *row, k) for row, k in _ranked(best, top)]
+    return out
