@@ -5,15 +5,16 @@ against the histogram of its language, summed over the whole corpus, by the
 Jensen-Shannon distance (base 2, square root, 0 to 1). Short texts have noisy
 histograms, so each comparison has a least length. Two passes over the texts:
 one sums the references (pre-aggregated in each batch), one scores. The
-references are joined by language; they are few and written first, so the
-planner broadcasts them by their true size.
+references are joined by language: those of languages with more than a thousandth of all
+rows, of which there are fewer than a thousand, are broadcast, so no task gets all texts
+of one.
 
-Defined results: a null text has no words. A language that is null, or has
-fewer than min_reference_words words in the corpus, is held against the sum of
-all languages. Rows are judged one by one, so repeated ids don't matter and rows alike
+Defined results: a null text has no words. Every language is held against itself, however
+little there is of it, and rows without a language against each other, so verdicts don't
+turn at any size of the corpus. Rows are judged one by one, so repeated ids don't matter and rows alike
 get equal verdicts; a distance equal to its limit passes. Texts of any length are counted
 whole. Of columns only text and lang count, by their exact names; others, of any name, are
-passed through unchanged. An empty table gives an empty result.
+passed through unchanged (one named quality stays in its place; the struct is the last). An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -106,16 +107,17 @@ BINS = len(CLASSES) + len(WORDS) + 1
 
 
 def _sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A count for each language and bin of a batch."""
+    """A count for each language and bin of a batch; bin -1 counts the rows."""
     for batch in batches:
         total: dict = {}
         for text, lang in zip(batch["text"], batch["lang"]):
             text = text or ""
-            at = total.setdefault(lang, np.zeros(BINS, np.int64))
-            at[: len(CLASSES)] += _characters(text)[0]
-            at[len(CLASSES) :] += _common(split_words(text.lower()))
+            at = total.setdefault(lang, np.zeros(BINS + 1, np.int64))
+            at[0] += 1
+            at[1 : 1 + len(CLASSES)] += _characters(text)[0]
+            at[1 + len(CLASSES) :] += _common(split_words(text.lower()))
         for lang, counts in total.items():
-            yield pd.DataFrame({"lang": [lang] * BINS, "bin": range(BINS), "n": counts})
+            yield pd.DataFrame({"lang": [lang] * (BINS + 1), "bin": range(-1, BINS), "n": counts})
 
 
 def divergence(p: np.ndarray, q: np.ndarray) -> float:
@@ -145,15 +147,18 @@ def _features(texts: pd.Series, references: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[x.split()[0] for x in _FEATURES.split(", ")])
 
 
-def references(docs: DataFrame, min_reference_words: int = 5000) -> tuple[DataFrame, list[int]]:
-    """(lang, bins) for every language with enough words, and the bins of all rows together."""
-    sums = common.pick(docs, "text", "lang").mapInPandas(_sums, "lang string, bin int, n bigint")
-    counts = common.materialize(sums.groupBy("lang", "bin").agg(F.sum("n").alias("n")), "references")
-    total = dict.fromkeys(range(BINS), 0) | {r[0]: r[1] for r in counts.groupBy("bin").agg(F.sum("n")).collect()}
-    words = F.sum(F.when(F.col("bin") >= len(CLASSES), F.col("n")))
-    bins = F.transform(F.sort_array(F.collect_list(F.struct("bin", "n"))), lambda x: x["n"])
-    shares = counts.where("lang is not null").groupBy("lang").agg(bins.alias("bins"), words.alias("words")).where(F.col("words") >= min_reference_words)
-    return common.materialize(shares.select("lang", "bins"), "references"), [total[i] for i in range(BINS)]
+def _key(lang: Column) -> Column:
+    """The language as a key that isn't null."""
+    return F.coalesce(F.concat(F.lit("="), lang), F.lit(""))
+
+
+def references(docs: DataFrame) -> DataFrame:
+    """(_lang, bins, n) of every language: its key, counts by bin, and rows."""
+    plain = common.pick(docs, "text", "lang")
+    sums = plain.select("text", _key(F.col("lang")).alias("lang")).mapInPandas(_sums, "lang string, bin int, n bigint")
+    sums = sums.groupBy("lang", "bin").agg(F.sum("n").alias("n"))
+    bins = F.transform(F.sort_array(F.collect_list(F.when(F.col("bin") >= 0, F.struct("bin", "n")))), lambda x: x["n"])
+    return common.materialize(sums.groupBy(F.col("lang").alias("_lang")).agg(bins.alias("_bins"), F.sum(F.when(F.col("bin") < 0, F.col("n"))).alias("n")), "references")
 
 
 def judge(
@@ -163,20 +168,17 @@ def judge(
     common_noise: float = 1.6,
     min_chars: int = 120,
     min_common_words: int = 60,
-    min_reference_words: int = 5000,
 ) -> DataFrame:
     """docs with a struct column quality: the counts, both distances, base_failed and kept.
 
     The distance of common words that chance alone brings falls as the root of
     the number of words, so its limit is max_common_distance + common_noise / sqrt(n_words).
     """
-    refs, everything = references(docs, min_reference_words)
+    refs = references(docs)
     text, lang = (F.col(f"_{common.index_of(docs, x)}") for x in ("text", "lang"))
-    held = (
-        docs.toDF(*(f"_{i}" for i in range(len(docs.columns))))
-        .join(refs.withColumnRenamed("lang", "_lang"), lang == F.col("_lang"), "left")
-        .withColumn("_f", F.pandas_udf(_features, _FEATURES)(text, F.coalesce("bins", F.expr(f"array({', '.join(f'{x}L' for x in everything)})"))))
-    )
+    plain = docs.toDF(*(f"_{i}" for i in range(len(docs.columns)))).withColumn("_lang", _key(lang))
+    held = common.join_counted(plain, refs, ["_lang"])
+    held = held.withColumn("_f", F.pandas_udf(_features, _FEATURES)(text, F.col("_bins")))
     n, again = F.col("_f.n_words"), F.col("_f.n_repeat_words")
     base = (n < 10) | (100 * again > 20 * n)
     apart = ((F.col("_f.word_chars") >= min_chars) & (F.col("_f.class_distance") > max_class_distance)) | (
