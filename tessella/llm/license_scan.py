@@ -11,13 +11,17 @@ without their rare words grows with their number:
 2. Prefix filter. Of a template with n tokens of which k are needed, any block that has
    it holds one of its first n - k + 1. The words of all texts are joined with these
    prefix tokens; what meets are candidates (text, template, place).
-3. Around each candidate, the tokens of templates that stand within a block's reach are
-   brought together by a join on cells of places, so a long text is no single group.
-4. Length filter: candidates with fewer than k distinct tokens around them go.
+3. Candidates are put into cells as wide as a block's reach, rounded up to a power of two,
+   and the tokens of templates within reach of a cell are brought together by a join on
+   cells, so a long text is no single group, and a template of any length costs a text no
+   more than its tokens, a few times over.
+4. Length filter: cells with fewer than k distinct tokens around them go.
    Positional filter: with i tokens of the block before the first common one, in the
    order of 1, and j of the template, at most min(block - i, template - j) can be common;
-   candidates where that is less than k go.
-5. Every block around what is left is counted exactly.
+   cells where that is less than k go.
+5. Every block around what is left is counted exactly: a token counts for the blocks that
+   begin after the one before it of its kind and reach it, so one walk over the ends of
+   these ranges has the count of all blocks.
 
 DataFrame functions only. Copies of a text are joined once, and the results given to all
 of them.
@@ -65,8 +69,8 @@ NAMES = {"mit-notice": "mit"}
 THRESHOLD = 0.9
 #: A block is as long as its template, and this part of it more.
 SLACK = 0.5
-#: Tables of templates are broadcast, so their number is checked.
-MOST_TEMPLATES, MOST_WORDS = 2_000, 400
+#: Tables of templates are broadcast, so their words are counted: at most so many in all, whatever one template's length.
+MOST_WORDS = 1_000_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -100,9 +104,9 @@ def frequencies(docs: DataFrame, tokens: list[str]) -> dict[str, int]:
 
 
 def template_tables(spark: SparkSession, templates: dict[str, str], counts: dict[str, int], threshold: float, slack: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(word, rank) of all tokens; (word, tid) of prefix tokens; (tid, label, ranks, need, reach) of templates."""
-    if len(templates) > MOST_TEMPLATES or any(len(words.split()) > MOST_WORDS for words in templates.values()):
-        raise ValueError(f"more than {MOST_TEMPLATES} templates, or one of more than {MOST_WORDS} words")
+    """(word, rank) of all tokens; (word, tid) of prefix tokens; (tid, label, ranks, need, reach, width) of templates."""
+    if sum(len(words.split()) for words in templates.values()) > MOST_WORDS:
+        raise ValueError(f"templates of more than {MOST_WORDS} words")
     sets = {label: set(words.split()) for label, words in templates.items() if words.split()}
     rank = {w: i for i, w in enumerate(sorted({w for s in sets.values() for w in s}, key=lambda w: (counts[w], w)))}
     prefix, rows = [], []
@@ -110,14 +114,22 @@ def template_tables(spark: SparkSession, templates: dict[str, str], counts: dict
         ordered = sorted(tokens, key=rank.__getitem__)
         need, length = ceil(threshold * len(ordered) - 1e-9), len(templates[label].split())
         prefix += [(w, tid) for w in ordered[: len(ordered) - need + 1]]
-        rows.append((tid, NAMES.get(label, label), [rank[w] for w in ordered], need, length + int(slack * length)))
+        reach = length + int(slack * length)
+        rows.append((tid, NAMES.get(label, label), [rank[w] for w in ordered], need, reach, 1 << (reach - 1).bit_length()))
     return (
         spark.createDataFrame(list(rank.items()), "word string, rank int"),
         spark.createDataFrame(prefix, "word string, tid int"),
-        spark.createDataFrame(rows, "tid int, label string, ranks array<int>, need int, reach int"),
+        spark.createDataFrame(rows, "tid int, label string, ranks array<int>, need int, reach int, width int"),
     )
 
 
+def _fullest() -> Column:
+    """The most distinct tokens in any run of reach words, of near: (rank, at), sorted."""
+    last = "if(i > 0 and get(near, i - 1).rank = t.rank, get(near, i - 1).at, -1)"
+    ends = f"flatten(transform(near, (t, i) -> array(struct(greatest({last} + 1, t.at - reach + 1) as at, 1 as d), struct(t.at + 1 as at, -1 as d))))"
+    return F.expr(f"aggregate(array_sort({ends}), struct(0 as now, 0 as most), (s, e) -> struct(s.now + e.d as now, greatest(s.most, s.now + e.d) as most), s -> s.most)")
+
+
 def similar_blocks(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, slack: float = SLACK) -> DataFrame:
     """h1, h2 (of text_key()), label and share: the best share of each template that a block of a text meets the threshold with."""
     spark = docs.sparkSession
@@ -127,28 +139,26 @@ def similar_blocks(docs: DataFrame, templates: dict[str, str] = TEMPLATES, thres
     if table.isEmpty():
         return spark.createDataFrame([], "h1 bigint, h2 bigint, label string, share double")
     # 2. One copy of a text is as good as another, and its places are the same.
-    met = _words(texts, *TEXT).join(F.broadcast(prefix), "word").select(*TEXT, "tid", "pos").distinct()
-    met = common.materialize(met.join(F.broadcast(table.select("tid", "reach")), "tid"), "candidates")
-    # 3. Cells are as wide as the longest reach, so a candidate touches three at most.
-    held = common.materialize(met.select(*TEXT).distinct(), "texts")
+    met = _words(texts, *TEXT).join(F.broadcast(prefix), "word").join(F.broadcast(table.select("tid", "reach", "width")), "tid")
+    met = common.materialize(met.select(*TEXT, "tid", "reach", "width", F.expr("pos div width").alias("home")).distinct(), "candidates")
+    # 3. Blocks that begin in a cell, or reach it, touch its neighbours at most.
+    held = common.materialize(met.groupBy(*TEXT).agg(F.collect_set("width").alias("widths")), "texts")
     some = common.maybe_among(texts, held, *TEXT).where("maybe").groupBy(*TEXT).agg(F.first("text").alias("text")).join(held, TEXT)
-    cell = F.lit(table.agg(F.max("reach")).first()[0])
-    tokens = _words(some, *TEXT).join(F.broadcast(vocabulary), "word").select(*TEXT, F.floor(F.col("pos") / cell).alias("cell"), F.col("pos").alias("at"), "rank")
-    low, high = F.col("pos") - F.col("reach") + 1, F.col("pos") + F.col("reach") - 1
-    reached = met.select("*", F.explode(F.sequence(F.floor(F.greatest(low, F.lit(0)) / cell), F.floor(high / cell))).alias("cell"))
-    near = reached.join(tokens, [*TEXT, "cell"]).where(F.col("at").between(low, high))
-    near = near.groupBy(*TEXT, "tid", "pos").agg(F.collect_list(F.struct("at", "rank")).alias("near")).join(F.broadcast(table), "tid")
+    tokens = _words(some, *TEXT, "widths").join(F.broadcast(vocabulary), "word").select(*TEXT, F.col("pos").alias("at"), "rank", F.explode("widths").alias("width"))
+    tokens = tokens.select(*TEXT, "width", F.expr("at div width").alias("cell"), "at", "rank")
+    reached = met.select("*", F.explode(F.sequence(F.col("home") - 1, F.col("home") + 1)).alias("cell"))
+    low, high = F.col("home") * F.col("width") - F.col("reach") + 1, (F.col("home") + 1) * F.col("width") + F.col("reach") - 2
+    near = reached.join(tokens, [*TEXT, "width", "cell"]).where(F.col("at").between(low, high))
+    pairs = table.select("tid", F.explode("ranks").alias("rank"), F.lit(True).alias("own"))
+    near = near.join(F.broadcast(pairs), ["tid", "rank"], "left").groupBy(*TEXT, "tid", "home")
+    near = near.agg(F.array_sort(F.collect_set("rank")).alias("block"), F.array_sort(F.collect_list(F.when(F.col("own"), F.struct("rank", "at")))).alias("near"))
     # 4.
-    block = F.array_sort(F.array_distinct(F.col("near.rank")))
-    near = near.withColumn("block", block).where(F.size("block") >= F.col("need"))
+    near = near.join(F.broadcast(table), "tid").where(F.size("block") >= F.col("need"))
     first = F.get(F.array_intersect("ranks", "block"), F.lit(0))
     left = lambda side: F.size(side) - F.array_position(F.col(side), F.col("first")) + 1
     near = near.withColumn("first", first).where((left("block") >= F.col("need")) & (left("ranks") >= F.col("need")))
-    # 5. The best block begins with one of the template's tokens.
-    own = F.filter("near", lambda x: F.array_contains("ranks", x["rank"]))
-    starts = F.filter("own", lambda x: x["at"] <= F.col("pos"))
-    count = lambda s: F.size(F.array_distinct(F.transform(F.filter("own", lambda x: x["at"].between(s["at"], s["at"] + F.col("reach") - 1)), lambda x: x["rank"])))
-    best = near.withColumn("own", own).withColumn("best", F.array_max(F.transform(starts, count))).where("best >= need")
+    # 5. Sorted by token and place, the entry before says where a token stood last.
+    best = near.withColumn("best", _fullest()).where("best >= need")
     return best.groupBy(*TEXT, "label").agg(F.max(F.col("best") / F.size("ranks")).alias("share"))
 
 
