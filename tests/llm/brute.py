@@ -186,20 +186,15 @@ def _histograms(text: str | None) -> tuple[list, list]:
     return by_class, [*by_word, len(words) - sum(by_word)]
 
 
-def quality_verdicts(docs: list[tuple], least: int) -> dict:
+def quality_verdicts(docs: list[tuple]) -> dict:
     """docs: (doc_id, text, lang). (doc_id, text, lang) -> kept and both distances."""
     both = [_histograms(t) for _, t, _ in docs]
     add = lambda rows: tuple([sum(x) for x in zip(*part)] for part in zip(*rows))
-    everything = add(both)
-    own = {}
-    for lang in {d[2] for d in docs} - {None}:
-        sums = add([h for h, d in zip(both, docs) if d[2] == lang])
-        if sum(sums[1]) >= least:
-            own[lang] = sums
+    own = {lang: add([h for h, d in zip(both, docs) if d[2] == lang]) for lang in {d[2] for d in docs}}
     out = {}
     for (i, text, lang), (by_class, by_word) in zip(docs, both):
         n, chars, *_, failed = quality(text)
-        ref = own.get(lang, everything)
+        ref = own[lang]
         a, b = _distance(by_class, ref[0]), _distance(by_word, ref[1])
         apart = (chars >= 120 and a > 0.3) or (n >= 60 and b > 0.18 + 1.6 / n**0.5)
         out[i, text, lang] = (not failed and not apart, a, b)

@@ -36,8 +36,8 @@ def test_quality_keep_leaves_columns_alone(docs):
 
 
 def test_quality_verdicts_and_distances(docs, docs_rows):
-    found = quality_rules.judge(docs, min_reference_words=500).select("doc_id", "text", "lang", "quality.*").collect()
-    want = brute.quality_verdicts(docs_rows, 500)
+    found = quality_rules.judge(docs).select("doc_id", "text", "lang", "quality.*").collect()
+    want = brute.quality_verdicts(docs_rows)
     assert len(found) == len(docs_rows) and 0 < sum(r["kept"] for r in found) < len(found)
     for r in found:
         kept, by_class, by_word = want[r["doc_id"], r["text"], r["lang"]]
@@ -45,6 +45,20 @@ def test_quality_verdicts_and_distances(docs, docs_rows):
     assert any(r["class_distance"] > 0.3 for r in found)
 
 
+def test_quality_of_a_small_language(spark):
+    """A few sound texts of another script beside many in English are kept, and stay so when more of their language arrive; a column may be named quality."""
+    rng = random.Random(4)
+    greek = lambda: " ".join("".join(rng.choice("αβγδεζηθικλμνο") for _ in range(rng.randint(2, 8))) for _ in range(90))
+    english = lambda: " ".join(rng.choice("the of and to in is it that was for with house tree green walked stone".split()) + "abc"[: rng.randint(0, 3)] for _ in range(90))
+    few, more, rest = [greek() for _ in range(5)], [greek() for _ in range(120)], [english() for _ in range(60)]
+    for own in (few, few + more):
+        df = spark.createDataFrame([(t, "el", "q") for t in own] + [(t, "en", "q") for t in rest], "text string, lang string, quality string")
+        judged = quality_rules.judge(df)
+        assert judged.columns == ["text", "lang", "quality", "quality"]
+        kept = quality_rules.keep(df).collect()
+        assert len(kept) == len(own) + 60 and {r["text"] for r in kept} >= set(few)
+
+
 def test_divergence():
     p, q = np.array([1, 2, 3]), np.array([10, 20, 30])
     assert quality_rules.divergence(p, q) < 1e-6
@@ -299,6 +313,28 @@ def test_license_join_is_exact(spark, threshold):
     assert sum(map(bool, found.values())) > 20
 
 
+def test_long_templates(spark):
+    """A full text of 3,000 words beside a short notice: held, with edits and wrapped, exactly as brute force counts."""
+    rng = random.Random(9)
+    words = [f"w{rng.randint(0, 900)}" for _ in range(3000)]
+    templates = {"full": " ".join(words), "short": "w1 w2 w3 notice"}
+    edited = [w for w in words if rng.random() > 0.04]
+    worse = [w if rng.random() > 0.4 else "gone" for w in words]
+    texts = ["\n".join([*["before"] * 700, *edited, *["after"] * 5000]), " ".join(worse), "x " * 4000 + "w1 notice w3 w2 " + " ".join(words[:2500]), " ".join(words[:2000])]
+    found = _blocks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), templates, 0.9)
+    want: dict = {}
+    for i, text in enumerate(texts):
+        have = text.split()
+        for label, template in templates.items():
+            own, reach = set(template.split()), len(template.split()) * 3 // 2
+            share = max(len(own & set(have[k : k + reach])) for k in range(0, len(have), 1 if label == "short" else 7)) / len(own)
+            if share >= 0.9:
+                want.setdefault(i, {})[label] = round(share, 2)
+    assert {i: {k: round(v, 2) for k, v in x.items()} for i, x in found.items()} == want and want[0].keys() == {"full"} and "short" in want[2]
+    with pytest.raises(ValueError, match="words"):
+        license_scan.similar_blocks(spark.createDataFrame([(0, "a")], "doc_id long, text string"), {"big": "w " * (license_scan.MOST_WORDS + 1)})
+
+
 def test_plan_of_licenses_does_not_grow_with_the_templates(spark):
     df = spark.createDataFrame([(0, "the 7th notice of kind17 and some words of rare17 text"), (1, "nothing")], "doc_id long, text string")
     many = {f"label{k}": f"the notice of kind{k} and words of rare{k}" for k in range(400)}
