@@ -5,7 +5,8 @@ character, merges can't cross from a word to the next marker: a text falls into
 chunks (markers, then the rest of the word) that are segmented independently.
 Each batch of documents makes the table of its distinct chunks, segments every
 chunk it hasn't met before once, and puts ids and decoded text together by
-position. Tables are kept by each Python worker and emptied at a fixed size, so
+position. Tables are kept by each Python worker, emptied at a fixed number of bytes,
+and hold no long chunks (words of unspaced scripts) beyond the text that has them, so
 memory is bounded and nothing is shuffled; a table for the whole corpus would
 have to be joined to every position of every text.
 
@@ -33,8 +34,8 @@ from pyspark.sql import functions as F
 from . import common
 
 MARK = "▁"
-#: Chunks that one worker's table holds at most.
-TABLE = 300_000
+#: Bytes of chunks, and of what they become, that one worker's table holds at most, with ENTRY for each; chunks of over LONG characters stay out of it.
+TABLE_BYTES, ENTRY, LONG = 48 * 2**20, 200, 256
 _CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -55,6 +56,8 @@ class Codec:
         self.apart = chunks_are_independent(self.model)
         self.table: dict[str, tuple[bytes, bytes]] = {}
         self.sizes: dict[str, int] = {}
+        self.held = 0  # bytes of both tables
+        self.passing: list[str] = []  # long chunks of the text at hand
         self.ends = (self.model.bos_id(), self.model.eos_id())
         if self.apart:
             # What each id stands for in the marked text, and in the decoded one.
@@ -104,18 +107,32 @@ class Codec:
             chunks = text.split(" ")
         new = [c for c in set(chunks) if c not in known]
         if new:
-            if len(self.sizes) + len(new) > TABLE:
-                self.table.clear()
-                self.sizes.clear()
-                new = list(set(chunks))
             self._segment(new, whole)
+            for c in new:
+                if len(c) > LONG:
+                    self.passing.append(c)
+                else:
+                    self.held += ENTRY + 2 * len(c) + (sum(map(len, self.table[c])) if whole else 0)
         return chunks
 
+    def _trim(self) -> None:
+        """Between texts: long chunks go, and all others once they hold TABLE_BYTES."""
+        for c in self.passing:
+            self.table.pop(c, None)
+            self.sizes.pop(c, None)
+        self.passing.clear()
+        if self.held > TABLE_BYTES:
+            self.table.clear()
+            self.sizes.clear()
+            self.held = 0
+
     def count(self, text: str | None) -> int:
         """Number of ids of a text, begin and end included."""
         if not text or not self.apart:
             return len(self.model.encode(text or "", add_bos=True, add_eos=True))
-        return 2 + sum(map(self.sizes.__getitem__, self._chunks(text, False)))
+        n = 2 + sum(map(self.sizes.__getitem__, self._chunks(text, False)))
+        self._trim()
+        return n
 
     def round_trip(self, text: str | None) -> tuple[bytes, str]:
         """Ids (little-endian 32-bit) with begin and end, and the text decoded from them."""
@@ -125,6 +142,7 @@ class Codec:
             return np.array(ids, "<u4").tobytes(), self.model.decode(ids)
         chunks = self._chunks(text)
         found = list(map(self.table.__getitem__, chunks))
+        self._trim()
         head, tail = (np.array([x], "<u4").tobytes() for x in self.ends)
         decoded = b"".join([x[1] for x in found])[1:].decode("utf-8", "surrogatepass")
         return b"".join([head, *(x[0] for x in found), tail]), decoded
