@@ -17,7 +17,9 @@ verified by the bits that its two fingerprints differ in.
 The shuffle deals variants by their top bits. A fingerprint is sent once to
 each such prefix that its ball touches, and its variants are expanded there, so
 the shuffle holds a few rows a fingerprint instead of a thousand. Each prefix
-returns a spanning forest of what met there.
+returns a spanning forest of what met there. A prefix that too many fingerprints
+reach (templated texts share their top bits) is dealt anew by more of them, up to the
+half of the word that two flips stay in.
 
 Defined results: null and empty texts, and texts of white space only, have the
 fingerprint zero and link like any other. Texts of any length are shingled whole,
@@ -36,7 +38,7 @@ from math import ceil, log2
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -46,6 +48,8 @@ RADIUS = 3
 HALVES = (range(32), range(32, 64))
 #: Variants that one prefix is meant to hold; twice the prefixes from twice the rows.
 VARIANTS_PER_PREFIX = 4_000_000
+#: Rows that make a prefix crowded.
+CROWD = 40_000
 #: Odd fingerprints whose 992 double flips are held at once.
 CHUNK = 4_000
 
@@ -156,18 +160,49 @@ def _meet(fps: np.ndarray, prefix: int, q: int) -> np.ndarray:
     return forest.roots()
 
 
-def links(fps: DataFrame, n: int) -> DataFrame:
+def _deeper(q: int, more: int):
+    """Rows of crowded prefixes of q bits, dealt by so many more bits: each to what its flips that are left reach."""
+    masks = [np.array([sum(1 << i for i in bits) for bits in combinations(range(more), k)], np.int64) for k in range(3)]
+
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            signed, prefix = batch["fp"].to_numpy(np.int64), batch["prefix"].to_numpy(np.int64)
+            x = signed.view(np.uint64)
+            used = np.unpackbits(((x >> np.uint64(64 - q)) ^ prefix.view(np.uint64)).view(np.uint8).reshape(-1, 8), axis=1).sum(1)
+            left = 1 + _odd(x) - used.astype(np.int64)
+            own = (prefix << more) | ((x >> np.uint64(64 - q - more)).astype(np.int64) & ((1 << more) - 1))
+            for k in range(3):
+                who = left >= k
+                for at in range(0, int(who.sum()), 10_000):
+                    part, fp = own[who][at : at + 10_000], signed[who][at : at + 10_000]
+                    yield pd.DataFrame({"prefix": (part[:, None] ^ masks[k]).ravel(), "fp": np.repeat(fp, len(masks[k]))})
+
+    return send
+
+
+def links(fps: DataFrame, n: int, crowd: int = CROWD) -> DataFrame:
     """(u, v) of distinct signed fingerprints: links within the radius that join all that any links join."""
     q = min(20, max(6, ceil(log2(max(1, n * 561 / VARIANTS_PER_PREFIX)))))
 
-    def meet(rows: pd.DataFrame) -> pd.DataFrame:
-        x = np.sort(rows["fp"].to_numpy(np.int64))
-        root = _meet(x.view(np.uint64), int(rows["prefix"].iloc[0]), q)
-        other = root != np.arange(len(x))
-        return pd.DataFrame({"u": x[other], "v": x[root[other]]})
+    def joined(sent: DataFrame, q: int) -> DataFrame:
+        def meet(rows: pd.DataFrame) -> pd.DataFrame:
+            x = np.sort(rows["fp"].to_numpy(np.int64))
+            root = _meet(x.view(np.uint64), int(rows["prefix"].iloc[0]), q)
+            other = root != np.arange(len(x))
+            return pd.DataFrame({"u": x[other], "v": x[root[other]]})
+
+        return sent.groupBy("prefix").applyInPandas(meet, "u bigint, v bigint")
 
     sent = fps.select("fp").mapInPandas(_sender(q), "prefix bigint, fp bigint")
-    return sent.groupBy("prefix").applyInPandas(meet, "u bigint, v bigint")
+    if n <= crowd:
+        return joined(sent, q)
+    crowds = common.materialize(sent.groupBy("prefix").agg(F.count("*").alias("n")).where(F.col("n") > crowd), "crowds")
+    most = common.total(crowds, "most_n")
+    if not most:
+        return joined(sent, q)
+    more = min(HALVES[1].start - q, 1 + ceil(log2(most / crowd)) + 2)
+    again = sent.join(crowds.select("prefix"), "prefix", "left_semi").mapInPandas(_deeper(q, more), "prefix bigint, fp bigint")
+    return joined(sent.join(crowds.select("prefix"), "prefix", "left_anti"), q).unionByName(joined(again, q + more))
 
 
 def classes(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -204,6 +239,6 @@ def deduplicate(docs: DataFrame, shingle: int = 3) -> DataFrame:
     held = common.join_counted(flagged.where("maybe"), special, ["_id"], "left").where("coalesce(_stays, true)")
     out = flagged.where("not maybe").select(*names).unionByName(held.where("coalesce(_n, 1) = 1").select(*names))
     if not special.where("_n > 1 and _stays").isEmpty():
-        again = held.where("_n > 1").withColumn("_r", F.row_number().over(Window.partitionBy(doc_id).orderBy(F.xxhash64(text))))
-        out = out.unionByName(again.where("_r = 1").select(*names))
+        again = held.where("_n > 1").groupBy(doc_id.alias("_id")).agg(F.min_by(F.struct(*names), F.struct(F.xxhash64(text), F.xxhash64(F.lit(1), text))).alias("_row"))
+        out = out.unionByName(again.select("_row.*"))
     return out.toDF(*docs.columns)
