@@ -138,6 +138,25 @@ def test_secrets_are_redacted(docs, docs_rows):
     assert texts[0][0] == docs_rows[0][1]
 
 
+def test_crowded_prefixes(spark):
+    """100,000 fingerprints of a few templates, alike in their top bits: dealt to many tasks, joined as brute force joins them."""
+    rng = np.random.default_rng(7)
+    centres = (np.uint64(0xABCDE) << np.uint64(44)) | rng.integers(0, 1 << 44, 33_000, dtype=np.uint64)
+    near = [centres, *(centres ^ (np.uint64(1) << rng.integers(0, 64, len(centres), dtype=np.uint64)) for _ in range(2))]
+    near += [near[1] ^ (np.uint64(1) << rng.integers(0, 64, len(centres), dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, len(centres), dtype=np.uint64))]
+    x = np.unique(np.concatenate(near))
+    path = spark.createDataFrame([(int(v),) for v in x.view(np.int64)], "fp long")
+    simple, split = (sorted(map(tuple, common.components(simhash.links(path, len(x), crowd)).collect())) for crowd in (10**9, 2_000))
+    assert simple == split and len(split) > 90_000
+    some = np.sort(x)[:3000]
+    apart = np.array([[bin(int(a ^ b)).count("1") <= 3 for b in some[:300]] for a in some])
+    root = dict(split)
+    for i, j in zip(*np.nonzero(apart)):
+        if i != j:
+            a, b = (int(v) for v in (some[i].astype(np.int64), some[j].astype(np.int64)))
+            assert root[a] == root[b]
+
+
 def test_sentencepiece(docs, docs_rows, empty):
     import hashlib
 
@@ -155,10 +174,24 @@ def test_sentencepiece(docs, docs_rows, empty):
     assert first["ids"] == sp.encode(docs_rows[1][1], add_bos=True, add_eos=True)
 
 
+def test_sentencepiece_unspaced_texts():
+    """600 unspaced texts of 20,000 characters leave nothing in the table; 400,000 words no more than its bound."""
+    rng = random.Random(6)
+    codec = sentencepiece_codec.Codec(model_path())
+    base = "".join(rng.choice("類別年份有否向警方") for _ in range(20_000))
+    for k in range(600):
+        codec.count(f"{base[k:]}{base[:k]}") if k % 20 else codec.round_trip(f"{base[k:]}{base[:k]}")
+    assert not codec.table and not codec.sizes and codec.held == 0
+    for k in range(100):
+        codec.round_trip(" ".join(f"word{k}n{i}" for i in range(4000)))
+        assert sum(len(a) + sum(map(len, b)) for a, b in codec.table.items()) <= codec.held <= sentencepiece_codec.TABLE_BYTES
+
+
 def test_sentencepiece_tables(monkeypatch):
     import sentencepiece
 
-    monkeypatch.setattr(sentencepiece_codec, "TABLE", 5)
+    monkeypatch.setattr(sentencepiece_codec, "TABLE_BYTES", 2000)
+    monkeypatch.setattr(sentencepiece_codec, "LONG", 6)
     codec, rng = sentencepiece_codec.Codec(model_path()), random.Random(2)
     assert codec.apart
     for _ in range(3000):
