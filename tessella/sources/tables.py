@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import json
 import os
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators.model import CELLS, cells_from_table
 from ..operators.tidy import ROW
-from . import xlsx
+from . import csv_records, xlsx
 
 # Encodings and separators in the order in which they are tried.
 ENCODINGS = ["utf-16", "utf-8", "latin1"]
@@ -53,7 +55,7 @@ def read_head(spark: SparkSession, path: str, size: int = PROBE) -> tuple[bytes,
 
 
 def guesses(head: bytes, whole: bool = True) -> Iterator[tuple[str, str]]:
-    """Each encoding and separator that read the head as more than one column with rows of one width."""
+    """Each encoding and separator that read the head as more than one column, with no row wider than the first."""
     for encoding in ENCODINGS:
         try:
             text = head.decode(encoding) if whole else head.decode(encoding, "ignore" if encoding == "latin1" else "strict")
@@ -65,10 +67,13 @@ def guesses(head: bytes, whole: bool = True) -> Iterator[tuple[str, str]]:
                 continue
         if encoding == "utf-16" and head[:2] not in (b"\xff\xfe", b"\xfe\xff"):
             continue  # without a mark almost any bytes read as something
-        lines = [x for x in text.splitlines() if x.strip()]
         for separator in SEPARATORS:
-            widths = [len(x.split(separator)) for x in (lines if whole else lines[:-1] or lines)]
-            if widths and widths[0] > 1 and max(widths) <= widths[0] + sum(x.count('"') for x in lines):
+            try:
+                widths = [len(x) for x in csv.reader(io.StringIO(text, newline=""), delimiter=separator) if x]
+            except csv.Error:
+                continue
+            widths = widths if whole else widths[:-1] or widths
+            if widths and widths[0] > 1 and max(widths) <= widths[0]:
                 yield encoding, separator
 
 
@@ -77,49 +82,23 @@ def sniff(head: bytes, whole: bool = True) -> tuple[str, str]:
     return next(guesses(head, whole), ("utf-8", ","))
 
 
-def _utf16_widths(separator: str | None):  # noqa: ANN202
-    """Whether a file's bytes decode, the width of the first row and the widest, and the number of quotes."""
-
-    def widths(batches):  # noqa: ANN001, ANN202
-        import io
+def _utf16_holds(separator: str | None):  # noqa: ANN202
+    """Whether a file's bytes decode and no record is wider than the first."""
 
+    def holds(batches):  # noqa: ANN001, ANN202
         import pandas as pd
 
         for batch in batches:
             for content in batch["content"]:
-                held, first, widest, quotes = True, 0, 0, 0
+                held, first, widest = True, 0, 0
                 try:
-                    for line in io.TextIOWrapper(io.BytesIO(content), encoding="utf-16", newline=None):
-                        if line.strip():
-                            width = line.count(separator) + 1 if separator else 1
-                            first, widest, quotes = first or width, max(widest, width), quotes + line.count('"')
-                except UnicodeError:
+                    for record in csv.reader(io.TextIOWrapper(io.BytesIO(content), encoding="utf-16", newline=""), delimiter=separator or ","):
+                        first, widest = first or len(record), max(widest, len(record))
+                except (UnicodeError, csv.Error):
                     held = False
-                yield pd.DataFrame({"held": [held], "first": [first], "widest": [widest], "quotes": [quotes]})
-
-    return widths
+                yield pd.DataFrame({"held": [held and (separator is None or widest <= first)]})
 
-
-def fits(spark: SparkSession, path: str, encoding: str, separator: str | None = None) -> bool:
-    """Whether the whole file decodes in the encoding and, given a separator, no row is wider than the first.
-
-    Text lines come as they are in the file, so UTF-8 is tested in parallel.
-    A UTF-16 file is read by one task, here as later on.
-    """
-    if encoding == "utf-16":
-        content = spark.read.format("binaryFile").load(path).select("content")
-        found = content.mapInPandas(_utf16_widths(separator), "held boolean, first long, widest long, quotes long").first()
-        return found["held"] and found["widest"] <= found["first"] + found["quotes"]
-    lines = spark.read.text(path)
-    held = F.is_valid_utf8("value") if encoding == "utf-8" else F.lit(True)
-    count = lambda c: F.length(F.regexp_replace("value", f"[^{c}]", ""))
-    filled = lines.where(F.trim("value") != "")
-    width = count("\\" + separator) + 1 if separator else F.lit(1)
-    all_held, widest, quotes = filled.agg(F.bool_and(held), F.max(width), F.sum(count('"'))).first()
-    if all_held is None:
-        return True
-    first = filled.select(width).first()[0] if separator else 1
-    return all_held and widest <= first + quotes
+    return holds
 
 
 def numbered(df: DataFrame, row: str = ROW) -> DataFrame:
@@ -141,14 +120,63 @@ def numbered(df: DataFrame, row: str = ROW) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, row: str = ROW) -> DataFrame:
-    """A CSV as a table with typed columns, its encoding and separator the first ones that hold for the whole file; the head only gives the guesses."""
+    """A CSV as a table with typed columns, its encoding and separator the first ones that hold for the whole file; the head only gives the guesses.
+
+    Where none of the fixed separators holds, the whole file's counts of other
+    characters tell one, and the quote. Quoted fields may hold line ends and
+    doubled quotes; a file that has such records is read by csv_records, any
+    other by Spark's own reader, both in parallel. A UTF-16 file is read by one
+    task. A quote that is never closed makes quotes ordinary characters.
+    """
     head, whole = read_head(spark, path)
-    found = next((x for x in guesses(head, whole) if whole or fits(spark, path, *x)), None)
-    marked = head[:2] in (b"\xff\xfe", b"\xfe\xff")
-    encoding, separator = found or (next(x for x in ENCODINGS if (marked or x != "utf-16") and fits(spark, path, x)), ",")
-    spark_name = {"utf-16": "UTF-16", "utf-8": "UTF-8", "latin1": "ISO-8859-1"}[encoding]
-    frame = spark.read.csv(path, sep=separator, encoding=spark_name, header=True, inferSchema=True, multiLine=encoding == "utf-16", enforceSchema=False)
-    return numbered(frame, row)
+    found = list(guesses(head, whole))
+    if head[:2] in (b"\xff\xfe", b"\xfe\xff"):
+        content = spark.read.format("binaryFile").load(path).select("content")
+        holds = lambda sep: content.mapInPandas(_utf16_holds(sep), "held boolean").first()["held"]
+        separator = next((sep for encoding, sep in found if encoding == "utf-16" and holds(sep)), None)
+        if separator or holds(None):
+            return numbered(spark.read.csv(path, sep=separator or ",", encoding="UTF-16", header=True, inferSchema=True, multiLine=True, escape='"', enforceSchema=False), row)
+    end = "\n" if b"\n" in head or b"\r" not in head else None
+    lines = csv_records.file_lines(spark, path, end)
+    dialect, at = _dialect(lines, dict.fromkeys(sep for encoding, sep in found if encoding != "utf-16"))
+    name = "UTF-8" if at.valid else "ISO-8859-1"
+    if not at.crossing:
+        return numbered(spark.read.options(**csv_records.options(dialect)).csv(path, encoding=name, header=True, inferSchema=True, enforceSchema=False), row)
+    records = csv_records.records(lines, dialect, at).select("row", F.decode("record", name).alias("record"))
+    names = _names(csv_records.fields(records.where("row = 0").first()["record"], dialect))
+    data = records.where("row > 0")
+    # Spark infers the types, from a first record that has every column and says nothing of them.
+    blank = spark.sparkContext.parallelize([dialect.separator.join([2 * dialect.quote] * len(names))], 1)
+    kinds = spark.read.options(**csv_records.options(dialect), multiLine=True).csv(blank.union(data.select("record").rdd.map(lambda r: r[0])), inferSchema=True).dtypes
+    parsed = csv_records.parsed(F.col("record"), ", ".join(f"_{i} {kind}" for i, (_, kind) in enumerate(kinds)), dialect)
+    table = data.select((F.col("row") - 1).alias("_row"), parsed.alias("_p"))
+    return table.select(*(F.col(f"_p._{i}") for i in range(len(names))), "_row").toDF(*names, row)
+
+
+def _dialect(lines: DataFrame, separators: Iterable[str]) -> tuple[csv_records.Dialect, csv_records.Layout]:
+    """The first dialect that holds for all records, and the file's layout by it."""
+
+    def tried(dialect: csv_records.Dialect) -> tuple[csv_records.Dialect, csv_records.Layout] | None:
+        at = csv_records.layout(lines, dialect)
+        return (dialect, at) if at.closed and at.widest <= max(at.width, 1) else None
+
+    for separator in separators:
+        if held := tried(csv_records.Dialect(separator)):
+            return held
+    own = csv_records.detect(lines)
+    plain = csv_records.Dialect(own.separator if own else ",", "")
+    return (own and tried(own)) or tried(csv_records.Dialect(plain.separator)) or (plain, csv_records.layout(lines, plain))
+
+
+def _names(header: list[str]) -> list[str]:
+    """Column names: those without a name get their place, repeated ones a number."""
+    seen: dict[str, int] = {}
+    out = []
+    for i, name in enumerate(header):
+        name = name or f"_c{i}"
+        seen[name] = seen.get(name, -1) + 1
+        out.append(f"{name}.{seen[name]}" if seen[name] else name)
+    return out
 
 
 def read_cells(spark: SparkSession, path: str, data_only: bool = True) -> DataFrame:
@@ -225,8 +253,6 @@ def save(df: DataFrame, path: str, kind: str = "csv", encoding: str = "utf-8") -
 
     A .xlsx path with kind csv gets CSV text, in the given encoding. For tables of any size take write_csv().
     """
-    import csv
-
     names = [c for c in df.columns if c != ROW]
     ordered = df.orderBy(ROW) if ROW in df.columns else df
     rows = ([r[c] for c in names] for r in ordered.toLocalIterator())
