@@ -18,6 +18,7 @@ from ..functions import cells as C
 from ..operators import profile as P
 from ..operators import tidy
 from ..operators.tidy import ROW
+from . import roles
 from .analysis import Analysis, Schema
 from .plan import Plan, parse_reply
 
@@ -140,7 +141,7 @@ class RulePlanner:
             found.types = self._types(body)
             body = tidy.cast_types(body, found.types)
         stats = column_stats(body)
-        self._columns(found, names)
+        self._columns(found, names, body)
         self._rows(found, body, [s["name"] for s in stats if not s["typed"]])
         texts = [s["name"] for s in stats if not s["typed"] and s["name"] in found.id_columns]
         self._details(found, body, texts)
@@ -167,7 +168,7 @@ class RulePlanner:
         each = {c: counts[3 * i : 3 * i + 3] for i, c in enumerate(names)}
         return {c: "float" if broken else "integer" for c, (numbers, others, broken) in each.items() if numbers and not others}
 
-    def _columns(self, found: Analysis, names: list[str]) -> None:
+    def _columns(self, found: Analysis, names: list[str], body: DataFrame) -> None:
         found.aggregate_columns = [c for c in names if tidy.is_aggregate_name(c)]
         found.metadata_columns = [c for c in names if _METADATA.search(c) and c not in found.aggregate_columns]
         groups: dict[str, dict[str, str]] = {}
@@ -182,6 +183,9 @@ class RulePlanner:
         several = {v for columns in groups.values() if len(columns) > 1 for v in columns}
         # A single column stays as it is, unless another group has its value of the variable.
         found.value_groups = {g: columns for g, columns in groups.items() if len(columns) > 1 or several.intersection(columns)}
+        if not found.value_groups:
+            # One variable at a time: other grids of names are looked for where there are no periods.
+            found.value_groups = roles.value_groups(body, [*found.aggregate_columns, *found.metadata_columns])
         used = {c for columns in found.value_groups.values() for c in columns.values()}
         found.id_columns = [c for c in names if c not in used and c not in found.aggregate_columns and c not in found.metadata_columns]
 
