@@ -24,12 +24,31 @@ def occupancy(cells: DataFrame, axis: str) -> DataFrame:
     return cells.where(~C.is_blank(F.col("v_str"))).groupBy(*SHEET, axis).agg(F.count("*").alias("n"))
 
 
-def islands(indices: DataFrame, axis: str, keys: list[str] = SHEET) -> DataFrame:
-    """Each index with the first and last of its run of consecutive ones."""
-    in_order = Window.partitionBy(*keys).orderBy(axis)
-    run = indices.select(*keys, axis).distinct().withColumn("g", F.col(axis) - F.row_number().over(in_order))
-    whole = Window.partitionBy(*keys, "g")
-    return run.select(*keys, axis, F.min(axis).over(whole).alias(f"min_{axis}"), F.max(axis).over(whole).alias(f"max_{axis}"))
+#: Indices that one window of islands() and one array of rows_of() hold.
+STRETCH = 1 << 16
+
+
+def islands(indices: DataFrame, axis: str, keys: list[str] = SHEET, stretch: int = STRETCH) -> DataFrame:
+    """Each index with the first and last of its run of consecutive ones.
+
+    Runs are found within stretches of the axis. Those that touch a stretch's
+    border, two at most of each, are joined with their neighbours, and only they
+    are looked at across stretches.
+    """
+    within = [*keys, "stretch"]
+    own = indices.select(*keys, axis).distinct().withColumn("stretch", F.expr(f"{axis} div {stretch}"))
+    own = own.withColumn("g", F.col(axis) - F.row_number().over(Window.partitionBy(*within).orderBy(axis)))
+    run = Window.partitionBy(*within, "g")
+    own = own.withColumn("first", F.min(axis).over(run)).withColumn("last", F.max(axis).over(run))
+    touching = (F.col("first") == F.col("stretch") * stretch) | (F.col("last") == F.col("stretch") * stretch + stretch - 1)
+    border = own.where(touching).groupBy(*within, "first").agg(F.first("last").alias("last"))
+    in_order = Window.partitionBy(*keys).orderBy("first")
+    begins = F.coalesce(F.lag("last").over(in_order) + 1 != F.col("first"), F.lit(True)).cast("int")
+    chain = Window.partitionBy(*keys, "chain")
+    border = border.withColumn("begins", begins).withColumn("chain", F.sum("begins").over(in_order))
+    border = border.select(*within, "first", F.min("first").over(chain).alias("from"), F.max("last").over(chain).alias("to"))
+    both = own.join(border, [*within, "first"], "left")
+    return both.select(*keys, axis, F.coalesce("from", "first").alias(f"min_{axis}"), F.coalesce("to", "last").alias(f"max_{axis}"))
 
 
 def table_regions(cells: DataFrame, min_cells: int = 8) -> DataFrame:
@@ -55,10 +74,26 @@ def full_regions(cells: DataFrame) -> DataFrame:
     return extents(cells).select(*SHEET, F.lit(0).alias("region"), F.lit(1).alias("min_row"), "max_row", F.lit(1).alias("min_col"), "max_col")
 
 
+def rows_of(regions: DataFrame, stretch: int = STRETCH) -> DataFrame:
+    """(sheet, row, beside): for each row of a run that regions have, the regions in it, side by side. A row is there once for each run that holds it."""
+    beside = F.array_sort(F.collect_list(F.struct("min_col", "max_col", "region")))
+    runs = regions.groupBy(*SHEET, "min_row", "max_row").agg(beside.alias("beside"))
+    runs = runs.withColumn("s", F.explode(F.expr(f"sequence(min_row div {stretch}, max_row div {stretch})")))
+    rows = F.expr(f"sequence(greatest(min_row, s * {stretch}), least(max_row, s * {stretch} + {stretch} - 1))")
+    return runs.select(*SHEET, F.explode(rows.cast("array<int>")).alias("row"), "min_row", "max_row", "beside")
+
+
 def in_regions(cells: DataFrame, regions: DataFrame) -> DataFrame:
-    """The cells of each region; a sheet has few regions, so this is an equi-join on the sheet with a range test."""
-    inside = F.col("row").between(F.col("min_row"), F.col("max_row")) & F.col("col").between(F.col("min_col"), F.col("max_col"))
-    return cells.join(regions, SHEET).where(inside)
+    """The cells of each region, with its box.
+
+    Regions are keyed by their rows, and those of one run of rows stand side by
+    side there: cells find them by an equi-join on the row, so no more rows are
+    made than there are cells, and a cell is compared with the runs of columns
+    only.
+    """
+    found = cells.join(rows_of(regions.select(*REGION, "min_row", "max_row", "min_col", "max_col")), [*SHEET, "row"])
+    own = F.filter("beside", lambda x: F.col("col").between(x["min_col"], x["max_col"]))
+    return found.withColumn("_r", F.explode(own)).select("*", "_r.region", "_r.min_col", "_r.max_col").drop("beside", "_r")
 
 
 def similar_edges(cells: DataFrame) -> DataFrame:

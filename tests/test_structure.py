@@ -103,6 +103,38 @@ def test_regions(spark):
     assert [tuple(r[x] for x in ("min_row", "max_row", "min_col", "max_col", "n_cells")) for r in found] == [(7, 11, 5, 6, 10), (7, 11, 1, 2, 10), (1, 4, 1, 2, 8)]
 
 
+@pytest.mark.parametrize("stretch", [1, 3, 4, 1 << 16])
+def test_islands_over_stretches(spark, stretch):
+    rng = random.Random(stretch)
+    own = {(f"s{k}", i) for k in range(3) for i in range(1, 60) if rng.random() < (0.5, 0.8, 1)[k]}
+    df = spark.createDataFrame([("f", 0, *x) for x in own for _ in range(2)], "file string, sheet_no int, sheet string, row int")
+    found = {(r["sheet"], r["row"]): (r["min_row"], r["max_row"]) for r in S.islands(df, "row", stretch=stretch).collect()}
+    want = {}
+    for name, i in own:
+        a = b = i
+        while (name, a - 1) in own:
+            a -= 1
+        while (name, b + 1) in own:
+            b += 1
+        want[name, i] = a, b
+    assert found == want and S.islands(df, "row", stretch=stretch).count() == len(want)
+
+
+@pytest.mark.parametrize("stretch", [4, 1 << 16])
+def test_cells_of_regions(spark, stretch):
+    """Side by side, one above the other, overlapping, with blank cells; no more rows than cells where regions are apart."""
+    rng = random.Random(1)
+    grid = {(r, c): rng.choice(["x", 1, None]) for r in range(1, 40) for c in range(1, 12) if rng.random() < 0.6}
+    cells = sheet(spark, grid).unionByName(sheet(spark, grid, "T"))
+    boxes = [("S", 0, 1, 10, 1, 3), ("S", 1, 1, 10, 5, 6), ("S", 2, 12, 30, 1, 3), ("S", 3, 12, 30, 5, 11), ("S", 4, 35, 35, 2, 2), ("T", 0, 1, 39, 1, 11), ("T", 1, 5, 7, 2, 3)]
+    keys = cells.select("file", "sheet").distinct().collect()
+    regions = spark.createDataFrame([(k["file"], *b) for k in keys for b in boxes if b[0] == k["sheet"]], "file string, sheet string, region int, min_row int, max_row int, min_col int, max_col int")
+    found = sorted((r["sheet"], r["region"], r["row"], r["col"], r["min_row"], r["max_row"], r["min_col"], r["max_col"]) for r in S.in_regions(cells, regions).collect())
+    assert found == sorted((n, k, r, c, a, b, x, y) for r, c in grid for n, k, a, b, x, y in boxes if a <= r <= b and x <= c <= y)
+    rows = S.rows_of(regions.where("sheet = 'S'"), stretch)
+    assert rows.count() == 10 + 19 + 1 and sorted(len(r["beside"]) for r in rows.collect())[-1] == 2
+
+
 def test_region_fallback_and_blank_sheet(spark):
     assert [r["n_cells"] for r in S.table_regions(sheet(spark, {(3, 2): "a", (9, 9): "b"})).collect()] == [2]
     assert S.table_regions(sheet(spark, {(3, 2): " ", (9, 9): "\t"})).count() == 0
