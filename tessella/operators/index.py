@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cells as C
 from ..functions import ranges as R
+from . import cover
 from .structure import REGION
 
 
@@ -35,6 +36,19 @@ def index_ranges(index: DataFrame) -> DataFrame:
     return index.where(~C.is_blank(F.col("value"))).withColumn("ranges", R.merge_refs(F.col("cells"), F.col("merged.merged_range")))
 
 
+def value_ranges(full: DataFrame, keys: list[str] = REGION, longest: int | None = C.LONGEST_VALUE, skip_blank: bool = True) -> DataFrame:
+    """value -> its ranges, merged ones that hold it first, and first_seen, its first cell; the same as index_ranges(inverted_index()), for values with any number of cells."""
+    value = C.shorten(F.col("v_str"), longest) if longest else F.col("v_str")
+    start = F.coalesce("is_merge_start", F.lit(False)) if skip_blank else F.lit(False)
+    some = full.where(~C.is_blank(F.col("v_str"))).select(*keys, value.alias("value"), "row", "col", start.alias("start"), "merged_range")
+    covered = cover.refs(cover.cover(some.where("not start"), [*keys, "value"]))
+    found = covered.select(*keys, "value", F.lit(1).alias("k"), F.col("r0").alias("row"), F.col("c0").alias("col"), "ref")
+    merged = some.where("start").select(*keys, "value", F.lit(0).alias("k"), "row", "col", F.col("merged_range").alias("ref"))
+    each = F.array_sort(F.collect_list(F.struct("k", "row", "col", "ref")))
+    out = found.unionByName(merged).groupBy(*keys, "value").agg(each.alias("r"), F.min(F.struct("row", "col")).alias("first_seen"))
+    return out.where(~C.is_blank(F.col("value"))).select(*keys, "value", F.col("r.ref").alias("ranges"), "first_seen")
+
+
 def format_key() -> Column:
     """All that makes up a cell's format."""
     return F.struct("h_align", "bold", "merged", "merged_range_of", "category", "nf", "kind")

@@ -101,16 +101,16 @@ def build(cells: DataFrame, options: Options = Options()) -> Encoding:
         full = materialize(full, "full")
         full = full.join(_copy_merged(cells, full), [*SHEET, "row", "col"], "left")
     full = materialize(full, "full")
-    index = I.index_ranges(_index(full, options))
+    index = I.value_ranges(*_valued(full, options))
     formats = materialize(I.format_map(full, copy_merged=options.profile == "v1"), "formats")
     return Encoding(regions, anchor["row"], anchor["col"], full, materialize(index, "index"), formats, size, options)
 
 
-def _index(full: DataFrame, options: Options) -> DataFrame:
-    """The inverted index; v1 takes values as they are, blanks and copies in merged ranges included."""
+def _valued(full: DataFrame, options: Options) -> tuple[DataFrame, list[str], int | None, bool]:
+    """The cells, keys, longest value and whether blanks are skipped, for an index; v1 takes values as they are, blanks and copies in merged ranges included."""
     if options.profile == "v1":
-        return I.inverted_index(full.withColumn("v_str", F.coalesce("m_str", "v_str")), longest=None, skip_blank=False)
-    return I.inverted_index(full, longest=options.longest_value)
+        return full.withColumn("v_str", F.coalesce("m_str", "v_str")), REGION, None, False
+    return full, REGION, options.longest_value, True
 
 
 def _numeric(e: Encoding, cells: DataFrame) -> DataFrame:
@@ -161,8 +161,7 @@ def _encode(e: Encoding, cells: DataFrame, options: Options, file_name: str | No
     original = {r["sheet"]: r["size"] for r in cells_size(cells, SHEET, longest, not v1).collect()}
     anchored = {key(r): r["size"] for r in cells_size(e.full, REGION, longest, not v1).collect()}
     refs = F.concat(F.transform("cells", lambda c: C.cell_ref(c["row"], c["col"])), F.coalesce("merged.merged_range", F.array().cast("array<string>")))
-    sized_index = _index(e.full, options) if v1 else e.index
-    per_value = sized_index.withColumn("refs", refs).groupBy(*REGION).agg(
+    per_value = I.inverted_index(*_valued(e.full, options)).withColumn("refs", refs).groupBy(*REGION).agg(
         C.json_object_size(F.count("*"), F.sum(C.json_quoted_size(F.col("value")) + _strings_size(F.col("refs")))).alias("size")
     )
     indexed = {key(r): r["size"] for r in per_value.collect()}

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import cells as C
-from .functions import ranges as R
+from .operators import cover
 from .operators import index as I
 from .operators import profile as P
 from .operators import structure as S
@@ -74,7 +74,7 @@ FROM r GROUP BY v
 """)
 def value_ranges(spark, sf):
     """Ranges of all values of nation. Columns that can share a value aren't neighbours, so SQL needs no ranges across columns."""
-    found = I.index_ranges(I.inverted_index(nation_cells(spark, sf), SHEET))
+    found = I.value_ranges(nation_cells(spark, sf), SHEET)
     return found.select("value", F.array_join("ranges", ", ").alias("ranges"))
 
 
@@ -300,9 +300,8 @@ SELECT p_type AS value, COUNT(*) AS n_ranges, STRING_AGG('A' || a || CASE WHEN b
     GROUP BY p_type
 """)
 def merge_refs_vertical(spark, sf):
-    at = F.sort_array(F.collect_list(F.struct(F.col("p_partkey").cast("int").alias("row"), F.lit(1).alias("col"))))
-    found = table(spark, sf, "part").groupBy(F.col("p_type").alias("value")).agg(at.alias("cells")).withColumn("r", R.merge_refs(F.col("cells")))
-    return found.select("value", F.size("r").cast("long").alias("n_ranges"), F.array_join("r", ", ").alias("ranges"))
+    cells = table(spark, sf, "part").select(F.col("p_type").alias("value"), F.col("p_partkey").cast("int").alias("row"), F.lit(1).alias("col"))
+    return cover.ranges(cells, ["value"]).select("value", F.size("ranges").cast("long").alias("n_ranges"), F.array_join("ranges", ", ").alias("ranges"))
 
 
 @query()
@@ -702,5 +701,5 @@ def encode_v2_values(spark, sf):
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Which cell ranges hold each value of nation."""
-    found = I.index_ranges(I.inverted_index(nation_cells(spark, sf), SHEET))
+    found = I.value_ranges(nation_cells(spark, sf), SHEET)
     return found.select("value", F.array_join("ranges", ", ").alias("ranges"))
