@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import inspect
 import json
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -59,6 +60,11 @@ class Plan:
         return plan
 
 
+def snake(name: str) -> str:
+    """A column's name in the result: letters, digits and underscores, in lower case."""
+    return re.sub(r"_+", "_", re.sub(r"[^0-9a-zA-Z一-鿿]+", "_", name)).strip("_").lower() or "column"
+
+
 def parse_reply(text: str):  # noqa: ANN201
     """JSON from a reply: without code fences, else the outermost {...} or [...] in it."""
     body = text.strip()

@@ -18,9 +18,9 @@ from ..functions import cells as C
 from ..operators import profile as P
 from ..operators import tidy
 from ..operators.tidy import ROW
-from . import roles
+from . import provenance, roles
 from .analysis import Analysis, Schema
-from .plan import Plan, parse_reply
+from .plan import Plan, parse_reply, snake
 
 #: Rows at either end that are looked at for headers and shown to models; rows of a kind that are listed.
 HEAD, TAIL, LISTED = 15, 5, 30
@@ -91,10 +91,6 @@ def column_stats(table: DataFrame) -> list[dict]:
 # --- rules -------------------------------------------------------------------
 
 
-def _snake(name: str) -> str:
-    return re.sub(r"_+", "_", re.sub(r"[^0-9a-zA-Z一-鿿]+", "_", name)).strip("_").lower() or "column"
-
-
 def header_rows(names: list[str], rows: list[list[str | None]]) -> list[int]:
     """Which of the first rows hold the names, if the given names don't: those without numbers (years aside) above the first with one.
 
@@ -260,7 +256,7 @@ class RulePlanner:
             plan.add("merge_bilingual_pairs", label=label, values=numbers, start=analysis.start, same_data=analysis.pairs_repeat)
             ids = [f"{label}_first", f"{label}_second", *(c for c in ids if c not in (label, *numbers)), *(x for c in numbers for x in ([c] if analysis.pairs_repeat else [c, f"{c}_second"]))]
         elif analysis.value_groups:
-            groups = {_snake(g): columns for g, columns in analysis.value_groups.items()}
+            groups = {snake(g): columns for g, columns in analysis.value_groups.items()}
             plan.add("unpivot", ids=ids, groups=groups, variable="variable")
             ids = [*ids, "variable", *groups]
         c = analysis.detail_column
@@ -273,7 +269,7 @@ class RulePlanner:
         taken: dict = {}
         renamed = {}
         for c in ids:
-            s = _snake(c)
+            s = snake(c)
             taken[s] = taken.get(s, 0) + 1
             renamed[c] = s if taken[s] == 1 else f"{s}_{taken[s]}"
         return plan.add("select_rename", columns=renamed)
@@ -286,11 +282,14 @@ class RulePlanner:
         elif analysis.value_groups:
             k = len({v for columns in analysis.value_groups.values() for v in columns})
             n, formula = n * k, formula + f" * {k} values"
-        result = self.plan(table, analysis, Schema()).apply(table).drop(ROW)
+        plan = self.plan(table, analysis, Schema())
+        result = plan.apply(table).drop(ROW)
         types = {**dict.fromkeys(P.NUMERIC, "float"), **dict.fromkeys(P.INTEGER, "integer"), "date": "date", "timestamp": "datetime", "timestamp_ntz": "datetime", "boolean": "boolean"}
         columns = [{"name": c, "data_type": "float" if t.startswith("decimal") else types.get(t, "string"), "is_dimension": t == "string"} for c, t in result.dtypes]
         unit = "one value of " + ", ".join(c["name"] for c in columns if c["is_dimension"])
-        return Schema(columns, n, formula, unit)
+        body = self._shaped(table, analysis).where(F.col(ROW).between(analysis.start, analysis.end))
+        body = tidy.cast_types(body, analysis.types) if analysis.types else body
+        return Schema(columns, n, formula, unit, provenance.samples(body, analysis, plan.steps[-1]["columns"]))
 
     def repair(self, table: DataFrame, analysis: Analysis, schema: Schema, plan: Plan, feedback: list[dict]) -> Plan:
         """Rules give the same answer again; too few rows put back what filters took."""
