@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cells as C
+from ..functions import dates
 from .scratch import materialize
 
 # Fixed values that results depend on.
@@ -45,23 +46,50 @@ def nulls(df: DataFrame) -> DataFrame:
     return one.select("_n", each.alias("c")).select("c.column", F.col("_n").alias("n_rows"), "c.n_null", pct.alias("null_pct"))
 
 
-#: Part of all ranks on either side of the middle that the second pass of medians() looks at.
-NEAR = 0.001
+#: Part of all ranks on either side of the middle that a bracket leaves; distinct values that a column's bracket may hold in the end.
+NEAR, MOST_NEAR = 0.001, 100_000
 
 
-def medians(df: DataFrame, names: list[str]) -> DataFrame:
+def _brackets(df: DataFrame, names: list[str], most: int) -> list[tuple]:
+    """(ordinal, column, n, low, high): the two middle values lie in low..high, which holds most distinct values or fewer."""
+    accuracy = int(4 / NEAR)
+    own = [F.col(f"`{c}`").cast("double") for c in names]
+    # The sketch's error is a quarter of NEAR, so ranks between its two answers hold both middle ones, but for few rows, where it is exact.
+    first = df.agg(*(x for c in own for x in (F.count(c), F.percentile_approx(c, [0.5 - NEAR, 0.5 + NEAR], accuracy)))).first()
+    found = {i: (first[2 * i], *first[2 * i + 1]) for i in range(len(names)) if first[2 * i]}
+    # Brackets of fewer values would leave out one of the middle ones.
+    most = max(most, int(10 / NEAR))
+    wide = [i for i, (n, low, high) in found.items() if low < high and 3 * NEAR * n > most]
+    rows = {i: found[i][0] for i in wide}
+    while wide:
+        inside = {i: own[i].between(found[i][1], found[i][2]) for i in wide}
+        counts = df.agg(*(x for i in wide for x in (F.count_if(own[i] < found[i][1]), F.count_if(inside[i]), F.approx_count_distinct(F.when(inside[i], own[i]))))).first()
+        counts = {i: counts[3 * k : 3 * k + 3] for k, i in enumerate(wide)}
+        # Two heavy values on either side of the middle are as close as it gets.
+        wide = [i for i in wide if counts[i][2] > most and 2 * counts[i][1] <= rows[i]]
+        if not wide:
+            break
+        rows |= {i: counts[i][1] for i in wide}
+        middle = {i: (found[i][0] / 2 - counts[i][0]) / counts[i][1] for i in wide}
+        around = lambda i: [min(1.0, max(0.0, middle[i] + x)) for x in (-NEAR, NEAR)]  # noqa: B023, E731
+        closer = df.agg(*(F.percentile_approx(F.when(inside[i], own[i]), around(i), accuracy) for i in wide)).first()
+        for k, i in enumerate(wide):
+            found[i] = (found[i][0], *closer[k])
+        wide = [i for i in wide if found[i][1] < found[i][2]]
+    return [(i, names[i], *x) for i, x in found.items()]
+
+
+def medians(df: DataFrame, names: list[str], most: int = MOST_NEAR) -> DataFrame:
     """column and exact median of numeric columns; the mean of the two middle values of an even number.
 
-    A first pass finds, with a sketch of fixed size, values surely below and above
-    the middle; a second one counts what is below, and the distinct values between,
-    about a five-hundredth of the rows. No task sees a whole column.
+    A pass finds, with a sketch of fixed size, values surely below and above the
+    middle. While more than most distinct values may lie between, what lies below
+    is counted and the bracket is narrowed in the same way, to a five-hundredth
+    each time. A last pass counts the values of the bracket, and only they are
+    put in order. No task sees a whole column, and none more values than most.
     """
-    accuracy = int(4 / NEAR)
+    bounds = df.sparkSession.createDataFrame(_brackets(df, names, most), "ordinal int, column string, n bigint, low double, high double")
     own = [F.col(f"`{c}`").cast("double") for c in names]
-    first = df.agg(*(x for c in own for x in (F.count(c), F.percentile_approx(c, [0.5 - NEAR, 0.5 + NEAR], accuracy)))).first()
-    rows = [(i, c, first[2 * i], *first[2 * i + 1]) for i, c in enumerate(names) if first[2 * i]]
-    # The sketch's error is a quarter of NEAR, so ranks between its two answers hold both middle ones, but for few rows, where it is exact.
-    bounds = df.sparkSession.createDataFrame(rows, "ordinal int, column string, n bigint, low double, high double")
     each = F.explode(F.array(*(F.struct(F.lit(i).alias("ordinal"), x.alias("value")) for i, x in enumerate(own))))
     held = df.select(each.alias("c")).select("c.*").where("value is not null").join(F.broadcast(bounds), "ordinal")
     held = held.withColumn("value", F.greatest("value", "low")).where("value <= high").groupBy("ordinal", "column", "n", "value").agg(F.count("*").alias("k"))
@@ -136,12 +164,9 @@ def column_type(dtype: Column, n: Column, n_distinct: Column, low: Column, high:
     )
 
 
-DATE_FORMATS = ["yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd", "MM/dd/yyyy", "dd-MMM-yyyy", "MMM d, yyyy", "yyyyMMdd", "yyyy-MM"]
-
-
 def reads_as_date(value: Column) -> Column:
-    """Whether a text reads as a timestamp, in ISO or one of DATE_FORMATS."""
-    return reduce(lambda a, b: a | b, [F.try_to_timestamp(value, F.lit(f)).isNotNull() for f in DATE_FORMATS], value.try_cast("timestamp_ntz").isNotNull() & value.rlike(r"\d{4}-"))
+    """Whether a text reads as a date, with or without a time, in any of the orders and spellings of functions.dates."""
+    return dates.is_date(value)
 
 
 def delimiters(samples: DataFrame) -> DataFrame:
@@ -198,13 +223,13 @@ def profile(df: DataFrame, row: str, max_unique: int = 100) -> DataFrame:
     samples = materialize(first_values(df, row, 20), "samples")
     distinct = counts.groupBy("column").agg(F.count("*").alias("n_distinct"))
     few = unique_values(counts, max_unique)
-    dates = samples.where("rank <= 10").groupBy("column").agg(F.avg(reads_as_date(F.col("value")).cast("double")).alias("date_share"))
+    shares = samples.where("rank <= 10").groupBy("column").agg(F.avg(reads_as_date(F.col("value")).cast("double")).alias("date_share"))
     top = top_values(counts, max_distinct=max_unique).groupBy("column").agg(F.map_from_entries(F.transform(F.sort_array(F.collect_list(F.struct("rank", "value", "n"))), lambda x: F.struct(x["value"], x["n"]))).alias("value_counts"))
     fields = ["delimiter", "name", "frequency", "is_consistent", "num_parts", "sample_split"]
     ordered = F.sort_array(F.collect_list(F.struct((-F.col("share")).alias("s"), "ordinal", *fields)))
     marks = delimiters(samples).groupBy("column").agg(F.transform(ordered, lambda x: F.struct((-x["s"]).alias("share"), *(x[f].alias(f) for f in fields))).alias("delimiters"))
     out = kinds
-    for part in (nulls(table), distinct, statistics(table), few, dates, top, marks, bilingual(samples)):
+    for part in (nulls(table), distinct, statistics(table), few, shares, top, marks, bilingual(samples)):
         out = out.join(part, "column", "left")
     values = F.coalesce("values", F.array().cast("array<string>"))
     n_distinct = F.coalesce("n_distinct", F.lit(0))
