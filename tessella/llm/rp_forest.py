@@ -140,16 +140,25 @@ def _compare(rows: pd.DataFrame, other: pd.DataFrame | None, leaf: int, threshol
     both = rows if other is None else pd.concat([rows, other], ignore_index=True)
     x, n, ids = _unit(both["embedding"]), both["n"].to_numpy(np.int64), both["id"].to_numpy(np.int64)
     earlier = [np.asarray(a)[np.asarray(a) < leaf] for a in both["leaves"]]
-    names = {v: i for i, v in enumerate(np.unique(np.concatenate(earlier)).tolist())}
-    member = np.zeros((len(both), len(names)), np.float32)
-    for i, a in enumerate(earlier):
-        member[i, [names[v] for v in a.tolist()]] = 1
+    begin, held = np.cumsum([0, *map(len, earlier)]), np.concatenate(earlier)
     counts, forest, step = np.zeros(len(both), np.int64), common.Forest(len(both)), 512
+
+    def member(a: int, b: int, names: np.ndarray) -> np.ndarray:
+        """Which of rows a to b are in which of these leaves."""
+        out, own = np.zeros((b - a, len(names)), np.float32), held[begin[a] : begin[b]]
+        if len(names) and len(own):
+            at = np.minimum(np.searchsorted(names, own), len(names) - 1)
+            hit = names[at] == own
+            out[np.repeat(np.arange(b - a), np.diff(begin[a : b + 1]))[hit], at[hit]] = 1
+        return out
+
     for i in range(0, len(rows), step):
         to = min(i + step, len(rows))
+        names = np.unique(held[begin[i] : begin[to]])
+        own = member(i, to, names)
         # Each pair once: later rows of the same part, or all of the other.
         for j in range(i if other is None else len(rows), len(both), step):
-            linked = (x[i:to] @ x[j : j + step].T >= threshold) & (member[i:to] @ member[j : j + step].T == 0)
+            linked = (x[i:to] @ x[j : j + step].T >= threshold) & (own @ member(j, min(j + step, len(both)), names).T == 0)
             if i == j and other is None:
                 linked = np.triu(linked, 1)
             counts[i:to] += linked @ n[j : j + step]
