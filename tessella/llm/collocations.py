@@ -64,19 +64,25 @@ def portions(text: bytes, size: int) -> Iterator[bytes]:
     yield plain[at:]
 
 
-def suffix_order(ids: np.ndarray, depth: int) -> np.ndarray:
-    """Positions sorted by the depth words that begin there, by prefix doubling."""
-    rank, width = np.append(ids, 0), 1
-    order = np.argsort(ids, kind="stable")
+def suffix_order(ids: np.ndarray, depth: int, starts: np.ndarray | None = None) -> np.ndarray:
+    """The starts (a mask; else all positions) sorted by the depth words that begin there, by prefix doubling.
+
+    The last step joins two prefixes that overlap, so no more than depth words count, and sorts the starts only.
+    """
+    rank, width = ids.astype(np.int64), 1
+    own = np.arange(len(ids)) if starts is None else np.flatnonzero(starts)
     while width < depth:
+        step = min(width, depth - width)
         after = np.zeros_like(rank)
-        after[:-width] = rank[width:]
-        key = (rank * (int(rank.max()) + 1) + after)[:-1]
-        order = np.argsort(key, kind="stable")
+        after[: len(rank) - step] = rank[step:]
+        key = rank * (int(rank.max(initial=0)) + 1) + after
+        width += step
+        if width == depth:
+            return own[np.argsort(key[own])]
+        order = np.argsort(key)
         ranked = key[order]
         rank[order] = np.cumsum(np.append(True, ranked[1:] != ranked[:-1]))
-        width *= 2
-    return order
+    return own[np.argsort(rank[own])]
 
 
 def shared_words(ids: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
@@ -92,8 +98,7 @@ def shared_words(ids: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
 
 def phrase_counts(ids: np.ndarray, starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(a place, count) of every phrase of n words that begins at one of the starts (a mask)."""
-    order = suffix_order(ids, n)
-    order = order[starts[order]]
+    order = suffix_order(ids, n, starts)
     if not len(order):
         return order, order
     bounds = np.flatnonzero(shared_words(ids, order, n) < n)
@@ -110,12 +115,25 @@ def phrase_hash(lang: str, words: list[bytes]) -> int:
     return int(mix(gram_hashes(h, len(words)))[0])
 
 
+class _Ids(dict):
+    """Numbers a language's words as they come; words lists those of the whole shard."""
+
+    def __init__(self, lang: str, words: list[bytes], langs: list[str]) -> None:
+        super().__init__({_BREAK: 0, b"": -1})
+        self.lang, self.words, self.langs = lang, words, langs
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self.words)
+        self.words.append(word)
+        self.langs.append(self.lang)
+        return n
+
+
 class _Shard:
     """The words of some texts as ids; words of different languages have different ids, 0 is a break."""
 
     def __init__(self) -> None:
-        self.ids: dict[tuple[str, bytes] | bytes, int] = {}
-        self.of: dict[str, dict[bytes, int]] = {}
+        self.of: dict[str, _Ids] = {}
         self.words, self.langs, self.hashes = [b""], [""], [0]
         self.parts: list[np.ndarray] = []
         self.size = 0
@@ -123,14 +141,10 @@ class _Shard:
     def add(self, lang: str, text: bytes) -> None:
         own = self.of.get(lang)
         if own is None:
-            own = self.of[lang] = {_BREAK: 0, b"": -1}
+            own = self.of[lang] = _Ids(lang, self.words, self.langs)
         found = tokens(text)
-        for w in set(found).difference(own):
-            own[w] = len(self.words)
-            self.words.append(w)
-            self.langs.append(lang)
-        ids = np.fromiter(map(own.__getitem__, found), np.int64, len(found))
-        self.parts += [ids[ids >= 0], np.zeros(1, np.int64)]
+        ids = np.fromiter(map(own.__getitem__, found), np.int32, len(found))
+        self.parts += [ids[ids >= 0], np.zeros(1, np.int32)]
         self.size += len(text) + 1
 
     def counts(self, n: int, bits: np.ndarray | None) -> Iterator[pa.RecordBatch]:
