@@ -30,6 +30,15 @@ NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
 INTEGER = ("tinyint", "smallint", "int", "bigint")
 
 
+def sample(df: DataFrame, n: int, key: str) -> DataFrame:
+    """The n rows with the smallest hashes (MD5) of their key, the same ones however the rows are dealt; all rows of a smaller table.
+
+    Every partition keeps its n smallest, and those are merged, so n bounds what
+    any task gathers.
+    """
+    return df.orderBy(F.md5(F.col(f"`{key}`").cast("string").cast("binary")), F.col(f"`{key}`")).limit(n)
+
+
 def unpivoted(df: DataFrame, row: str | None = None) -> DataFrame:
     """(column, ordinal, value as text, row) of every cell of a table."""
     names = [c for c in df.columns if c != row]

@@ -29,6 +29,8 @@ class Config:
     save_intermediate: bool = True
     output_dir: str = "output"
     max_unique_values: int = 100
+    #: Rows that the profile of a larger table is taken of; None: all of them.
+    metadata_sample_size: int | None = None
     detect_implicit_aggregates: bool = True
 
     @staticmethod
@@ -50,6 +52,7 @@ class Config:
             save_intermediate=log.get("save_intermediate", True),
             output_dir=log.get("output_dir", "output"),
             max_unique_values=e.get("max_unique_values", 100),
+            metadata_sample_size=e.get("metadata_sample_size"),
             detect_implicit_aggregates=analyzer.get("detect_implicit_aggregates", True),
         )
 
@@ -90,8 +93,10 @@ class Normalizer:
         return self._described(table, encoding, first, encoding["compression_metrics"]["sheets"].get(first, {}))
 
     def _described(self, table: DataFrame, encoding: dict, sheet: str, sizes: dict) -> dict:
-        columns = [r.asDict(True) for r in P.profile(table, ROW, self.config.max_unique_values).orderBy("ordinal").collect()]
-        shape = (columns[0]["n_rows"] if columns else 0, len(columns))
+        most = self.config.metadata_sample_size
+        profiled = table if most is None else P.sample(table, most, ROW)
+        columns = [r.asDict(True) for r in P.profile(profiled, ROW, self.config.max_unique_values).orderBy("ordinal").collect()]
+        shape = (table.count() if most is not None else columns[0]["n_rows"] if columns else 0, len(columns))
         first: dict = {}
         for r in sorted(P.first_values(table, ROW, 3).collect(), key=lambda r: r["rank"]):
             first.setdefault(r["column"], []).append(r["value"][:50])

@@ -639,6 +639,12 @@ def validate_result(spark, sf):
     return spark.createDataFrame([(c.name, c.passed) for c in validate(result, schema).checks], "check string, passed boolean")
 
 
+@query("SELECT o_orderkey, o_custkey FROM orders ORDER BY md5(CAST(o_orderkey AS VARCHAR)), o_orderkey LIMIT 10000")
+def sample_rows(spark, sf):
+    """The ten thousand rows of a sample; the limit is the operator's."""
+    return P.sample(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), 10_000, "o_orderkey")
+
+
 @query("""
 SELECT k AS start, t AS stop, CAST(UNNEST(CASE WHEN t - k + 1 <= 30 THEN range(k, t + 1) ELSE list_distinct(list_transform(range(0, 30), lambda i: CAST(floor(k + i * (CAST(t - k + 1 AS DOUBLE) / 30)) AS BIGINT))) END) AS INT) AS i
 FROM (SELECT DISTINCT CAST(o_orderkey % 7 AS INT) AS k, CAST(o_custkey % 300 AS INT) + 7 AS t FROM orders)

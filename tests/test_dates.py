@@ -1,7 +1,8 @@
-"""Dates in texts, and medians by narrowing brackets."""
+"""Dates in texts, medians by narrowing brackets, and samples of rows."""
 
 from __future__ import annotations
 
+import hashlib
 import random
 import statistics
 
@@ -9,6 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.operators import profile as P
+from tessella.operators.tidy import ROW
+from tessella.plans import normalize as N
 
 DATES = """2020-01-02|2020-1-2|2020/01/02|2020.01.02|20200102|2020-01|2020/1|01/02/2020|1/2/20|31/12/2020|12/31/2020|31.12.2020|31-12-2020|12-31-2020|02-Jan-2020|2 Jan 2020
 2nd of January 2020|Jan 2, 2020|January 2nd, 2020|jan 2 2020|JAN. 2, 2020|Sept 3, 2021|3 sept. 2021|January 2020|Jan-2020|2020 Jan|2020-Jan-05|05-Jan-20|2 January, 2020|29 Feb 2020|2020-02-29|2000-02-29
@@ -50,3 +53,19 @@ def test_medians_by_brackets(spark, monkeypatch, most, n):
     assert found == {c: statistics.median(v) for c, v in columns.items()}
     for _, c, _, low, high in P._brackets(df, list(columns), most):
         assert low == high or len({x for x in columns[c] if low <= x <= high}) <= max(1.3 * most, 600, 3)
+
+
+def test_samples_do_not_depend_on_partitions(spark):
+    df = spark.range(3000).withColumn("v", F.col("id") % 7)
+    taken = [sorted(map(tuple, P.sample(df.repartition(k), 500, "id").collect())) for k in (1, 3, 8)]
+    assert taken[0] == taken[1] == taken[2] and len(taken[0]) == 500
+    want = sorted(range(3000), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())[:500]
+    assert [i for i, _ in taken[0]] == sorted(want)
+    assert P.sample(df, 5000, "id").count() == 3000
+
+
+def test_profile_of_a_sample(spark):
+    table = spark.range(300).select(F.col("id").alias(ROW), (F.col("id") % 5).alias("a"))
+    config = N.Config.from_dict({"encoder": {"metadata_sample_size": 50}})
+    found = N.Normalizer(spark, config)._described(table, {"sheets": {}}, "", {})
+    assert tuple(found["original_shape"]) == (300, 1) and found["metadata"]["columns"][0]["n_rows"] == 50
