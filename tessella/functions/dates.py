@@ -85,7 +85,8 @@ def is_date(text: Column) -> Column:
 
     def parted(p: Column) -> Column:
         """The date, and the time: cut off once, at the end or else at the start."""
-        at_end, at_start = p.rlike(after), p.rlike(before)
+        timed = p.rlike(r":|\d\s*[ap]\.?m")
+        at_end, at_start = timed & p.rlike(after), timed & p.rlike(before)
         date = F.when(at_end, F.regexp_replace(p, after, "")).when(at_start, F.regexp_replace(p, before, "")).otherwise(p)
         of = lambda k: F.when(at_end, F.regexp_extract(p, after, k)).when(at_start, F.regexp_extract(p, before, k)).otherwise(F.lit(""))
         numbers = [F.coalesce(F.nullif(of(k), F.lit("")).try_cast("int"), F.lit(0)).alias(n) for k, n in ((1, "hour"), (2, "minute"), (3, "second"))]
