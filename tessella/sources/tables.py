@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators.model import CELLS, cells_from_table
 from ..operators.tidy import ROW
-from . import csv_records, xlsx
+from . import csv_records, sink, xlsx
 
 # Encodings and separators in the order in which they are tried.
 ENCODINGS = ["utf-16", "utf-8", "latin1"]
@@ -135,13 +135,13 @@ def read_csv(spark: SparkSession, path: str, row: str = ROW) -> DataFrame:
         holds = lambda sep: content.mapInPandas(_utf16_holds(sep), "held boolean").first()["held"]
         separator = next((sep for encoding, sep in found if encoding == "utf-16" and holds(sep)), None)
         if separator or holds(None):
-            return numbered(spark.read.csv(path, sep=separator or ",", encoding="UTF-16", header=True, inferSchema=True, multiLine=True, escape='"', enforceSchema=False), row)
+            return numbered(_plain(spark, path, sep=separator or ",", encoding="UTF-16", multiLine=True, escape='"'), row)
     end = "\n" if b"\n" in head or b"\r" not in head else None
     lines = csv_records.file_lines(spark, path, end)
     dialect, at = _dialect(lines, dict.fromkeys(sep for encoding, sep in found if encoding != "utf-16"))
     name = "UTF-8" if at.valid else "ISO-8859-1"
     if not at.crossing:
-        return numbered(spark.read.options(**csv_records.options(dialect)).csv(path, encoding=name, header=True, inferSchema=True, enforceSchema=False), row)
+        return numbered(_plain(spark, path, encoding=name, **csv_records.options(dialect)), row)
     records = csv_records.records(lines, dialect, at).select("row", F.decode("record", name).alias("record"))
     names = _names(csv_records.fields(records.where("row = 0").first()["record"], dialect))
     data = records.where("row > 0")
@@ -153,6 +153,13 @@ def read_csv(spark: SparkSession, path: str, row: str = ROW) -> DataFrame:
     return table.select(*(F.col(f"_p._{i}") for i in range(len(names))), "_row").toDF(*names, row)
 
 
+def _plain(spark: SparkSession, path: str, **options: object) -> DataFrame:
+    """A CSV by Spark's own reader, with names by _names()."""
+    table = spark.read.csv(path, header=True, inferSchema=True, **options)
+    header = spark.read.csv(path, schema=", ".join(f"_{i} string" for i in range(len(table.columns))), **options).first()
+    return table.toDF(*_names(header or ()))
+
+
 def _dialect(lines: DataFrame, separators: Iterable[str]) -> tuple[csv_records.Dialect, csv_records.Layout]:
     """The first dialect that holds for all records, and the file's layout by it."""
 
@@ -168,14 +175,18 @@ def _dialect(lines: DataFrame, separators: Iterable[str]) -> tuple[csv_records.D
     return (own and tried(own)) or tried(csv_records.Dialect(plain.separator)) or (plain, csv_records.layout(lines, plain))
 
 
-def _names(header: list[str]) -> list[str]:
-    """Column names: those without a name get their place, repeated ones a number."""
-    seen: dict[str, int] = {}
+def _names(header: Iterable[str | None], nameless: str = "_c") -> list[str]:
+    """Column names: those without a name get their place, repeated ones (in either case, as Spark compares them) a number that is free."""
+    taken: set[str] = set()
     out = []
-    for i, name in enumerate(header):
-        name = name or f"_c{i}"
-        seen[name] = seen.get(name, -1) + 1
-        out.append(f"{name}.{seen[name]}" if seen[name] else name)
+    for i, given in enumerate(header):
+        name = base = given or f"{nameless}{i}"
+        k = 0
+        while name.lower() in taken:
+            k += 1
+            name = f"{base}.{k}"
+        taken.add(name.lower())
+        out.append(name)
     return out
 
 
@@ -209,12 +220,7 @@ def table_from_cells(cells: DataFrame, sheet: str | None = None) -> DataFrame:
         cells = cells.where(F.col("sheet") == sheet)
     head = {r["col"]: r["v_str"] for r in cells.where("row = 1").select("col", "v_str").collect()}
     widest = cells.where("v_str is not null").agg(F.max("col")).first()[0] or 0
-    seen: dict = {}
-    names = []
-    for c in range(1, widest + 1):
-        name = head.get(c) or f"Unnamed: {c - 1}"
-        seen[name] = seen.get(name, -1) + 1
-        names.append(name if not seen[name] else f"{name}.{seen[name]}")
+    names = _names((head.get(c) for c in range(1, widest + 1)), "Unnamed: ")
     kinds = {
         r["col"]: r
         for r in cells.where("row > 1 and v_str is not null").groupBy("col").agg(F.bool_and(F.col("py_type") == "int").alias("i"), F.bool_and(F.col("py_type").isin("int", "float")).alias("f"), F.bool_and(F.col("py_type") == "bool").alias("b"), F.bool_and(F.col("py_type") == "datetime").alias("d")).collect()
@@ -249,21 +255,15 @@ def write_csv(df: DataFrame, folder: str, encoding: str = "UTF-8") -> None:
 
 
 def save(df: DataFrame, path: str, kind: str = "csv", encoding: str = "utf-8") -> str:
-    """One file for people, .csv or .xlsx, in the order of rows; rows stream through the driver one partition at a time.
+    """One file for people, .csv or .xlsx, in the order of rows; tasks write its parts and the commit joins them.
 
-    A .xlsx path with kind csv gets CSV text, in the given encoding. For tables of any size take write_csv().
+    A .xlsx path with kind csv gets CSV text, in the given encoding. For many files take write_csv().
     """
-    names = [c for c in df.columns if c != ROW]
-    ordered = df.orderBy(ROW) if ROW in df.columns else df
-    rows = ([r[c] for c in names] for r in ordered.toLocalIterator())
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    if kind == "xlsx" and path.lower().endswith(".xlsx"):
-        xlsx.write(path, names, rows)
-        return path
-    with open(path, "w", newline="", encoding="utf-8-sig" if kind == "csv-bom" else encoding) as f:
-        out = csv.writer(f)
-        out.writerow(names)
-        out.writerows(rows)
+    ordered = df.orderBy(ROW).drop(ROW) if ROW in df.columns else df
+    target = path
+    if "://" not in path:
+        Path(path).parent.mkdir(parents=True, exist_ok=True)
+        target = os.path.abspath(path)
+    workbook = kind == "xlsx" and path.lower().endswith(".xlsx")
+    sink.save(ordered, target, "xlsx" if workbook else "csv", "utf-8-sig" if kind == "csv-bom" else encoding)
     return path
-
-

@@ -12,13 +12,15 @@ from __future__ import annotations
 import datetime
 import glob
 import io
+import math
 import os
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from decimal import Decimal
 from xml.etree import ElementTree as ET
-from xml.sax.saxutils import escape
+from xml.sax.saxutils import escape, quoteattr
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -289,44 +291,69 @@ def cells_of_binary_files(files, data_only: bool = True):  # noqa: ANN001, ANN20
     return files.select("path", "content").mapInPandas(read, SCHEMA)
 
 
-_TYPES = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/><Override PartName="/xl/styles.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.styles+xml"/></Types>'
-_RELS = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/{0}" Target="{1}"/>{2}</Relationships>'
+# The parts of a workbook that don't depend on its rows.
 _MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+_DOCUMENT = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+_PACKAGE = "http://schemas.openxmlformats.org/package/2006"
+_PARTS = "application/vnd.openxmlformats-officedocument.spreadsheetml"
+_XML = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
+_SIDES = '<left style="thin"/><right style="thin"/><top style="thin"/><bottom style="thin"/>'
+_STYLES = f'<styleSheet xmlns="{_MAIN}"><fonts><font/><font><b/></font></fonts><fills><fill><patternFill patternType="none"/></fill></fills><borders><border/><border>{_SIDES}</border></borders><cellXfs><xf numFmtId="0" fontId="0" fillId="0" borderId="0"/><xf numFmtId="0" fontId="1" fillId="0" borderId="1"><alignment horizontal="center"/></xf><xf numFmtId="22" fontId="0" fillId="0" borderId="0"/><xf numFmtId="14" fontId="0" fillId="0" borderId="0"/></cellXfs></styleSheet>'
+#: Begin and end of the rows of a sheet.
+SHEET_HEAD, SHEET_TAIL = f'<worksheet xmlns="{_MAIN}"><sheetData>', "</sheetData>{0}</worksheet>"
+
+
+def sheet_part(number: int) -> str:
+    return f"xl/worksheets/sheet{number}.xml"
+
+
+def write_frame(book: zipfile.ZipFile, names: list[str]) -> None:
+    """All parts of a workbook but its sheets, whose names are given."""
+    kinds = {"xl/workbook.xml": "sheet.main", "xl/styles.xml": "styles"} | {sheet_part(i): "worksheet" for i in range(1, len(names) + 1)}
+    overrides = "".join(f'<Override PartName="/{part}" ContentType="{_PARTS}.{kind}+xml"/>' for part, kind in kinds.items())
+    defaults = '<Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/>'
+    book.writestr("[Content_Types].xml", f'{_XML}<Types xmlns="{_PACKAGE}/content-types">{defaults}{overrides}</Types>')
+    links = lambda rows: f'{_XML}<Relationships xmlns="{_PACKAGE}/relationships">{"".join(rows)}</Relationships>'
+    link = lambda i, kind, target: f'<Relationship Id="rId{i}" Type="{_DOCUMENT}/{kind}" Target="{target}"/>'
+    book.writestr("_rels/.rels", links([link(1, "officeDocument", "xl/workbook.xml")]))
+    sheets_ = [link(i, "worksheet", sheet_part(i).removeprefix("xl/")) for i in range(1, len(names) + 1)]
+    book.writestr("xl/_rels/workbook.xml.rels", links([*sheets_, link(len(names) + 1, "styles", "styles.xml")]))
+    listed = "".join(f'<sheet name={quoteattr(name)} sheetId="{i}" r:id="rId{i}"/>' for i, name in enumerate(names, 1))
+    book.writestr("xl/workbook.xml", f'{_XML}<workbook xmlns="{_MAIN}" xmlns:r="{_DOCUMENT}"><sheets>{listed}</sheets></workbook>')
+    book.writestr("xl/styles.xml", _STYLES)
+
+
+def cell_xml(v, place: str = "", style: int = 0) -> str:  # noqa: ANN001
+    """A cell. Without a place it follows the one before it, so a null or NaN is then an empty cell; with one it is left out.
+
+    Numbers that aren't finite and moments before 1900 are texts, since sheets have no numbers for them.
+    """
+    at = (f' r="{place}"' if place else "") + (f' s="{style}"' if style else "")
+    if v is None or v != v:
+        return "" if place else "<c/>"
+    if isinstance(v, bool):
+        return f'<c{at} t="b"><v>{int(v)}</v></c>'
+    if isinstance(v, (int, float, Decimal)) and (isinstance(v, int) or math.isfinite(v)):
+        return f"<c{at}><v>{v:f}</v></c>" if isinstance(v, Decimal) else f"<c{at}><v>{v!r}</v></c>"
+    if isinstance(v, datetime.date) and v.year >= 1900:
+        moment = v if isinstance(v, datetime.datetime) else datetime.datetime(v.year, v.month, v.day)
+        days = (moment.replace(tzinfo=None) - DAY_ZERO[False]) / datetime.timedelta(days=1)
+        return f'<c{f" r={chr(34)}{place}{chr(34)}" if place else ""} s="{2 if isinstance(v, datetime.datetime) else 3}"><v>{days!r}</v></c>'
+    text = re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "", str(v))
+    return f'<c{at} t="inlineStr"><is><t xml:space="preserve">{escape(text)}</t></is></c>'
 
 
 def write(path: str, names: list[str], rows: Iterator, sheet: str = "Sheet1", header_style: bool = True, merged: list[str] | None = None) -> None:
-    """A workbook with one sheet from rows in order; rows are taken one by one."""
-
-    def cell(r: int, c: int, v, style: int = 0) -> str:  # noqa: ANN001
-        at, s = f'r="{letters(c)}{r}"', f' s="{style}"' if style else ""
-        if v is None:
-            return ""
-        if isinstance(v, bool):
-            return f'<c {at}{s} t="b"><v>{int(v)}</v></c>'
-        if isinstance(v, (int, float)):
-            return f"<c {at}{s}><v>{v!r}</v></c>"
-        if isinstance(v, datetime.date):
-            moment = v if isinstance(v, datetime.datetime) else datetime.datetime(v.year, v.month, v.day)
-            days = (moment.replace(tzinfo=None) - DAY_ZERO[False]) / datetime.timedelta(days=1)
-            return f'<c {at} s="{2 if isinstance(v, datetime.datetime) else 3}"><v>{days!r}</v></c>'
-        text = re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "", str(v))
-        return f'<c {at}{s} t="inlineStr"><is><t xml:space="preserve">{escape(text)}</t></is></c>'
+    """A workbook with one sheet from rows in order; rows are taken one by one. For a relation take sink.save()."""
+
+    def row_xml(r: int, values: Iterable, style: int = 0) -> bytes:
+        return f'<row r="{r}">{"".join(cell_xml(v, f"{letters(c)}{r}", style) for c, v in enumerate(values, 1))}</row>'.encode()
 
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as book:
-        book.writestr("[Content_Types].xml", _TYPES)
-        book.writestr("_rels/.rels", _RELS.format("officeDocument", "xl/workbook.xml", ""))
-        book.writestr("xl/_rels/workbook.xml.rels", _RELS.format("worksheet", "worksheets/sheet1.xml", '<Relationship Id="rId2" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/styles" Target="styles.xml"/>'))
-        book.writestr("xl/workbook.xml", f'<workbook xmlns="{_MAIN}" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="{escape(sheet)}" sheetId="1" r:id="rId1"/></sheets></workbook>')
-        side = '<left style="thin"/><right style="thin"/><top style="thin"/><bottom style="thin"/>'
-        book.writestr("xl/styles.xml", f'<styleSheet xmlns="{_MAIN}"><fonts><font/><font><b/></font></fonts><fills><fill><patternFill patternType="none"/></fill></fills><borders><border/><border>{side}</border></borders><cellXfs><xf numFmtId="0" fontId="0" fillId="0" borderId="0"/><xf numFmtId="0" fontId="1" fillId="0" borderId="1"><alignment horizontal="center"/></xf><xf numFmtId="22" fontId="0" fillId="0" borderId="0"/><xf numFmtId="14" fontId="0" fillId="0" borderId="0"/></cellXfs></styleSheet>')
-        with book.open("xl/worksheets/sheet1.xml", "w") as out:
-            out.write(f'<worksheet xmlns="{_MAIN}"><sheetData>'.encode())
-            top = "".join(cell(1, c, v, int(header_style)) for c, v in enumerate(names, 1))
-            out.write(f'<row r="1">{top}</row>'.encode())
+        write_frame(book, [sheet])
+        with book.open(sheet_part(1), "w") as out:
+            out.write(SHEET_HEAD.encode() + row_xml(1, names, int(header_style)))
             for r, row in enumerate(rows, 2):
-                line = "".join(cell(r, c, v) for c, v in enumerate(row, 1))
-                out.write(f'<row r="{r}">{line}</row>'.encode())
-            out.write(b"</sheetData>")
-            if merged:
-                out.write(f'<mergeCells>{"".join(f"<mergeCell ref={chr(34)}{m}{chr(34)}/>" for m in merged)}</mergeCells>'.encode())
-            out.write(b"</worksheet>")
+                out.write(row_xml(r, row))
+            listed = "".join(f'<mergeCell ref="{m}"/>' for m in merged or [])
+            out.write(SHEET_TAIL.format(f"<mergeCells>{listed}</mergeCells>" if listed else "").encode())

@@ -131,3 +131,14 @@ def test_no_dialect(spark, tmp_path):
     path.write_text("word\none\ntwo\n")
     assert csv_records.detect(csv_records.file_lines(spark, str(path), "\n")) is None
     assert [r["word"] for r in tables.read_csv(spark, str(path)).orderBy(ROW).collect()] == ["one", "two"]
+
+
+@pytest.mark.parametrize("cell", ["1", '"1\n1"'])
+@pytest.mark.parametrize("encoding", ["utf-8", "utf-16"])
+def test_names_that_are_blank_or_repeated(spark, tmp_path, cell, encoding):
+    path = tmp_path / "a.csv"
+    path.write_text(f",id,Id,id.1,,b c\n{cell},2,3,4,5,6\n0,2,3,4,5,7\n", encoding=encoding)
+    table = tables.read_csv(spark, str(path))
+    assert table.columns[:6] == ["_c0", "id", "Id.1", "id.1.1", "_c4", "b c"]
+    assert [tuple(r)[1:6] for r in table.orderBy(ROW).collect()] == [(2, 3, 4, 5, 6), (2, 3, 4, 5, 7)]
+    assert table.select("`Id.1`", "_c4").count() == 2
