@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import cells as C
 from . import graph
 from .model import SHEET, extents
-from .scratch import join_counted, materialize
+from .scratch import free, join_counted, materialize
 
 REGION = [*SHEET, "region"]
 #: Columns of one sheet are numbered below this.
@@ -107,14 +107,37 @@ def similar_edges(cells: DataFrame) -> DataFrame:
     return along.unionByName(down).where(C.similar("a", "b")).drop("a", "b")
 
 
-def components(edges: DataFrame, min_size: int = 4) -> DataFrame:
-    """row, col, component (its first cell in row order) and size of the vertices of components with min_size cells or more."""
+def components(edges: DataFrame, min_size: int = 4, stretch: int = STRETCH) -> DataFrame:
+    """row, col, component (its first cell in row order) and size of the vertices of components with min_size cells or more.
+
+    Cells that look alike one below the other are one vertex, within stretches of
+    rows, so that the graph has as many vertices as there are such runs: its
+    rounds don't carry tall columns, and no window holds a whole one. An edge
+    over a stretch's border stays an edge. A run's first cell is its smallest,
+    so components keep their names.
+    """
+    edges = materialize(edges.select(*REGION, "row", "col", "to_row", "to_col"), "neighbours")
     number = lambda r, c: F.col(r).cast("long") * _WIDE + F.col(c)
-    found = graph.components(edges.select(*REGION, number("row", "col").alias("u"), number("to_row", "to_col").alias("v")), REGION)
-    found = materialize(found, "components")
-    size = materialize(found.groupBy(*REGION, "component").agg(F.count("*").alias("n")).where(F.col("n") >= min_size).withColumn("size", F.col("n")), "sizes")
-    found = join_counted(found, size, [*REGION, "component"])
-    return found.select(*REGION, F.expr(f"cast(id div {_WIDE} as int)").alias("row"), F.expr(f"cast(id % {_WIDE} as int)").alias("col"), "component", "size")
+    within = F.expr(f"col = to_col and to_row = row + 1 and row div {stretch} = to_row div {stretch}")
+    at = [*REGION, "col", "s"]
+    below = edges.where(within).withColumn("s", F.expr(f"row div {stretch}"))
+    island = F.col("row") - F.dense_rank().over(Window.partitionBy(*at).orderBy("row"))
+    runs = below.withColumn("i", island).groupBy(*at, "i").agg(F.min("row").alias("first"), F.max("to_row").alias("last"))
+    runs = materialize(runs.select(*REGION, number("first", "col").alias("id"), "col", "first", "last"), "runs")
+    member = F.explode(F.sequence("first", "last")).alias("row")
+    members = runs.select(*REGION, "id", "col", member).select(*REGION, "id", number("row", "col").alias("cell"))
+    rest = edges.where(~within).select(*REGION, number("row", "col").alias("u"), number("to_row", "to_col").alias("v"))
+    for end in ("u", "v"):
+        rest = rest.join(members.withColumnsRenamed({"id": "run", "cell": end}), [*REGION, end], "left").withColumn(end, F.coalesce("run", end)).drop("run")
+    found = materialize(graph.components(rest, REGION), "components")
+    place = [F.expr(f"cast(id % {_WIDE} as int)").alias("col"), *(F.expr(f"cast(id div {_WIDE} as int)").alias(x) for x in ("first", "last"))]
+    single = found.join(runs, [*REGION, "id"], "left_anti").select(*REGION, "id", *place)
+    named = runs.unionByName(single).join(found, [*REGION, "id"], "left").withColumn("component", F.coalesce("component", "id"))
+    named = materialize(named, "named")
+    free(edges, runs, found)
+    sizes = named.groupBy(*REGION, "component").agg(F.count("*").alias("n"), F.sum(F.col("last") - F.col("first") + 1).cast("long").alias("size"))
+    large = join_counted(named, materialize(sizes.where(F.col("size") >= min_size), "sizes"), [*REGION, "component"])
+    return large.select(*REGION, member, "col", "component", "size")
 
 
 def component_boxes(parts: DataFrame) -> DataFrame:

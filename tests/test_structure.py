@@ -81,6 +81,20 @@ def test_components_against_brute_force(spark):
     assert found == {x: r for x, r in want.items() if size[r] >= 4}
 
 
+@pytest.mark.parametrize("stretch", [1, 3, 1 << 16])
+def test_components_of_tall_runs_over_borders(spark, stretch):
+    rng = random.Random(stretch)
+    grid = {(r, c): "x" for r in range(1, 30) for c in range(1, 6)}
+    fills = {(r, c): "ab"[(r // rng.choice([4, 9]) + c // 2) % 2] for r, c in grid}
+    cells = sheet(spark, grid, styles={at: {"fill": f} for at, f in fills.items()}).withColumn("region", F.lit(0))
+    want = _slow_components(grid, fills)
+    edges = S.similar_edges(cells)
+    found = S.components(edges.unionByName(edges.where("row % 2 = 0")), 1, stretch).collect()
+    assert len(found) == len(want) and {(r["row"], r["col"]): (r["component"] // (1 << 24), r["component"] % (1 << 24)) for r in found} == want
+    assert all(r["size"] == list(want.values()).count(want[r["row"], r["col"]]) for r in found)
+    assert S.components(edges.limit(0)).count() == 0
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.range(500).select(F.lit("k").alias("k"), F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
     rows = graph.components(edges, ["k"]).collect()
