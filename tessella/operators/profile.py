@@ -215,10 +215,35 @@ def multi_language_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if any("一" <= x <= "鿿" for x in c) and any(x.isascii() and x.isalpha() for x in c)]
 
 
-def first_values(df: DataFrame, row: str, limit: int) -> DataFrame:
-    """column, rank, value: the first non-null values of each column by row."""
+#: Rows at a table's head in which first_values() looks for where each column's values end.
+HEAD = 1024
+
+
+def first_values(df: DataFrame, row: str, limit: int, head: int = HEAD) -> DataFrame:
+    """column, rank, value: the first non-null values of each column by row.
+
+    Of the first rows only it is told which values are there, and so up to which
+    row a column's values are needed: no more of it is read in order. Columns
+    that have too few values there, mostly empty ones, are ranked as a whole.
+    """
+    names = [c for c in df.columns if c != row]
+    if not names:
+        return df.sparkSession.createDataFrame([], "column string, rank int, value string")
+    at = F.col(f"`{row}`")
+    there = df.select(at.alias("row"), F.array(*(F.col(f"`{c}`").isNotNull() for c in names)).alias("there")).orderBy("row").limit(head).collect()
+    last: dict[str, int] = {}
+    for i, name in enumerate(names):
+        rows = [r["row"] for r in there if r["there"][i]][:limit]
+        if len(rows) == limit and rows[-1] is not None:
+            last[name] = rows[-1]
+    pick = lambda some: [at, *(F.col(f"`{c}`") for c in some)]
+    whole = [c for c in names if c not in last]
+    parts = [unpivoted(df.select(*pick(whole)), row)] if whole else []
+    if last:
+        parts.append(unpivoted(df.where(at.isNull() | (at <= max(last.values()))).select(*pick(last)), row))
     order = Window.partitionBy("column").orderBy("row")
-    return unpivoted(df, row).where("value is not null").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("column", "rank", "value")
+    values = reduce(DataFrame.unionByName, parts).where("value is not null")
+    return values.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("column", "rank", "value")
 
 
 def profile(df: DataFrame, row: str, max_unique: int = 100) -> DataFrame:

@@ -86,6 +86,16 @@ def test_merged_ranges_dates_of_1904_and_sheets_in_order(spark, tmp_path):
     assert {name: x["sheets"] for name, x in E.encode_files(both).items()} == {path: encoded["sheets"], "other": encoded["sheets"]}
 
 
+@pytest.mark.parametrize("head", [1, 5, 40, 1024])
+def test_first_values_by_heads_of_any_length(spark, head):
+    data = [(i, f"v{i}", f"w{i}" if i % 3 == 0 else None, "late" if i > 95 else None, None) for i in range(100)]
+    df = spark.createDataFrame(data, f"{ROW} long, a string, b string, `c.d` string, e string").repartition(7)
+    found = {(r["column"], r["rank"]): r["value"] for r in P.first_values(df, ROW, 4, head).collect()}
+    values = {"a": [r[1] for r in data], "b": [r[2] for r in data], "c.d": [r[3] for r in data]}
+    assert found == {(c, k): v for c, all_ in values.items() for k, v in enumerate([x for x in all_ if x is not None][:4], 1)}
+    assert P.first_values(df.limit(0), ROW, 4, head).count() == 0 and P.first_values(df.select(ROW), ROW, 4, head).count() == 0
+
+
 def test_delimiters(spark):
     df = numbered(spark, ["c"], [(f"x{i} - y (z)" if i % 2 else f"x{i} - y" + ";" * (i // 2),) for i in range(20)])
     found = {r["delimiter"]: r for r in P.delimiters(P.first_values(df, ROW, 20)).collect()}
