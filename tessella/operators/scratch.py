@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: A key with more than one in HOT of all rows is joined by broadcast; there are fewer than HOT of them.
 HOT = 1000
+#: A table of more rows is not broadcast.
+MANY = 100_000
 #: Tasks that share a hot key where the row joined to it is wide.
 SALTS = 32
 
@@ -47,7 +49,7 @@ def materialize(df: DataFrame, name: str, **totals: Column) -> DataFrame:
     """
     path, schema = new_path(df.sparkSession, name), df.schema
     if dict(df.dtypes).get("n") in ("int", "bigint"):
-        totals |= {"n": F.sum("n"), "least_n": F.min("n"), "most_n": F.max("n")}
+        totals |= {"n": F.sum("n"), "least_n": F.min("n"), "most_n": F.max("n"), "keys": F.count(F.lit(1))}
     seen = Observation() if totals else None
     (df.observe(seen, *(x.alias(k) for k, x in totals.items())) if totals else df).write.parquet(path)
     out = df.sparkSession.read.schema(schema).parquet(path)
@@ -95,21 +97,33 @@ def _drop_all() -> None:
         _drop(path)
 
 
+def shuffled(table: DataFrame) -> DataFrame:
+    """table for a join in which it is never broadcast, since it has as many rows as its input has rows or cells.
+
+    The planner knows a table by the size of its files, and what an explode makes
+    of it by the size of what it reads; either may be a hundredth of its size in memory.
+    """
+    return table.hint("merge")
+
+
 def join_counted(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner", wide: bool = False) -> DataFrame:
     """rows joined with table, which has one row for each key and in n how many rows hold it. how: inner or left.
 
     table is a materialised one. Keys with more than one in HOT of all rows are
     fewer than HOT by that, and no task gets all rows of one: the table's rows for
     them are broadcast, or, if they are wide (hold texts, say, so that their number
-    bounds no size), sent to SALTS tasks each. All other keys go through a shuffle.
+    bounds no size), sent to SALTS tasks each. All other keys go through a shuffle,
+    or are broadcast if they are MANY at most and the session allows their size.
     """
     rows_in_all, least, most = (total(table, x) or 0 for x in ("n", "least_n", "most_n"))
-    plain = table.drop("n")
+    large = (total(table, "keys") or 0) > MANY
+    plain = shuffled(table.drop("n")) if large else table.drop("n")
     if most * HOT <= rows_in_all:
         return rows.join(plain, keys, how)
     if least * HOT > rows_in_all and not wide:
-        return rows.join(F.broadcast(plain), keys, how)
+        return rows.join(F.broadcast(table.drop("n")), keys, how)
     hot, rest = table.where(F.col("n") * HOT > rows_in_all).drop("n"), table.where(F.col("n") * HOT <= rows_in_all).drop("n")
+    rest = shuffled(rest) if large else rest
     few = F.broadcast(hot.select(*keys))
     others = rows.join(few, keys, "left_anti").join(rest, keys, how)
     if not wide:

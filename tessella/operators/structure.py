@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import cells as C
 from . import graph
 from .model import SHEET, extents
-from .scratch import free, join_counted, materialize
+from .scratch import free, join_counted, materialize, shuffled
 
 REGION = [*SHEET, "region"]
 #: Columns of one sheet are numbered below this.
@@ -96,15 +96,24 @@ def in_regions(cells: DataFrame, regions: DataFrame) -> DataFrame:
     return found.withColumn("_r", F.explode(own)).select("*", "_r.region", "_r.min_col", "_r.max_col").drop("beside", "_r")
 
 
-def similar_edges(cells: DataFrame) -> DataFrame:
+def _beside(full: DataFrame, line: str, axis: str, stretch: int) -> DataFrame:
+    """Each cell of full with the next one along axis, in the same line, if it is a neighbour: its place, and its look as b.
+
+    Windows hold one stretch of a line. A stretch's first cell is also the last of the window before, so no pair is lost at a border.
+    """
+    at = F.expr(f"{axis} div {stretch}")
+    cut = full.withColumn("s", F.explode(F.when(F.col(axis) % stretch == 0, F.array(at - 1, at)).otherwise(F.array(at))))
+    after = Window.partitionBy(*REGION, line, "s").orderBy(axis)
+    found = cut.select(*REGION, "row", "col", "a", F.col(line).alias(f"to_{line}"), F.lead(axis).over(after).alias(f"to_{axis}"), F.lead("a").over(after).alias("b"))
+    return found.where(f"to_{axis} = {axis} + 1").select(*REGION, "row", "col", "a", "to_row", "to_col", "b")
+
+
+def similar_edges(cells: DataFrame, stretch: int = STRETCH) -> DataFrame:
     """Pairs of nonblank neighbours, right and below, that look alike: row, col, to_row, to_col. cells has a region column."""
     look = F.struct("fill", "bold", "has_border", "py_type", "number_format")
     full = cells.where(~C.is_blank(F.col("v_str"))).select(*REGION, "row", "col", look.alias("a"))
-    right = Window.partitionBy(*REGION, "row").orderBy("col")
-    below = Window.partitionBy(*REGION, "col").orderBy("row")
-    along = full.select(*REGION, "row", "col", "a", F.col("row").alias("to_row"), F.lead("col").over(right).alias("to_col"), F.lead("a").over(right).alias("b")).where("to_col = col + 1")
-    down = full.select(*REGION, "row", "col", "a", F.lead("row").over(below).alias("to_row"), F.col("col").alias("to_col"), F.lead("a").over(below).alias("b")).where("to_row = row + 1")
-    return along.unionByName(down).where(C.similar("a", "b")).drop("a", "b")
+    right, down = _beside(full, "row", "col", stretch), _beside(full, "col", "row", stretch)
+    return right.unionByName(down).where(C.similar("a", "b")).drop("a", "b")
 
 
 def components(edges: DataFrame, min_size: int = 4, stretch: int = STRETCH) -> DataFrame:
@@ -128,11 +137,11 @@ def components(edges: DataFrame, min_size: int = 4, stretch: int = STRETCH) -> D
     members = runs.select(*REGION, "id", "col", member).select(*REGION, "id", number("row", "col").alias("cell"))
     rest = edges.where(~within).select(*REGION, number("row", "col").alias("u"), number("to_row", "to_col").alias("v"))
     for end in ("u", "v"):
-        rest = rest.join(members.withColumnsRenamed({"id": "run", "cell": end}), [*REGION, end], "left").withColumn(end, F.coalesce("run", end)).drop("run")
+        rest = rest.join(shuffled(members.withColumnsRenamed({"id": "run", "cell": end})), [*REGION, end], "left").withColumn(end, F.coalesce("run", end)).drop("run")
     found = materialize(graph.components(rest, REGION), "components")
     place = [F.expr(f"cast(id % {_WIDE} as int)").alias("col"), *(F.expr(f"cast(id div {_WIDE} as int)").alias(x) for x in ("first", "last"))]
-    single = found.join(runs, [*REGION, "id"], "left_anti").select(*REGION, "id", *place)
-    named = runs.unionByName(single).join(found, [*REGION, "id"], "left").withColumn("component", F.coalesce("component", "id"))
+    single = found.join(shuffled(runs), [*REGION, "id"], "left_anti").select(*REGION, "id", *place)
+    named = runs.unionByName(single).join(shuffled(found), [*REGION, "id"], "left").withColumn("component", F.coalesce("component", "id"))
     named = materialize(named, "named")
     free(edges, runs, found)
     sizes = named.groupBy(*REGION, "component").agg(F.count("*").alias("n"), F.sum(F.col("last") - F.col("first") + 1).cast("long").alias("size"))

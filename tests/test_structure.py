@@ -200,3 +200,38 @@ def test_hot_keys_are_joined_like_others(spark, how, wide):
         table = scratch.materialize(rows.where("k % 3 = 1").groupBy("k").agg(F.count("*").alias("n"), F.max("i").alias("top")), "t")
         found = sorted(map(tuple, scratch.join_counted(rows, table, ["k"], how, wide).select("k", "i", "top").collect()), key=str)
         assert found == sorted(map(tuple, rows.join(table.drop("n"), "k", how).select("k", "i", "top").collect()), key=str)
+
+
+@pytest.mark.parametrize("stretch", [1, 4, 1 << 16])
+def test_neighbours_over_borders_of_stretches(spark, stretch):
+    rng = random.Random(stretch)
+    grid = {(r, c): "x" for r in range(1, 20) for c in range(1, 20) if rng.random() < 0.8}
+    cells = sheet(spark, grid).withColumn("region", F.lit(0))
+    want = sorted((*a, *b) for a in grid for b in ((a[0], a[1] + 1), (a[0] + 1, a[1])) if b in grid)
+    assert sorted((r["row"], r["col"], r["to_row"], r["to_col"]) for r in S.similar_edges(cells, stretch).collect()) == want
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_table_of_cells_is_broadcast(spark, monkeypatch):
+    """Files of many alike rows are tiny; what is made of them is not."""
+    plans = []
+    write = scratch.materialize
+    monkeypatch.setattr(S, "materialize", lambda df, name, **totals: plans.append((name, _plan(df))) or write(df, name, **totals))
+    monkeypatch.setattr(S.graph, "components", lambda edges, keys, run=graph.components: plans.append(("edges", _plan(edges))) or run(edges, keys))
+    cells = sheet(spark, {(r, c): "x" for r in range(1, 9) for c in range(1, 5)}).withColumn("region", F.lit(0))
+    assert S.components(S.similar_edges(cells)).count() == 32
+    assert {"edges", "named"} <= {name for name, _ in plans}
+    assert not [name for name, plan in plans if "Broadcast" in plan]
+
+
+def test_counted_tables_of_many_keys_are_shuffled(spark, monkeypatch):
+    rows = spark.range(5000).select((F.col("id") % 2500).alias("k"))
+    table = scratch.materialize(rows.groupBy("k").agg(F.count("*").alias("n"), F.lit(1).alias("x")), "t")
+    monkeypatch.setattr(scratch, "MANY", 2500)
+    assert "Broadcast" in _plan(scratch.join_counted(rows, table, ["k"]))
+    monkeypatch.setattr(scratch, "MANY", 2499)
+    joined = scratch.join_counted(rows, table, ["k"])
+    assert "Broadcast" not in _plan(joined) and joined.count() == 5000
