@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import Column
@@ -83,6 +85,91 @@ def largest_rectangles(cells: list[tuple[int, int]], max_row: int, max_col: int,
     return out
 
 
+def swept_rectangles(rows: Iterable[tuple[tuple, int, list[int], list[int]]], side: int = LARGEST_SIDE) -> Iterator[tuple]:
+    """What largest_rectangles() finds where cells are ordered by a rank, then by row and column: (key, rank, r0, c0, r1, c1).
+
+    rows: (key, row, its columns in order, their ranks), the rows of a key one after the other
+    and without gaps; a gap begins anew. Only rows less than side away can take part in a
+    cell's rectangle, so a cell is settled once those of smaller order within this reach are.
+    Held are side rows ahead for each rank that mixes with others, never all cells.
+    """
+    for _, block in groupby(_blocks(rows), itemgetter(0)):
+        yield from _settled(block, side)
+
+
+def _blocks(rows: Iterable[tuple]) -> Iterator[tuple]:
+    now, last, n = None, 0, 0
+    for key, row, cols, ranks in rows:
+        if key != now or row != last + 1:
+            n += 1
+        now, last = key, row
+        yield n, key, row, cols, ranks
+
+
+def _settled(block: Iterator[tuple], side: int) -> Iterator[tuple]:
+    free: dict[int, set[int]] = {}
+    waiting: dict[int, dict[int, list[int]]] = {}
+    last = top = None
+    key, more = None, True
+
+    def load(to: int) -> None:
+        nonlocal key, last, top, more
+        while more and (last is None or last < to):
+            if (x := next(block, None)) is None:
+                more = False
+                return
+            _, key, last, cols, ranks = x
+            top = last if top is None else top
+            free[last] = set(cols)
+            of: dict[int, list[int]] = {}
+            for c, k in zip(cols, ranks):
+                of.setdefault(k, []).append(c)
+            waiting[last] = dict(sorted(of.items()))
+
+    def before(rank: int, row: int) -> tuple[int, int] | None:
+        for r in range(max(top, row - side + 1), min(last, row + side - 1) + 1):
+            for k in waiting[r]:  # the smallest
+                if (k, r) < (rank, row):
+                    return k, r
+                break
+        return None
+
+    def take(rank: int, row: int) -> Iterator[tuple]:
+        for c in waiting[row].pop(rank):
+            if c not in free[row]:
+                continue
+            best, most, tall = (1, 1), 1, side
+            for width in range(1, side + 1):
+                x, height = c + width - 1, 0
+                while height < tall and x in free.get(row + height, ()):
+                    height += 1
+                tall = height
+                if not tall:
+                    break
+                if width * tall > most:
+                    most, best = width * tall, (width, tall)
+            width, tall = best
+            for r in range(row, row + tall):
+                free[r].difference_update(range(c, c + width))
+            yield key, rank, row, c, row + tall - 1, c + width - 1
+
+    load(0)
+    while top is not None and (more or top <= last):
+        load(top)
+        if top > last:
+            return
+        while waiting[top]:
+            stack = [(next(iter(waiting[top])), top)]
+            while stack:
+                load(stack[-1][1] + side - 1)
+                if (first := before(*stack[-1])) is not None:
+                    stack.append(first)
+                else:
+                    yield from take(*stack.pop())
+        del free[top], waiting[top]
+        top += 1
+
+
 def merge_refs(cells: Column, merged: Column | None = None) -> Column:
     """array<struct<row,col>> -> array of A1 ranges; ranges in merged come first as they are."""
 
@@ -92,13 +179,3 @@ def merge_refs(cells: Column, merged: Column | None = None) -> Column:
 
     found = run(cells)
     return found if merged is None else F.concat(F.coalesce(merged, F.array().cast("array<string>")), found)
-
-
-def rectangles(cells: Column, max_row: Column, max_col: Column) -> Column:
-    """array<struct<row,col>> in the order of search -> array of A1 ranges of largest rectangles."""
-
-    @F.pandas_udf("array<string>")
-    def run(batch: pd.Series, rows: pd.Series, cols: pd.Series) -> pd.Series:
-        return pd.Series([[a1(*x) for x in largest_rectangles([(p["row"], p["col"]) for p in cells], r, c)] for cells, r, c in zip(batch, rows, cols)], dtype=object)
-
-    return run(cells, max_row, max_col)

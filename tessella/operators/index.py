@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import islice
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cells as C
 from ..functions import ranges as R
 from . import cover
-from .structure import REGION
+from .scratch import join_counted, materialize, shuffled
+from .structure import REGION, WIDE, islands
 
 
 def typed(cells: DataFrame, strict: bool = False) -> DataFrame:
@@ -54,20 +59,58 @@ def format_key() -> Column:
     return F.struct("h_align", "bold", "merged", "merged_range_of", "category", "nf", "kind")
 
 
-def format_map(full: DataFrame, keys: list[str] = REGION, copy_merged: bool = False) -> DataFrame:
-    """Each format of the grid with its cells in row order."""
+def format_cells(full: DataFrame, keys: list[str] = REGION, copy_merged: bool = False) -> DataFrame:
+    """Each cell of the grid with its format and semantic type."""
     inside = F.col("merged_range").isNotNull() & (F.lit(copy_merged) | F.coalesce("is_merge_start", F.lit(False)))
     marked = typed(full).withColumn("merged", inside).withColumn("merged_range_of", F.when(inside, F.col("merged_range")))
-    at = F.struct("row", "col", "semantic")
-    return marked.groupBy(*keys, format_key().alias("format")).agg(F.sort_array(F.collect_list(at)).alias("cells"), F.min(F.struct("row", "col")).alias("first_seen"))
+    return marked.select(*keys, format_key().alias("format"), "row", "col", "semantic")
+
+
+#: Rows of a sheet whose rectangles of one format are put in order together.
+_CHUNK = 1 << 12
 
 
-def format_rectangles(formats: DataFrame, extents: DataFrame, keys: list[str] = REGION) -> DataFrame:
+def format_rectangles(cells: DataFrame, keys: list[str] = REGION) -> DataFrame:
     """Cells regrouped by number format and semantic type -> largest rectangles of at most 20 by 20.
 
-    Rectangles begin at the cells in the order of formats, then rows.
+    Rectangles begin at the cells in the order of formats (by their first cells),
+    then rows. Blocks of rows, between which a group has no cell in a row, are
+    independent; each is swept by one task that holds a few rows of it. Only the array
+    of a group's ranges is put together in one row, from chunks that are in order.
     """
-    each = formats.select(*keys, F.col("format.nf").alias("nf"), F.col("first_seen").alias("f"), F.posexplode("cells").alias("p", "c"))
-    grouped = each.groupBy(*keys, "nf", F.col("c.semantic").alias("semantic")).agg(F.sort_array(F.collect_list(F.struct("f", "p", F.struct("c.row", "c.col").alias("cell")))).alias("o"))
-    joined = grouped.withColumn("cells", F.col("o.cell")).withColumn("first_seen", F.element_at(F.transform("o", lambda x: F.struct(x["f"].alias("f"), x["p"].alias("p"))), 1)).drop("o").join(extents, [k for k in keys if k != "region"])
-    return joined.select(*keys, "nf", "semantic", "first_seen", R.rectangles(F.col("cells"), F.col("max_row"), F.col("max_col")).alias("ranges"))
+    at = [*keys, "format"]
+    first = F.min(F.col("row").cast("long") * WIDE + F.col("col"))
+    seen = materialize(cells.groupBy(*at).agg(first.alias("f"), F.count("*").alias("n")), "formats")
+    # As a struct, a group without a number format or semantic type is a key like others.
+    of = [*keys, "group"]
+    ranked = join_counted(cells, seen, at).select(*keys, F.struct("format.nf", "semantic").alias("group"), "row", "col", "f")
+    rows = ranked.groupBy(*of, "row").agg(F.array_sort(F.collect_list(F.struct("col", "f"))).alias("x"))
+    rows = materialize(rows.select(*of, "row", F.col("x.col").alias("cols"), F.col("x.f").alias("ranks")), "rows")
+    block = islands(rows, "row", of).select(*of, "row", F.col("min_row").alias("block"))
+    found = rows.join(shuffled(block), [*of, "row"])
+    kinds = dict(found.dtypes)
+    schema = f"{', '.join(f'`{k}` {kinds[k]}' for k in of)}, f long, r0 int, c0 int, r1 int, c1 int"
+
+    def swept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types: list = []
+
+        def lines() -> Iterator[tuple]:
+            for batch in batches:
+                types[:] = [batch.schema.field(k).type for k in of]
+                columns = [batch.column(c).to_pylist() for c in [*of, "row", "cols", "ranks"]]
+                for *key, row, cols, ranks in zip(*columns):
+                    yield key, row, cols, ranks
+
+        found = R.swept_rectangles(lines())
+        while out := list(islice(found, 10_000)):
+            keyed = [pa.array(c, t) for c, t in zip(zip(*(x[0] for x in out)), types)]
+            rest = [pa.array(c, t) for c, t in zip(list(zip(*out))[1:], [pa.int64()] + [pa.int32()] * 4)]
+            yield pa.RecordBatch.from_arrays([*keyed, *rest], [*of, "f", *cover.BOX])
+
+    boxes = found.repartition(*of, "block").sortWithinPartitions(*of, "block", "row").mapInArrow(swept, schema)
+    chunk = F.expr(f"r0 div {_CHUNK}").alias("s")
+    chunks = cover.refs(boxes).groupBy(*of, "f", chunk).agg(F.array_sort(F.collect_list(F.struct("r0", "c0", "ref"))).alias("x"))
+    begin = F.struct("f", F.col("x")[0]["r0"].alias("row"), F.col("x")[0]["c0"].alias("col"))
+    chunks = chunks.select(*of, F.struct("f", "s", F.col("x.ref").alias("refs")).alias("chunk"), begin.alias("begin"))
+    out = chunks.groupBy(*of).agg(F.array_sort(F.collect_list("chunk")).alias("c"), F.min("begin").alias("first_seen"))
+    return out.select(*keys, "group.nf", "group.semantic", "first_seen", F.flatten("c.refs").alias("ranges"))

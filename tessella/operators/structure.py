@@ -16,7 +16,7 @@ from .scratch import free, join_counted, materialize, shuffled
 
 REGION = [*SHEET, "region"]
 #: Columns of one sheet are numbered below this.
-_WIDE = 1 << 24
+WIDE = 1 << 24
 
 
 def occupancy(cells: DataFrame, axis: str) -> DataFrame:
@@ -126,7 +126,7 @@ def components(edges: DataFrame, min_size: int = 4, stretch: int = STRETCH) -> D
     so components keep their names.
     """
     edges = materialize(edges.select(*REGION, "row", "col", "to_row", "to_col"), "neighbours")
-    number = lambda r, c: F.col(r).cast("long") * _WIDE + F.col(c)
+    number = lambda r, c: F.col(r).cast("long") * WIDE + F.col(c)
     within = F.expr(f"col = to_col and to_row = row + 1 and row div {stretch} = to_row div {stretch}")
     at = [*REGION, "col", "s"]
     below = edges.where(within).withColumn("s", F.expr(f"row div {stretch}"))
@@ -139,7 +139,7 @@ def components(edges: DataFrame, min_size: int = 4, stretch: int = STRETCH) -> D
     for end in ("u", "v"):
         rest = rest.join(shuffled(members.withColumnsRenamed({"id": "run", "cell": end})), [*REGION, end], "left").withColumn(end, F.coalesce("run", end)).drop("run")
     found = materialize(graph.components(rest, REGION), "components")
-    place = [F.expr(f"cast(id % {_WIDE} as int)").alias("col"), *(F.expr(f"cast(id div {_WIDE} as int)").alias(x) for x in ("first", "last"))]
+    place = [F.expr(f"cast(id % {WIDE} as int)").alias("col"), *(F.expr(f"cast(id div {WIDE} as int)").alias(x) for x in ("first", "last"))]
     single = found.join(shuffled(runs), [*REGION, "id"], "left_anti").select(*REGION, "id", *place)
     named = runs.unionByName(single).join(shuffled(found), [*REGION, "id"], "left").withColumn("component", F.coalesce("component", "id"))
     named = materialize(named, "named")

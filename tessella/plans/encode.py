@@ -102,7 +102,7 @@ def build(cells: DataFrame, options: Options = Options()) -> Encoding:
         full = full.join(_copy_merged(cells, full), [*SHEET, "row", "col"], "left")
     full = materialize(full, "full")
     index = I.value_ranges(*_valued(full, options))
-    formats = materialize(I.format_map(full, copy_merged=options.profile == "v1"), "formats")
+    formats = materialize(I.format_cells(full, copy_merged=options.profile == "v1"), "formats")
     return Encoding(regions, anchor["row"], anchor["col"], full, materialize(index, "index"), formats, size, options)
 
 
@@ -118,12 +118,10 @@ def _numeric(e: Encoding, cells: DataFrame) -> DataFrame:
     numeric = e.formats.where("format.kind = 'numeric'")
     none = e.regions.select(*REGION).join(numeric.select(*REGION).distinct(), REGION, "left_anti")
     whole = I.typed(cells).where("kind = 'numeric'").join(none, SHEET)
-    at = F.struct("row", "col", "semantic")
     # Without a kept numeric format, one group for each number format and semantic type, in row order.
-    rest = whole.groupBy(*REGION, F.struct(F.lit(None).cast("string").alias("h_align"), F.lit(False).alias("bold"), F.lit(False).alias("merged"), F.lit(None).cast("string").alias("merged_range_of"), "category", "nf", "kind").alias("format")).agg(
-        F.sort_array(F.collect_list(at)).alias("cells"), F.min(F.struct("row", "col")).alias("first_seen")
-    )
-    return I.format_rectangles(numeric.unionByName(rest), e.extents)
+    plain = F.struct(F.lit(None).cast("string").alias("h_align"), F.lit(False).alias("bold"), F.lit(False).alias("merged"), F.lit(None).cast("string").alias("merged_range_of"), "category", "nf", "kind")
+    rest = whole.select(*REGION, plain.alias("format"), "row", "col", "semantic")
+    return I.format_rectangles(numeric.unionByName(rest))
 
 
 def entries(e: Encoding, cells: DataFrame) -> DataFrame:
@@ -131,7 +129,7 @@ def entries(e: Encoding, cells: DataFrame) -> DataFrame:
     name = F.to_json(F.struct(F.col("nf").alias("nfs"), F.col("semantic").alias("type")))
     of = lambda df, part, name: df.select(*REGION, F.lit(part).alias("part"), name.alias("name"), "ranges")
     values = of(e.index, "cells", F.col("value"))
-    formats = of(I.format_rectangles(e.formats, e.extents), "formats", name)
+    formats = of(I.format_rectangles(e.formats), "formats", name)
     return values.unionByName(formats).unionByName(of(_numeric(e, cells), "numeric_ranges", name))
 
 
@@ -174,8 +172,8 @@ def _encode(e: Encoding, cells: DataFrame, options: Options, file_name: str | No
 
     values = gathered(e.index, lambda r: r["value"], lambda r: tuple(r["first_seen"]))
     format_name = lambda r: json.dumps({"nfs": r["nf"], "type": r["semantic"]}, sort_keys=True)
-    in_order = lambda r: (tuple(r["first_seen"]["f"]), r["first_seen"]["p"])
-    formats = gathered(I.format_rectangles(e.formats, e.extents), format_name, in_order)
+    in_order = lambda r: tuple(r["first_seen"])
+    formats = gathered(I.format_rectangles(e.formats), format_name, in_order)
     numeric = gathered(_numeric(e, cells), format_name, in_order)
     anchors: dict = {}
     for axis, df in (("row", e.rows), ("col", e.cols)):

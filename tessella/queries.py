@@ -307,8 +307,7 @@ def merge_refs_vertical(spark, sf):
 @query()
 def format_rectangles(spark, sf):
     full = part_grid(spark, sf).withColumn("region", F.lit(0))
-    size = full.groupBy(*SHEET).agg(F.max("row").alias("max_row"), F.max("col").alias("max_col"))
-    return I.format_rectangles(I.format_map(full), size).select("nf", "semantic", F.array_join("ranges", ", ").alias("ranges"))
+    return I.format_rectangles(I.format_cells(full)).select("nf", "semantic", F.array_join("ranges", ", ").alias("ranges"))
 
 
 EDGES_SQL = f"""

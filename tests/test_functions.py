@@ -123,3 +123,32 @@ def test_shorten_and_refs(spark):
     assert [r[0] for r in df.collect()] == ["x" * 200 + "…", "x" * 200, ""]
     r = spark.sql("select 'AB12' a, 'Q' b").select(C.split_ref(F.col("a")), C.split_ref(F.col("b"))).first()
     assert tuple(r[0]) == ("AB", 12) and tuple(r[1]) == ("Q", 0)
+
+
+@pytest.mark.parametrize("side", [2, 3, 20])
+def test_swept_rectangles_are_the_largest_ones(side):
+    """Ranks of any mixture, gaps between rows, several keys: as if all cells of a key were at hand."""
+    rng = random.Random(side)
+    for n in range(60):
+        ranks = rng.choice([1, 2, 5, 40])
+        grids = {key: {(r, c): rng.randrange(ranks) for r in range(1, rng.choice([5, 60])) for c in range(1, 9) if rng.random() < rng.choice([0.7, 1]) and (r % 11 or n % 2)} for key in "ab"}
+        rows = [(key, r, cols, [g[r, c] for c in cols]) for key, g in grids.items() for r in sorted({r for r, _ in g}) if (cols := sorted(c for y, c in g if y == r))]
+        found = sorted(R.swept_rectangles(rows, side))
+        want = []
+        for key, g in grids.items():
+            order = sorted(g, key=lambda x: (g[x], x))
+            want += [(key, g[box[:2]], *box) for box in R.largest_rectangles(order, 100, 100, side)]
+        assert found == sorted(want)
+
+
+def test_a_sweep_holds_few_rows():
+    read = 0
+
+    def rows():
+        nonlocal read
+        for read in range(1, 2001):
+            yield "k", read, [1, 2, 3], [0, read % 2, 2]
+
+    found = R.swept_rectangles(rows())
+    assert next(found) == ("k", 0, 1, 1, 20, 3) and read <= 100
+    assert all(next(found) for _ in range(20)) and read < 600

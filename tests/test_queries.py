@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella import queries as Q
+from tessella.operators import index as I
 
 N_PARTS = 2600
 
@@ -113,3 +114,14 @@ def test_format_rectangles_of_all_cells(spark, tmp_path):
     first = {s: {b: min(x for x in own if (x[0] % 5 == 0) == b) for b in (True, False)} for s, own in of.items()}
     want = {s: ", ".join(_slow_rectangles(sorted(own, key=lambda x: (first[s][x[0] % 5 == 0], x)), n - 1, 5)) for s, own in of.items()}
     assert {r["semantic"]: r["ranges"] for r in Q.format_rectangles(spark, str(tmp_path)).collect()} == want
+
+
+def test_no_row_holds_the_cells_of_a_format(spark):
+    """Groups without a number format count too; the sweep reads rows of cells, and rectangles go into one row at the end only."""
+    cells = [("f", "s", 0, r, c, "bi"[r % 3 == 0], "General" if c < 3 else None, "text") for r in range(1, 50) for c in range(1, 5) if r % 7]
+    kinds = "file string, sheet string, region int, row int, col int, look string, nf string, semantic string"
+    df = spark.createDataFrame(cells, kinds).withColumn("format", F.struct("look", "nf")).drop("look", "nf")
+    found = {r["nf"]: ", ".join(r["ranges"]) for r in I.format_rectangles(df).collect()}
+    for nf in ("General", None):
+        own = sorted(((x[3], x[4]) for x in cells if x[6] == nf), key=lambda x: (x[0] % 3 == 0, x))
+        assert found[nf] == ", ".join(_slow_rectangles(own, 49, 4))
