@@ -58,9 +58,12 @@ def table_regions(cells: DataFrame, min_cells: int = 8) -> DataFrame:
     are numbered from 0 by area, then first row and first column, all descending.
     """
     full = cells.where(~C.is_blank(F.col("v_str"))).select(*SHEET, "row", "col")
-    found = full.join(islands(full, "row"), [*SHEET, "row"]).join(islands(full, "col"), [*SHEET, "col"])
+    columns = full.groupBy(*SHEET, "col").agg(F.count("*").alias("n")).join(shuffled(islands(full, "col")), [*SHEET, "col"])
+    found = full.join(shuffled(islands(full, "row")), [*SHEET, "row"])
+    found = join_counted(found, materialize(columns, "columns"), [*SHEET, "col"])
     box = ["min_row", "max_row", "min_col", "max_col"]
     counted = found.groupBy(*SHEET, *box).agg(F.count("*").alias("n_cells")).where(F.col("n_cells") >= min_cells)
+    counted = materialize(counted, "boxes")
     around = full.groupBy(*SHEET).agg(F.min("row").alias("min_row"), F.max("row").alias("max_row"), F.min("col").alias("min_col"), F.max("col").alias("max_col"), F.count("*").alias("n_cells"))
     rest = around.join(counted.select(*SHEET).distinct(), SHEET, "left_anti")
     area = (F.col("max_row") - F.col("min_row") + 1) * (F.col("max_col") - F.col("min_col") + 1)
@@ -91,7 +94,7 @@ def in_regions(cells: DataFrame, regions: DataFrame) -> DataFrame:
     made than there are cells, and a cell is compared with the runs of columns
     only.
     """
-    found = cells.join(rows_of(regions.select(*REGION, "min_row", "max_row", "min_col", "max_col")), [*SHEET, "row"])
+    found = cells.join(shuffled(rows_of(regions.select(*REGION, "min_row", "max_row", "min_col", "max_col"))), [*SHEET, "row"])
     own = F.filter("beside", lambda x: F.col("col").between(x["min_col"], x["max_col"]))
     return found.withColumn("_r", F.explode(own)).select("*", "_r.region", "_r.min_col", "_r.max_col").drop("beside", "_r")
 
@@ -164,8 +167,11 @@ def anchors(cells: DataFrame, regions: DataFrame, axis: str, k: int = 2, parts:
     low, high = f"min_{axis}", f"max_{axis}"
     parts = components(similar_edges(in_regions(cells, regions))) if parts is None else parts
     edges = component_boxes(parts).select(*REGION, F.explode(F.array(low, high)).alias(axis)).distinct()
-    spread = expand(edges.join(regions.select(*REGION, low, high), REGION), axis, k, low, high)
-    none = regions.join(parts.select(*REGION).distinct(), REGION, "left_anti").select(*REGION, low, high, F.explode(F.array_distinct(F.array(low, high))).alias(axis))
+    edges = materialize(edges, "edges")
+    counted = regions.select(*REGION, low, high).join(shuffled(edges.groupBy(*REGION).agg(F.count("*").alias("n"))), REGION)
+    counted = materialize(counted, "anchored")
+    spread = expand(join_counted(edges, counted, REGION), axis, k, low, high)
+    none = regions.join(shuffled(counted.select(*REGION)), REGION, "left_anti").select(*REGION, low, high, F.explode(F.array_distinct(F.array(low, high))).alias(axis))
     return spread.unionByName(none)
 
 

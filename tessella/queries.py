@@ -16,6 +16,7 @@ from .operators import profile as P
 from .operators import structure as S
 from .operators import tidy
 from .operators.model import SHEET, cells_from_table
+from .operators.scratch import materialize
 from .operators.tidy import ROW
 from .plans.plan import Plan
 from .plans.validate import validate
@@ -365,7 +366,7 @@ UNION ALL SELECT region, UNNEST([min_row, max_row]) FROM g WHERE region NOT IN (
 """)
 def structural_anchors_v2(spark, sf):
     cells = part_grid(spark, sf)
-    regions = S.table_regions(cells)
+    regions = materialize(S.table_regions(cells), "regions")
     return S.anchors(cells, regions, "row").select("region", "row")
 
 

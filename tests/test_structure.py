@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -235,3 +236,17 @@ def test_counted_tables_of_many_keys_are_shuffled(spark, monkeypatch):
     monkeypatch.setattr(scratch, "MANY", 2499)
     joined = scratch.join_counted(rows, table, ["k"])
     assert "Broadcast" not in _plan(joined) and joined.count() == 5000
+
+
+def test_no_table_of_rows_or_regions_is_broadcast(spark, monkeypatch):
+    plans = {}
+    write = scratch.materialize
+    monkeypatch.setattr(S, "materialize", lambda df, name, **totals: plans.setdefault(name, _plan(df)) and write(df, name, **totals))
+    cells = sheet(spark, {(r, c): "x" for r in range(1, 30) for c in range(1, 5) if r % 7})
+    regions = write(S.table_regions(cells), "regions")
+    assert re.search(r"SortMergeJoin \[file#\d+, sheet#\d+, row#\d+\]", plans["boxes"])
+    assert "Broadcast" not in _plan(S.in_regions(cells, regions))
+    found = S.anchors(cells, regions, "row")
+    assert "Broadcast" not in plans["neighbours"] and "Broadcast" not in plans["anchored"]
+    assert re.search(r"SortMergeJoin .*LeftAnti", _plan(found))
+    assert sorted((r["region"], r["row"]) for r in found.collect()) == sorted((r["region"], k) for r in regions.collect() for k in range(r["min_row"], r["max_row"] + 1) if k - r["min_row"] <= 2 or r["max_row"] - k <= 2)
