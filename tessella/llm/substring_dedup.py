@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .words import WordHashes, covered, gram_hashes, signed, sliding_min, split_words
+from .words import WordHashes, covered, gram_hashes, mix, signed, sliding_min, split_words
 
 WINDOW, PHRASE = 50, 16
 #: Words of the documents of one shard.
@@ -85,15 +85,32 @@ def _runs(window: int, phrase: int):
     return run
 
 
+#: Windows, and words of passages, of one batch; a batch a document costs more than the document.
+BATCH = 100_000
+
+
 def _opener(window: int):
+    def frame(out: list) -> pd.DataFrame:
+        return pd.DataFrame(dict(zip(("a", "b", "doc_id", "thash", "start", "n_words"), (np.concatenate(x) for x in zip(*out)))))
+
     def open_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        one, two = WordHashes(1), WordHashes(2)
+        hashes = WordHashes(1)
         for batch in batches:
+            out, held = [], 0
             for doc_id, thash, text, starts, sizes in zip(*(batch[x] for x in ("doc_id", "thash", "text", "starts", "sizes"))):
                 words = split_words(text)
-                a, b = (gram_hashes(x.of(words), window) for x in (one, two))
+                h = hashes.of(words)
+                # The second hash is one of the same words' hashes, mixed anew.
+                a, b = (gram_hashes(x, window) for x in (h, mix(~h)))
                 at = np.flatnonzero(covered(starts, np.asarray(starts) + np.asarray(sizes), len(a)))
-                yield pd.DataFrame({"a": signed(a[at]), "b": signed(b[at]), "doc_id": doc_id, "thash": thash, "start": at, "n_words": len(words)})
+                n = len(at)
+                out.append((signed(a[at]), signed(b[at]), np.full(n, doc_id), np.full(n, thash), at, np.full(n, len(words))))
+                held += n
+                if held >= BATCH:
+                    yield frame(out)
+                    out, held = [], 0
+            if out:
+                yield frame(out)
 
     return open_runs
 
@@ -164,12 +181,21 @@ def phrases(docs: DataFrame, needed: DataFrame, window: int = WINDOW) -> DataFra
     lists = lists.select(F.col("first_doc_id").alias("doc_id"), F.col("first_thash").alias("thash"), F.col("p.at").alias("at"), F.col("p.size").alias("size"), F.col("p.n").alias("n"))
     lists = common.materialize(lists, "lists")
 
+    columns = ["first_doc_id", "first_thash", "at", "size", "n", "phrase"]
+
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            rows, held = [], 0
             for d, t, text, at, size, n in zip(*(batch[x] for x in ("doc_id", "thash", "text", "at", "size", "n"))):
                 words = split_words(text)
-                phrase = [b" ".join(words[a : a + k + window - 1]) for a, k in zip(at.tolist(), size.tolist())]
-                yield pd.DataFrame({"first_doc_id": d, "first_thash": t, "at": at, "size": size, "n": n, "phrase": phrase})
+                for a, k, m in zip(at.tolist(), size.tolist(), n.tolist()):
+                    rows.append((d, t, a, k, m, b" ".join(words[a : a + k + window - 1])))
+                    held += k + window - 1
+                    if held >= BATCH:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows, held = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=columns)
 
     texts = _texts(docs, lists).drop("n").join(lists, ["doc_id", "thash"])
     return texts.mapInPandas(extract, "first_doc_id bigint, first_thash bigint, at int, size int, n bigint, phrase binary")

@@ -7,6 +7,7 @@ from collections import Counter
 from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -508,3 +509,13 @@ def test_components(spark):
     found = {r["id"]: r["component"] for r in common.components(spark.createDataFrame(pairs, "u long, v long")).collect()}
     want = brute.groups(sorted({x for p in pairs for x in p}), pairs)
     assert found == {i: c for i, c in want.items() if i in found} and all(i in found or c == i for i, c in want.items())
+
+
+def test_windows_leave_in_batches():
+    """A frame for many documents, not one for each; another where BATCH windows are held."""
+    text = " ".join(f"w{i}" for i in range(40))
+    batch = pd.DataFrame({"doc_id": range(50), "thash": range(50), "text": [f"d{i} {text}" for i in range(50)], "starts": [[0, 5]] * 50, "sizes": [[2, 3]] * 50})
+    found = list(substring_dedup._opener(8)(iter([batch])))
+    assert len(found) == 1 and len(found[0]) == 250 and found[0]["a"].nunique() == 50 + 4
+    assert found[0].groupby("doc_id")["start"].apply(list).tolist() == [[0, 1, 5, 6, 7]] * 50
+    assert (found[0]["a"] != found[0]["b"]).all() and found[0].groupby("a")["b"].nunique().max() == 1
